@@ -58,6 +58,18 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def evaluate_once(df, **exprs):
+    """Add columns that are computed exactly once per row.
+
+    A filter on a computed column is normally pushed below the projection
+    that defines it, so the expression runs twice (filter, then project) and
+    nested rules get inlined into one huge predicate. A one-element
+    ``inline`` (a Generate) is a boundary filters do not cross.
+    """
+    fields = [col(e).alias(n) for n, e in exprs.items()]
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
+
+
 # --------------------------------------------------------------------------
 # §2.13 helpers
 # --------------------------------------------------------------------------
@@ -115,16 +127,13 @@ def g10(x) -> Column:
 def extract_answer(trace, which: str = "first") -> Column:
     """Text of the first ``Answer:`` line, stripped; NULL without one.
 
-    The captured group is never empty on a match, so ``''`` from
-    ``regexp_extract`` means "no match" and one regex pass suffices.
+    One regex pass: ``try_element_at`` of the match list is NULL when there
+    is no match, and the captured group is never empty on a match.
     ``which='last'`` takes the last marker instead (documented variant).
     """
-    t = col(trace)
-    if which == "last":
-        raw = F.try_element_at(F.regexp_extract_all(t, F.lit(ANSWER_RE), F.lit(1)), F.lit(-1))
-        return F.when(raw.isNotNull(), pystrip(raw))
-    raw = F.regexp_extract(t, ANSWER_RE, 1)
-    return F.when(raw != "", pystrip(raw))
+    idx = -1 if which == "last" else 1
+    raw = F.try_element_at(F.regexp_extract_all(col(trace), F.lit(ANSWER_RE), F.lit(1)), F.lit(idx))
+    return pystrip(raw)
 
 
 def has_answer_line(text) -> Column:
@@ -138,8 +147,8 @@ def count_answer_lines(text) -> Column:
 
 def norm_letter(s) -> Column:
     """First standalone choice letter A-E (case-insensitive), upper-cased."""
-    raw = F.regexp_extract(col(s), LETTER_RE, 1)
-    return F.when(raw != "", F.upper(raw))
+    raw = F.try_element_at(F.regexp_extract_all(col(s), F.lit(LETTER_RE), F.lit(1)), F.lit(1))
+    return F.upper(raw)
 
 
 def norm_math(s) -> Column:

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thinkframe.functions.text import evaluate_once
+
 K_SAMPLES = 8
 
 
@@ -70,10 +72,12 @@ def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
         .otherwise(F.concat(F.lit("<think>"), nl, body, nl, F.lit("</think>"), nl, F.lit("Answer: "), ans))
     )
     gold = F.when(task == "gsm8k", F.concat(F.lit("so #### "), g)).otherwise(g)
-    return x.select(
+    out = x.select(
         d.alias("id"), kk.cast("int").alias("pos"), "task", "question",
-        gold.alias("gold"), trace.alias("trace"), "lang", "source",
+        gold.alias("gold"), "lang", "source", trace.alias("_trace"),
     )
+    # build each trace once even when later filters read it
+    return evaluate_once(out, trace=F.col("_trace")).drop("_trace")
 
 
 def with_meta(t: DataFrame) -> DataFrame:
@@ -120,3 +124,18 @@ def math_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("g").alias("answer"), (F.col("doc_id") % 5 + 1).cast("int").alias("level"),
         F.col("lang").alias("subject"), "lang", "source",
     )
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt row per document: (id, question, gold, task, lang, source)."""
+    base = _doc_base(documents(spark, sf_dir))
+    gold = F.when(F.col("task") == "gsm8k", F.concat(F.lit("so #### "), F.col("g"))).otherwise(F.col("g"))
+    return base.select(F.col("doc_id").alias("id"), "question", gold.alias("gold"), "task", "lang", "source")
+
+
+def bench_items(spark: SparkSession, sf_dir: str) -> dict:
+    return {
+        "arc_c": arc_items(spark, sf_dir),
+        "gsm8k": gsm8k_items(spark, sf_dir),
+        "math_500": math_items(spark, sf_dir),
+    }
