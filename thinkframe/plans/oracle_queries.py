@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
     k_ev = eval_ctes("kvotes", ("sweep_k", "id"), items_k=f" CROSS JOIN {ks}")
     sql["k_sweep"] = w(TRACES, WA, kkeys, *vote_ctes("kkeys", ["sweep_k", "id"], name="kvotes"), BASE,
                        ITEMS_ARC, ITEMS_GSM, ITEMS_MATH, *k_ev,
-                       f"kacc AS (SELECT bench, sweep_k, CASE WHEN max(k) >= sweep_k THEN {acc} END AS acc FROM ev GROUP BY ALL)") + (
+                       f"kacc AS (SELECT bench, sweep_k, CASE WHEN max(k) >= sweep_k THEN {acc} END AS acc FROM ev GROUP BY bench, sweep_k)") + (
         "SELECT sweep_k AS k, "
         + ", ".join(f"{r9(f'max(acc) FILTER (WHERE bench = {q(b)})')} AS {b}" for b, _ in BENCHES)
         + " FROM kacc GROUP BY sweep_k"
