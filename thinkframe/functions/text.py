@@ -83,6 +83,18 @@ def pylstrip_word_count(c) -> Column:
     return F.regexp_count(col(c), F.lit(NON_WS + "+"))
 
 
+def has_min_words(c, n: int) -> Column:
+    """``len(s.split()) >= n`` without counting every word.
+
+    An anchored regex that stops after the n-th word; possessive quantifiers
+    (the classes are disjoint) keep it linear in the text it reads.
+    """
+    if n <= 0:
+        return F.lit(True)
+    pattern = "^" + WS + "*+(?:" + NON_WS + "++" + WS + "++){" + str(n - 1) + "}" + NON_WS
+    return col(c).rlike(pattern)
+
+
 def py_float(c) -> Column:
     """``float(s)`` for an already stripped string, NULL where Python raises."""
     s = col(c)
@@ -142,6 +154,7 @@ def has_answer_line(text) -> Column:
 
 
 def count_answer_lines(text) -> Column:
+    """Number of answer markers."""
     return F.regexp_count(col(text), F.lit(r"[Aa]nswer" + WS + r"*[:\-]"))
 
 
@@ -369,8 +382,16 @@ def with_is_correct(df, pred: str = "answer", gold: str = "gold", task: str = "t
         .withColumn(gnn, norm_math(F.col(gn)))
         .withColumn(pf, py_float(F.col(pn)))
         .withColumn(gf, py_float(F.col(gnn)))
-        .withColumn(pr, rational(F.col(pn)))
-        .withColumn(gr, rational(F.col(gnn)))
+    )
+    # the exact rational parse only runs where cheaper rules cannot decide
+    undecided = (
+        p.isNotNull()
+        & tk.isin("gsm8k", "math")
+        & ~F.coalesce(F.col(pn) == F.col(gnn), F.lit(False))
+        & ~((tk == "gsm8k") & F.col(pf).isNotNull() & F.col(gf).isNotNull())
+    )
+    staged = staged.withColumn(pr, F.when(undecided, rational(F.col(pn)))).withColumn(
+        gr, F.when(undecided, rational(F.col(gnn)))
     )
     r_eq = F.coalesce(
         F.col(pr)["num"] * F.col(gr)["den"] == F.col(gr)["num"] * F.col(pr)["den"], F.lit(False)
@@ -393,8 +414,10 @@ def with_math_equal(df, pred: str, gold: str, out: str):
     staged = (
         df.withColumn(pn, norm_math(pred))
         .withColumn(gnn, norm_math(gold))
-        .withColumn(pr, rational(F.col(pn)))
-        .withColumn(gr, rational(F.col(gnn)))
+    )
+    undecided = ~F.coalesce(F.col(pn) == F.col(gnn), F.lit(True))
+    staged = staged.withColumn(pr, F.when(undecided, rational(F.col(pn)))).withColumn(
+        gr, F.when(undecided, rational(F.col(gnn)))
     )
     r_eq = F.coalesce(
         F.col(pr)["num"] * F.col(gr)["den"] == F.col(gr)["num"] * F.col(pr)["den"], F.lit(False)

@@ -20,7 +20,7 @@ from thinkframe.functions.text import (
     dedupe_key,
     evaluate_once,
     extract_answer,
-    pylstrip_word_count,
+    has_min_words,
     pystrip,
     rl_gold,
     with_is_correct,
@@ -130,7 +130,7 @@ def merge_task(meta, task) -> Column:
 # --------------------------------------------------------------------------
 def _flag_traces(traces: DataFrame, max_trace_chars: int, min_trace_tokens: int) -> DataFrame:
     length_ok = F.length("trace") <= max_trace_chars
-    words_ok = pylstrip_word_count(F.col("trace")) >= min_trace_tokens
+    words_ok = has_min_words(F.col("trace"), min_trace_tokens)
     flagged = evaluate_once(traces, _len_ok=length_ok & words_ok)
     flagged = evaluate_once(flagged, answer=F.when(F.col("_len_ok"), extract_answer("trace")))
     flagged = with_is_correct(flagged, "answer", "gold", "task", "_correct")
@@ -151,7 +151,7 @@ def filter_traces(
     Cheap predicates are evaluated first; the regex runs only on survivors.
     """
     t = traces.where(F.length("trace") <= max_trace_chars).where(
-        pylstrip_word_count(F.col("trace")) >= min_trace_tokens
+        has_min_words(F.col("trace"), min_trace_tokens)
     )
     t = evaluate_once(t, answer=extract_answer("trace"))
     t = with_is_correct(t, "answer", "gold", "task", "_correct")

@@ -29,10 +29,15 @@ def ensure_eos(response, eos: str = EOS_TEXT) -> Column:
 
 
 def byte_ids(text) -> Column:
-    """UTF-8 bytes of the text, each + 2, as array<int> (empty text -> [])."""
+    """UTF-8 bytes of the text, each + 2, as array<int> (empty text -> []).
+
+    Decoding the UTF-8 bytes as ISO-8859-1 maps every byte to one character
+    whose code point is the byte value, so ``ascii`` of each character is
+    the byte.
+    """
     t = col(text)
-    hexes = F.regexp_extract_all(F.hex(t), F.lit(".."), F.lit(0))
-    ids = F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int") + BYTE_OFFSET)
+    latin = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    ids = F.transform(F.split(latin, ""), lambda c: F.ascii(c) + BYTE_OFFSET)
     return F.when(F.octet_length(t) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
