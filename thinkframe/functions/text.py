@@ -106,6 +106,9 @@ def g10(x) -> Column:
 
     ``%.9e`` gives the 10 significant digits and the exponent; the digits
     are then laid out in fixed or scientific form with zeros trimmed.
+    Java rounds from the shortest decimal form of the double, Python from
+    its exact binary value: results differ only for subnormals and for
+    values whose 11th+ significant digits are a rounding tie.
     """
     x = col(x)
     e = F.format_string("%.9e", x)
