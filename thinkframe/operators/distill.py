@@ -255,6 +255,10 @@ def sft_rows(
         "task", task_of("meta")
     )
     rows = dedupe_first(rows, "key", order_cols)
+    if per_task_cap:
+        # the cap reads the rows twice (rank side, semi-join side): materialise
+        # once so the filter and dedupe are not computed twice
+        rows = cut_lineage(rows)
     rows = cap_per_group(rows, "task", "key", order_cols, per_task_cap)
     return rows.select(
         "key",

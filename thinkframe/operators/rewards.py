@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from thinkframe.functions import rewards as R
 from thinkframe.functions.text import completion_text, evaluate_once, extract_answer, with_is_correct
+from thinkframe.session import cut_lineage
 
 ADVANTAGE_EPS = 1e-6
 
@@ -32,7 +33,8 @@ def attach_prompts(completions: DataFrame, prompts: DataFrame, on: str = "prompt
     if gold is None or "task" not in cols:
         raise ValueError("reward scoring needs 'gold' (or 'answer') and 'task' columns on the prompts")
     p = prompts.select(F.col(on), F.col(gold).alias("gold"), F.col("task"))
-    return completions.join(p, on, "inner")
+    dup = [c for c in ("gold", "task") if c in completions.columns]
+    return completions.drop(*dup).join(p, on, "inner")
 
 
 def score(
@@ -78,12 +80,21 @@ def group_advantage(
     group: Sequence[str] | str = "prompt_id",
     reward: str = "reward",
     out: str = "advantage",
+    columns: Sequence[str] | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
     """``(r - mean) / (std + 1e-6)`` within each group, sample std.
 
-    A one-row group has no sample std: the advantage is NULL.
+    A one-row group has no sample std: the advantage is NULL. ``columns``
+    selects what to carry (default: all); the carried table is checkpointed
+    once, so the rewards are not computed again for the statistics side.
     """
     keys = [group] if isinstance(group, str) else list(group)
+    if columns is not None:
+        carried = list(dict.fromkeys([*keys, *columns, reward]))
+        scored = scored.select(*carried)
+    if materialize:
+        scored = cut_lineage(scored)
     stats = scored.groupBy(*keys).agg(
         F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std")
     )

@@ -196,7 +196,7 @@ def q_reward_mix(spark, sf):
 
 def q_group_advantage(spark, sf):
     s = _scored(spark, sf, RW.R.DEFAULT_MIX)
-    a = RW.group_advantage(s, "prompt_id")
+    a = RW.group_advantage(s, "prompt_id", columns=["pos"])
     return a.select("prompt_id", "pos", _r9("reward").alias("reward"), _r9("advantage").alias("advantage"))
 
 

@@ -108,4 +108,5 @@ def score_rewards(
     """Rewards, weighted mix and group-relative advantage per prompt."""
     joined = RW.attach_prompts(completions, prompts, on)
     scored = RW.score(joined, specs, text=text, messages=messages)
-    return RW.group_advantage(scored, on)
+    narrow = [c for c in scored.columns if c not in {text, messages, "gold"}]
+    return RW.group_advantage(scored, on, columns=narrow)
