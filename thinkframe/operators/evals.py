@@ -77,6 +77,37 @@ def eval_math(votes: DataFrame, items: DataFrame, keys: Sequence[str] = ("id",),
 _EVAL = {"arc_c": eval_arc, "gsm8k": eval_gsm8k, "math_500": eval_math}
 
 
+def _bench_items(items: Mapping[str, DataFrame], keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    """All benchmarks' items in one table: keys, extra, bench, gold (per-bench rule)."""
+    gold = {
+        "arc_c": lambda df: F.upper(pystrip(F.col("answerKey"))),
+        "gsm8k": lambda df: gold_gsm8k(F.col("answer")),
+        "math_500": lambda df: pystrip(F.col("answer").cast("string")),
+    }
+    out = None
+    for bench in _EVAL:
+        if bench not in items:
+            continue
+        it = items[bench]
+        cols = [F.col(c) if c in it.columns else F.lit(None).alias(c) for c in extra]
+        part = it.select(*keys, *cols, F.lit(bench).alias("bench"), gold[bench](it).alias("gold"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _score_items(items_all: DataFrame, votes: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    """Join votes once and apply each benchmark's equality rule."""
+    j = _join_votes(items_all, votes, keys)
+    j = with_math_equal(j, "answer", "gold", "_meq")
+    ans, gold = F.col("answer"), F.col("gold")
+    correct = (
+        F.when(F.col("bench") == "arc_c", arc_eval_equal(ans, gold))
+        .when(F.col("bench") == "gsm8k", gsm8k_eval_equal(ans, gold))
+        .otherwise(ans.isNotNull() & F.col("_meq"))
+    )
+    return _rows(j.withColumn("correct", correct), ["bench", *keys], extra)
+
+
 def evaluate(
     completions: DataFrame,
     items: Mapping[str, DataFrame],
@@ -88,18 +119,12 @@ def evaluate(
     """Vote per item and score every benchmark; one row per item with ``bench``.
 
     ``completions``: id, pos, task, trace (and the weight column if used).
-    ``items``: bench key -> items table (arc_c, gsm8k, math_500).
+    ``items``: bench key -> items table (arc_c, gsm8k, math_500); item ids
+    are unique across benchmarks. Votes are computed once and joined once to
+    the union of all items.
     """
     votes = vote(completions, strategy=strategy, weight=weight, k=k)
-    out = None
-    for bench, fn in _EVAL.items():
-        if bench not in items:
-            continue
-        rows = fn(votes, items[bench], ("id",), extra).select(
-            F.lit(bench).alias("bench"), "id", *extra, "gold", "pred", "support", "k", "confidence", "correct"
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _score_items(_bench_items(items, ("id",), extra), votes, ("id",), extra)
 
 
 def accuracy(rows: DataFrame, by: Sequence[str] = ("bench",)) -> DataFrame:
@@ -125,19 +150,13 @@ def k_sweep(
     missing run.
     """
     ks_arr = F.array(*[F.lit(int(k)) for k in ks])
-    paired = completions.select("*", F.explode(F.filter(ks_arr, lambda k: F.col("pos") < k)).alias("k_sweep"))
-    keys = sample_keys(paired, ("k_sweep", "id"), weight=weight)
-    votes = vote_keys(keys, ("k_sweep", "id"), strategy)
-    out = None
-    for bench, fn in _EVAL.items():
-        if bench not in items:
-            continue
-        # each item once per K (narrow explode), so items without samples count
-        rows = fn(votes.withColumnRenamed("k_sweep", "sweep_k"),
-                  items[bench].select("*", F.explode(ks_arr).alias("sweep_k")),
-                  ("sweep_k", "id"), ())
-        rows = rows.select(F.lit(bench).alias("bench"), "sweep_k", "k", "correct")
-        out = rows if out is None else out.unionByName(rows)
+    # keys once per sample (the regex work), then the narrow key rows per K
+    keys = sample_keys(completions, ("id",), weight=weight)
+    paired = keys.select("*", F.explode(F.filter(ks_arr, lambda k: F.col("pos") < k)).alias("k_sweep"))
+    votes = vote_keys(paired, ("k_sweep", "id"), strategy)
+    # each item once per K (narrow explode), so items without samples count
+    items_k = _bench_items(items, ("id",), ()).select("*", F.explode(ks_arr).alias("sweep_k"))
+    out = _score_items(items_k, votes.withColumnRenamed("k_sweep", "sweep_k"), ("sweep_k", "id"), ())
     acc = out.groupBy("bench", "sweep_k").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("correct")).alias("n_correct"),
