@@ -218,7 +218,7 @@ def cap_per_group(
     key: str,
     order_cols: Sequence[str],
     cap: int | None,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """First ``cap`` rows per group in source order; ``None``/0 = no cap.
 
@@ -230,6 +230,8 @@ def cap_per_group(
     """
     if not cap:
         return df
+    if buckets is None:
+        buckets = max(64, df.sparkSession.sparkContext.defaultParallelism)
     narrow = df.select(group, key, *order_cols).withColumn(
         "_b", F.pmod(F.xxhash64(key), F.lit(buckets))
     )

@@ -63,8 +63,15 @@ def encode_examples(
     ).drop("_p")
 
 
-def assign_batches(rows: DataFrame, key: str, batch_size: int = 4, buckets: int = 64, seed: int = 17) -> DataFrame:
-    """Batch ids: hash bucket, then consecutive runs of ``batch_size`` in seeded order."""
+def assign_batches(rows: DataFrame, key: str, batch_size: int = 4, buckets: int | None = None,
+                   seed: int = 17) -> DataFrame:
+    """Batch ids: hash bucket, then consecutive runs of ``batch_size`` in seeded order.
+
+    Rows are numbered within each bucket (one window per bucket), never
+    across the whole table; ``buckets`` defaults to the cluster parallelism.
+    """
+    if buckets is None:
+        buckets = max(64, rows.sparkSession.sparkContext.defaultParallelism)
     h = seeded_hash(seed, F.col(key))
     b = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(buckets))
     staged = rows.withColumn("_h", h).withColumn("bucket", b.cast("int"))
