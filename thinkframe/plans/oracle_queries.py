@@ -46,7 +46,7 @@ def vote_ctes(keys_src: str, ids: list[str], weighted: bool = False, name: str =
     return [
         f"""{name}_pk AS (SELECT {idl}, task, key, count(*) AS cnt, min(pos) AS first_pos, {score} AS score
   FROM {keys_src} GROUP BY ALL)""",
-        f"""{name} AS (SELECT {idl}, task, sum(cnt) AS total,
+        f"""{name} AS (SELECT {idl}, task, CAST(sum(cnt) AS BIGINT) AS total,
   arg_max(key, (score, -first_pos)) FILTER (WHERE key IS NOT NULL) AS answer,
   coalesce(arg_max(cnt, (score, -first_pos)) FILTER (WHERE key IS NOT NULL), 0) AS support,
   coalesce(string_agg(key || ':' || cnt, ',' ORDER BY key || ':' || cnt) FILTER (WHERE key IS NOT NULL), '') AS distribution
@@ -99,7 +99,7 @@ FILTER_CHAIN = [TRACES, FLAG, FLAG_A, FLAG_K, FILTERED, KEYED, FIRST]
 # ---------------------------------------------------------------- rewards
 COMP = f"comp AS (SELECT t.id AS prompt_id, t.pos, t.trace AS text, p.gold, p.task FROM traces t JOIN (SELECT DISTINCT id, gold, task FROM traces) p ON t.id = p.id)"
 COMP_A = f"comp_a AS (SELECT *, {O.extract('text')} AS pred FROM comp)"
-R_CORRECT = f"CASE WHEN {O.is_correct('pred', 'gold', 'task')} THEN 1.0 ELSE 0.0 END"
+R_CORRECT = f"CASE WHEN {O.is_correct('pred', 'gold', 'task')} THEN {dbl(1.0)} ELSE {dbl(0.0)} END"
 R_PRESENT = f"CASE WHEN {O.has_answer_line('text')} THEN {dbl(0.1)} ELSE {dbl(0.0)} END"
 
 
@@ -224,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
         f"{O.gold_gsm8k(chr(39) + 'so #### ' + chr(39) + ' || CAST(doc_id % 97 + 3 AS VARCHAR)')} AS gold_item FROM documents"
     )
     sql["teacher_records"] = w(TRACES) + (
-        "SELECT CAST(id AS VARCHAR) AS id, any_value(gold) AS gold, count(*) AS n_traces, "
+        "SELECT CAST(id AS VARCHAR) AS id, any_value(gold) AS gold, CAST(count(*) AS INTEGER) AS n_traces, "
         "md5(string_agg(trace, chr(1) ORDER BY pos)) AS traces_md5 FROM traces GROUP BY id, question"
     )
     sql["dedupe_key"] = w(TRACES) + f"SELECT id, pos, {O.dedupe_key('question', 'trace')} AS key FROM traces"
@@ -331,19 +331,19 @@ def oracle_sql() -> dict[str, str]:
               + ab.bin * (CASE WHEN hi = lo THEN 1.0::DOUBLE / 40 ELSE CAST(hi - lo AS DOUBLE) / 40.0::DOUBLE END) AS bin_hi,
             coalesce(hc.cnt, 0) AS count FROM ab LEFT JOIN hc ON ab.stage = hc.stage AND ab.bin = hc.bin)""",
     ) + (
-        f"SELECT stage, bin, {r9('bin_lo')} AS bin_lo, {r9('bin_hi')} AS bin_hi, count, "
+        f"SELECT stage, CAST(bin AS INTEGER) AS bin, {r9('bin_lo')} AS bin_lo, {r9('bin_hi')} AS bin_hi, count, "
         "(bin_lo <= 512 AND 512 < bin_hi) OR (bin_lo <= 1024 AND 1024 < bin_hi) AS has_mark FROM hist"
     )
     sql["encode_examples"] = w(*ENC) + (
-        f"SELECT key, len(ids) AS n_ids, len(list_filter(labels, lambda x: x <> -100)) AS n_supervised, "
+        f"SELECT key, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(list_filter(labels, lambda x: x <> -100)) AS INTEGER) AS n_supervised, "
         f"{ids_md5('ids')} AS ids_md5, {ids_md5('labels')} AS labels_md5 FROM enc"
     )
     sql["pad_batches"] = w(*ENC, *BATCH) + (
-        f"SELECT key, CAST(bucket AS INTEGER) AS bucket, CAST(batch_no AS INTEGER) AS batch_no, width, mask_sum, "
+        f"SELECT key, CAST(bucket AS INTEGER) AS bucket, CAST(batch_no AS INTEGER) AS batch_no, CAST(width AS INTEGER) AS width, CAST(mask_sum AS INTEGER) AS mask_sum, "
         f"plabels[-1] AS last_label, {ids_md5('pids')} AS ids_md5 FROM padded"
     )
     sql["supervised_ratio"] = w(*ENC, *BATCH) + (
-        "SELECT sum(len(list_filter(plabels, lambda x: x <> -100))) AS supervised, sum(len(plabels)) AS cells, "
+        "SELECT CAST(sum(len(list_filter(plabels, lambda x: x <> -100))) AS BIGINT) AS supervised, CAST(sum(len(plabels)) AS BIGINT) AS cells, "
         f"{r9('CAST(sum(len(list_filter(plabels, lambda x: x <> -100))) AS DOUBLE) / greatest(sum(len(plabels)), 1)')} AS ratio FROM padded"
     )
     sql["batch_sample"] = w(*FILTER_CHAIN, *SFT) + f"SELECT key, task FROM sft ORDER BY md5('{SEED}:' || key) LIMIT {SAMPLE_K}"
