@@ -112,9 +112,11 @@ def test_is_correct_cases(spark):
         ("nan", "nan", "gsm8k"),      # NaN never equals NaN
         ("1/2", "0.5", "math"), ("\\frac{1}{2}", "2/4", "math"), ("3/4", "#### 0.75", "gsm8k"),
         (" Foo", "foo ", "generic"),
+        ("3.14159265358979323846", "22/7", "math"),   # long decimal: no overflow, not equal
+        ("1e400", "1", "gsm8k"),
     ]
     assert _correct(spark, triples) == [True, True, False, True, True, False, True, False, True, False,
-                                        True, True, True, True]
+                                        True, True, True, True, False, False]
 
 
 def test_math_equal(spark):

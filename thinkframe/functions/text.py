@@ -114,7 +114,7 @@ def g10(x) -> Column:
     e = F.format_string("%.9e", x)
     mant = F.substring_index(e, "e", 1)
     exp_txt = F.substring_index(e, "e", -1)
-    expo = exp_txt.cast("int")
+    expo = exp_txt.try_cast("int")
     unsigned = F.regexp_replace(mant, "^-", "")
     digits = F.regexp_replace(unsigned, r"\.", "")
     fixed_ip = F.when(expo >= 0, digits.substr(F.lit(1), expo + 1)).otherwise(F.lit("0"))
@@ -233,8 +233,8 @@ def rational(s) -> Column:
         & (F.coalesce(F.length(den_txt), F.length(fp)) <= 9)
     )
     num = num_txt.try_cast("long") * F.when(sign == "-", F.lit(-1)).otherwise(F.lit(1))
-    den = F.when(den_txt.isNotNull(), den_txt.try_cast("long")).otherwise(
-        F.pow(F.lit(10), F.length(fp)).cast("long")
+    den = F.when(den_txt.isNotNull(), den_txt.try_cast("long")).when(
+        F.length(fp) <= 9, F.pow(F.lit(10), F.length(fp)).cast("long")
     )
     return F.when(ok & (den > 0), F.struct(num.alias("num"), den.alias("den")))
 

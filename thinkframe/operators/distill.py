@@ -128,7 +128,12 @@ def merge_task(meta, task) -> Column:
 # --------------------------------------------------------------------------
 # Filter (F1-F3, P5, P6) and keep rate (A1)
 # --------------------------------------------------------------------------
-def _flag_traces(traces: DataFrame, max_trace_chars: int, min_trace_tokens: int) -> DataFrame:
+def flag_traces(
+    traces: DataFrame,
+    max_trace_chars: int = DEFAULT_MAX_TRACE_CHARS,
+    min_trace_tokens: int = DEFAULT_MIN_TRACE_TOKENS,
+) -> DataFrame:
+    """Every trace with its extracted ``answer`` and a boolean ``kept`` (the filter's verdict)."""
     length_ok = F.length("trace") <= max_trace_chars
     words_ok = has_min_words(F.col("trace"), min_trace_tokens)
     flagged = evaluate_once(traces, _len_ok=length_ok & words_ok)
@@ -175,7 +180,7 @@ def keep_rate(
     by: Sequence[str] = ("task",),
 ) -> DataFrame:
     """A1: seen, kept and percent kept (``100 * kept / max(seen, 1)``) per group."""
-    f = _flag_traces(traces, max_trace_chars, min_trace_tokens)
+    f = flag_traces(traces, max_trace_chars, min_trace_tokens)
     out = f.groupBy(*by).agg(
         F.count(F.lit(1)).alias("seen"),
         F.count_if(F.col("kept")).alias("kept"),

@@ -88,7 +88,7 @@ def _rat(s: str) -> tuple[str, str, str]:
         f"AND coalesce(length({den_txt}), length({fp})) <= 9)"
     )
     num = f"(TRY_CAST({num_txt} AS BIGINT) * (CASE WHEN {sign} = '-' THEN -1 ELSE 1 END))"
-    den = f"(CASE WHEN {den_txt} IS NOT NULL THEN TRY_CAST({den_txt} AS BIGINT) ELSE CAST(pow(10, length({fp})) AS BIGINT) END)"
+    den = f"(CASE WHEN {den_txt} IS NOT NULL THEN TRY_CAST({den_txt} AS BIGINT) WHEN length({fp}) <= 9 THEN CAST(pow(10, length({fp})) AS BIGINT) END)"
     return ok, num, den
 
 

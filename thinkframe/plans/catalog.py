@@ -303,7 +303,7 @@ def q_answer_thrash(spark, sf):
 
 
 def q_teacher_yield(spark, sf):
-    flagged = D._flag_traces(_traces(spark, sf), D.DEFAULT_MAX_TRACE_CHARS, D.DEFAULT_MIN_TRACE_TOKENS)
+    flagged = D.flag_traces(_traces(spark, sf), D.DEFAULT_MAX_TRACE_CHARS, D.DEFAULT_MIN_TRACE_TOKENS)
     d = P.teacher_yield(flagged.withColumnRenamed("source", "teacher"))
     return d.select("teacher", "traces", "correct", _r9("correct_rate").alias("correct_rate"))
 
