@@ -115,3 +115,8 @@ def test_shape_and_explode_records(spark):
     assert rec.first().traces == ["t0", "t1"]
     back = D.explode_records(rec).orderBy("pos").collect()
     assert [(r.pos, r.trace) for r in back] == [(0, "t0"), (1, "t1")]
+    many = spark.createDataFrame([(1, p, "q", "g", f"t{p}") for p in range(25)],
+                                 "id int, pos int, question string, gold string, trace string")
+    parts = D.shape_records(many, max_traces=10)
+    assert sorted(len(r.traces) for r in parts.collect()) == [5, 10, 10]
+    assert sorted((r.pos, r.trace) for r in D.explode_records(parts).collect()) == sorted((p, f"t{p}") for p in range(25))

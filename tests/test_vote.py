@@ -1,6 +1,13 @@
 from pyspark.sql import functions as F
 
-from thinkframe.operators.vote import distribution_text, majority_vote, vote, weighted_vote
+from thinkframe.operators.vote import (
+    distribution_table,
+    distribution_text,
+    majority_vote,
+    sample_keys,
+    vote,
+    weighted_vote,
+)
 
 
 def samples(spark, per_item, task="arc", weights=None):
@@ -13,14 +20,19 @@ def samples(spark, per_item, task="arc", weights=None):
 
 
 def one(df):
-    r = df.select("answer", "support", "total", "confidence", distribution_text("distribution").alias("d")).collect()
+    if "distribution" not in df.columns:
+        df = df.withColumn("distribution", F.lit(None).cast("map<string,bigint>"))
+    r = df.select("answer", "support", "total", "confidence",
+                  F.coalesce(distribution_text("distribution"), F.lit("")).alias("d")).collect()
     assert len(r) == 1
     return tuple(r[0])
 
 
 def test_majority_letters(spark):
     s = samples(spark, {"q": [f"Answer: {x}" for x in "ABAAC"]})
-    assert one(majority_vote(s)) == ("A", 3, 5, 0.6, "A:3,B:1,C:1")
+    assert one(majority_vote(s, distribution=True)) == ("A", 3, 5, 0.6, "A:3,B:1,C:1")
+    dist = {(r.key, r["count"]) for r in distribution_table(sample_keys(s)).collect()}
+    assert dist == {("A", 3), ("B", 1), ("C", 1)}
 
 
 def test_majority_numeric_forms(spark):
@@ -32,7 +44,7 @@ def test_no_answer_counts_in_total(spark):
     s = samples(spark, {"q": ["nothing", "Answer: A", "none here", "Answer: A"]})
     assert one(majority_vote(s))[:3] == ("A", 2, 4)
     s2 = samples(spark, {"q": ["nothing", "none"]})
-    assert one(majority_vote(s2)) == (None, 0, 2, 0.0, "")
+    assert one(majority_vote(s2, distribution=True)) == (None, 0, 2, 0.0, "")
 
 
 def test_tie_goes_to_first_seen(spark):

@@ -52,9 +52,16 @@ DEFAULT_MIN_TRACE_TOKENS = 16
 # Record shaping (S8, G1, G2) and prompts
 # --------------------------------------------------------------------------
 def explode_records(records: DataFrame, traces: str = "traces") -> DataFrame:
-    """G1: one row per trace of a teacher record, ``pos`` = list position."""
-    others = [c for c in records.columns if c != traces]
-    return records.select(*others, F.posexplode(traces).alias("pos", "trace"))
+    """G1: one row per trace of a teacher record, ``pos`` = list position.
+
+    Records split into parts (``first_pos``) get their global position back.
+    """
+    others = [c for c in records.columns if c not in (traces, "part", "first_pos")]
+    out = records.select(*others, *[c for c in ("first_pos",) if c in records.columns],
+                         F.posexplode(traces).alias("pos", "trace"))
+    if "first_pos" in records.columns:
+        out = out.withColumn("pos", (F.col("pos") + F.col("first_pos")).cast("int")).drop("first_pos")
+    return out
 
 
 def shape_records(
@@ -63,20 +70,26 @@ def shape_records(
     question: str = "question",
     gold: str = "gold",
     meta: Column | None = None,
+    max_traces: int = 1024,
 ) -> DataFrame:
-    """Flat (prompt row, pos, text) samples -> one teacher record per prompt.
+    """Flat (prompt row, pos, text) samples -> teacher records.
 
     ``id`` is kept when given, else sha2 of the question (repeatable, unlike a
-    per-process hash). ``traces`` is ordered by ``pos``; one record holds the
-    K samples of one prompt, so its size is bounded by K.
+    per-process hash). ``traces`` is ordered by ``pos``. A record holds at
+    most ``max_traces`` samples (``part`` numbers the records of one prompt),
+    so a prompt with a huge sample count never becomes one giant row;
+    ``explode_records`` reads either shape back.
     """
     rid = F.col(id_col).cast("string") if id_col else F.sha2(F.col(question), 256)
-    grouped = samples.groupBy(rid.alias("id"), F.col(question).alias("question")).agg(
+    part = F.floor(F.col("pos") / max_traces).cast("int")
+    grouped = samples.groupBy(rid.alias("id"), F.col(question).alias("question"), part.alias("part")).agg(
         F.first(F.col(gold).cast("string"), ignorenulls=True).alias("gold"),
         F.sort_array(F.collect_list(F.struct(F.col("pos"), F.col("trace")))).alias("_s"),
-        *( [F.first(meta, ignorenulls=True).alias("meta")] if meta is not None else [] ),
+        *([F.first(meta, ignorenulls=True).alias("meta")] if meta is not None else []),
     )
-    return grouped.withColumn("traces", F.transform("_s", lambda s: s["trace"])).drop("_s")
+    return grouped.withColumn("traces", F.transform("_s", lambda s: s["trace"])).withColumn(
+        "first_pos", F.col("part") * max_traces
+    ).drop("_s")
 
 
 def teacher_prompt(question) -> Column:

@@ -50,23 +50,37 @@ def sample_keys(
     return with_vote_key(s, "answer", "task", "key").drop("answer")
 
 
+def key_counts(keys: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
+    """Per (item, key): sample count, first position and weight sum (NULL key = no answer)."""
+    ids = [F.col(c) for c in id_cols]
+    return keys.groupBy(*ids, "task", "key").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.min("pos").alias("first_pos"),
+        F.sum(F.col("w").cast(_W)).alias("wsum"),
+    )
+
+
+def distribution_table(keys: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
+    """A5 in relational form: one row per (item, answer key) with its count."""
+    kc = key_counts(keys, id_cols).where(F.col("key").isNotNull())
+    return kc.select(*id_cols, "key", F.col("cnt").alias("count"))
+
+
 def vote_keys(
     keys: DataFrame,
     id_cols: Sequence[str] = ("id",),
     strategy: str | Mapping[str, str] = "majority",
+    distribution: bool = False,
 ) -> DataFrame:
     """Vote over a ``sample_keys`` table.
 
     ``strategy`` is ``"majority"``, ``"weighted"``, or a mapping task ->
-    strategy (A7). Output: ids, task, answer, support, total, confidence,
-    distribution (map key -> count).
+    strategy (A7). Output: ids, task, answer, support, total, confidence, and
+    with ``distribution=True`` a map key -> count (one entry per distinct
+    answer of the item; ``distribution_table`` is the unbounded-safe form).
     """
     ids = [F.col(c) for c in id_cols]
-    per_key = keys.groupBy(*ids, "task", "key").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min("pos").alias("first_pos"),
-        F.sum(F.col("w").cast(_W)).alias("wsum"),
-    )
+    per_key = key_counts(keys, id_cols)
     if isinstance(strategy, str):
         weighted = F.lit(strategy == "weighted")
     else:
@@ -77,11 +91,10 @@ def vote_keys(
     order = F.when(has_key, F.struct(score.alias("s"), (-F.col("first_pos")).alias("p")))
     winner = F.max_by(F.struct(F.col("key").alias("k"), F.col("cnt").alias("c")), order)
     entries = F.collect_list(F.when(has_key, F.struct(F.col("key").alias("key"), F.col("cnt").alias("value"))))
-    out = per_key.groupBy(*ids, "task").agg(
-        winner.alias("win"),
-        F.sum("cnt").alias("total"),
-        entries.alias("entries"),
-    )
+    aggs = [winner.alias("win"), F.sum("cnt").alias("total")]
+    if distribution:
+        aggs.append(entries.alias("entries"))
+    out = per_key.groupBy(*ids, "task").agg(*aggs)
     support = F.coalesce(F.col("win.c"), F.lit(0)).cast("long")
     total = F.col("total").cast("long")
     return out.select(
@@ -91,7 +104,7 @@ def vote_keys(
         support.alias("support"),
         total.alias("total"),
         F.when(total > 0, support / total).otherwise(F.lit(0.0)).alias("confidence"),
-        F.map_from_entries("entries").alias("distribution"),
+        *([F.map_from_entries("entries").alias("distribution")] if distribution else []),
     )
 
 
@@ -105,12 +118,13 @@ def vote(
     weight: Column | str | None = None,
     k: int | None = None,
     pred: Column | str | None = None,
+    distribution: bool = False,
 ) -> DataFrame:
     """sample_and_vote over a completions table: first ``k`` samples by ``pos``."""
     if k is not None:
         samples = samples.where(F.col(pos) < k)
     keys = sample_keys(samples, id_cols, task, trace, pos, weight, pred)
-    return vote_keys(keys, id_cols, strategy)
+    return vote_keys(keys, id_cols, strategy, distribution)
 
 
 def majority_vote(samples: DataFrame, **kw) -> DataFrame:

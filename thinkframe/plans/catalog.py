@@ -18,7 +18,7 @@ from thinkframe.operators import encode as E
 from thinkframe.operators import evals as V
 from thinkframe.operators import reports as P
 from thinkframe.operators import rewards as RW
-from thinkframe.operators.vote import DEFAULT_STRATEGY, distribution_text, vote
+from thinkframe.operators.vote import DEFAULT_STRATEGY, distribution_table, sample_keys, vote
 from thinkframe.sources import fixture as X
 
 # Parameters of the registered queries (fixed values shared with the SQL twins).
@@ -64,8 +64,7 @@ def q_majority_vote(spark, sf):
 
 
 def q_vote_distribution(spark, sf):
-    v = vote(_traces(spark, sf), strategy="majority")
-    return v.select("id", distribution_text("distribution").alias("distribution"))
+    return distribution_table(sample_keys(_traces(spark, sf)))
 
 
 # ---------------------------------------------------------------- phase 2
@@ -104,7 +103,7 @@ def q_gold_gsm8k(spark, sf):
 def q_teacher_records(spark, sf):
     rec = D.shape_records(X.with_meta(_traces(spark, sf)), meta=F.col("meta"))
     return rec.select(
-        "id", "gold", F.size("traces").alias("n_traces"),
+        "id", "part", "gold", F.size("traces").alias("n_traces"),
         F.md5(F.array_join("traces", "\x01")).alias("traces_md5"),
     )
 

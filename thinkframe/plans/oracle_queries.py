@@ -210,7 +210,9 @@ def oracle_sql() -> dict[str, str]:
     sql["majority_vote"] = w(TRACES, WA, KEYS, *vote_ctes("keys", ["id"])) + (
         f"SELECT id, task, answer, support, total, {r9(conf())} AS confidence FROM votes"
     )
-    sql["vote_distribution"] = w(TRACES, WA, KEYS, *vote_ctes("keys", ["id"])) + "SELECT id, distribution FROM votes"
+    sql["vote_distribution"] = w(TRACES, WA, KEYS) + (
+        "SELECT id, key, count(*) AS count FROM keys WHERE key IS NOT NULL GROUP BY id, key"
+    )
     sql["is_correct"] = w(TRACES, WA) + f"SELECT id, pos, {O.is_correct('answer', 'gold', 'task')} AS correct FROM wa"
     sql["distill_filter"] = w(TRACES, FLAG, FLAG_A, FLAG_K, FILTERED) + (
         "SELECT id, pos, trace, answer, task AS meta_task, source AS meta_teacher FROM filtered"
@@ -224,8 +226,9 @@ def oracle_sql() -> dict[str, str]:
         f"{O.gold_gsm8k(chr(39) + 'so #### ' + chr(39) + ' || CAST(doc_id % 97 + 3 AS VARCHAR)')} AS gold_item FROM documents"
     )
     sql["teacher_records"] = w(TRACES) + (
-        "SELECT CAST(id AS VARCHAR) AS id, any_value(gold) AS gold, CAST(count(*) AS INTEGER) AS n_traces, "
-        "md5(string_agg(trace, chr(1) ORDER BY pos)) AS traces_md5 FROM traces GROUP BY id, question"
+        "SELECT CAST(id AS VARCHAR) AS id, CAST(pos // 1024 AS INTEGER) AS part, any_value(gold) AS gold, "
+        "CAST(count(*) AS INTEGER) AS n_traces, "
+        "md5(string_agg(trace, chr(1) ORDER BY pos)) AS traces_md5 FROM traces GROUP BY id, question, pos // 1024"
     )
     sql["dedupe_key"] = w(TRACES) + f"SELECT id, pos, {O.dedupe_key('question', 'trace')} AS key FROM traces"
     sql["dedupe_first"] = w(TRACES) + (
