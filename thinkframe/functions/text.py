@@ -96,9 +96,20 @@ def has_min_words(c, n: int) -> Column:
 
 
 def py_float(c) -> Column:
-    """``float(s)`` for an already stripped string, NULL where Python raises."""
+    """``float(s)`` for an already stripped string, NULL where Python raises.
+
+    Signed special values (``-nan``, ``+inf``, ``-infinity``) are mapped
+    explicitly; Spark's cast only knows some spellings.
+    """
     s = col(c)
-    return F.when(s.rlike(PY_FLOAT_RE), s.try_cast("double"))
+    low = F.lower(s)
+    return (
+        F.when(~s.rlike(PY_FLOAT_RE), F.lit(None).cast("double"))
+        .when(low.rlike("^[+-]?nan$"), F.lit(float("nan")))
+        .when(low.rlike("^[+]?inf(inity)?$"), F.lit(float("inf")))
+        .when(low.rlike("^-inf(inity)?$"), F.lit(float("-inf")))
+        .otherwise(s.try_cast("double"))
+    )
 
 
 def g10(x) -> Column:

@@ -45,7 +45,13 @@ def norm_math(s: str) -> str:
 
 
 def py_float(s: str) -> str:
-    return f"(CASE WHEN regexp_matches({s}, {q(T.PY_FLOAT_RE)}) THEN TRY_CAST({s} AS DOUBLE) END)"
+    return (
+        f"(CASE WHEN NOT regexp_matches({s}, {q(T.PY_FLOAT_RE)}) THEN NULL "
+        f"WHEN regexp_matches(lower({s}), '^[+-]?nan$') THEN 'nan'::DOUBLE "
+        f"WHEN regexp_matches(lower({s}), '^[+]?inf(inity)?$') THEN 'inf'::DOUBLE "
+        f"WHEN regexp_matches(lower({s}), '^-inf(inity)?$') THEN '-inf'::DOUBLE "
+        f"ELSE TRY_CAST({s} AS DOUBLE) END)"
+    )
 
 
 def g10(x: str) -> str:
