@@ -47,3 +47,32 @@ def test_random_rules_match_python(spark, seed):
         assert r.key == pyref.vote_key(a, task), (a, task, r.key)
         assert r.ok == pyref.is_correct(a, gold, task), (a, gold, task, r.ok)
         assert r.present == bool(pyref.PRESENT.search(t)), t
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_random_rewards_and_rendering(spark, seed):
+    from thinkframe.functions import rewards as R
+    from thinkframe.operators import distill as D
+
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(800):
+        t = _rand_text(rnd) + rnd.choice(["", "\nAnswer: 4", "<think>x</think>Answer: 2", "</think>"])
+        t = t * rnd.choice([1, 1, 1, 60, 300])
+        rows.append((i, t, _rand_text(rnd), rnd.choice([None, "", "7"])))
+    df = spark.createDataFrame(rows, "i int, t string, a string, mg string")
+    got = df.select(
+        "i", R.format_reward(F.col("t")).alias("f"), R.answer_present(F.col("t")).alias("p"),
+        R.length_penalty(F.col("t")).alias("l"), D.repair_response("t", "a").alias("resp"),
+        T.dedupe_key(F.col("a"), F.col("t")).alias("k"),
+    ).orderBy("i").collect()
+    for (i, t, a, mg), r in zip(rows, got):
+        assert r.f == pyref.format_reward(t), t
+        assert r.p == (0.1 if pyref.PRESENT.search(t) else 0.0)
+        assert r.l == pyref.length_penalty(t)
+        assert r.resp == pyref.repair(t, a), t
+        assert r.k == pyref.dedupe_key(a, t)
+    resp = [(i, pyref.repair(t, a), mg) for i, t, a, mg in rows]
+    rdf = spark.createDataFrame(resp, "i int, r string, mg string")
+    gold = [x[0] for x in rdf.orderBy("i").select(T.rl_gold("mg", "r")).collect()]
+    assert gold == [pyref.rl_gold(mg, r) for _, r, mg in resp]
