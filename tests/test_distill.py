@@ -120,3 +120,14 @@ def test_shape_and_explode_records(spark):
     parts = D.shape_records(many, max_traces=10)
     assert sorted(len(r.traces) for r in parts.collect()) == [5, 10, 10]
     assert sorted((r.pos, r.trace) for r in D.explode_records(parts).collect()) == sorted((p, f"t{p}") for p in range(25))
+
+
+def test_union_shards_and_build_dataset(spark):
+    a = _filtered_rows(spark, n_keys=6, copies=1)
+    b = _filtered_rows(spark, n_keys=6, copies=1)  # same keys again: later shard loses
+    u = D.union_shards([a, b])
+    assert sorted(set(r.shard_no for r in u.collect())) == [0, 1]
+    built = D.build_dataset(u, order_cols=["shard_no", "id", "pos"], eval_frac=0.5, seed=3)
+    rows = built.collect()
+    assert len(rows) == 6 and {r.shard_no for r in rows} == {0}
+    assert sum(r.split == "eval" for r in rows) == 3

@@ -174,8 +174,21 @@ def filter_traces(
     t = evaluate_once(t, answer=extract_answer("trace"))
     t = with_is_correct(t, "answer", "gold", "task", "_correct")
     t = evaluate_once(t, _keep=F.col("_correct")).where("_keep")
-    meta = F.col("meta") if "meta" in traces.columns else F.lit(None).cast("map<string,string>")
-    return t.select(
+    return kept_rows(t, keep_cols, has_meta="meta" in traces.columns)
+
+
+def kept_rows(flagged: DataFrame, keep_cols: Sequence[str] = (), has_meta: bool | None = None) -> DataFrame:
+    """Output shape of the filter (stripped trace, raw answer, meta with task).
+
+    ``flagged`` is either already filtered or carries ``kept`` from
+    ``flag_traces`` (then only kept rows are returned).
+    """
+    if "kept" in flagged.columns:
+        flagged = flagged.where("kept")
+    if has_meta is None:
+        has_meta = "meta" in flagged.columns
+    meta = F.col("meta") if has_meta else F.lit(None).cast("map<string,string>")
+    return flagged.select(
         *keep_cols,
         "id",
         "question",

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from thinkframe.functions import rewards as R
@@ -42,13 +42,17 @@ def distill_and_build(
     task), ``train/``, ``eval/``, ``rl_prompts/`` as JSON Lines and the keep
     rates; returns the DataFrames.
     """
-    filtered_parts, rates = [], []
+    filtered_parts, observed = [], []
     for shard_no, (task, records) in enumerate(shards):
         flat = D.explode_records(records).withColumn("task", F.lit(task))
         if "src_pos" not in flat.columns:
             flat = flat.withColumn("src_pos", F.monotonically_increasing_id())
-        rates.append(D.keep_rate(flat, max_trace_chars, min_trace_tokens))
-        kept = D.filter_traces(flat, max_trace_chars, min_trace_tokens, keep_cols=["src_pos", "pos"])
+        flagged = D.flag_traces(flat, max_trace_chars, min_trace_tokens)
+        # A1 in the same pass as the write: seen/kept are observed, not recomputed
+        obs = Observation(f"keep_rate_{shard_no}")
+        flagged = flagged.observe(obs, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("kept")).alias("kept_n"))
+        observed.append((task, obs))
+        kept = D.kept_rows(flagged, keep_cols=["src_pos", "pos"])
         filtered_parts.append(kept.withColumn("shard_no", F.lit(shard_no)))
     filtered = filtered_parts[0]
     for part in filtered_parts[1:]:
@@ -56,6 +60,10 @@ def distill_and_build(
     filtered = filtered.withColumn("task", D.task_of("meta"))
     io.write_table(filtered, f"{out_dir}/filtered", partition_by=["task"])
     filtered = spark.read.parquet(f"{out_dir}/filtered")
+    stats = [(t, o.get["seen"], o.get["kept_n"]) for t, o in observed]
+    keep = spark.createDataFrame(stats, "task string, seen long, kept long").withColumn(
+        "pct", F.col("kept") * 100.0 / F.greatest(F.col("seen"), F.lit(1))
+    )
 
     order = ["shard_no", "src_pos", "pos"]
     rows = D.sft_rows(filtered.drop("task"), order, per_task_cap)
@@ -68,9 +76,6 @@ def distill_and_build(
         io.write_jsonl(ev.select(*cols, "shuffle_pos"), f"{out_dir}/eval", order_by=["shuffle_pos"])
     rl = D.rl_prompts(train)
     io.write_jsonl(rl, f"{out_dir}/rl_prompts", order_by=["shuffle_pos"])
-    keep = rates[0]
-    for r in rates[1:]:
-        keep = keep.unionByName(r)
     return {"filtered": filtered, "split": split, "rl_prompts": rl, "keep_rate": keep,
             "rows_by_task": D.rows_by_task(split)}
 
