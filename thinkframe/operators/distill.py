@@ -25,6 +25,7 @@ from thinkframe.functions.text import (
     rl_gold,
     with_is_correct,
 )
+from thinkframe.operators.joins import broadcast_if_small
 from thinkframe.operators.ordering import nth_smallest_hash, seeded_hash
 from thinkframe.session import cut_lineage
 
@@ -270,7 +271,7 @@ def cap_per_group(
     pre = narrow.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= cap)
     w2 = Window.partitionBy(group).orderBy(*order_cols)
     keep = pre.withColumn("_r2", F.row_number().over(w2)).where(F.col("_r2") <= cap).select(key)
-    return df.join(keep, key, "left_semi")
+    return df.join(broadcast_if_small(keep), key, "left_semi")
 
 
 def sft_rows(

@@ -1,0 +1,52 @@
+"""Size-checked broadcast for the small side of a join.
+
+Catalyst's static size estimate of a derived table (a projection over an
+explode, a filter with a regex) can be far off, and a wrong broadcast of a
+large side cannot be undone at runtime. The small side is therefore measured
+with one aggregation over its rows (string and binary bytes plus a fixed
+width per other column). It is broadcast only when the measured size is
+under the session's broadcast threshold; otherwise a sort-merge join is
+requested, which spills and whose skewed partitions AQE splits.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DEFAULT_LIMIT = 10 * 1024 * 1024
+FIXED_WIDTH = 8
+
+
+def _threshold(df: DataFrame) -> int:
+    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_LIMIT))
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    txt = raw.strip().lower()
+    for suffix in sorted(units, key=len, reverse=True):
+        if txt.endswith(suffix) and txt[: -len(suffix)].strip().lstrip("-").isdigit():
+            return int(txt[: -len(suffix)]) * units[suffix]
+    return int(txt) if txt.lstrip("-").isdigit() else DEFAULT_LIMIT
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows: UTF-8/binary lengths plus a fixed width per other field."""
+    parts = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
+        else:
+            parts.append(F.lit(FIXED_WIDTH))
+    row = parts[0] if parts else F.lit(0)
+    for p in parts[1:]:
+        row = row + p
+    total = df.agg(F.sum(row.cast("long")).alias("b")).first()["b"]
+    return int(total or 0)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when its measured size is under the threshold, else a merge-join hint."""
+    limit = _threshold(df) if max_bytes is None else max_bytes
+    if limit > 0 and measured_bytes(df) <= limit:
+        return F.broadcast(df)
+    return df.hint("merge")

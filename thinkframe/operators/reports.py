@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from thinkframe.functions.text import approx_tokens_raw, count_answer_lines, pystrip
 from thinkframe.operators.evals import BENCHES
+from thinkframe.operators.joins import broadcast_if_small
 
 HIST_BINS = 40
 # Reference lines drawn on the length histogram (soft and hard length caps).
@@ -90,7 +91,7 @@ def length_histogram(
     """
     x = completions.select(F.col(stage).alias("stage"), approx_tokens_raw(F.col(text)).cast("long").alias("x"))
     rng = x.groupBy("stage").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = x.join(rng, "stage")
+    j = x.join(broadcast_if_small(rng), "stage")
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(bins // 2 + 1)).otherwise(
         F.least(F.lit(bins), F.expr(f"({bins} * (x - lo)) div (hi - lo)") + 1)

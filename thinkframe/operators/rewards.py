@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from thinkframe.functions import rewards as R
 from thinkframe.functions.text import completion_text, evaluate_once, extract_answer, with_is_correct
+from thinkframe.operators.joins import broadcast_if_small
 from thinkframe.session import cut_lineage
 
 ADVANTAGE_EPS = 1e-6
@@ -32,7 +33,7 @@ def attach_prompts(completions: DataFrame, prompts: DataFrame, on: str = "prompt
     gold = "gold" if "gold" in cols else "answer" if "answer" in cols else None
     if gold is None or "task" not in cols:
         raise ValueError("reward scoring needs 'gold' (or 'answer') and 'task' columns on the prompts")
-    p = prompts.select(F.col(on), F.col(gold).alias("gold"), F.col("task"))
+    p = broadcast_if_small(prompts.select(F.col(on), F.col(gold).alias("gold"), F.col("task")))
     dup = [c for c in ("gold", "task") if c in completions.columns]
     return completions.drop(*dup).join(p, on, "inner")
 
@@ -98,6 +99,6 @@ def group_advantage(
     stats = scored.groupBy(*keys).agg(
         F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std")
     )
-    j = scored.join(stats, keys, "inner")
+    j = scored.join(broadcast_if_small(stats), keys, "inner")
     adv = (F.col(reward) - F.col("_mean")) / (F.col("_std") + F.lit(ADVANTAGE_EPS))
     return j.withColumn(out, adv).drop("_mean", "_std")
