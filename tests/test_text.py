@@ -89,7 +89,7 @@ def test_strip_and_words_follow_python(spark):
     alphabet = ["a", "b", "é", " ", "\t", "\n", "\u00a0", "\u2003", "\x1c", "\u0085", "\u3000", "x"]
     vals = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(vals)), "i int, v string").orderBy("i")
-    got = rows(df, T.pystrip("v"), T.pylstrip_word_count("v"), T.has_min_words("v", 3))
+    got = rows(df, T.pystrip("v"), T.word_count("v"), T.has_min_words("v", 3))
     assert got == [(v.strip(), len(v.split()), len(v.split()) >= 3) for v in vals]
 
 

@@ -78,7 +78,7 @@ def pystrip(c) -> Column:
     return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
-def pylstrip_word_count(c) -> Column:
+def word_count(c) -> Column:
     """``len(s.split())``: number of maximal non-whitespace runs."""
     return F.regexp_count(col(c), F.lit(NON_WS + "+"))
 
@@ -187,7 +187,11 @@ def norm_math(s) -> Column:
 
 
 def vote_key(pred, task) -> Column:
-    """The key samples are grouped by when voting."""
+    """The key samples are grouped by when voting.
+
+    Compact Column form; it repeats its input in several branches, so the
+    operators use the staged ``with_vote_key`` on computed answers.
+    """
     p, tk = col(pred), col(task)
     nm = norm_math(p)
     num = py_float(nm)
@@ -267,7 +271,12 @@ def float_equal(a, b) -> Column:
 
 
 def is_correct(pred, gold, task) -> Column:
-    """Task-dependent correctness of an extracted answer."""
+    """Task-dependent correctness of an extracted answer.
+
+    Compact Column form for short inputs; the operators use the staged
+    ``with_is_correct`` (each normalisation once, rational parse only when
+    the cheaper rules cannot decide).
+    """
     p, g, tk = col(pred), col(gold), col(task)
     gnum = gold_after_hashes(g)
     pf, gf = py_float(norm_math(p)), py_float(norm_math(gnum))
