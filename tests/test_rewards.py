@@ -96,3 +96,14 @@ def test_mix_and_advantage(spark):
     assert out[0].reward == r0
     assert out[0].advantage > 0 > out[1].advantage
     assert out[2].advantage is None  # a one-sample group has no sample std
+
+
+def test_reward_stack_smoke_lines(spark):
+    """The three reward lines of the reference's CPU smoke run."""
+    texts = ["<think>2+2=4</think> Answer: 4", "<think>bad</think> Answer: 5", "Answer: 4"]
+    df = spark.createDataFrame([(i, t, "4", "gsm8k") for i, t in enumerate(texts)],
+                               "i int, text string, gold string, task string")
+    specs = [("correctness", 1.0, {}), ("format", 1.0, {}), ("length_penalty", 1.0, {})]
+    got = [(r.r_correctness, round(r.r_format, 2), r.r_length_penalty)
+           for r in RW.score(df, specs).orderBy("i").collect()]
+    assert got == [(1.0, 0.25, 0.0), (0.0, 0.25, 0.0), (1.0, 0.10, 0.0)]
