@@ -131,3 +131,17 @@ def test_union_shards_and_build_dataset(spark):
     rows = built.collect()
     assert len(rows) == 6 and {r.shard_no for r in rows} == {0}
     assert sum(r.split == "eval" for r in rows) == 3
+
+
+def test_nth_smallest_hash_refinement_path(spark, monkeypatch):
+    """Small bounds force the multi-level histogram path used on large tables."""
+    import thinkframe.operators.ordering as O
+
+    monkeypatch.setattr(O, "FINAL_MAX", 50)
+    monkeypatch.setattr(O, "BUCKETS", 16)
+    df = spark.range(3000).select(seeded_hash(9, F.col("id").cast("string")).alias("m")).cache()
+    ms = sorted(r.m for r in df.collect())
+    for n in (1, 2, 777, 1500, 2999, 3000):
+        assert O.nth_smallest_hash(df, "m", n, total_rows=3000) == ms[n - 1]
+        assert O.nth_smallest_hash(df, "m", n) == ms[n - 1]
+    assert O.nth_smallest_hash(df, "m", 3001) is None

@@ -329,7 +329,7 @@ def split_train_eval(
         rows = cut_lineage(rows)
     n = rows.count()
     n_eval = int(n * eval_frac) if with_eval else 0
-    thr = nth_smallest_hash(rows, "shuffle_pos", n_eval)
+    thr = nth_smallest_hash(rows, "shuffle_pos", n_eval, total_rows=n)
     is_eval = F.lit(False) if thr is None else F.col("shuffle_pos") <= F.lit(thr)
     return rows.withColumn("split", F.when(is_eval, "eval").otherwise("train"))
 

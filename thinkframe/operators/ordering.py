@@ -33,12 +33,12 @@ def hash_prefix_long(md5_hex) -> Column:
     return F.conv(F.substring(h, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def nth_smallest_hash(df: DataFrame, md5_col: str, n: int) -> str | None:
+def nth_smallest_hash(df: DataFrame, md5_col: str, n: int, total_rows: int | None = None) -> str | None:
     """Exact ``n``-th smallest (1-based) value of a hex-md5 column, or None if n < 1.
 
     ``df`` should be materialised (checkpointed); each refinement level is one
     pass. Hashes are uniform, so two levels normally leave a slice of a few
-    rows whatever the table size.
+    rows whatever the table size. ``total_rows`` (if known) saves a count.
     """
     if n < 1:
         return None
@@ -47,7 +47,10 @@ def nth_smallest_hash(df: DataFrame, md5_col: str, n: int) -> str | None:
     lo, width, need = 0, 1 << HASH_BITS, n
     while True:
         in_range = narrow.where((F.col("h") >= lo) & (F.col("h") < lo + width))
-        total = in_range.count() if width == 1 << HASH_BITS else None
+        if width == 1 << HASH_BITS:
+            total = total_rows if total_rows is not None else in_range.count()
+        else:
+            total = None
         if total is None or total > FINAL_MAX:
             step = max(1, width // BUCKETS)
             counts = (
