@@ -58,3 +58,18 @@ def test_evaluate_and_rewards_jobs(spark):
     prompts = spark.createDataFrame([(1, "4", "gsm8k"), (2, "B", "arc")], "prompt_id int, gold string, task string")
     scored = PL.score_rewards(comp.withColumnRenamed("id", "prompt_id").withColumnRenamed("trace", "text"), prompts)
     assert scored.count() == 6 and "advantage" in scored.columns and "text" not in scored.columns
+
+
+def test_evaluation_suite_reads_keys_once(spark):
+    comp = spark.createDataFrame(
+        [(1, p, "gsm8k", f"Answer: {a}") for p, a in enumerate(["4", "4", "5", "5", "5"])]
+        + [(2, p, "arc", f"Answer: {a}") for p, a in enumerate(["B", "B", "A"])],
+        "id int, pos int, task string, trace string",
+    )
+    items = {"gsm8k": spark.createDataFrame([(1, "#### 4")], "id int, answer string"),
+             "arc_c": spark.createDataFrame([(2, "B")], "id int, answerKey string")}
+    out = PL.evaluation_suite(spark, comp, items, tempfile.mkdtemp(prefix="tf-e2s-"))
+    assert "trace" not in out["keys"].columns
+    assert {r.bench: r.acc for r in out["accuracy"].collect()} == {"gsm8k": 0.0, "arc_c": 1.0}
+    sweep = {r.k: (r.arc_c, r.gsm8k) for r in out["k_sweep"].collect()}
+    assert sweep[1] == (1.0, 1.0) and sweep[4] == (None, 1.0) and sweep[2] == (1.0, 1.0)

@@ -21,7 +21,7 @@ from thinkframe.functions.text import (
     pystrip,
     with_math_equal,
 )
-from thinkframe.operators.vote import DEFAULT_STRATEGY, sample_keys, vote, vote_keys
+from thinkframe.operators.vote import DEFAULT_STRATEGY, sample_keys, vote_keys
 
 # Benchmark keys and display names, in report order.
 BENCHES = (("arc_c", "ARC-Challenge"), ("gsm8k", "GSM8K"), ("math_500", "MATH-500"))
@@ -123,7 +123,19 @@ def evaluate(
     are unique across benchmarks. Votes are computed once and joined once to
     the union of all items.
     """
-    votes = vote(completions, strategy=strategy, weight=weight, k=k)
+    if k is not None:
+        completions = completions.where(F.col("pos") < k)
+    return evaluate_keys(sample_keys(completions, ("id",), weight=weight), items, strategy, extra)
+
+
+def evaluate_keys(
+    keys: DataFrame,
+    items: Mapping[str, DataFrame],
+    strategy: str | Mapping[str, str] = DEFAULT_STRATEGY,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """``evaluate`` from a narrow ``sample_keys`` table (no text read again)."""
+    votes = vote_keys(keys, ("id",), strategy)
     return _score_items(_bench_items(items, ("id",), extra), votes, ("id",), extra)
 
 
@@ -149,9 +161,17 @@ def k_sweep(
     A K larger than every item's sample count is reported as NULL, like a
     missing run.
     """
+    return k_sweep_keys(sample_keys(completions, ("id",), weight=weight), items, ks, strategy)
+
+
+def k_sweep_keys(
+    keys: DataFrame,
+    items: Mapping[str, DataFrame],
+    ks: Sequence[int] = SWEEP_KS,
+    strategy: str | Mapping[str, str] = DEFAULT_STRATEGY,
+) -> DataFrame:
+    """``k_sweep`` from a narrow ``sample_keys`` table (keys are extracted once)."""
     ks_arr = F.array(*[F.lit(int(k)) for k in ks])
-    # keys once per sample (the regex work), then the narrow key rows per K
-    keys = sample_keys(completions, ("id",), weight=weight)
     paired = keys.select("*", F.explode(F.filter(ks_arr, lambda k: F.col("pos") < k)).alias("k_sweep"))
     votes = vote_keys(paired, ("k_sweep", "id"), strategy)
     # each item once per K (narrow explode), so items without samples count

@@ -19,7 +19,7 @@ from thinkframe.operators import distill as D
 from thinkframe.operators import evals as V
 from thinkframe.operators import reports as P
 from thinkframe.operators import rewards as RW
-from thinkframe.operators.vote import DEFAULT_STRATEGY
+from thinkframe.operators.vote import DEFAULT_STRATEGY, sample_keys
 from thinkframe.sources import io
 
 
@@ -97,6 +97,34 @@ def evaluate_benches(
     return {"rows": rows, "accuracy": V.accuracy(rows)}
 
 
+def evaluation_suite(
+    spark: SparkSession,
+    completions: DataFrame,
+    items: Mapping[str, DataFrame],
+    work_dir: str,
+    strategy: str | Mapping[str, str] = DEFAULT_STRATEGY,
+    weight=None,
+    ks: Sequence[int] = V.SWEEP_KS,
+) -> dict[str, DataFrame]:
+    """E2 over one pass of the texts: answers are extracted and normalised once.
+
+    The narrow (id, pos, task, key, weight) table is written to
+    ``work_dir/keys``; eval rows, accuracy, the K-sweep and the
+    agreement-trap rate all read that table, never the completion text.
+    """
+    keys_path = f"{work_dir}/keys"
+    io.write_table(sample_keys(completions, ("id",), weight=weight), keys_path)
+    keys = spark.read.parquet(keys_path)
+    rows = V.evaluate_keys(keys, items, strategy)
+    return {
+        "keys": keys,
+        "rows": rows,
+        "accuracy": V.accuracy(rows),
+        "k_sweep": V.k_sweep_keys(keys, items, ks, strategy),
+        "agreement_traps": P.agreement_traps(rows),
+    }
+
+
 def report(spark: SparkSession, results_dir: str, models: Sequence[str]) -> DataFrame:
     """A9 over written eval summaries (missing runs print n/a)."""
     return P.bench_report(spark, io.read_eval_results(spark, results_dir), models)
