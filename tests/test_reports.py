@@ -54,3 +54,15 @@ def test_documented_rates(spark):
     assert P.agreement_traps(rows).first().traps == 1
     steps = P.length_by_step(df.withColumn("step", F.lit(1))).first()
     assert steps.completions == 3
+
+
+def test_per_bench_eval_functions(spark):
+    votes = spark.createDataFrame([(1, "A", 2, 3, 0.5), (2, "0.5", 1, 1, 1.0), (3, "42", 1, 1, 1.0)],
+                                  "id int, answer string, support long, total long, confidence double")
+    arc = V.eval_arc(votes, spark.createDataFrame([(1, " a ")], "id int, answerKey string")).first()
+    assert (arc.gold, arc.pred, arc.correct, arc.k) == ("A", "A", True, 3)
+    m = V.eval_math(votes, spark.createDataFrame([(2, "1/2", 5, "algebra")],
+                                                 "id int, answer string, level int, subject string")).first()
+    assert m.correct and m.level == 5 and m.subject == "algebra"
+    g = V.eval_gsm8k(votes, spark.createDataFrame([(3, "x #### 42"), (4, "no votes 7")], "id int, answer string"))
+    assert {r.id: (r.gold, r.correct, r.k) for r in g.collect()} == {3: ("42", True, 1), 4: ("7", False, 0)}

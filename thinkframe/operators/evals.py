@@ -51,27 +51,17 @@ def _rows(j: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataF
 
 def eval_arc(votes: DataFrame, items: DataFrame, keys: Sequence[str] = ("id",), extra=()) -> DataFrame:
     """``upper(strip(pred or '')) == upper(strip(answerKey))``."""
-    it = items.select(*keys, *extra, F.upper(pystrip(F.col("answerKey"))).alias("gold"))
-    j = _join_votes(it, votes, keys)
-    j = j.withColumn("correct", arc_eval_equal(F.col("answer"), F.col("gold")))
-    return _rows(j, keys, extra)
+    return _score_items(_bench_items({"arc_c": items}, keys, extra), votes, keys, extra).drop("bench")
 
 
 def eval_gsm8k(votes: DataFrame, items: DataFrame, keys: Sequence[str] = ("id",), extra=()) -> DataFrame:
     """X5 gold + X10 equality."""
-    it = items.select(*keys, *extra, gold_gsm8k(F.col("answer")).alias("gold"))
-    j = _join_votes(it, votes, keys)
-    j = j.withColumn("correct", gsm8k_eval_equal(F.col("answer"), F.col("gold")))
-    return _rows(j, keys, extra)
+    return _score_items(_bench_items({"gsm8k": items}, keys, extra), votes, keys, extra).drop("bench")
 
 
 def eval_math(votes: DataFrame, items: DataFrame, keys: Sequence[str] = ("id",), extra=("level", "subject")) -> DataFrame:
     """X11: normal-form or rational equality of vote and gold."""
-    it = items.select(*keys, *extra, pystrip(F.col("answer").cast("string")).alias("gold"))
-    j = _join_votes(it, votes, keys)
-    j = with_math_equal(j, "answer", "gold", "_eq")
-    j = j.withColumn("correct", F.col("answer").isNotNull() & F.col("_eq"))
-    return _rows(j, keys, extra)
+    return _score_items(_bench_items({"math_500": items}, keys, extra), votes, keys, extra).drop("bench")
 
 
 _EVAL = {"arc_c": eval_arc, "gsm8k": eval_gsm8k, "math_500": eval_math}
