@@ -145,3 +145,12 @@ def test_nth_smallest_hash_refinement_path(spark, monkeypatch):
         assert O.nth_smallest_hash(df, "m", n, total_rows=3000) == ms[n - 1]
         assert O.nth_smallest_hash(df, "m", n) == ms[n - 1]
     assert O.nth_smallest_hash(df, "m", 3001) is None
+
+
+def test_missing_id_is_sha2_of_question(spark):
+    import hashlib
+
+    flat = spark.createDataFrame([(0, "What is 2+2?", "4", "t0"), (1, "What is 2+2?", "4", "t1")],
+                                 "pos int, question string, gold string, trace string")
+    rec = D.shape_records(flat, id_col=None).first()
+    assert rec.id == hashlib.sha256("What is 2+2?".encode()).hexdigest() and rec.traces == ["t0", "t1"]
