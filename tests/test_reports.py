@@ -66,3 +66,12 @@ def test_per_bench_eval_functions(spark):
     assert m.correct and m.level == 5 and m.subject == "algebra"
     g = V.eval_gsm8k(votes, spark.createDataFrame([(3, "x #### 42"), (4, "no votes 7")], "id int, answer string"))
     assert {r.id: (r.gold, r.correct, r.k) for r in g.collect()} == {3: ("42", True, 1), 4: ("7", False, 0)}
+
+
+def test_same_ids_in_two_benchmarks(spark):
+    comp = spark.createDataFrame(
+        [(1, 0, "arc", "Answer: B"), (1, 0, "gsm8k", "Answer: 7")], "id int, pos int, task string, trace string")
+    items = {"arc_c": spark.createDataFrame([(1, "B")], "id int, answerKey string"),
+             "gsm8k": spark.createDataFrame([(1, "#### 7")], "id int, answer string")}
+    rows = {r.bench: (r.pred, r.correct) for r in V.evaluate(comp, items).collect()}
+    assert rows == {"arc_c": ("B", True), "gsm8k": ("7", True)}

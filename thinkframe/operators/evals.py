@@ -32,8 +32,11 @@ _VOTE_COLS = ["answer", "support", "total", "confidence"]
 
 
 def _join_votes(items: DataFrame, votes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    v = votes.select(*keys, *_VOTE_COLS)
-    return items.join(v, list(keys), "left")
+    """Items left-joined to their votes; on (keys, task) when votes carry the task,
+    so item ids need only be unique within one benchmark."""
+    on = [*keys, "task"] if "task" in votes.columns and "task" in items.columns else list(keys)
+    v = votes.select(*on, *_VOTE_COLS)
+    return items.join(v, on, "left")
 
 
 def _rows(j: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -80,7 +83,8 @@ def _bench_items(items: Mapping[str, DataFrame], keys: Sequence[str], extra: Seq
             continue
         it = items[bench]
         cols = [F.col(c) if c in it.columns else F.lit(None).alias(c) for c in extra]
-        part = it.select(*keys, *cols, F.lit(bench).alias("bench"), gold[bench](it).alias("gold"))
+        part = it.select(*keys, *cols, F.lit(bench).alias("bench"), F.lit(BENCH_TASK[bench]).alias("task"),
+                         gold[bench](it).alias("gold"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -109,9 +113,9 @@ def evaluate(
     """Vote per item and score every benchmark; one row per item with ``bench``.
 
     ``completions``: id, pos, task, trace (and the weight column if used).
-    ``items``: bench key -> items table (arc_c, gsm8k, math_500); item ids
-    are unique across benchmarks. Votes are computed once and joined once to
-    the union of all items.
+    ``items``: bench key -> items table (arc_c, gsm8k, math_500). Votes are
+    computed once and joined once to the union of all items on (id, task), so
+    ids need only be unique within a benchmark.
     """
     if k is not None:
         completions = completions.where(F.col("pos") < k)
