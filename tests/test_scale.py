@@ -98,3 +98,14 @@ def test_broadcast_only_when_measured_small(spark):
     plan_small = j_small._jdf.queryExecution().executedPlan().toString()
     plan_big = j_big._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan_small and "BroadcastHashJoin" not in plan_big
+
+
+def test_public_api_imports():
+    import thinkframe.functions as fn
+    import thinkframe.operators as op
+    import thinkframe.sources as src
+    import thinkframe.streaming as st
+    from thinkframe.plans import pipelines
+
+    assert callable(fn.extract_answer) and callable(op.vote) and callable(src.read_jsonl)
+    assert callable(st.start_filter_stream) and callable(pipelines.distill_and_build)

@@ -1,0 +1,12 @@
+"""Sources and sinks (JSONL / Parquet with source order) and the driver-table fixture."""
+
+from thinkframe.sources.io import (  # noqa: F401
+    read_eval_results,
+    read_jsonl,
+    read_prompts,
+    read_shards,
+    read_train_eval,
+    write_eval,
+    write_jsonl,
+    write_table,
+)

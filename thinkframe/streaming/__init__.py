@@ -1,0 +1,3 @@
+"""Structured Streaming entry points."""
+
+from thinkframe.streaming.filter_stream import start_filter_stream  # noqa: F401
