@@ -44,9 +44,10 @@ def distill_and_build(
     """
     filtered_parts, observed = [], []
     for shard_no, (task, records) in enumerate(shards):
+        if "src_pos" not in records.columns:
+            records = records.withColumn("src_pos", F.monotonically_increasing_id())
+        records = io.spread(records, "src_pos")
         flat = D.explode_records(records).withColumn("task", F.lit(task))
-        if "src_pos" not in flat.columns:
-            flat = flat.withColumn("src_pos", F.monotonically_increasing_id())
         flagged = D.flag_traces(flat, max_trace_chars, min_trace_tokens)
         # A1 in the same pass as the write: seen/kept are observed, not recomputed
         obs = Observation(f"keep_rate_{shard_no}")
@@ -113,6 +114,7 @@ def evaluation_suite(
     agreement-trap rate all read that table, never the completion text.
     """
     keys_path = f"{work_dir}/keys"
+    completions = io.spread(completions, "id")
     io.write_table(sample_keys(completions, ("id",), weight=weight), keys_path)
     keys = spark.read.parquet(keys_path)
     rows = V.evaluate_keys(keys, items, strategy)

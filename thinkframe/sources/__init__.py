@@ -6,6 +6,7 @@ from thinkframe.sources.io import (  # noqa: F401
     read_prompts,
     read_shards,
     read_train_eval,
+    spread,
     write_eval,
     write_jsonl,
     write_table,

@@ -18,23 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thinkframe.functions.text import evaluate_once
+from thinkframe.sources.io import spread
 
 K_SAMPLES = 8
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-redistribute a scan that yields fewer splits than the cluster has cores.
-
-    A small file with one row group is read by one task, and all per-row
-    text work after it would run on one core. Large inputs already have more
-    splits than cores and are left alone (no extra shuffle).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 

@@ -30,6 +30,20 @@ SAMPLE_RECORD = (
 EVAL_SUMMARY = "acc double, n long"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-redistribute a scan that yields fewer splits than the cluster has cores.
+
+    A small file with one row group, or one compressed (unsplittable) file,
+    is read by one task, and all per-row text work after it would run on one
+    core. Large inputs already have more splits than cores and are left
+    alone (no extra shuffle). Apply it after any source ordinal is assigned.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def read_jsonl(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
     """JSON Lines with a fixed schema (no inference pass); blank lines skipped.
 
