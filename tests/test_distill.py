@@ -1,3 +1,6 @@
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from thinkframe.operators import distill as D
@@ -154,3 +157,15 @@ def test_missing_id_is_sha2_of_question(spark):
                                  "pos int, question string, gold string, trace string")
     rec = D.shape_records(flat, id_col=None).first()
     assert rec.id == hashlib.sha256("What is 2+2?".encode()).hexdigest() and rec.traces == ["t0", "t1"]
+
+
+@pytest.mark.parametrize("n,frac", [(1, 0.5), (7, 0.02), (333, 0.1), (1000, 0.0), (250, 1.0), (999, 0.37)])
+def test_split_sizes_and_membership(spark, n, frac):
+    rows = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("key"))
+    split = D.split_train_eval(rows, "key", seed=17, eval_frac=frac)
+    got = {r.key: r.split for r in split.collect()}
+    n_eval = int(n * frac)
+    hashes = sorted(hashlib.md5(f"17:{k}".encode()).hexdigest() for k in got)
+    expect_eval = set(hashes[:n_eval])
+    assert sum(v == "eval" for v in got.values()) == n_eval and len(got) == n
+    assert {hashlib.md5(f"17:{k}".encode()).hexdigest() for k, v in got.items() if v == "eval"} == expect_eval
