@@ -19,3 +19,18 @@ def test_plan_has_no_udf_or_cross_join(spark, name):
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     for node, why in FORBIDDEN.items():
         assert node not in plan, f"{name}: {why} ({node})"
+
+
+@pytest.fixture()
+def strict_codegen(spark):
+    old = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    yield spark
+    spark.conf.set("spark.sql.codegen.fallback", old)
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_compiles_without_codegen_fallback(strict_codegen, name):
+    """Generated code stays within JVM method limits (no silent interpreted fallback)."""
+    df = entry.queries()[name](strict_codegen, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thinkframe.functions.text import col, extract_answer, with_vote_key
+from thinkframe.functions.text import col, evaluate_once, extract_answer, with_vote_key
 
 # Vote strategy per task used by the evaluation configs (fixed values).
 DEFAULT_STRATEGY = {"arc": "majority", "gsm8k": "weighted", "math": "weighted"}
@@ -47,7 +47,10 @@ def sample_keys(
         answer.alias("answer"),
         w.cast("double").alias("w"),
     )
-    return with_vote_key(s, "answer", "task", "key").drop("answer")
+    s = with_vote_key(s, "answer", "task", "_key").drop("answer")
+    # a later filter on the key (e.g. "has an answer") must not be pushed into
+    # the staged rules above, which would inline them into one predicate
+    return evaluate_once(s, key=F.col("_key")).drop("_key")
 
 
 def key_counts(keys: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
