@@ -73,3 +73,20 @@ def test_evaluation_suite_reads_keys_once(spark):
     assert {r.bench: r.acc for r in out["accuracy"].collect()} == {"gsm8k": 0.0, "arc_c": 1.0}
     sweep = {r.k: (r.arc_c, r.gsm8k) for r in out["k_sweep"].collect()}
     assert sweep[1] == (1.0, 1.0) and sweep[4] == (None, 1.0) and sweep[2] == (1.0, 1.0)
+
+
+def test_cli_distill_and_evaluate(spark, capsys):
+    from thinkframe.plans import cli
+
+    d = tempfile.mkdtemp(prefix="tf-cli-")
+    _write_records(f"{d}/gsm8k.jsonl", "gsm8k", ["#### 4"] * 10, [["4", "5"]] * 10)
+    assert cli.main(["distill", "--shard", f"gsm8k={d}/gsm8k.jsonl", "--out", f"{d}/out", "--eval-frac", "0.2"],
+                    spark=spark) == 0
+    assert "gsm8k: kept 10/20 traces (50.0%)" in capsys.readouterr().out
+    assert spark.read.json(f"{d}/out/train").count() == 8
+    spark.createDataFrame([(1, 0, "gsm8k", "Answer: 4")], "id int, pos int, task string, trace string") \
+        .write.parquet(f"{d}/comp.parquet")
+    spark.createDataFrame([(1, "#### 4")], "id int, answer string").write.parquet(f"{d}/items.parquet")
+    assert cli.main(["evaluate", "--completions", f"{d}/comp.parquet", "--items", f"gsm8k={d}/items.parquet",
+                     "--out", f"{d}/runs", "--model", "m"], spark=spark) == 0
+    assert "gsm8k acc = 1.0000 (1/1)" in capsys.readouterr().out
