@@ -90,3 +90,16 @@ def test_cli_distill_and_evaluate(spark, capsys):
     assert cli.main(["evaluate", "--completions", f"{d}/comp.parquet", "--items", f"gsm8k={d}/items.parquet",
                      "--out", f"{d}/runs", "--model", "m"], spark=spark) == 0
     assert "gsm8k acc = 1.0000 (1/1)" in capsys.readouterr().out
+
+
+def test_cli_rewards(spark, capsys):
+    from thinkframe.plans import cli
+
+    d = tempfile.mkdtemp(prefix="tf-cli-")
+    spark.createDataFrame([(1, 0, "<think>x</think>\nAnswer: 4"), (1, 1, "Answer: 5")],
+                          "prompt_id int, pos int, text string").write.parquet(f"{d}/comp.parquet")
+    spark.createDataFrame([(1, "4", "gsm8k")], "prompt_id int, gold string, task string").write.parquet(f"{d}/p.parquet")
+    assert cli.main(["rewards", "--completions", f"{d}/comp.parquet", "--prompts", f"{d}/p.parquet",
+                     "--out", f"{d}/scored"], spark=spark) == 0
+    rows = {r.pos: (r.r_correctness, r.advantage > 0) for r in spark.read.parquet(f"{d}/scored").collect()}
+    assert rows == {0: (1.0, True), 1: (0.0, False)}
