@@ -109,3 +109,14 @@ def test_public_api_imports():
 
     assert callable(fn.extract_answer) and callable(op.vote) and callable(src.read_jsonl)
     assert callable(st.start_filter_stream) and callable(pipelines.distill_and_build)
+
+
+def test_spread_only_for_few_splits(spark):
+    from thinkframe.sources.io import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, cores * 2)
+    assert spread(many, "id") is many                      # enough splits: untouched, no shuffle
+    one = spark.range(0, 1000, 1, 1)
+    spread_one = spread(one, "id")
+    assert spread_one.rdd.getNumPartitions() == cores and spread_one.count() == 1000
