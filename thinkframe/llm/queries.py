@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinkframe.llm import packing, tokenfile
+from thinkframe.llm import minhash, packing, tokenfile
 from thinkframe.llm.common import shared_path
 
 MAX_TOKENS = 1024
@@ -42,7 +42,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_positions(spark, path)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
