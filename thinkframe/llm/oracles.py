@@ -17,6 +17,22 @@ SELECT w.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, component_id, w.doc_id
 FROM w JOIN comp USING (doc_id) LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
+OP7 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>|<SYS>>|</SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS safe FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_chat_formatting": OP7,
     "op10_minhash_near_dedup": OP10,
 }

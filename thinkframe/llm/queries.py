@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinkframe.llm import minhash, packing, tokenfile
-from thinkframe.llm.common import shared_path
+from thinkframe.llm import chat, minhash, mixing, packing, tokenfile
+from thinkframe.llm.common import shared_path, written
 
 MAX_TOKENS = 1024
 END_OF_PIECE = 2
@@ -36,6 +36,22 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, ceiling=3)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(
+        F.lit(-7).alias("conv_id"),
+        F.array(*[F.struct(F.lit(r).alias("role"), F.lit(probe).alias("content")) for r in ("user", "assistant")]).alias("messages"),
+    )
+    segments = written(chat.formatted(turns.union(chat.canonical_turns(extra))), "formatted-chats")
+    return chat.digests(chat.parsed(segments))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=0)
@@ -48,6 +64,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_mix_sources": op3_mix_sources,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_token_files": op8_token_files,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
