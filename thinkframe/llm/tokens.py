@@ -12,10 +12,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-MAX_CACHED = 400_000  # chunks kept per worker
+MAX_CACHED = 700_000  # chunks kept per worker
 MAX_CHUNK = 48  # longer chunks are not kept
 
 # The pre-tokenizer's published pattern.
@@ -27,14 +28,14 @@ _GAPS = re.compile(r" (?=[\s]|$)")
 class _Chunks(dict):
     """chunk -> id bytes; ``lead`` is put in front of every chunk."""
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode, lead: str, most: int):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.most = encode, lead, most
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(self.lead + chunk)
         if len(chunk) <= MAX_CHUNK:
-            if len(self) >= MAX_CACHED:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = ids
         return ids
@@ -67,16 +68,18 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.names = [names[b] for b in range(256)]
-        self.piece = _Chunks(self._piece, "")
-        self.spaced = _Chunks(self._chunk, " ")
+        self.names = "".join(names[b] for b in range(256))
+        self.mark = _Chunks(self._piece, "", MAX_CACHED // 10)
+        self.spaced = _Chunks(self._chunk, " ", MAX_CACHED)
 
     def _piece(self, piece: str) -> bytes:
-        named = "".join([self.names[b] for b in piece.encode()])
-        return np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
+        named = piece.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def _chunk(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
+        if text[1:].isalpha() and text[0] == " ":  # one piece
+            return self._piece(text)
+        return b"".join([self._piece(p) if len(p) > 4 else self.mark[p] for p in self.pieces(text)])
 
     def ids(self, text: str | None) -> bytes:
         """Id bytes of one text (null: none)."""
