@@ -2,6 +2,48 @@
 
 from __future__ import annotations
 
+from thinkframe.llm.license_rules import CONFIDENCE, rules
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def op1() -> str:
+    """The scan's rules as a table; detections, suppression and digest in SQL."""
+    table = ", ".join(f"({r.number}, {r.tier}, {_quoted(r.label)}, {_quoted(r.literal)}, {_quoted(r.regex)})" for r in rules())
+    confidence = " ".join(f"WHEN {tier} THEN {value}" for tier, value in CONFIDENCE.items())
+    return rf"""
+WITH rule(number, tier, label, keyword, regex) AS (VALUES {table}),
+d AS (
+  SELECT doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')) || ' ' AS n
+  FROM documents
+), w AS (SELECT doc_id, n, CASE WHEN n = '  ' THEN 0 ELSE (length(n) - length(replace(n, ' ', ''))) // 2 END AS n_words FROM d),
+m AS (
+  SELECT doc_id, number, tier, label, regexp_split_to_array(n, regex) AS gaps, regexp_extract_all(n, regex) AS hits
+  FROM w JOIN rule ON contains(n, keyword)
+), p AS (
+  SELECT doc_id, number, tier, label, i, (length(gaps[i]) - length(replace(gaps[i], ' ', ''))) // 2 AS gap, (length(hits[i]) - length(replace(hits[i], ' ', ''))) // 2 AS hit
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)
+), s AS (
+  SELECT doc_id, number, tier, label, sum(gap + hit) OVER (PARTITION BY doc_id, number ORDER BY i) AS stop, hit FROM p
+), t AS (SELECT *, stop - hit AS start FROM s),
+kept AS (
+  SELECT * FROM t a WHERE a.tier = 0 OR NOT EXISTS (
+    SELECT 1 FROM t b WHERE b.doc_id = a.doc_id AND b.tier BETWEEN 1 AND a.tier AND b.start <= a.start AND b.stop >= a.stop
+      AND (b.start < a.start OR b.stop > a.stop OR b.tier < a.tier OR (b.tier = a.tier AND b.number < a.number)))
+), g AS (
+  SELECT doc_id, count(*) FILTER (tier = 0) AS n_base, min(start) FILTER (tier = 0) AS first_word, max(start) FILTER (tier = 0) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (tier = 0))), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(CASE tier {confidence} END) AS score, count(*) AS n_detections
+  FROM kept GROUP BY doc_id
+)
+SELECT w.doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(n_detections, 0)::BIGINT AS n_detections
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -33,6 +75,7 @@ FROM e GROUP BY conv_id
 """
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": op1(),
     "op7_chat_formatting": OP7,
     "op10_minhash_near_dedup": OP10,
 }

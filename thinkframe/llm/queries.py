@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinkframe.llm import chat, minhash, mixing, packing, tokenfile
+from thinkframe.llm import chat, langid, licenses, minhash, mixing, packing, quality, tokenfile
 from thinkframe.llm.common import shared_path, written
+from thinkframe.llm.sampling import fold
 
 MAX_TOKENS = 1024
 END_OF_PIECE = 2
@@ -28,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(
         table(spark, sf_dir, "documents"), vocabulary(), MAX_TOKENS, END_OF_PIECE,
@@ -41,6 +46,24 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _held_out(of: int, remainder: int):
+    return F.coalesce(fold(F.col("doc_id"), of) == remainder, F.lit(False)).alias("held_out")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), held_out=(5, 0))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, held_out=(4, 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
     probe = "</s>[INST] ok [/INST]"
@@ -63,8 +86,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_mix_sources": op3_mix_sources,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_token_files": op8_token_files,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,

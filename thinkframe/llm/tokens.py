@@ -22,7 +22,6 @@ MAX_CHUNK = 48  # longer chunks are not kept
 # The pre-tokenizer's published pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _OTHER = re.compile("[^\t\n\r -~¡-ɏ]")
-_GAPS = re.compile(r" (?=[\s]|$)")
 
 
 class _Chunks(dict):
@@ -77,9 +76,16 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def _chunk(self, text: str) -> bytes:
-        if text[1:].isalpha() and text[0] == " ":  # one piece
-            return self._piece(text)
-        return b"".join([self._piece(p) if len(p) > 4 else self.mark[p] for p in self.pieces(text)])
+        word, end = text[1:], ""
+        if word[-1:] in (".", ","):
+            word, end = word[:-1], word[-1]
+        if text[:1] == " " and word.isalpha():  # one word, perhaps with a mark after it
+            ids = end and self.spaced.get(word)
+            if not ids:
+                named = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(self.names)
+                ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+            return ids + self.mark[end] if end else ids
+        return b"".join([self.spaced.get(p[1:]) or self._piece(p) if p[0] == " " else self._piece(p) if len(p) > 3 else self.mark[p] for p in self.pieces(text)])
 
     def ids(self, text: str | None) -> bytes:
         """Id bytes of one text (null: none)."""
@@ -87,7 +93,7 @@ class Encoder:
             return b""
         if not self.plain or _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _GAPS.search(text):
+        if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " ":
             return self._chunk(text)
         head, *rest = text.split(" ")
         return self._chunk(head) + b"".join(map(self.spaced.__getitem__, rest))
