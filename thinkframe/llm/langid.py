@@ -188,20 +188,21 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def guess(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def guess(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, model = Grams(), shared.value
         for texts in columns:
-            data, offsets = utf8(pa.array(texts, pa.large_string(), from_pandas=True))
+            data, offsets = utf8(texts)
             names, scores = [], []
             for first, last in doc_chunks(offsets):
                 best, score = predict(model, own.of(data, offsets, first, last))
                 names += [model["langs"][i] for i in best]
                 scores.append(score)
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": np.concatenate(scores).astype(float) if scores else np.zeros(0)})
+            score = np.concatenate(scores).astype(float) if scores else np.zeros(0)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("__guess", F.pandas_udf(guess, "lang_pred string, score double")(_lowered(docs, text)))
+    found = docs.withColumn("__guess", F.arrow_udf(guess, "lang_pred string, score double")(_lowered(docs, text)))
     lang_pred = F.when(lettered, F.col("__guess.lang_pred")).otherwise(UNKNOWN)
     return found.withColumns({"lang_pred": lang_pred, "score": F.when(lettered, F.col("__guess.score")).otherwise(0.0)}).drop("__guess")

@@ -197,14 +197,14 @@ def score(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
     docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score_all(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score_all(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, model = Features(), shared.value
         for texts in columns:
             if model is None:
-                yield pd.Series(np.full(len(texts), 0.5))
+                yield pa.array(np.full(len(texts), 0.5))
                 continue
-            data, offsets = utf8(pa.array(texts, pa.large_string(), from_pandas=True))
+            data, offsets = utf8(texts)
             parts = [_logistic(raw_scores(model, *own.of(data, offsets, first, last))) for first, last in doc_chunks(offsets)]
-            yield pd.Series(np.concatenate(parts).astype(float) if parts else np.zeros(0))
+            yield pa.array(np.concatenate(parts).astype(float) if parts else np.zeros(0))
 
-    return docs.withColumn(column, F.pandas_udf(score_all, "double")(F.col(text)))
+    return docs.withColumn(column, F.arrow_udf(score_all, "double")(F.col(text)))
