@@ -178,14 +178,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return json.loads(found["rest"].tobytes()) | {"tops": found["tops"], "below": found["below"]}
 
 
-def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1).
+def identify(docs: DataFrame, model: dict | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score (0 to 1), named ``names``.
 
     A null text, one without a letter, or any text without a model is "und"
     with score 0. Only the text is read; other columns and all rows stay;
     columns of those two names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -201,8 +201,8 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     found = docs.withColumn("__guess", F.arrow_udf(guess, "lang_pred string, score double")(_lowered(docs, text)))
     lang_pred = F.when(lettered, F.col("__guess.lang_pred")).otherwise(UNKNOWN)
-    return found.withColumns({"lang_pred": lang_pred, "score": F.when(lettered, F.col("__guess.score")).otherwise(0.0)}).drop("__guess")
+    return found.withColumns({names[0]: lang_pred, names[1]: F.when(lettered, F.col("__guess.score")).otherwise(0.0)}).drop("__guess")

@@ -44,6 +44,17 @@ FROM w LEFT JOIN g USING (doc_id)
 """
 
 
+OP9 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+comp AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS c FROM link GROUP BY a)
+SELECT comp.vec_id, coalesce(n.c, 0)::BIGINT AS n_links, component_id, comp.vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+"""
+
 OP10 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -77,5 +88,6 @@ FROM e GROUP BY conv_id
 ORACLES: dict[str, str] = {
     "op1_license_scan": op1(),
     "op7_chat_formatting": OP7,
+    "op9_embedding_near_dedup": OP9,
     "op10_minhash_near_dedup": OP10,
 }
