@@ -113,6 +113,10 @@ def _numbered(df: DataFrame, key: str, turns: Column) -> DataFrame:
     return listed.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("t.role")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
 
+def _messages(listed: Column, role: str, text: str) -> Column:
+    return F.transform(listed, lambda m: F.struct(m[role].alias("role"), m[text].alias("text")))
+
+
 def _fixed(layout: Layout, field) -> Column:
     turns = []
     for role, names in layout.fixed:
@@ -138,7 +142,7 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", ignore: Sequence[s
         return records.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), _role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if layout.messages:
         field, role, text = layout.messages
-        return _numbered(records, key, F.transform(field, lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))))
+        return _numbered(records, key, _messages(F.col(field), role, text))
     return _numbered(records, key, _fixed(layout, F.col))
 
 
@@ -155,7 +159,7 @@ def canonical_turns_of_json(records: DataFrame, key: str, raw: str, layouts: Seq
         if x.messages:
             field, role, text = x.messages
             parsed = F.from_json(F.col(raw), f"`{field}` array<struct<`{role}` string, `{text}` string>>")[field]
-            own = F.transform(parsed, lambda m, role=role, text=text: F.struct(m[role].alias("role"), m[text].alias("text")))
+            own = _messages(parsed, role, text)
         else:
             own = _fixed(x, lambda n: F.get_json_object(F.col(raw), f"$.{n}"))
         turns = F.when(F.col("fingerprint") == fingerprint(x.paths), own).otherwise(turns)
