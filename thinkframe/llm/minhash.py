@@ -5,16 +5,19 @@
    are kept, packed into longs; bands of ``ROWS`` full minima become keys.
 2. Texts with equal shingle sets collapse into one representative.
 3. Representatives that share a band key are candidates. First every member
-   of a key meets the key's smallest member only (a star, so a group of
-   thousands of near copies costs thousands of pairs, not millions).
-   Candidates are estimated by counting equal lanes of the packed signatures,
-   corrected for chance collisions, and those within reach of the threshold
-   are confirmed on full shingle sets.
-4. Confirmed links give components. Keys whose members are still in several
-   components are then compared pair by pair across components (large keys by
-   blocks, on signatures only), estimated and confirmed the same way. So no
-   link between texts that share a key is lost, and no link inside a
-   component is computed twice.
+   of a key meets the key's smallest member only (a star). Candidates are
+   estimated by counting equal lanes of the packed signatures, corrected for
+   chance collisions; those within reach of the threshold are confirmed on
+   full shingle sets. Confirmed links give components.
+4. Keys of three or more members that are still in several components are
+   searched for links across them: signatures first, then bitmaps of the sets
+   (bits of one set that the other lacks bound the intersection from above, so
+   no link is lost). A key lists the pairs that remain; where they are many
+   times its members it yields a spanning forest of them instead. They are
+   confirmed on full sets, components grow, refused pairs are noted, and the
+   search repeats under the keys that gave forests.
+   So no link between texts that share a key is lost, while a group of
+   thousands of near copies moves thousands of pairs, not millions.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no key with
 probability 3e-6 (less above); a pair is estimated too low for confirmation
@@ -39,8 +42,10 @@ BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
 LANES = 64 // BITS
 LONGS = HASHES // LANES
-SMALL_KEY = 64  # members of a band key up to which a plain join compares them
-BLOCK = 2048  # members compared at once beyond it
+BLOCK = 2048  # members of a band key compared at once
+LISTED = 4  # pairs per member that a key may list before it gives a spanning forest instead
+MAX_ROUNDS = 40
+FILTER_BITS = 1 << 23  # of the broadcast set of wanted keys (1 MB, whatever the input)
 
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 
@@ -106,19 +111,77 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(key).cast("long"), F.col(text)).toDF("k", "t").mapInArrow(sign, schema)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(k, shingle_set): sorted distinct 64-bit shingle hashes as bytes."""
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A bit array of fixed size in which the bit of every id is set."""
+    place = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
+    rows = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(k), {FILTER_BITS}) & 63 as int))").alias("bit"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in rows.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r["w"]] = r["bits"]
+    return words.view(np.uint64)
+
+
+def shingle_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(k, shingle_set) of the wanted ids of ``source`` (k, t): sorted distinct
+    64-bit shingle hashes as bytes. Texts do not move: rows whose id is surely
+    not wanted are dropped where they are read."""
+    shared = source.sparkSession.sparkContext.broadcast(_wanted(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, bits = WordHasher(), shared.value
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
             data, offsets = utf8(batch.column(1))
             for first, last in doc_chunks(offsets):
                 hashes, bounds = hasher.documents(data, offsets, first, last)
                 own = [shingles(hashes[bounds[i] : bounds[i + 1]], words).tobytes() for i in range(last - first)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(own, pa.binary())], names=["k", "shingle_set"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).toDF("k", "t").mapInArrow(sets, "k long, shingle_set binary")
+    keyed = source.where("k IS NOT NULL").select("k", "t", F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS)).alias("place"))
+    return keyed.mapInArrow(sets, "k long, shingle_set binary").join(ids, "k", "left_semi")
+
+
+def bitmap(shingle_set: bytes) -> bytes:
+    """16 to 32 bits per shingle (a power of two, 256 at least), set at the hashes' low bits."""
+    values = np.frombuffer(shingle_set, np.uint64)
+    size = max(256, 16 << max(0, len(values) - 1).bit_length())
+    at = np.unique(values & np.uint64(size - 1)).astype(np.int64)
+    out = np.zeros(size // 64, np.uint64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.tobytes()
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return rows
+
+
+def possible(sizes: np.ndarray, maps: list[np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets of rows p and q can link, by their bitmaps: shingles of
+    one set whose bit the other lacks are not shared."""
+    width = np.array([len(m) for m in maps])
+    out = np.zeros(len(p), bool)
+    wide = int(width.max(initial=0)) + 1
+    kinds = width[p] * wide + width[q]
+    for kind in np.unique(kinds):
+        pair = divmod(int(kind), wide)
+        words, own = min(pair), np.flatnonzero(kinds == kind)
+        side = []
+        for rows in (p[own], q[own]):
+            used, at = np.unique(rows, return_inverse=True)
+            side.append((_folded(np.stack([maps[r] for r in used]), words), at, sizes[rows]))
+        (x, xa, nx), (y, ya, ny) = side
+        cx, cy = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
+        step = max(1, (1 << 22) // words)
+        for at in range(0, len(own), step):
+            a, b = xa[at : at + step], ya[at : at + step]
+            both = np.bitwise_count(x[a] & y[b]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(nx[at : at + step] - (cx[a] - both), ny[at : at + step] - (cy[b] - both))
+            out[own[at : at + step]] = 100 * most >= percent * (nx[at : at + step] + ny[at : at + step] - most)
+    return out
 
 
 def equal_lanes(left: str, right: str) -> Column:
@@ -147,10 +210,8 @@ def _least_equal(percent: int) -> int:
     return int(np.floor(HASHES * p - 5 * np.sqrt(HASHES * p * (1 - p))))
 
 
-def _confirmed(pairs: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    sets = written(shingle_sets(source.join(ids, "k", "left_semi"), "k", "t", words), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +224,7 @@ def _confirmed(pairs: DataFrame, source: DataFrame, words: int, percent: int) ->
 
     left = sets.select(F.col("k").alias("a"), F.col("shingle_set").alias("x"))
     right = sets.select(F.col("k").alias("b"), F.col("shingle_set").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def _near(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
@@ -173,43 +234,88 @@ def _near(pairs: DataFrame, signed: DataFrame, least: int) -> DataFrame:
     return with_b.where(equal_lanes("l", "r") >= least).select("a", "b")
 
 
-def _across(members: DataFrame, signed: DataFrame, least: int) -> DataFrame:
-    """Pairs from different components under a band key, near by signature."""
-    sizes = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
-    open_ = written(members.join(sizes, "bucket").join(signed.select("k", F.struct(*SIGNATURE).alias("s")), "k"), "open-keys")
-    few = open_.where(F.col("m") <= SMALL_KEY)
-    l, r = few.alias("l"), few.alias("r")
-    joined = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.c") != F.col("r.c")) & (equal_lanes("l.s", "r.s") >= least))
-    small = joined.select(F.col("r.k").alias("a"), F.col("l.k").alias("b"))
-
-    # large keys: hash blocks of about BLOCK members, every pair of blocks
-    many = open_.where(F.col("m") > SMALL_KEY).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = many.withColumn("other", F.explode(other)).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "c", *[F.col(f"s.{s}") for s in SIGNATURE])
+def forest(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Numbers of pairs (p, q) that connect what all of them connect: in each
+    round every component takes one pair to another component."""
+    label, taken = label.copy(), []
+    left = np.arange(len(p))
+    while len(left := left[label[p[left]] != label[q[left]]]):
+        ends = np.concatenate([label[p[left]], label[q[left]]])
+        chosen = np.unique(np.tile(left, 2)[np.unique(ends, return_index=True)[1]])
+        for i in chosen:
+            x, y = label[p[i]], label[q[i]]
+            if x != y:
+                taken.append(i)
+                label[label == max(x, y)] = min(x, y)
+    return np.array(taken, np.int64)
+
+
+def _across(members: DataFrame, lanes: DataFrame, maps: DataFrame, refused: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs (bucket, a, b, whole) to confirm across the components under each
+    key of three or more members, hash blocks of large keys in pairs.
+
+    ``whole``: the block's pairs are all there. That is so unless they are more
+    than ``LISTED`` times its members; then they are a spanning forest.
+    """
+    sizes = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2")
+    sizes = sizes.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    no = refused.groupBy(F.col("a").alias("k")).agg(F.collect_list("b").alias("no"))
+    rows = members.join(sizes, "bucket").join(lanes, "k").join(maps, "k").join(no, "k", "left")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "c", "n", "map", "no", *SIGNATURE)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k", ignore_index=True)
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        sig, k, c = frame[SIGNATURE].to_numpy(np.int64).view(np.uint64), frame["k"].to_numpy(), frame["c"].to_numpy()
-        left, right = np.flatnonzero(frame["own"] == i), np.flatnonzero(frame["own"] == j)
-        lanes = np.uint64(int("".join("0" * (BITS - 1) + "1" for _ in range(LANES)), 2))
-        found = []
-        for at in range(0, len(left), 256):
-            rows = left[at : at + 256]
-            unequal = np.zeros((len(rows), len(right)), np.int64)
-            for t in range(LONGS):
-                x = sig[rows, t][:, None] ^ sig[right, t][None, :]
-                folded = x
-                for shift in range(1, BITS):
-                    folded = folded | (x >> np.uint64(shift))
-                unequal += np.bitwise_count(folded & lanes)
-            p, q = np.nonzero((HASHES - unequal >= least) & (c[rows][:, None] != c[right][None, :]))
-            found.append(np.stack([k[rows[p]], k[right[q]]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.max(axis=1, initial=-(1 << 63)), "b": pairs.min(axis=1, initial=(1 << 63) - 1)})
-
-    large = dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
-    return small.union(large).where("a <> b").distinct()
+        sig, k = frame[SIGNATURE].to_numpy(np.int64).view(np.uint64), frame["k"].to_numpy()
+        sizes, maps = frame["n"].to_numpy(), [np.frombuffer(m, np.uint64) for m in frame["map"]]
+        ones = np.uint64(int("".join("0" * (BITS - 1) + "1" for _ in range(LANES)), 2))
+        label = np.unique(frame["c"].to_numpy(), return_inverse=True)[1]
+        main = label == np.bincount(label).argmax()  # no pair within the largest component is looked at
+        refused = [(np.full(len(bs), a), np.searchsorted(k, bs), bs) for a, bs in enumerate(frame["no"]) if bs is not None]
+        no = np.zeros(0, np.int64)
+        if refused:
+            ends, at, others = (np.concatenate(x) for x in zip(*refused, strict=True))
+            at = np.minimum(at, len(k) - 1)
+            no = (ends * len(k) + at)[k[at] == others]
+
+        def near(left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+            for at in range(0, len(left), 256):
+                rows = left[at : at + 256]
+                unequal = np.zeros((len(rows), len(right)), np.int16)
+                for t in range(LONGS):
+                    x = sig[rows, t][:, None] ^ sig[right, t][None, :]
+                    folded = x
+                    for shift in range(1, BITS):
+                        folded = folded | (x >> np.uint64(shift))
+                    unequal += np.bitwise_count(folded & ones)
+                p, q = np.nonzero((HASHES - unequal >= least) & (label[rows][:, None] != label[right][None, :]))
+                p, q = np.maximum(rows[p], right[q]), np.minimum(rows[p], right[q])
+                if len(no):
+                    fresh = ~np.isin(p * len(k) + q, no)
+                    p, q = p[fresh], q[fresh]
+                good = possible(sizes, maps, p, q, percent)
+                yield np.stack([p[good], q[good]], axis=1)
+
+        own = frame["own"].to_numpy()
+        here, there = own == i, own == j
+        parts = [(here & ~main, there)] if i == j else [(here & ~main, there), (here & main, there & ~main)]
+        found, whole = np.zeros((0, 2), np.int64), True
+        for left, right in parts:
+            for pairs in near(np.flatnonzero(left), np.flatnonzero(right)):
+                found = np.unique(np.concatenate([found, pairs]), axis=0)
+                if len(found) > LISTED * len(k):
+                    found, whole = found[forest(label, found[:, 0], found[:, 1])], False
+        ends = k[found]
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "a": ends[:, 0], "b": ends[:, 1], "whole": whole})
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "bucket long, a long, b long, whole boolean")
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [bitmap(x.as_py()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["k", "n", "map"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -237,12 +343,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     star = members.where("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b"))
     near = written(_near(star, lanes, least), "star")
-    links = written(_confirmed(near, source, words, percent), "links")
-    first = connected_components(links)
-    labelled = members.select("bucket", "k").join(first, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("component", "k").alias("c"))
-    seen = written(_across(labelled, lanes, least).join(near, ["a", "b"], "left_anti"), "across")
-    more = _confirmed(seen, source, words, percent)
-    last = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    several = members.groupBy("bucket").count().where("count > 2").select("bucket")
+    several = members.select("bucket", "k").join(several, "bucket")
+    ids = near.select(F.explode(F.array("a", "b")).alias("k")).union(several.select("k")).distinct()
+    sets = written(shingle_sets(source, written(ids, "wanted"), words), "sets")
+    maps = sets.select("k", (F.octet_length("shingle_set") / 8).cast("long").alias("n"), "shingle_set").mapInArrow(_bitmaps, "k long, n long, map binary")
+    maps = written(maps.dropDuplicates(["k"]), "bitmaps")
+    links = written(_confirmed(near, sets, percent), "links")
+    refused = near.join(links, ["a", "b"], "left_anti")
+    last = written(connected_components(links), "components")
+    for _ in range(MAX_ROUNDS):
+        labelled = several.join(last, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("component", "k").alias("c"))
+        tried = written(_across(labelled, lanes, maps, refused, least, percent), "across")
+        pairs = tried.select("a", "b").distinct()
+        more = written(_confirmed(pairs, sets, percent), "links")
+        refused = written(refused.union(pairs.join(more, ["a", "b"], "left_anti")), "refused")
+        last = written(connected_components(last.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+        several = written(several.join(tried.where("not whole").select("bucket").distinct(), "bucket", "left_semi"), "open-keys")
+        if not several.head(1):
+            break
+    else:
+        raise RuntimeError("the components did not settle")
 
     reps = classes.select("set_hash", F.col("k").alias("rep"))
     out = signed.select("k", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(last, F.col("rep") == F.col("node"), "left")
