@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from thinkframe.llm.common import written
 
 BLOCK_ROWS = 256
+ADDED = ("size", "source_size", "target", "copies", "shards")
 FLIPS = 16  # documents that may be put in or out to meet a target
 CELL_BITS = 16  # most blocks a source can have: 2**16
 
@@ -118,8 +119,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows equal in key and text move together. An empty table stays empty.
     Columns of those five names are replaced.
     """
-    added = ("size", "source_size", "target", "copies", "shards")
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     sized = docs.withColumn("size", word_count(text)).withColumn("__h", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
     narrow = written(sized.select(F.col(source).cast("string").alias("s"), "__h", "size"), "sizes")
 
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     out = out.withColumn("copies", F.col("__epochs") + last.cast("int"))
     draw = "cast(aggregate(__upto, 0, (n, x) -> n + if(x <= e * shiftleft(1L, __bits) + pmod(__a[e] * __b + __c[e], __m[e]), 1, 0)) as int)"
     out = out.withColumn("shards", F.expr(f"transform(filter(sequence(0, __epochs), e -> e < copies), e -> {draw})"))
-    return out.select(*[docs[c] for c in docs.columns], *added)
+    return out.select(*[docs[c] for c in docs.columns], *ADDED)
 
 
 def drawn(mixed: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
