@@ -49,7 +49,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, shard by shard."""
-    return mixing.drawn(mixing.mix(docs, weights=(1, 2, 3), share=1.0, ceiling=3)).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in docs.columns if c in (*mixing.ADDED, "shard")}
+    mixed = mixing.mix(docs.withColumnsRenamed(own), weights=(1, 2, 3), share=1.0, ceiling=3)
+    return mixing.drawn(mixed).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
