@@ -136,18 +136,33 @@ def test_union_shards_and_build_dataset(spark):
     assert sum(r.split == "eval" for r in rows) == 3
 
 
-def test_nth_smallest_hash_refinement_path(spark, monkeypatch):
-    """Small bounds force the multi-level histogram path used on large tables."""
-    import thinkframe.operators.ordering as O
+def test_nth_smallest_hash_on_edges(spark):
+    """Hashes on both sides of a prefix's edge, equal hashes, and too few rows."""
+    values = ["0" * 32, "00ff" + "f" * 28, "0100" + "0" * 28, "0100" + "0" * 27 + "1", "ffff" + "f" * 28] + ["00ff" + "0" * 28] * 3
+    df = spark.createDataFrame([(v,) for v in values], "m string")
+    for n, want in enumerate(sorted(values), 1):
+        assert nth_smallest_hash(df, "m", n) == want
+    with pytest.raises(ValueError, match="fewer than 9"):
+        nth_smallest_hash(df, "m", 9)
 
-    monkeypatch.setattr(O, "FINAL_MAX", 50)
-    monkeypatch.setattr(O, "BUCKETS", 16)
-    df = spark.range(3000).select(seeded_hash(9, F.col("id").cast("string")).alias("m")).cache()
-    ms = sorted(r.m for r in df.collect())
-    for n in (1, 2, 777, 1500, 2999, 3000):
-        assert O.nth_smallest_hash(df, "m", n, total_rows=3000) == ms[n - 1]
-        assert O.nth_smallest_hash(df, "m", n) == ms[n - 1]
-    assert O.nth_smallest_hash(df, "m", 3001) is None
+
+def test_split_of_many_rows(spark):
+    rows = spark.range(60_001).select(F.md5(F.col("id").cast("string")).alias("key"))
+    split = D.split_train_eval(rows, "key", eval_frac=0.1).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in split} == {"eval": 6000, "train": 54001}
+
+
+def test_join_outputs(spark):
+    prompts = spark.createDataFrame([(1, "q1", "g1"), (2, "q2", "g2"), (3, "none", "g3")], "id int, question string, gold string")
+    outputs = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c"), (9, 0, "lost")], "id int, pos int, trace string")
+    got = sorted((r.id, r.question, r.gold, r.traces) for r in D.join_outputs(prompts, outputs).collect())
+    assert got == [("1", "q1", "g1", ["a", "b"]), ("2", "q2", "g2", ["c"])]
+
+
+def test_records_take_gold_and_meta_of_the_first_sample(spark):
+    flat = spark.createDataFrame([(1, 1, "q", "late", "t1"), (1, 0, "q", None, "t0"), (1, 2, "q", "later", "t2")],
+                                 "id int, pos int, question string, gold string, trace string")
+    assert D.shape_records(flat).first().gold == "late"
 
 
 def test_missing_id_is_sha2_of_question(spark):

@@ -23,7 +23,7 @@ def test_encode_masks_prompt(spark):
 
 def test_pad_batches(spark):
     df = spark.createDataFrame([("k1", "abc", "1"), ("k2", "a", "123456")], "key string, prompt string, response string")
-    enc = E.encode_examples(df).withColumn("bucket", F.lit(0)).withColumn("batch_no", F.lit(0))
+    enc = E.encode_examples(df).withColumn("width", F.lit(8))
     out = {r.key: r for r in E.pad_batches(enc).collect()}
     assert len(out["k1"].input_ids) == len(out["k2"].input_ids) == 8
     assert sum(out["k1"].attention_mask) < sum(out["k2"].attention_mask)
@@ -33,9 +33,20 @@ def test_pad_batches(spark):
 
 
 def test_batches_and_sample(spark):
-    df = spark.range(100).select(F.col("id").cast("string").alias("key"))
-    b = E.assign_batches(df, "key", batch_size=4, buckets=8).groupBy("bucket", "batch_no").count().collect()
-    assert all(r["count"] <= 4 for r in b) and sum(r["count"] for r in b) == 100
+    df = spark.range(100).select(F.col("id").cast("string").alias("key"), (F.col("id") % 7).cast("int").alias("n"))
+    batches = E.assign_batches(df, "key", F.col("n"), batch_size=4, bucket_rows=16)
+    b = batches.groupBy("bucket", "batch_no").agg(F.count("*").alias("rows"), F.max("n").alias("longest"), F.max("width").alias("width")).collect()
+    assert all(r["rows"] <= 4 and r["longest"] == r["width"] for r in b) and sum(r["rows"] for r in b) == 100
+    assert len({r["bucket"] for r in b}) > 3
+    again = E.assign_batches(df.repartition(5), "key", F.col("n"), batch_size=4, bucket_rows=16)
+    assert sorted(map(tuple, batches.collect())) == sorted(map(tuple, again.collect()))
     s1 = [r.key for r in E.batch_sample(df, "key", 5).collect()]
     s2 = [r.key for r in E.batch_sample(df, "key", 5).collect()]
     assert s1 == s2 and len(s1) == 5
+
+
+def test_length_is_known_before_encoding(spark):
+    df = spark.createDataFrame([("é" * n, "r" * m) for n in (0, 3, 30) for m in (0, 2, 50)], "prompt string, response string")
+    for most in (4, 20, 2048):
+        out = E.encode_examples(df.withColumn("n", E.encoded_length(max_seq_len=most)), max_seq_len=most).collect()
+        assert all(len(r.input_ids) == r.n == len(r.labels) for r in out)

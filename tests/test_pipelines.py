@@ -2,8 +2,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from thinkframe.plans import pipelines as PL
 from thinkframe.sources import io
 
@@ -25,9 +23,7 @@ def test_distill_and_build_end_to_end(spark):
     _write_records(f"{d}/arc.jsonl", "arc", ["C"] * 30, [["C", "(c)", "A"]] * 30)
     shards = []
     for task in ("gsm8k", "arc"):
-        recs = io.read_jsonl(spark, f"{d}/{task}.jsonl", io.TEACHER_RECORD).withColumn(
-            "meta", F.create_map(F.lit("teacher"), F.col("meta.teacher")))
-        shards.append((task, recs))
+        shards.append((task, io.read_jsonl(spark, f"{d}/{task}.jsonl", io.TEACHER_RECORD)))
     out = PL.distill_and_build(spark, shards, f"{d}/out", per_task_cap=25, eval_frac=0.1)
     rates = {r.task: (r.seen, r.kept) for r in out["keep_rate"].collect()}
     assert rates == {"gsm8k": (90, 60), "arc": (90, 60)}
@@ -35,8 +31,10 @@ def test_distill_and_build_end_to_end(spark):
     assert split.count() == 50                      # 60 distinct per task, capped at 25
     assert split.where("split = 'eval'").count() == 5
     train = spark.read.json(f"{d}/out/train")
-    assert train.count() == 45 and set(train.columns) >= {"prompt", "response", "task", "meta"}
+    assert train.count() == 45 and set(train.columns) == {"prompt", "response", "task", "meta"}
+    assert train.first().meta.temperature == "0.7" and train.first().meta.k == "3"
     assert os.path.isdir(f"{d}/out/filtered/task=arc")
+    assert set(spark.read.json(f"{d}/out/rl_prompts").columns) == {"prompt", "gold", "task"}
     rl = spark.read.json(f"{d}/out/rl_prompts").collect()
     assert len(rl) == len({r.prompt for r in rl}) and all(r.gold in ("4", "4.0", "C", "(c)") for r in rl)
 
@@ -103,3 +101,19 @@ def test_cli_rewards(spark, capsys):
                      "--out", f"{d}/scored"], spark=spark) == 0
     rows = {r.pos: (r.r_correctness, r.advantage > 0) for r in spark.read.parquet(f"{d}/scored").collect()}
     assert rows == {0: (1.0, True), 1: (0.0, False)}
+
+
+def test_meta_gold_reaches_the_rl_prompts_and_shards_share_a_task(spark):
+    import pytest
+
+    d = tempfile.mkdtemp(prefix="tf-e1-")
+    for i in range(2):
+        with open(f"{d}/s{i}.jsonl", "w") as f:
+            f.write(json.dumps({"id": f"{i}", "question": f"q{i}", "gold": "4", "traces": [f"{BODY}\nAnswer: 4"],
+                                "meta": {"gold": f"four{i}", "extra": {"nested": 1}}}) + "\n")
+    shards = [("gsm8k", io.read_jsonl(spark, f"{d}/s{i}.jsonl", io.TEACHER_RECORD)) for i in range(2)]
+    out = PL.distill_and_build(spark, shards, f"{d}/out", eval_frac=0.0)
+    assert sorted(r.gold for r in out["rl_prompts"].collect()) == ["four0", "four1"]
+    assert [(r.task, r.seen, r.kept) for r in out["keep_rate"].collect()] == [("gsm8k", 2, 2)]
+    with pytest.raises(ValueError, match="source order"):
+        PL.distill_and_build(spark, [("gsm8k", shards[0][1].drop(*io.SOURCE_ORDER))], f"{d}/again")

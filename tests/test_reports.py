@@ -75,3 +75,15 @@ def test_same_ids_in_two_benchmarks(spark):
              "gsm8k": spark.createDataFrame([(1, "#### 7")], "id int, answer string")}
     rows = {r.bench: (r.pred, r.correct) for r in V.evaluate(comp, items).collect()}
     assert rows == {"arc_c": ("B", True), "gsm8k": ("7", True)}
+
+
+def test_three_decimals_as_python_prints_them(spark):
+    values = [x / 2000 for x in range(2001)] + [x / 7 for x in range(8)] + [0.5415, 0.1235, 0.4045]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double").orderBy("i")
+    assert [r[0] for r in df.select(P.three_decimals("x")).collect()] == [f"{x:.3f}" for x in values]
+
+
+def test_report_lists_every_model_of_the_results(spark):
+    res = spark.createDataFrame([("arc_c", "z", 0.5), ("gsm8k", "a.b", 0.25)], "bench string, model string, acc double")
+    lines = [r.line for r in P.bench_report(spark, res).orderBy("line_no").collect()]
+    assert lines[1] == "| bench | a.b | z |" and lines[3] == "| ARC-Challenge | n/a | 0.500 |"

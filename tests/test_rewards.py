@@ -55,33 +55,21 @@ def test_length_penalty(spark):
 def test_format(spark):
     got = score(spark, ["<think>2+2=4</think>\nAnswer: 4", "Answer: 4", "</think>", "Answer: 3 </think> x"],
                 specs=[("format", 1.0, {})])
-    expect = []
-    for t in ["<think>2+2=4</think>\nAnswer: 4", "Answer: 4", "</think>", "Answer: 3 </think> x"]:
-        import re
-        pat = re.compile(r"[Aa]nswer\s*[:\-]\s*\S")
-        r = 0.0
-        o, c = "<think>" in t, "</think>" in t
-        if o and c:
-            r += 0.15
-        elif c and not o:
-            r -= 0.05
-        if pat.search(t):
-            r += 0.1
-        if c:
-            h, _, tl = t.partition("</think>")
-            if pat.search(h):
-                r -= 0.1
-            if not pat.search(tl):
-                r -= 0.05
-        expect.append(r)
-    assert got == expect
-    assert got[:2] == [0.25, 0.1]
-
-
-def test_registry():
-    with pytest.raises(KeyError):
-        R.get_reward("nope")
-    assert R.get_reward("format") is R.format_reward
+    # both tags and a line: .15 + .1; a line: .1; close tag only, no line: -.05 - .05;
+    # close tag only, line before it: -.05 + .1 - .1 - .05
+    assert got == pytest.approx([0.25, 0.1, -0.1, -0.1])
+
+
+def test_registry(spark):
+    with pytest.raises(KeyError, match="nope"):
+        R.Term(("nope", 1.0, {}))
+    with pytest.raises(TypeError, match="soft_max"):
+        R.Term({"name": "format", "kwargs": {"soft_max": 3}})
+    term = R.Term({"name": "length_penalty", "kwargs": {"soft_max": 1, "hard_max": 2}})
+    assert (term.weight, term.parameters) == (1.0, {"soft_max": 1, "hard_max": 2})
+    df = spark.createDataFrame([("x" * 400, True)], "t string, ok boolean")
+    assert df.select(term.column(text=F.col("t"))).first()[0] == -0.5
+    assert df.select(R.Term(("correctness", 2, {})).column(correct=F.col("ok"))).first()[0] == 1.0
 
 
 def test_mix_and_advantage(spark):

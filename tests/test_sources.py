@@ -13,7 +13,7 @@ def test_jsonl_round_trip_keeps_order_and_unicode(spark):
             f.write(json.dumps({"id": str(i), "question": f"q{i} é", "gold": "1", "traces": ["Answer: 1"]}, ensure_ascii=False) + "\n")
         f.write("\n")
     df = io.read_jsonl(spark, path, io.TEACHER_RECORD)
-    got = [(r.id, r.question) for r in df.orderBy("src_pos").collect()]
+    got = [(r.id, r.question) for r in df.orderBy(*io.SOURCE_ORDER).collect()]
     assert got == [(str(i), f"q{i} é") for i in range(5)]
     io.write_jsonl(df.select("id", "question", "meta"), f"{d}/out", order_by=["id"])
     back = spark.read.json(f"{d}/out")
@@ -30,3 +30,51 @@ def test_optional_eval_and_missing_results(spark):
     io.write_eval(rows, f"{d}/res/arc_c.m1")
     lines = [r.line for r in report(spark, f"{d}/res", ["m1", "m2"]).orderBy("line_no").collect()]
     assert lines[3] == "| ARC-Challenge | 0.500 | n/a |"
+
+
+def test_broken_lines_stop_the_read(spark):
+    import pytest
+
+    d = tempfile.mkdtemp(prefix="tf-io-")
+    with open(f"{d}/a.jsonl", "w") as f:
+        f.write('{"id": "1", "question": "q", "gold": "1", "traces": ["a"]}\n{"id": "2", broken\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        io.read_jsonl(spark, f"{d}/a.jsonl", io.TEACHER_RECORD).collect()
+
+
+def test_files_are_read_in_the_given_order_whatever_their_sizes(spark):
+    d = tempfile.mkdtemp(prefix="tf-io-")
+    want = []
+    for name, n in (("a", 2), ("b", 400), ("c", 30)):
+        with open(f"{d}/{name}.jsonl", "w") as f:
+            for i in range(n):
+                want.append(f"{name}{i}")
+                f.write(json.dumps({"id": want[-1], "question": "q" * 50, "gold": "1", "traces": ["x"]}) + "\n")
+    paths = [f"{d}/{x}.jsonl" for x in "abc"]
+    df = io.read_jsonl(spark, paths, io.TEACHER_RECORD)
+    assert [r.id for r in df.orderBy(*io.SOURCE_ORDER).collect()] == want
+    assert [r.id for r in io.read_jsonl(spark, d, io.TEACHER_RECORD).orderBy(*io.SOURCE_ORDER).collect()] == want
+
+
+def test_unreadable_eval_file_is_none(spark):
+    d = tempfile.mkdtemp(prefix="tf-io-")
+    for name, text in (("train", '{"prompt": "p"}\n'), ("bad", '{"prompt": "p"}\nnot json\n'), ("good", '{"prompt": "e"}\n')):
+        with open(f"{d}/{name}.jsonl", "w") as f:
+            f.write(text)
+    assert io.read_train_eval(spark, f"{d}/train.jsonl", f"{d}/bad.jsonl")[1] is None
+    assert io.read_train_eval(spark, f"{d}/train.jsonl", f"{d}/good.jsonl")[1].first().prompt == "e"
+
+
+def test_model_tags_may_hold_dots(spark):
+    d = tempfile.mkdtemp(prefix="tf-io-")
+    rows = spark.createDataFrame([(1, True)], "id int, correct boolean")
+    io.write_eval(rows, f"{d}/arc_c.qwen2.5-1.5b")
+    assert [(r.bench, r.model) for r in io.read_eval_results(spark, d).collect()] == [("arc_c", "qwen2.5-1.5b")]
+
+
+def test_written_fields_are_the_given_ones(spark):
+    d = tempfile.mkdtemp(prefix="tf-io-")
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "x string, place int")
+    io.write_jsonl(df, f"{d}/out", order_by=["place"], columns=["x"])
+    back = spark.read.json(f"{d}/out")
+    assert back.columns == ["x"] and [r.x for r in back.collect()] == ["a", "b"]

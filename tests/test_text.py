@@ -1,10 +1,10 @@
+import hashlib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-import pyref
 from conftest import rows
 from thinkframe.functions import text as T
 
@@ -29,7 +29,6 @@ def test_extract_answer_cases(spark):
     }
     got = one_col(spark, list(cases), T.extract_answer)
     assert got == list(cases.values())
-    assert got == [pyref.extract(c) for c in cases]
 
 
 def test_extract_last_variant(spark):
@@ -39,15 +38,13 @@ def test_extract_last_variant(spark):
 def test_norm_letter(spark):
     vals = ["A", "(b)", "the answer is c.", "zzz", "the", "éa b", "Answer C is best", "1"]
     got = one_col(spark, vals, T.norm_letter)
-    assert got[:4] == ["A", "B", "C", None]
-    assert got == [pyref.letter(v) for v in vals]
+    assert got == ["A", "B", "C", None, None, "B", "C", None]
 
 
 def test_norm_math(spark):
     vals = ["\\boxed{7}", "$42", "1,234", "7...", " \\boxed{1/2}. ", "(1,2)"]
     got = one_col(spark, vals, T.norm_math)
-    assert got[:3] == ["7", "42", "1234"]
-    assert got == [pyref.norm_math(v) for v in vals]
+    assert got == ["7", "42", "1234", "7", "1/2", "(12)"]
 
 
 def test_g10_matches_python(spark):
@@ -62,7 +59,8 @@ def test_g10_matches_python(spark):
 
 
 def test_py_float_refuses_what_python_refuses(spark):
-    vals = ["1d", "0x1p3", "1.0f", "1e5", "inf", "-Infinity", ".5", "5.", "abc", ""]
+    vals = ["1d", "0x1p3", "1.0f", "1e5", "inf", "-Infinity", ".5", "5.", "abc", "", "1_000", "1__0", "_1", "1_", "1_0.2_5", "1e1_0",
+            "\u0663\u0664", "\uff11\uff0e5", "\U0001d7d8\U0001d7d9", "--1", "+nan", "1_0_0_0"]
     got = one_col(spark, vals, T.py_float)
     expect = []
     for v in vals:
@@ -70,7 +68,7 @@ def test_py_float_refuses_what_python_refuses(spark):
             expect.append(float(v))
         except ValueError:
             expect.append(None)
-    assert got == expect
+    assert list(map(repr, got)) == list(map(repr, expect))
 
 
 def test_vote_key_numeric_forms(spark):
@@ -81,7 +79,6 @@ def test_vote_key_numeric_forms(spark):
     )
     got = [r[0] for r in T.with_vote_key(df, "p", "task", "k").select("k").collect()]
     assert got == ["42", "42", "42", "-0", "3/4", "B", "foo", None]
-    assert got == [pyref.vote_key(r.p, r.task) for r in df.collect()]
 
 
 def test_strip_and_words_follow_python(spark):
@@ -120,16 +117,24 @@ def test_is_correct_cases(spark):
 
 
 def test_math_equal(spark):
-    df = spark.createDataFrame([("7", "7"), ("$7", "7"), ("2/2", "1"), ("1/3", "0.33")], "p string, g string")
-    got = [r[0] for r in T.with_math_equal(df, "p", "g", "e").select("e").collect()]
-    assert got == [True, True, True, False]
+    cases = {
+        ("7", "7"): True, ("$7", "7"): True, ("2/2", "1"): True, ("1/3", "0.33"): False,
+        ("1234567890/2", "617283945"): True, ("0.12345678901", "0.123456789010"): True, ("0.12345678901", "0.12345678902"): False,
+        ("\\frac{12345678901}{24691357802}", "0.5"): True, ("-0", "0"): True, ("-1/2", "0.5"): False, ("007", "7.000"): True,
+        ("1/0", "1/0"): True, ("1/0", "2/0"): False, (".", "0"): False, ("5" * 60 + ".0", "5" * 60): True, ("5" * 60, "5" * 59 + "6"): False,
+    }
+    df = spark.createDataFrame(list(cases), "p string, g string")
+    got = {(r.p, r.g): r.e for r in T.with_math_equal(df, "p", "g", "e").collect()}
+    assert got == cases
 
 
 def test_dedupe_key_is_sha1(spark):
     pairs = [("What is 2+2? ", "  <think>x</think>\nAnswer: 4"), ("Émile", "t" * 300)]
     df = spark.createDataFrame(pairs, "q string, t string")
     got = [r[0] for r in df.select(T.dedupe_key(F.col("q"), F.col("t"))).collect()]
-    assert got == [pyref.dedupe_key(q, t) for q, t in pairs]
+    # sha1 of "what is 2+2?\0<think>x</think>\nAnswer: 4" and of "émile\0" + 200 t
+    texts = ["what is 2+2?\x00<think>x</think>\nAnswer: 4", "émile\x00" + "t" * 200]
+    assert got == [hashlib.sha1(x.encode()).hexdigest() for x in texts]
 
 
 def test_rl_gold_rstrip_set(spark):

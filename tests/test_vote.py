@@ -81,3 +81,15 @@ def test_uniform_weighted_equals_majority_and_partition_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == c
+
+
+def test_tiny_and_mixed_weights(spark):
+    s = samples(spark, {"q": ["Answer: A", "Answer: B"], "r": ["Answer: A", "Answer: B", "Answer: B"]},
+                weights={"q": [1e-25, 9e-20], "r": [1e300, 1.0, 1e-300]})
+    got = {r.id: (r.answer, r.support) for r in weighted_vote(s, weight=F.col("w")).collect()}
+    assert got == {"q": ("B", 1), "r": ("A", 1)}
+
+
+def test_weights_add_up_as_doubles_in_sample_order(spark):
+    s = samples(spark, {"q": ["Answer: A", "Answer: B", "Answer: B"]}, weights={"q": [0.3, 0.1, 0.2]})
+    assert weighted_vote(s.repartition(3), weight=F.col("w")).first().answer == "B"  # 0.1 + 0.2 > 0.3 in doubles

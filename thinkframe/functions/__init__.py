@@ -5,9 +5,9 @@ from thinkframe.functions.rewards import (  # noqa: F401
     answer_present,
     correctness,
     format_reward,
-    get_reward,
     length_penalty,
-    resolve,
+    Reward,
+    Term,
 )
 from thinkframe.functions.text import (  # noqa: F401
     approx_tokens,
@@ -23,16 +23,14 @@ from thinkframe.functions.text import (  # noqa: F401
     gsm8k_eval_equal,
     has_answer_line,
     has_min_words,
-    is_correct,
     logprob_weight,
-    math_equal,
     norm_letter,
     norm_math,
     py_float,
     pystrip,
     rational,
+    rationals_equal,
     rl_gold,
-    vote_key,
     with_is_correct,
     with_math_equal,
     with_vote_key,

@@ -17,6 +17,9 @@ equality rules were written against:
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,7 +50,9 @@ LETTER_RE = r"(?:^|[^\pL\pN_])([A-Ea-e])(?:[^\pL\pN_]|$)"
 BOXED_RE = r"\\boxed\{([^{}]*)\}"
 # Last number in a GSM8K answer field.
 NUMBER_RE = r"-?\p{Nd}+(?:\.\p{Nd}+)?"
-# Strings Python's float() accepts (ASCII digits; underscores not accepted).
+# Decimal digits beyond ASCII and their values, from the Unicode tables.
+OTHER_DIGITS = {chr(c): str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
+# Strings Python's float() accepts, once other digits and "_" between digits are gone.
 PY_FLOAT_RE = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
 
 # Chat-template end marker used by response repair and RL gold recovery.
@@ -95,21 +100,32 @@ def has_min_words(c, n: int) -> Column:
     return col(c).rlike(pattern)
 
 
+def _plain_number(s: Column) -> Column:
+    """Other decimal digits become ASCII, and single underscores between digits go."""
+    ascii_ = F.when(s.rlike("[^\\x00-\\x7F]"), F.translate(s, "".join(OTHER_DIGITS), "".join(OTHER_DIGITS.values()))).otherwise(s)
+    return F.regexp_replace(ascii_, "(?<=[0-9])_(?=[0-9])", "")
+
+
 def py_float(c) -> Column:
     """``float(s)`` for an already stripped string, NULL where Python raises.
 
     Signed special values (``-nan``, ``+inf``, ``-infinity``) are mapped
-    explicitly; Spark's cast only knows some spellings.
+    explicitly; Spark's cast only knows some spellings. ``1_000`` and
+    non-ASCII decimal digits are numbers, as in Python.
     """
-    s = col(c)
-    low = F.lower(s)
-    return (
-        F.when(~s.rlike(PY_FLOAT_RE), F.lit(None).cast("double"))
-        .when(low.rlike("^[+-]?nan$"), F.lit(float("nan")))
-        .when(low.rlike("^[+]?inf(inity)?$"), F.lit(float("inf")))
-        .when(low.rlike("^-inf(inity)?$"), F.lit(float("-inf")))
-        .otherwise(s.try_cast("double"))
-    )
+
+    def parsed(s):
+        low = F.lower(s)
+        return (
+            F.when(~s.rlike(PY_FLOAT_RE), F.lit(None).cast("double"))
+            .when(low.rlike("^[+-]?nan$"), F.lit(float("nan")))
+            .when(low.rlike("^[+]?inf(inity)?$"), F.lit(float("inf")))
+            .when(low.rlike("^-inf(inity)?$"), F.lit(float("-inf")))
+            .otherwise(s.try_cast("double"))
+        )
+
+    # a one-element array binds the cleaned text, so it is made once
+    return F.get(F.transform(F.array(_plain_number(col(c))), parsed), 0)
 
 
 def g10(x) -> Column:
@@ -153,13 +169,13 @@ def g10(x) -> Column:
 def extract_answer(trace, which: str = "first") -> Column:
     """Text of the first ``Answer:`` line, stripped; NULL without one.
 
-    One regex pass: ``try_element_at`` of the match list is NULL when there
-    is no match, and the captured group is never empty on a match.
-    ``which='last'`` takes the last marker instead (documented variant).
+    The regex stops at the first match; its group is never empty on a match,
+    so an empty extract means no marker. ``which='last'`` takes the last
+    marker instead (documented variant, lists all matches).
     """
-    idx = -1 if which == "last" else 1
-    raw = F.try_element_at(F.regexp_extract_all(col(trace), F.lit(ANSWER_RE), F.lit(1)), F.lit(idx))
-    return pystrip(raw)
+    if which == "last":
+        return pystrip(F.try_element_at(F.regexp_extract_all(col(trace), F.lit(ANSWER_RE), F.lit(1)), F.lit(-1)))
+    return pystrip(F.nullif(F.regexp_extract(col(trace), ANSWER_RE, 1), F.lit("")))
 
 
 def has_answer_line(text) -> Column:
@@ -174,8 +190,7 @@ def count_answer_lines(text) -> Column:
 
 def norm_letter(s) -> Column:
     """First standalone choice letter A-E (case-insensitive), upper-cased."""
-    raw = F.try_element_at(F.regexp_extract_all(col(s), F.lit(LETTER_RE), F.lit(1)), F.lit(1))
-    return F.upper(raw)
+    return F.upper(F.nullif(F.regexp_extract(col(s), LETTER_RE, 1), F.lit("")))
 
 
 def norm_math(s) -> Column:
@@ -186,23 +201,6 @@ def norm_math(s) -> Column:
     return pystrip(t)
 
 
-def vote_key(pred, task) -> Column:
-    """The key samples are grouped by when voting.
-
-    Compact Column form; it repeats its input in several branches, so the
-    operators use the staged ``with_vote_key`` on computed answers.
-    """
-    p, tk = col(pred), col(task)
-    nm = norm_math(p)
-    num = py_float(nm)
-    return (
-        F.when(p.isNull(), F.lit(None).cast("string"))
-        .when(tk == "arc", norm_letter(p))
-        .when(tk.isin("gsm8k", "math"), F.when(num.isNotNull(), g10(num)).otherwise(nm))
-        .otherwise(F.lower(pystrip(p)))
-    )
-
-
 def gold_after_hashes(gold) -> Column:
     """Text after the last ``####`` (stripped) when present, else as is."""
     g = col(gold)
@@ -220,49 +218,47 @@ def gold_gsm8k(answer_field) -> Column:
     )
 
 
-_RAT_RE = (
-    r"^([+-]?)(?:([0-9]+)/([0-9]+)|\\[dt]?frac\{([0-9]+)\}\{([0-9]+)\}|([0-9]*)(?:\.([0-9]*))?)$"
-)
+# Normalised answers with an exact rational value: a/b, \\frac{a}{b}, decimals.
+_RATIONAL_RE = r"^([+-]?)(?:([0-9]+)/([0-9]+)|\\[dt]?frac\{([0-9]+)\}\{([0-9]+)\}|([0-9]*)(?:\.([0-9]*))?)$"
 
 
 def rational(s) -> Column:
-    """Exact rational value of a normalised answer as struct(num, den), or NULL.
+    """Exact value of a normalised answer as struct(sign, num, den), or NULL.
 
-    Accepts integers, decimals, ``a/b`` and ``\\frac{a}{b}``; numerators and
-    denominators are limited to 9 digits so cross products fit in a long.
+    Accepts integers, decimals, ``a/b`` and ``\\frac{a}{b}`` of any length;
+    num and den are digit strings without leading zeros (zero: empty num),
+    decimals without trailing zeros.
     """
     s = col(s)
 
     def g(i):
-        return F.regexp_extract(s, _RAT_RE, i)
-
-    sign, fn, fd, tn, td, ip, fp = (g(i) for i in range(1, 8))
-    matched = s.rlike(_RAT_RE)
-    dec_digits = F.concat(ip, fp)
-    num_txt = F.when(fn != "", fn).when(tn != "", tn).otherwise(dec_digits)
-    den_txt = F.when(fn != "", fd).when(tn != "", td)
-    ok = (
-        matched
-        & (F.length(num_txt) > 0)
-        & (F.length(num_txt) <= 9)
-        & (F.coalesce(F.length(den_txt), F.length(fp)) <= 9)
-    )
-    num = num_txt.try_cast("long") * F.when(sign == "-", F.lit(-1)).otherwise(F.lit(1))
-    den = F.when(den_txt.isNotNull(), den_txt.try_cast("long")).when(
-        F.length(fp) <= 9, F.pow(F.lit(10), F.length(fp)).cast("long")
-    )
-    return F.when(ok & (den > 0), F.struct(num.alias("num"), den.alias("den")))
+        return F.regexp_extract(s, _RATIONAL_RE, i)
+
+    whole, part = g(6), F.rtrim(g(7), F.lit("0"))
+    num = F.when(g(2) != "", g(2)).when(g(4) != "", g(4)).otherwise(F.concat(whole, part))
+    den = F.when(g(2) != "", g(3)).when(g(4) != "", g(5)).otherwise(F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(part))))
+    num, den = F.ltrim(num, F.lit("0")), F.ltrim(den, F.lit("0"))
+    digits = F.concat(g(2), g(4), whole, g(7))
+    ok = s.rlike(_RATIONAL_RE) & (F.length(digits) > 0) & (den != "")
+    sign = F.when((g(1) == "-") & (num != ""), F.lit("-")).otherwise(F.lit(""))
+    return F.when(ok, F.struct(sign.alias("sign"), num.alias("num"), den.alias("den")))
 
 
-def rational_equal(a, b) -> Column:
-    ra, rb = rational(a), rational(b)
-    return F.coalesce(ra["num"] * rb["den"] == rb["num"] * ra["den"], F.lit(False))
+def rationals_equal(a: Column, b: Column) -> Column:
+    """Equality of two ``rational`` values: by their digits, else by cross
+    products of up to 38 digits; NULL values are not equal.
 
+    Fractions whose cross products are longer and whose digits differ count
+    as unequal.
+    """
 
-def math_equal(pred, gold) -> Column:
-    """Normal-form equality, or exact rational equality of the normal forms."""
-    np_, ng = norm_math(pred), norm_math(gold)
-    return F.coalesce(np_ == ng, F.lit(False)) | rational_equal(np_, ng)
+    def product(x, y):
+        number = "decimal(38,0)"
+        zero = F.when(x["num"] == "", F.lit("0")).otherwise(x["num"])
+        return F.try_multiply(zero.try_cast(number), y["den"].try_cast(number))
+
+    same = (a["num"] == b["num"]) & (a["den"] == b["den"])
+    return F.coalesce((a["sign"] == b["sign"]) & (same | F.coalesce(product(a, b) == product(b, a), F.lit(False))), F.lit(False))
 
 
 def float_equal(a, b) -> Column:
@@ -270,26 +266,6 @@ def float_equal(a, b) -> Column:
     return (a == b) & ~F.isnan(a)
 
 
-def is_correct(pred, gold, task) -> Column:
-    """Task-dependent correctness of an extracted answer.
-
-    Compact Column form for short inputs; the operators use the staged
-    ``with_is_correct`` (each normalisation once, rational parse only when
-    the cheaper rules cannot decide).
-    """
-    p, g, tk = col(pred), col(gold), col(task)
-    gnum = gold_after_hashes(g)
-    pf, gf = py_float(norm_math(p)), py_float(norm_math(gnum))
-    gsm = F.when(pf.isNotNull() & gf.isNotNull(), float_equal(pf, gf)).otherwise(math_equal(p, gnum))
-    res = (
-        F.when(tk == "arc", norm_letter(p).eqNullSafe(norm_letter(g)))
-        .when(tk == "gsm8k", gsm)
-        .when(tk == "math", math_equal(p, gnum))
-        .otherwise(F.lower(pystrip(p)) == F.lower(pystrip(g)))
-    )
-    return F.when(p.isNull(), F.lit(False)).otherwise(F.coalesce(res, F.lit(False)))
-
-
 def arc_eval_equal(pred, gold) -> Column:
     """``upper(strip(pred or '')) == upper(strip(gold))``."""
     return F.upper(pystrip(F.coalesce(col(pred), F.lit("")))) == F.upper(pystrip(col(gold)))
@@ -304,12 +280,6 @@ def gsm8k_eval_equal(pred, gold) -> Column:
     return F.when(p.isNull(), F.lit(False)).otherwise(F.coalesce(res, F.lit(False)))
 
 
-def math_eval_equal(pred, gold) -> Column:
-    """X11: normal-form equality or X8; NULL prediction is wrong."""
-    p = col(pred)
-    return F.when(p.isNull(), F.lit(False)).otherwise(math_equal(p, col(gold)))
-
-
 def approx_tokens(text) -> Column:
     """``max(1, len(text) // 4)``."""
     return F.greatest(F.lit(1), F.floor(F.length(col(text)) / 4).cast("int"))
@@ -416,9 +386,7 @@ def with_is_correct(df, pred: str = "answer", gold: str = "gold", task: str = "t
     staged = staged.withColumn(pr, F.when(undecided, rational(F.col(pn)))).withColumn(
         gr, F.when(undecided, rational(F.col(gnn)))
     )
-    r_eq = F.coalesce(
-        F.col(pr)["num"] * F.col(gr)["den"] == F.col(gr)["num"] * F.col(pr)["den"], F.lit(False)
-    )
+    r_eq = rationals_equal(F.col(pr), F.col(gr))
     m_eq = F.coalesce(F.col(pn) == F.col(gnn), F.lit(False)) | r_eq
     gsm = F.when(F.col(pf).isNotNull() & F.col(gf).isNotNull(), float_equal(F.col(pf), F.col(gf))).otherwise(m_eq)
     res = (
@@ -442,8 +410,6 @@ def with_math_equal(df, pred: str, gold: str, out: str):
     staged = staged.withColumn(pr, F.when(undecided, rational(F.col(pn)))).withColumn(
         gr, F.when(undecided, rational(F.col(gnn)))
     )
-    r_eq = F.coalesce(
-        F.col(pr)["num"] * F.col(gr)["den"] == F.col(gr)["num"] * F.col(pr)["den"], F.lit(False)
-    )
+    r_eq = rationals_equal(F.col(pr), F.col(gr))
     m_eq = F.coalesce(F.col(pn) == F.col(gnn), F.lit(False)) | r_eq
     return staged.withColumn(out, m_eq).drop(pn, gnn, pr, gr)

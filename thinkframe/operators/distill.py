@@ -25,9 +25,8 @@ from thinkframe.functions.text import (
     rl_gold,
     with_is_correct,
 )
-from thinkframe.operators.joins import broadcast_if_small
 from thinkframe.operators.ordering import nth_smallest_hash, seeded_hash
-from thinkframe.session import cut_lineage
+from thinkframe.session import written
 
 # --------------------------------------------------------------------------
 # Prompt texts of the pipeline (must match for equal prompts).
@@ -71,26 +70,43 @@ def shape_records(
     question: str = "question",
     gold: str = "gold",
     meta: Column | None = None,
-    max_traces: int = 1024,
+    max_traces: int | None = None,
 ) -> DataFrame:
     """Flat (prompt row, pos, text) samples -> teacher records.
 
     ``id`` is kept when given, else sha2 of the question (repeatable, unlike a
-    per-process hash). ``traces`` is ordered by ``pos``. A record holds at
-    most ``max_traces`` samples (``part`` numbers the records of one prompt),
-    so a prompt with a huge sample count never becomes one giant row;
-    ``explode_records`` reads either shape back.
+    per-process hash). ``traces`` is ordered by ``pos``; gold and meta are
+    those of the sample with the smallest ``pos`` that has them. K is the
+    sampling parameter, so a record is bounded; to store an unbounded number
+    of samples per prompt keep the flat rows, or give ``max_traces``: records
+    then hold that many and carry ``part`` and ``first_pos``, which
+    ``explode_records`` undoes.
     """
     rid = F.col(id_col).cast("string") if id_col else F.sha2(F.col(question), 256)
-    part = F.floor(F.col("pos") / max_traces).cast("int")
-    grouped = samples.groupBy(rid.alias("id"), F.col(question).alias("question"), part.alias("part")).agg(
-        F.first(F.col(gold).cast("string"), ignorenulls=True).alias("gold"),
+    keys = [rid.alias("id"), F.col(question).alias("question")]
+    if max_traces:
+        keys.append(F.floor(F.col("pos") / max_traces).cast("int").alias("part"))
+
+    def earliest(c: Column) -> Column:
+        return F.min_by(c, F.when(c.isNotNull(), F.col("pos")))
+
+    grouped = samples.groupBy(*keys).agg(
+        earliest(F.col(gold).cast("string")).alias("gold"),
         F.sort_array(F.collect_list(F.struct(F.col("pos"), F.col("trace")))).alias("_s"),
-        *([F.first(meta, ignorenulls=True).alias("meta")] if meta is not None else []),
+        *([earliest(meta).alias("meta")] if meta is not None else []),
     )
-    return grouped.withColumn("traces", F.transform("_s", lambda s: s["trace"])).withColumn(
-        "first_pos", F.col("part") * max_traces
-    ).drop("_s")
+    out = grouped.withColumn("traces", F.transform("_s", lambda s: s["trace"])).drop("_s")
+    return out.withColumn("first_pos", F.col("part") * max_traces) if max_traces else out
+
+
+def join_outputs(prompts: DataFrame, outputs: DataFrame, meta: Column | None = None) -> DataFrame:
+    """J1 + S8: prompt rows (id, question, gold, ...) joined to the sampled
+    outputs (id, pos, trace) and shaped as teacher records.
+
+    Prompts without outputs give no record, outputs without a prompt are left
+    out. ``meta`` is an expression over the joined rows.
+    """
+    return shape_records(outputs.select("id", "pos", "trace").join(prompts, "id"), meta=meta)
 
 
 def teacher_prompt(question) -> Column:
@@ -236,42 +252,47 @@ def task_of(meta="meta") -> Column:
 def dedupe_first(df: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
     """Keep the first row per key in source order.
 
-    ``row_number() = 1`` lets Spark insert a partial group limit before the
-    exchange, so each map task ships one row per key (a hot key collapses
-    map-side).
+    The order is found on (key, order) alone, by a partial aggregate that
+    collapses a hot key where it is read; the wide rows are touched once, by a
+    semi-join on both. ``order_cols`` must tell rows of a key apart.
     """
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    firsts = df.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order_cols)).alias("_o"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.struct(*order_cols).eqNullSafe(F.col("_o")))
+    return df.join(firsts, same, "left_semi")
 
 
-def cap_per_group(
-    df: DataFrame,
-    group: str,
-    key: str,
-    order_cols: Sequence[str],
-    cap: int | None,
-    buckets: int | None = None,
-) -> DataFrame:
+def nth_in_order(df: DataFrame, group: str, order_cols: Sequence[str], n: int) -> DataFrame:
+    """(group, limit): the order struct of each group's ``n``-th row, for groups
+    with more than ``n`` rows.
+
+    Never ranks a whole group in one task: a range exchange cuts the rows into
+    ordered ranges, they are counted per (group, range), and only the range
+    that holds the n-th row is ranked.
+    """
+    narrow = df.select(F.col(group).alias("_g"), F.struct(*order_cols).alias("_o"))
+    ranged = narrow.repartitionByRange("_g", "_o").withColumn("_p", F.spark_partition_id())
+    ranged = written(ranged, "cap-ranges")
+    counts = ranged.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    hit = counts.withColumn("_upto", upto).where((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n))
+    inside = ranged.join(hit.select("_g", "_p", (F.lit(n) - F.col("_upto") + F.col("_n")).alias("_need")), ["_g", "_p"])
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy("_o"))
+    return inside.withColumn("_r", rank).where("_r = _need").select(F.col("_g").alias(group), F.col("_o").alias("limit"))
+
+
+def cap_per_group(df: DataFrame, group: str, order_cols: Sequence[str], cap: int | None) -> DataFrame:
     """First ``cap`` rows per group in source order; ``None``/0 = no cap.
 
-    Groups are few and large (tasks), so one window per group would put a
-    third of the data in one task. The rank is taken on narrow columns in two
-    levels: within (group, hash bucket) first, which bounds the second,
-    per-group level by ``buckets * cap`` narrow rows; survivors are joined
-    back by key (at most ``cap`` per group).
+    Groups are few and large (tasks). The order of each group's ``cap``-th row
+    is found on narrow rows (``nth_in_order``), and the wide rows are filtered
+    once against that small table. ``order_cols`` must tell rows of a group
+    apart; a null group is a group.
     """
     if not cap:
         return df
-    if buckets is None:
-        buckets = max(64, df.sparkSession.sparkContext.defaultParallelism)
-    narrow = df.select(group, key, *order_cols).withColumn(
-        "_b", F.pmod(F.xxhash64(key), F.lit(buckets))
-    )
-    w1 = Window.partitionBy(group, "_b").orderBy(*order_cols)
-    pre = narrow.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= cap)
-    w2 = Window.partitionBy(group).orderBy(*order_cols)
-    keep = pre.withColumn("_r2", F.row_number().over(w2)).where(F.col("_r2") <= cap).select(key)
-    return df.join(broadcast_if_small(keep), key, "left_semi")
+    limits = nth_in_order(df, group, order_cols, cap).select(F.col(group).alias("_g"), "limit")
+    out = df.join(limits, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return out.where(F.col("limit").isNull() | (F.struct(*order_cols) <= F.col("limit"))).drop("_g", "limit")
 
 
 def sft_rows(
@@ -288,12 +309,15 @@ def sft_rows(
     rows = filtered.withColumn("key", dedupe_key(F.col("question"), F.col("trace"))).withColumn(
         "task", task_of("meta")
     )
-    rows = dedupe_first(rows, "key", order_cols)
     if per_task_cap:
-        # the cap reads the rows twice (rank side, semi-join side): materialise
-        # once so the filter and dedupe are not computed twice
-        rows = cut_lineage(rows)
-    rows = cap_per_group(rows, "task", "key", order_cols, per_task_cap)
+        # duplicates and ranks are settled on a narrow table; the wide rows are
+        # read once more, for the survivors
+        firsts = rows.groupBy("key").agg(F.min(F.struct(*order_cols, "task")).alias("_o")).select("key", "_o.*")
+        kept = cap_per_group(written(firsts, "first-keys"), "task", order_cols, per_task_cap)
+        kept = kept.select(F.col("key").alias("_k"), F.struct(*order_cols).alias("_o"))
+        rows = rows.join(kept, (F.col("key") == F.col("_k")) & (F.struct(*order_cols) == F.col("_o")), "left_semi")
+    else:
+        rows = dedupe_first(rows, "key", order_cols)
     return rows.select(
         "key",
         *order_cols,
@@ -315,22 +339,20 @@ def split_train_eval(
     seed: int = 17,
     eval_frac: float = 0.02,
     with_eval: bool = True,
-    materialize: bool = True,
 ) -> DataFrame:
     """L2 + L3: seeded shuffle position and an exact-size eval split.
 
     ``n_eval = int(n * eval_frac)`` rows with the smallest seeded hash go to
     eval (0 without an eval output), the rest to train. ``shuffle_pos`` (hex
-    md5) orders rows repeatably. The threshold is found by histogram passes
-    over the materialised rows, never by a single-task sort.
+    md5) orders rows repeatably. Only the hashes are written and counted (one
+    narrow column); the rows themselves are filtered against the threshold.
     """
     rows = rows.withColumn("shuffle_pos", seeded_hash(seed, F.col(key)))
-    if materialize:
-        rows = cut_lineage(rows)
-    n = rows.count()
-    n_eval = int(n * eval_frac) if with_eval else 0
-    thr = nth_smallest_hash(rows, "shuffle_pos", n_eval, total_rows=n)
-    is_eval = F.lit(False) if thr is None else F.col("shuffle_pos") <= F.lit(thr)
+    threshold = None
+    if with_eval and eval_frac > 0:
+        hashes = written(rows.select("shuffle_pos"), "split-hashes")
+        threshold = nth_smallest_hash(hashes, "shuffle_pos", int(hashes.count() * eval_frac))
+    is_eval = F.lit(False) if threshold is None else F.col("shuffle_pos") <= F.lit(threshold)
     return rows.withColumn("split", F.when(is_eval, "eval").otherwise("train"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from thinkframe.functions.text import col
 from thinkframe.operators.ordering import seeded_hash
+from thinkframe.session import written
 
 # Fixed values of the byte tokenizer.
 PAD_ID = 0
@@ -28,15 +29,17 @@ def ensure_eos(response, eos: str = EOS_TEXT) -> Column:
     return F.when(r.endswith(eos), r).otherwise(F.concat(r, F.lit(eos)))
 
 
-def byte_ids(text) -> Column:
-    """UTF-8 bytes of the text, each + 2, as array<int> (empty text -> []).
+def byte_ids(text, most: int | None = None) -> Column:
+    """UTF-8 bytes of the text (the first ``most``), each + 2, as array<int>
+    (empty text -> []).
 
     Decoding the UTF-8 bytes as ISO-8859-1 maps every byte to one character
     whose code point is the byte value, so ``ascii`` of each character is
     the byte.
     """
     t = col(text)
-    latin = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    raw = F.encode(t, "UTF-8")
+    latin = F.decode(F.substring(raw, 1, most) if most else raw, "ISO-8859-1")
     ids = F.transform(F.split(latin, ""), lambda c: F.ascii(c) + BYTE_OFFSET)
     return F.when(F.octet_length(t) == 0, F.array().cast("array<int>")).otherwise(ids)
 
@@ -48,45 +51,54 @@ def encode_examples(
     max_seq_len: int = 2048,
     eos: str = EOS_TEXT,
 ) -> DataFrame:
-    """input_ids = (prompt ids + response ids)[:max]; labels mask the prompt span."""
-    p = byte_ids(F.col(prompt))
-    r = byte_ids(ensure_eos(F.col(response), eos))
-    staged = rows.withColumn("_p", p).withColumn("input_ids", F.slice(F.concat("_p", r), 1, max_seq_len))
+    """input_ids = (prompt ids + response ids)[:max]; labels mask the prompt span.
+
+    Bytes beyond ``max_seq_len`` are cut off before they become ids.
+    """
+    p = byte_ids(F.col(prompt), max_seq_len)
+    r = byte_ids(ensure_eos(F.col(response), eos), max_seq_len)
+    staged = rows.withColumn("input_ids", F.slice(F.concat(p, r), 1, max_seq_len))
     n_ids = F.size("input_ids")
-    n_mask = F.least(F.size("_p"), n_ids)
+    n_mask = F.least(F.octet_length(F.col(prompt)), n_ids)
     labels = F.concat(
         F.array_repeat(F.lit(IGNORE_INDEX), n_mask),
         F.slice("input_ids", n_mask + 1, F.greatest(n_ids - n_mask, F.lit(0))),
     )
     return staged.withColumn("labels", labels).withColumn(
         "attention_mask", F.array_repeat(F.lit(1), n_ids)
-    ).drop("_p")
+    )
+
+
+def encoded_length(prompt: str = "prompt", response: str = "response", max_seq_len: int = 2048, eos: str = EOS_TEXT) -> Column:
+    """Number of ids ``encode_examples`` gives, from byte lengths alone."""
+    n = F.octet_length(F.col(prompt)) + F.octet_length(ensure_eos(F.col(response), eos))
+    return F.least(n, F.lit(max_seq_len))
 
 
-def assign_batches(rows: DataFrame, key: str, batch_size: int = 4, buckets: int | None = None,
+def assign_batches(rows: DataFrame, key: str, length: Column, batch_size: int = 4, bucket_rows: int = 16_384,
                    seed: int = 17) -> DataFrame:
-    """Batch ids: hash bucket, then consecutive runs of ``batch_size`` in seeded order.
+    """``rows`` with ``bucket``, ``batch_no`` and ``width`` (the batch's longest ``length``).
 
-    Rows are numbered within each bucket (one window per bucket), never
-    across the whole table; ``buckets`` defaults to the cluster parallelism.
+    Batches are consecutive runs of ``batch_size`` in seeded order within hash
+    buckets of about ``bucket_rows`` rows; their number follows the table, so
+    the batches are the same on any cluster. Numbering and widths use narrow
+    (key, hash, length) rows; they are joined back by ``key`` (unique) before
+    anything is encoded, and nothing wide is exchanged for them.
     """
-    if buckets is None:
-        buckets = max(64, rows.sparkSession.sparkContext.defaultParallelism)
-    h = seeded_hash(seed, F.col(key))
-    b = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    staged = rows.withColumn("_h", h).withColumn("bucket", b.cast("int"))
-    w = Window.partitionBy("bucket").orderBy("_h")
-    rn = F.row_number().over(w)
-    return staged.withColumn("batch_no", F.floor((rn - 1) / batch_size).cast("int")).drop("_h")
-
-
-def pad_batches(encoded: DataFrame, batch_cols=("bucket", "batch_no")) -> DataFrame:
-    """Right-pad each row to its batch's longest: ids with 0, labels -100, mask 0."""
-    w = Window.partitionBy(*batch_cols)
-    width = F.max(F.size("input_ids")).over(w)
-    staged = encoded.withColumn("_pad", width - F.size("input_ids"))
-    n = F.col("_pad")
-    return staged.select(
+    narrow = written(rows.select(F.col(key).alias("_k"), seeded_hash(seed, F.col(key)).alias("_h"), length.alias("_n")), "batch-keys")
+    buckets = max(1, -(-narrow.count() // bucket_rows))
+    bucket = F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("_h"))
+    placed = narrow.withColumn("bucket", bucket).withColumn("batch_no", F.floor((place - 1) / batch_size).cast("int"))
+    width = F.max("_n").over(Window.partitionBy("bucket", "batch_no"))
+    placed = placed.select("_k", "bucket", "batch_no", width.cast("int").alias("width"))
+    return rows.join(placed, F.col(key) == F.col("_k")).drop("_k")
+
+
+def pad_batches(encoded: DataFrame) -> DataFrame:
+    """Right-pad each row to its batch's ``width``: ids with 0, labels -100, mask 0."""
+    n = F.col("width") - F.size("input_ids")
+    return encoded.select(
         *[c for c in encoded.columns if c not in ("input_ids", "labels", "attention_mask")],
         F.concat("input_ids", F.array_repeat(F.lit(PAD_ID), n)).alias("input_ids"),
         F.concat("labels", F.array_repeat(F.lit(IGNORE_INDEX), n)).alias("labels"),

@@ -3,9 +3,8 @@
 * ``seeded_hash`` gives every row a repeatable pseudo-random position
   (md5 of seed and key, so DuckDB can reproduce it);
 * ``nth_smallest_hash`` finds the exact n-th smallest hash by histogram
-  refinement: each pass is one distributed aggregation returning at most
-  ``BUCKETS`` counts; only a final slice with at most ``FINAL_MAX`` rows is
-  brought to the driver;
+  refinement, 16 bits at a time: each pass is one distributed aggregation
+  returning at most 65,536 counts, the same passes at every table size;
 * ``first_n`` is the source-order limit (a top-k, TakeOrderedAndProject).
 """
 
@@ -16,9 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
-FINAL_MAX = 50_000
-HASH_BITS = 60
+LEVEL_DIGITS = 4  # hex digits of an md5 that one refinement pass resolves
 
 
 def seeded_hash(seed: int, key) -> Column:
@@ -27,57 +24,33 @@ def seeded_hash(seed: int, key) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k))
 
 
-def hash_prefix_long(md5_hex) -> Column:
-    """First 60 bits of a hex md5 as a non-negative long (same order as the text)."""
-    h = F.col(md5_hex) if isinstance(md5_hex, str) else md5_hex
-    return F.conv(F.substring(h, 1, HASH_BITS // 4), 16, 10).cast("long")
-
-
-def nth_smallest_hash(df: DataFrame, md5_col: str, n: int, total_rows: int | None = None) -> str | None:
+def nth_smallest_hash(df: DataFrame, md5_col: str, n: int) -> str | None:
     """Exact ``n``-th smallest (1-based) value of a hex-md5 column, or None if n < 1.
 
-    ``df`` should be materialised (checkpointed); each refinement level is one
-    pass. Hashes are uniform, so two levels normally leave a slice of a few
-    rows whatever the table size. ``total_rows`` (if known) saves a count.
+    ``df`` should be materialised and narrow: each level is one pass over it.
+    A level counts the rows per next four hex digits below the prefix found so
+    far; the passes end when one value is left. Equal hashes count as often as
+    they occur. Raises ValueError if there are fewer than ``n`` rows.
     """
     if n < 1:
         return None
-    h = hash_prefix_long(md5_col)
-    narrow = df.select(F.col(md5_col).alias("m"), h.alias("h"))
-    lo, width, need = 0, 1 << HASH_BITS, n
+    prefix, need = "", n
     while True:
-        in_range = narrow.where((F.col("h") >= lo) & (F.col("h") < lo + width))
-        if width == 1 << HASH_BITS:
-            total = total_rows if total_rows is not None else in_range.count()
-        else:
-            total = None
-        if total is None or total > FINAL_MAX:
-            step = max(1, width // BUCKETS)
-            counts = (
-                in_range.groupBy(((F.col("h") - lo) / step).cast("long").alias("b"))
-                .count()
-                .collect()
-            )
-            acc = 0
-            for row in sorted(counts, key=lambda r: r["b"]):
-                if acc + row["count"] >= need:
-                    need -= acc
-                    lo, width = lo + row["b"] * step, step
-                    total = row["count"]
-                    break
-                acc += row["count"]
-            else:
-                return None
-            if total > FINAL_MAX and width > 1:
-                continue
-        rows = (
-            narrow.where((F.col("h") >= lo) & (F.col("h") < lo + width))
-            .orderBy("m")
-            .limit(need)
-            .select("m")
-            .collect()
-        )
-        return rows[-1]["m"] if len(rows) >= need else None
+        below = df.select(F.col(md5_col).alias("m"))
+        below = below.where(F.col("m").startswith(prefix)) if prefix else below
+        digits = F.substring("m", len(prefix) + 1, LEVEL_DIGITS)
+        counts = below.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi")).collect()
+        found = None
+        for row in sorted(counts, key=lambda r: r["d"]):
+            if row["n"] >= need:
+                found = row
+                break
+            need -= row["n"]
+        if found is None:
+            raise ValueError(f"fewer than {n} rows to take the {n}-th smallest hash of")
+        if found["lo"] == found["hi"]:
+            return found["lo"]
+        prefix += found["d"]
 
 
 def first_n(df: DataFrame, order_cols: Sequence[str], n: int | None) -> DataFrame:

@@ -9,56 +9,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thinkframe.functions.text import approx_tokens_raw, count_answer_lines, pystrip
 from thinkframe.operators.evals import BENCHES
-from thinkframe.operators.joins import broadcast_if_small
+from thinkframe.session import written
 
 HIST_BINS = 40
 # Reference lines drawn on the length histogram (soft and hard length caps).
 HIST_MARKS = (512, 1024)
 
 
+def three_decimals(x) -> Column:
+    """``f"{x:.3f}"`` of a double from 0 to 1, rounded from its exact binary
+    value (ties to even), as Python does.
+
+    x splits into a high and a low half whose multiples of 2000 are exact, so
+    the comparison with the midpoint 2n + 1 is exact too.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    scaled = x * F.lit(134217729.0)  # 2**27 + 1
+    high = scaled - (scaled - x)
+    low = x - high
+    n = F.floor(x * 1000)
+    beyond = (high * 2000 - (n * 2 + 1)) + low * 2000
+    n = n + F.when((beyond > 0) | ((beyond == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.concat((n / 1000).cast("long").cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
 def bench_report(
     spark: SparkSession,
     results: DataFrame,
-    models: Sequence[str],
+    models: Sequence[str] | None = None,
     benches: Sequence[tuple[str, str]] = BENCHES,
     title: str = "# Reasoning post-training results\n",
 ) -> DataFrame:
     """A9 + J4 + S7: Markdown table of accuracy, bench rows x model columns.
 
     ``results`` has (bench, model, acc). The expected grid (bench list x
-    model list, both parameters) is left-joined to it; a missing or NULL
-    accuracy prints ``n/a``; values print as ``%.3f`` after half-even
-    rounding. Returns (line_no, line) rows.
+    model list) is left-joined to it; a missing or NULL accuracy prints
+    ``n/a``. Without ``models`` every model of the results has a column, by
+    name. Returns (line_no, line) rows.
     """
+    if models is None:
+        models = [r[0] for r in results.select("model").distinct().orderBy("model").collect()]
     grid = spark.createDataFrame(
         [(bi, b, name, mi, m) for bi, (b, name) in enumerate(benches) for mi, m in enumerate(models)],
         "bench_no int, bench string, bench_name string, model_no int, model string",
     )
     r = results.select("bench", "model", F.col("acc").cast("double").alias("acc"))
-    cells = grid.join(r, ["bench", "model"], "left").withColumn(
-        "cell",
-        F.when(F.col("acc").isNull(), F.lit("n/a")).otherwise(F.format_string("%.3f", F.bround("acc", 3))),
-    )
-    rows = cells.groupBy("bench_no", "bench_name").agg(
-        F.sort_array(F.collect_list(F.struct("model_no", "cell"))).alias("cells")
-    )
-    body = rows.select(
-        (F.col("bench_no") + 3).alias("line_no"),
-        F.concat(
-            F.lit("| "),
-            F.concat_ws(" | ", F.col("bench_name"), F.transform("cells", lambda c: c["cell"])),
-            F.lit(" |"),
-        ).alias("line"),
-    )
-    header = "| bench | " + " | ".join(models) + " |"
-    sep = "|" + "|".join(["---"] * (len(models) + 1)) + "|"
-    head = spark.createDataFrame([(0, title), (1, header), (2, sep)], "line_no int, line string")
-    return head.unionByName(body.select(F.col("line_no").cast("int"), "line"))
+    cell = F.when(F.col("acc").isNull(), F.lit("n/a")).otherwise(three_decimals("acc"))
+    cells = grid.join(r, ["bench", "model"], "left").withColumn("cell", cell)
+    by_bench = cells.groupBy("bench_no", "bench_name").agg(F.sort_array(F.collect_list(F.struct("model_no", "cell"))).alias("c"))
+    body = by_bench.select(F.col("bench_no") + 3, F.array_insert(F.col("c.cell"), 1, F.col("bench_name")))
+    top = spark.createDataFrame([(1, ["bench", *models])], "line_no int, cells array<string>")
+    lines = top.union(body).select("line_no", F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |")).alias("line"))
+    fixed = spark.createDataFrame([(0, title), (2, "|---" * (len(models) + 1) + "|")], "line_no int, line string")
+    return fixed.union(lines)
 
 
 def length_summary(completions: DataFrame, stage: str = "stage", text: str = "trace") -> DataFrame:
@@ -87,16 +95,17 @@ def length_histogram(
     Bin of x = ``bins * (x - lo) div (hi - lo) + 1`` in exact integer
     arithmetic, capped at ``bins``; a stage with a single value puts it in
     the middle bin of a unit-wide range. Every bin is listed, empty ones with
-    count 0.
+    count 0. The texts are read once, into counts per (stage, length).
     """
-    x = completions.select(F.col(stage).alias("stage"), approx_tokens_raw(F.col(text)).cast("long").alias("x"))
+    lengths = completions.select(F.col(stage).alias("stage"), approx_tokens_raw(F.col(text)).cast("long").alias("x"))
+    x = written(lengths.groupBy("stage", "x").agg(F.count(F.lit(1)).alias("n")), "length-counts")
     rng = x.groupBy("stage").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = x.join(broadcast_if_small(rng), "stage")
+    j = x.join(rng, "stage")
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(bins // 2 + 1)).otherwise(
         F.least(F.lit(bins), F.expr(f"({bins} * (x - lo)) div (hi - lo)") + 1)
     )
-    counts = j.groupBy("stage", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = j.groupBy("stage", b.cast("int").alias("bin")).agg(F.sum("n").alias("count"))
     all_bins = rng.select("stage", "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     lo_d = F.when(width == 0, F.col("lo") - 0.5).otherwise(F.col("lo").cast("double"))
     step = F.when(width == 0, F.lit(1.0 / bins)).otherwise(width / F.lit(float(bins)))

@@ -1,7 +1,7 @@
 """Reward scoring of completions and group-relative advantages.
 
-Plan: completions joined to their prompts on the prompt key (J2; Catalyst /
-AQE choose broadcast only when the prompt side is measured small), one
+Plan: completions joined to their prompts on the prompt key (J2; AQE chooses
+the join from run-time sizes), one
 projection for all reward columns and the weighted total, then the group
 statistics as an aggregate joined back. An aggregate (not a window) keeps
 a hot prompt from landing in one task: mean and sample std combine
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from thinkframe.functions import rewards as R
 from thinkframe.functions.text import completion_text, evaluate_once, extract_answer, with_is_correct
-from thinkframe.operators.joins import broadcast_if_small
-from thinkframe.session import cut_lineage
+from thinkframe.session import written
 
 ADVANTAGE_EPS = 1e-6
 
@@ -33,7 +32,7 @@ def attach_prompts(completions: DataFrame, prompts: DataFrame, on: str = "prompt
     gold = "gold" if "gold" in cols else "answer" if "answer" in cols else None
     if gold is None or "task" not in cols:
         raise ValueError("reward scoring needs 'gold' (or 'answer') and 'task' columns on the prompts")
-    p = broadcast_if_small(prompts.select(F.col(on), F.col(gold).alias("gold"), F.col("task")))
+    p = prompts.select(F.col(on), F.col(gold).alias("gold"), F.col("task"))
     dup = [c for c in ("gold", "task") if c in completions.columns]
     return completions.drop(*dup).join(p, on, "inner")
 
@@ -50,30 +49,22 @@ def score(
     ``completions`` has gold and task (see ``attach_prompts``) and either a
     text column or a chat-messages column (P8).
     """
-    resolved = R.resolve(specs)
+    terms = [R.Term(spec) for spec in specs]
     df = evaluate_once(completions, _text=completion_text(
         text if text and text in completions.columns else None,
         messages if messages and messages in completions.columns else None,
     ))
-    names = [n for n, _, _ in resolved]
-    if "correctness" in names:
+    columns = {"text": F.col("_text")}
+    if any(t.reward.reads == "correct" for t in terms):
         df = evaluate_once(df, _pred=extract_answer("_text"))
         df = with_is_correct(df, "_pred", "gold", "task", "_ok")
-    cols = []
-    for name, _, fn in resolved:
-        if name == "correctness":
-            c = F.when(F.col("_ok"), F.lit(R.CORRECT_REWARD)).otherwise(F.lit(0.0))
-        else:
-            c = fn(F.col("_text"), F.col("gold"), F.col("task"))
-        cols.append((name, c))
-    out = df.select("*", *[c.alias(f"r_{n}") for n, c in cols])
-    mix = None
-    for name, weight, _ in resolved:
-        term = F.lit(weight) * F.col(f"r_{name}")
-        mix = term if mix is None else mix + term
-    out = out.withColumn(total, mix if mix is not None else F.lit(0.0))
-    drop = [c for c in ("_text", "_pred", "_ok") if c in out.columns]
-    return out.drop(*drop)
+        columns["correct"] = F.col("_ok")
+    out = df.select("*", *[t.column(**columns).alias(f"r_{t.name}") for t in terms])
+    mix = F.lit(0.0)
+    for i, t in enumerate(terms):
+        part = F.lit(t.weight) * F.col(f"r_{t.name}")
+        mix = part if i == 0 else mix + part
+    return out.withColumn(total, mix).drop("_text", "_pred", "_ok")
 
 
 def group_advantage(
@@ -87,7 +78,7 @@ def group_advantage(
     """``(r - mean) / (std + 1e-6)`` within each group, sample std.
 
     A one-row group has no sample std: the advantage is NULL. ``columns``
-    selects what to carry (default: all); the carried table is checkpointed
+    selects what to carry (default: all); the carried columns are written
     once, so the rewards are not computed again for the statistics side.
     """
     keys = [group] if isinstance(group, str) else list(group)
@@ -95,10 +86,10 @@ def group_advantage(
         carried = list(dict.fromkeys([*keys, *columns, reward]))
         scored = scored.select(*carried)
     if materialize:
-        scored = cut_lineage(scored)
+        scored = written(scored, "scored-groups")
     stats = scored.groupBy(*keys).agg(
         F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std")
     )
-    j = scored.join(broadcast_if_small(stats), keys, "inner")
+    j = scored.join(stats, keys, "inner")
     adv = (F.col(reward) - F.col("_mean")) / (F.col("_std") + F.lit(ADVANTAGE_EPS))
     return j.withColumn(out, adv).drop("_mean", "_std")

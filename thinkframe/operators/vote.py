@@ -9,8 +9,9 @@ collect of raw samples.
 
 Tie rule: largest score, then the key whose first sample came earliest
 (``pos``), as ``Counter.most_common`` / ``max`` over insertion order do.
-Weighted scores are summed as ``decimal(38,18)`` so the sum does not depend
-on the order rows arrive in.
+Weighted scores are double sums in ``pos`` order, whatever order rows arrive
+in; only weighted votes gather weights (16 bytes per sample of one answer of
+one item, K being the sampling parameter). A NaN weight counts as largest.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from thinkframe.functions.text import col, evaluate_once, extract_answer, with_v
 # Vote strategy per task used by the evaluation configs (fixed values).
 DEFAULT_STRATEGY = {"arc": "majority", "gsm8k": "weighted", "math": "weighted"}
 
-_W = "decimal(38,18)"
-
 
 def sample_keys(
     samples: DataFrame,
@@ -53,14 +52,15 @@ def sample_keys(
     return evaluate_once(s, key=F.col("_key")).drop("_key")
 
 
-def key_counts(keys: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
-    """Per (item, key): sample count, first position and weight sum (NULL key = no answer)."""
+def key_counts(keys: DataFrame, id_cols: Sequence[str] = ("id",), weighted: Column | None = None) -> DataFrame:
+    """Per (item, key): sample count, first position and, for rows where
+    ``weighted`` holds, the weight sum in ``pos`` order (NULL key = no answer)."""
     ids = [F.col(c) for c in id_cols]
-    return keys.groupBy(*ids, "task", "key").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min("pos").alias("first_pos"),
-        F.sum(F.col("w").cast(_W)).alias("wsum"),
-    )
+    aggs = [F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos")]
+    if weighted is not None:
+        listed = F.sort_array(F.collect_list(F.when(weighted, F.struct("pos", "w"))))
+        aggs.append(F.aggregate(listed, F.lit(0.0), lambda total, x: total + x["w"]).alias("wsum"))
+    return keys.groupBy(*ids, "task", "key").agg(*aggs)
 
 
 def distribution_table(keys: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
@@ -79,17 +79,20 @@ def vote_keys(
 
     ``strategy`` is ``"majority"``, ``"weighted"``, or a mapping task ->
     strategy (A7). Output: ids, task, answer, support, total, confidence, and
-    with ``distribution=True`` a map key -> count (one entry per distinct
-    answer of the item; ``distribution_table`` is the unbounded-safe form).
+    with ``distribution=True`` a map key -> count, one entry per distinct
+    answer of the item: for items of bounded K only, else use
+    ``distribution_table``, whose rows stay apart.
     """
     ids = [F.col(c) for c in id_cols]
-    per_key = key_counts(keys, id_cols)
     if isinstance(strategy, str):
-        weighted = F.lit(strategy == "weighted")
+        weighted = F.lit(True) if strategy == "weighted" else None
     else:
-        wt = [t for t, s in strategy.items() if s == "weighted"]
-        weighted = F.col("task").isin(wt) if wt else F.lit(False)
-    score = F.when(weighted, F.col("wsum")).otherwise(F.col("cnt").cast(_W))
+        tasks = [t for t, s in strategy.items() if s == "weighted"]
+        weighted = F.coalesce(F.col("task").isin(tasks), F.lit(False)) if tasks else None
+    per_key = key_counts(keys, id_cols, weighted)
+    score = F.col("cnt").cast("double")
+    if weighted is not None:
+        score = F.when(weighted, F.col("wsum")).otherwise(score)
     has_key = F.col("key").isNotNull()
     order = F.when(has_key, F.struct(score.alias("s"), (-F.col("first_pos")).alias("p")))
     winner = F.max_by(F.struct(F.col("key").alias("k"), F.col("cnt").alias("c")), order)

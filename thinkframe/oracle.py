@@ -1,18 +1,24 @@
 """DuckDB SQL twins of the Column functions, used only for verification.
 
 The driver runs each registered Spark query and the matching SQL here on
-the same parquet tables and compares rows, schema and values. These
-builders return SQL expression text; they mirror ``functions/text.py``
-rule for rule (RE2 differences noted inline).
+the same parquet tables and compares rows, schema and values. The patterns
+are written out here from the rules, in RE2, and import nothing of the
+engine.
 """
 
 from __future__ import annotations
 
-from thinkframe.functions import text as T
+import unicodedata
 
-WS_SQL = "(" + "||".join(f"chr({ord(c)})" for c in T.PY_WHITESPACE) + ")"
-# RE2 has no (?d); its '.' already stops only at '\n' and '$' is end of text.
-ANSWER_RE = T.ANSWER_RE.replace("(?d)", "")
+# What str.strip() takes off, as code points.
+SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+WS_SQL = "(" + "||".join(f"chr({c})" for c in SPACES) + ")"
+_IN = "".join(rf"\x{{{c:X}}}" for c in SPACES)
+SPACE, WORD = f"[{_IN}]", f"[^{_IN}]"
+MARKER = rf"[Aa]nswer{SPACE}*[-:]"
+FLOAT = r"^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$"
+FRACTION = r"^([-+]?)(?:([0-9]+)/([0-9]+)|\\(?:d|t)?frac[{]([0-9]+)[}][{]([0-9]+)[}])$"
+DECIMAL = r"^([-+]?)([0-9]*)[.]?([0-9]*)$"
 
 
 def q(s: str) -> str:
@@ -24,33 +30,40 @@ def strip(x: str) -> str:
 
 
 def extract(t: str) -> str:
-    raw = f"regexp_extract({t}, {q(ANSWER_RE)}, 1)"
+    raw = f"regexp_extract({t}, {q(MARKER + SPACE + '*(.+?)(?:' + chr(92) + 'n|$)')}, 1)"
     return f"(CASE WHEN {raw} <> '' THEN {strip(raw)} END)"
 
 
 def has_answer_line(t: str) -> str:
-    return f"regexp_matches({t}, {q(T.ANSWER_PRESENT_RE)})"
+    return f"regexp_matches({t}, {q(MARKER + SPACE + '*' + WORD)})"
 
 
 def norm_letter(s: str) -> str:
-    raw = f"regexp_extract({s}, {q(T.LETTER_RE)}, 1)"
-    return f"(CASE WHEN {raw} <> '' THEN upper({raw}) END)"
+    edge = r"[^\pL\pN_]"
+    return f"nullif(regexp_extract(upper({s}), {q(f'(?:^|{edge})([A-E])(?:{edge}|$)')}, 1), '')"
 
 
 def norm_math(s: str) -> str:
     t = f"rtrim({strip(s)}, '.')"
-    t = f"regexp_replace({t}, {q(T.BOXED_RE)}, '\\1', 'g')"
-    t = f"translate({t}, '$,', '')"
+    t = f"regexp_replace({t}, {q(r'[\\]boxed[{]([^{}]*)[}]')}, '\\1', 'g')"
+    t = f"replace(replace({t}, '$', ''), ',', '')"
     return strip(t)
 
 
+def _digits() -> tuple[str, str]:
+    other = [c for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(map(chr, other)), "".join(str(unicodedata.digit(chr(c))) for c in other)
+
+
 def py_float(s: str) -> str:
+    other, plain = _digits()
+    # twice: neighbouring underscores share a digit
+    n = f"regexp_replace(regexp_replace(translate({s}, {q(other)}, {q(plain)}), '([0-9])_([0-9])', '\\1\\2', 'g'), '([0-9])_([0-9])', '\\1\\2', 'g')"
+    word = f"ltrim(lower({s}), '+-')"
     return (
-        f"(CASE WHEN NOT regexp_matches({s}, {q(T.PY_FLOAT_RE)}) THEN NULL "
-        f"WHEN regexp_matches(lower({s}), '^[+-]?nan$') THEN 'nan'::DOUBLE "
-        f"WHEN regexp_matches(lower({s}), '^[+]?inf(inity)?$') THEN 'inf'::DOUBLE "
-        f"WHEN regexp_matches(lower({s}), '^-inf(inity)?$') THEN '-inf'::DOUBLE "
-        f"ELSE TRY_CAST({s} AS DOUBLE) END)"
+        f"(CASE WHEN regexp_matches({n}, {q(FLOAT)}) THEN TRY_CAST({n} AS DOUBLE) "
+        f"WHEN length({s}) - length({word}) > 1 THEN NULL WHEN {word} = 'nan' THEN 'nan'::DOUBLE "
+        f"WHEN {word} IN ('inf', 'infinity') THEN CASE WHEN {s}[1] = '-' THEN '-inf'::DOUBLE ELSE 'inf'::DOUBLE END END)"
     )
 
 
@@ -72,39 +85,30 @@ def gold_after_hashes(g: str) -> str:
 
 
 def gold_gsm8k(a: str) -> str:
-    last = f"list_extract(regexp_extract_all({a}, {q(T.NUMBER_RE)}), -1)"
+    pattern = r"-?\p{Nd}+(?:[.]\p{Nd}+)?"
+    numbers = f"regexp_extract_all({a}, {q(pattern)})"
     return (
         f"(CASE WHEN contains({a}, '####') THEN {strip(f'split_part({a}, {q(chr(35)*4)}, -1)')} "
-        f"WHEN {last} IS NOT NULL THEN {last} ELSE {strip(a)} END)"
+        f"WHEN len({numbers}) > 0 THEN {numbers}[-1] ELSE {strip(a)} END)"
     )
 
 
-def _rat(s: str) -> tuple[str, str, str]:
-    """(ok, num, den) SQL for the exact rational parse of a normalised answer."""
-    r = q(T._RAT_RE)
-
-    def g(i):
-        return f"regexp_extract({s}, {r}, {i})"
-
-    sign, fn, fd, tn, td, ip, fp = (g(i) for i in range(1, 8))
-    num_txt = f"(CASE WHEN {fn} <> '' THEN {fn} WHEN {tn} <> '' THEN {tn} ELSE {ip} || {fp} END)"
-    den_txt = f"(CASE WHEN {fn} <> '' THEN {fd} WHEN {tn} <> '' THEN {td} END)"
-    ok = (
-        f"(regexp_matches({s}, {r}) AND length({num_txt}) > 0 AND length({num_txt}) <= 9 "
-        f"AND coalesce(length({den_txt}), length({fp})) <= 9)"
-    )
-    num = f"(TRY_CAST({num_txt} AS BIGINT) * (CASE WHEN {sign} = '-' THEN -1 ELSE 1 END))"
-    den = f"(CASE WHEN {den_txt} IS NOT NULL THEN TRY_CAST({den_txt} AS BIGINT) WHEN length({fp}) <= 9 THEN CAST(pow(10, length({fp})) AS BIGINT) END)"
-    return ok, num, den
+def _ratio(s: str) -> tuple[str, str]:
+    """Numerator (with sign) and denominator as HUGEINT, NULL where there is none."""
+    f, d = (lambda i: f"regexp_extract({s}, {q(FRACTION)}, {i})"), (lambda i: f"regexp_extract({s}, {q(DECIMAL)}, {i})")
+    fraction = f"regexp_matches({s}, {q(FRACTION)})"
+    decimal = f"(regexp_matches({s}, {q(DECIMAL)}) AND length({d(2)}) + length({d(3)}) > 0)"
+    tail = f"rtrim({d(3)}, '0')"
+    sign = f"CASE WHEN {s}[1] = '-' THEN -1 ELSE 1 END"
+    num = f"CASE WHEN {fraction} THEN TRY_CAST({f(2)} || {f(4)} AS HUGEINT) WHEN {decimal} THEN TRY_CAST('0' || {d(2)} || {tail} AS HUGEINT) END * ({sign})"
+    den = f"CASE WHEN {fraction} THEN TRY_CAST({f(3)} || {f(5)} AS HUGEINT) WHEN {decimal} THEN TRY_CAST('1' || repeat('0', length({tail})) AS HUGEINT) END"
+    return f"({num})", f"({den})"
 
 
 def rational_equal(a: str, b: str) -> str:
-    oka, na, da = _rat(a)
-    okb, nb, db = _rat(b)
-    return (
-        f"coalesce(CASE WHEN {oka} AND {okb} AND {da} > 0 AND {db} > 0 "
-        f"THEN {na} * {db} = {nb} * {da} END, false)"
-    )
+    """Cross products; the fixture's numbers stay within HUGEINT."""
+    (na, da), (nb, db) = _ratio(a), _ratio(b)
+    return f"coalesce({da} > 0 AND {db} > 0 AND {na} * {db} = {nb} * {da}, false)"
 
 
 def math_equal(p: str, g: str) -> str:
@@ -129,7 +133,7 @@ def is_correct(p: str, g: str, task: str) -> str:
 
 
 def word_count(t: str) -> str:
-    return f"length(regexp_extract_all({t}, {q(T.NON_WS + '+')}))"
+    return f"len(regexp_extract_all({t}, {q(WORD + '+')}))"
 
 
 def dedupe_key(question: str, trace: str) -> str:
@@ -137,27 +141,33 @@ def dedupe_key(question: str, trace: str) -> str:
 
 
 # Fixture: the same derivation as sources/fixture.py, in DuckDB SQL.
-TRACES_SQL = """
+DOCS_SQL = """
+SELECT doc_id, text, lang, source, text AS question, task,
+  CASE task WHEN 'generic' THEN 'Text ' || (doc_id % 9)
+            WHEN 'arc' THEN CASE WHEN doc_id % 30 = 0 THEN '?' ELSE chr(CAST(65 + doc_id % 4 AS INTEGER)) END
+            WHEN 'gsm8k' THEN CAST(3 + doc_id % 97 AS VARCHAR)
+            ELSE CASE WHEN doc_id % 9 = 2 THEN '0.12345678901' || (1 + doc_id % 7) ELSE (1 + doc_id % 7) || '/' || (2 + doc_id % 5) END END AS g
+FROM (SELECT *, CASE WHEN doc_id % 20 = 19 THEN 'generic' WHEN doc_id % 3 = 0 THEN 'arc' WHEN doc_id % 3 = 1 THEN 'gsm8k' ELSE 'math' END AS task
+      FROM documents)
+"""
+
+
+def traces_sql(k: int = 8) -> str:
+    return f"""
 SELECT doc_id AS id, CAST(k AS INTEGER) AS pos, task, question, gold,
-  CASE WHEN (doc_id + k) % 16 = 0 THEN body
-       WHEN k = 7 THEN body || chr(10) || '</think>' || chr(10) || 'Answer: ' || ans || chr(10) || 'Answer: 0'
-       WHEN k = 6 THEN 'Answer: ' || ans || chr(10) || body
-       ELSE '<think>' || chr(10) || body || chr(10) || '</think>' || chr(10) || 'Answer: ' || ans END AS trace,
+  CASE WHEN (doc_id + k) % 16 = 0 THEN text
+       WHEN k = 7 THEN text || chr(10) || '</think>' || chr(10) || 'Answer: ' || ans || chr(10) || 'Answer: 0'
+       WHEN k = 6 THEN 'Answer: ' || ans || chr(10) || text
+       ELSE '<think>' || chr(10) || text || chr(10) || '</think>' || chr(10) || 'Answer: ' || ans END AS trace,
   lang, source
 FROM (
-  SELECT doc_id, k, task, question, text AS body, lang, source,
-    CASE task WHEN 'gsm8k' THEN 'so #### ' || g ELSE g END AS gold,
+  SELECT *, CASE task WHEN 'gsm8k' THEN 'so #### ' || g ELSE g END AS gold,
     CASE WHEN (doc_id * 31 + k * 17) % 20 < 11 THEN
       CASE task WHEN 'arc' THEN CASE k % 3 WHEN 0 THEN g WHEN 1 THEN '(' || lower(g) || ')' ELSE g || ' is best' END
-                WHEN 'gsm8k' THEN CASE k % 4 WHEN 0 THEN g WHEN 1 THEN g || '.0' WHEN 2 THEN '$' || g ELSE g || '.' END
-                ELSE CASE k % 2 WHEN 0 THEN g ELSE chr(92) || 'boxed{' || g || '}' END END
+                WHEN 'gsm8k' THEN CASE k % 4 WHEN 0 THEN CASE WHEN doc_id % 11 = 0 AND length(g) = 2 THEN g[1] || '_' || g[2] ELSE g END
+                                             WHEN 1 THEN g || '.0' WHEN 2 THEN '$' || g ELSE g || '.' END
+                WHEN 'generic' THEN CASE k % 2 WHEN 0 THEN upper(g) ELSE ' ' || g END
+                ELSE CASE k % 2 WHEN 0 THEN CASE WHEN doc_id % 9 = 2 THEN g || '0' ELSE g END ELSE chr(92) || 'boxed{{' || g || '}}' END END
     ELSE CASE task WHEN 'arc' THEN chr(CAST(65 + (doc_id + k + 1) % 5 AS INTEGER)) ELSE CAST((doc_id + k) % 3 AS VARCHAR) END END AS ans
-  FROM (
-    SELECT doc_id, text, lang, source, substring(text, 1, 60) AS question,
-      CASE doc_id % 3 WHEN 0 THEN 'arc' WHEN 1 THEN 'gsm8k' ELSE 'math' END AS task,
-      CASE doc_id % 3 WHEN 0 THEN chr(CAST(65 + doc_id % 4 AS INTEGER))
-                      WHEN 1 THEN CAST(3 + doc_id % 97 AS VARCHAR)
-                      ELSE CAST(1 + doc_id % 7 AS VARCHAR) || '/' || CAST(2 + doc_id % 5 AS VARCHAR) END AS g,
-      unnest(range(0, 8)) AS k
-    FROM documents) d) x
+  FROM (SELECT *, unnest(range(0, {k})) AS k FROM ({DOCS_SQL}) d)) x
 """

@@ -1,7 +1,8 @@
 """Registered queries: one per operator group, over the driver's tables.
 
-Every query reads ``documents`` (through the trace fixture, see
-``sources/fixture.py``) so its work grows with the table; none caps rows
+Queries read ``documents`` (through the trace fixture, see
+``sources/fixture.py``) or ``conversations``, so their work grows with the
+tables; none caps rows
 except where the limit is the operator (per-task cap, sampled batch).
 Computed columns carry explicit names shared with the DuckDB twins in
 ``plans/oracle_queries.py``; doubles are rounded to 9 places for comparison.
@@ -19,22 +20,24 @@ from thinkframe.operators import evals as V
 from thinkframe.operators import reports as P
 from thinkframe.operators import rewards as RW
 from thinkframe.operators.vote import DEFAULT_STRATEGY, distribution_table, sample_keys, vote
+from thinkframe.operators.ordering import first_n
+from thinkframe.session import shared_path, written
 from thinkframe.sources import fixture as X
+from thinkframe.sources import io
 
 # Parameters of the registered queries (fixed values shared with the SQL twins).
 CAP = 150
 SEED = 17
 EVAL_FRAC = 0.02
 SAMPLE_K = 32
-MODELS = tuple(f"src{i}" for i in range(20))
 
 
 def _r9(c):
     return F.round(c, 9)
 
 
-def _traces(spark, sf):
-    return X.traces(spark, sf)
+def _traces(spark, sf, k=X.K_SAMPLES):
+    return X.traces(spark, sf, k)
 
 
 def _with_answer(spark, sf):
@@ -100,14 +103,101 @@ def q_gold_gsm8k(spark, sf):
     )
 
 
-def q_teacher_records(spark, sf):
-    rec = D.shape_records(X.with_meta(_traces(spark, sf)), meta=F.col("meta"))
+def _records(spark, sf):
+    return D.shape_records(X.with_meta(_traces(spark, sf)), meta=F.col("meta"))
+
+
+def _record_digest(rec):
     return rec.select(
-        "id", "part", "gold", F.size("traces").alias("n_traces"),
-        F.md5(F.array_join("traces", "\x01")).alias("traces_md5"),
+        "id", "gold", F.size("traces").alias("n_traces"), F.md5(F.array_join("traces", "\x01")).alias("traces_md5"),
+        F.element_at("meta", F.lit("teacher")).alias("teacher"), F.element_at("meta", F.lit("gold")).alias("meta_gold"),
     )
 
 
+def q_teacher_records(spark, sf):
+    return _record_digest(_records(spark, sf))
+
+
+def q_join_outputs(spark, sf):
+    """Prompt rows joined to their sampled outputs, shaped as records."""
+    t = X.with_meta(_traces(spark, sf))
+    prompts = X.with_meta(X.prompts(spark, sf)).drop("task", "lang", "source")
+    return _record_digest(D.join_outputs(prompts, t.select("id", "pos", "trace"), meta=F.col("meta")))
+
+
+def q_explode_records(spark, sf):
+    """G1: records back to one row per trace."""
+    flat = D.explode_records(_records(spark, sf))
+    return flat.select("id", "pos", F.md5("trace").alias("trace_md5"), F.element_at("meta", F.lit("teacher")).alias("teacher"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+def _task_shards(spark, sf):
+    rec = D.shape_records(X.with_meta(_traces(spark, sf)), meta=F.struct("meta", "task"))
+    rec = written(rec.select("id", "question", "gold", "traces", F.col("meta.meta").alias("meta"), F.col("meta.task").alias("task")), "records")
+    return [rec.where(F.col("task") == task).drop("task") for task in ("arc", "gsm8k", "math", "generic")]
+
+
+def _traces_digest(rec, *extra):
+    return rec.select("id", F.size("traces").alias("n_traces"), F.md5(F.array_join("traces", "\x01")).alias("traces_md5"), *extra)
+
+
+def q_jsonl_round_trip(spark, sf):
+    """S1 + S3: records written as JSON Lines and read back."""
+    path = shared_path(spark, "records-jsonl")
+    io.write_jsonl(_records(spark, sf), path, order_by=["id"], columns=["id", "question", "gold", "traces", "meta"])
+    return _traces_digest(io.read_jsonl(spark, path, io.TEACHER_RECORD))
+
+
+def q_jsonl_shards(spark, sf):
+    """One JSON Lines shard per task, read in the given order."""
+    paths = []
+    for i, shard in enumerate(_task_shards(spark, sf)):
+        paths.append(shared_path(spark, f"shard-{i}"))
+        io.write_jsonl(shard, paths[-1])
+    return _traces_digest(io.read_shards(spark, paths, io.TEACHER_RECORD), "shard_no")
+
+
+def q_union_shards(spark, sf):
+    """Shard tables concatenated, their order kept."""
+    t = _traces(spark, sf).select("id", "pos", "task")
+    return D.union_shards([t.where(F.col("task") == x) for x in ("arc", "gsm8k", "math", "generic")]).select("id", "pos", "shard_no")
+
+
+def q_first_rows(spark, sf):
+    """L1: the first rows in source order."""
+    return first_n(_traces(spark, sf).select("id", "pos"), ["id", "pos"], CAP)
+
+
+def q_prompt_table(spark, sf):
+    """A prompt file whose prompt field has another name."""
+    path = shared_path(spark, "prompts-jsonl")
+    io.write_jsonl(X.prompts(spark, sf), path, columns=["id", "question", "task"])
+    return io.read_prompts(spark, path, "question", schema="id long, question string, task string").select("id", "prompt", "task")
+
+
+def q_train_eval_files(spark, sf):
+    """Train and eval files written, and read with the optional eval."""
+    split = written(_split(spark, sf).select("prompt", "response", "task", "split", "shuffle_pos"), "split-rows")
+    paths = {x: shared_path(spark, f"{x}-jsonl") for x in ("train", "eval")}
+    for x, path in paths.items():
+        io.write_jsonl(split.where(F.col("split") == x), path, order_by=["shuffle_pos"], columns=["prompt", "response", "task"])
+    train, ev = io.read_train_eval(spark, paths["train"], paths["eval"])
+    cols = ["prompt", "response", "task"]
+    return train.select(*cols, F.lit("train").alias("split")).union(ev.select(*cols, F.lit("eval").alias("split")))
+
+
+def q_eval_files(spark, sf):
+    """S6 + S7: results written per benchmark and model (its tag holds a dot), and read back."""
+    rows = written(_eval_rows(spark, sf), "eval-rows")
+    root = shared_path(spark, "runs")
+    for bench, _ in V.BENCHES:
+        io.write_eval(rows.where(F.col("bench") == bench), f"{root}/{bench}.v1.5-{bench}")
+    found = io.read_eval_results(spark, root)
+    n = rows.groupBy("bench").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(n, "bench").select("bench", "model", _r9("acc").alias("acc"), "n")
+
+
 # ---------------------------------------------------------------- phase 3
 def q_dedupe_key(spark, sf):
     return _traces(spark, sf).select("id", "pos", T.dedupe_key(F.col("question"), F.col("trace")).alias("key"))
@@ -139,7 +229,8 @@ def _split(spark, sf):
 
 
 def q_train_eval_split(spark, sf):
-    return _split(spark, sf).select("key", "split")
+    keys = written(_sft(spark, sf).select("key"), "sft-keys")
+    return D.split_train_eval(keys, "key", SEED, EVAL_FRAC).select("key", "split")
 
 
 def q_rl_prompts(spark, sf):
@@ -201,12 +292,16 @@ def q_group_advantage(spark, sf):
 
 # ---------------------------------------------------------------- phase 5
 def q_arc_questions(spark, sf):
-    it = X.arc_items(spark, sf)
+    it = X.arc_items(spark, sf, every=True)
     return it.select("id", D.arc_question("question", "choices").alias("question"))
 
 
+_WEIGHT = T.logprob_weight
+
+
 def _eval_rows(spark, sf, extra=()):
-    return V.evaluate(_traces(spark, sf), X.bench_items(spark, sf), DEFAULT_STRATEGY, extra=extra)
+    t = X.with_logprobs(_traces(spark, sf))
+    return V.evaluate(t, X.bench_items(spark, sf), DEFAULT_STRATEGY, weight=_WEIGHT("logprob_sum", "n_tokens"), extra=extra)
 
 
 def q_eval_items(spark, sf):
@@ -226,14 +321,14 @@ def q_weighted_vote(spark, sf):
 
 
 def q_k_sweep(spark, sf):
-    k = V.k_sweep(_traces(spark, sf), X.bench_items(spark, sf))
+    k = V.k_sweep(_traces(spark, sf, 16), X.bench_items(spark, sf))
     return k.select("k", *[_r9(b).alias(b) for b, _ in V.BENCHES])
 
 
 def q_bench_report(spark, sf):
     rows = _eval_rows(spark, sf, extra=("source",))
     acc = V.accuracy(rows, ("bench", "source")).select("bench", F.col("source").alias("model"), "acc")
-    return P.bench_report(spark, acc, list(MODELS))
+    return P.bench_report(spark, acc)
 
 
 def q_length_summary(spark, sf):
@@ -267,7 +362,8 @@ def q_encode_examples(spark, sf):
 
 
 def _padded(spark, sf):
-    return E.pad_batches(E.assign_batches(_encoded(spark, sf), "key", batch_size=4, buckets=16, seed=SEED))
+    rows = E.assign_batches(_sft(spark, sf), "key", E.encoded_length(), batch_size=4, seed=SEED)
+    return E.pad_batches(E.encode_examples(rows))
 
 
 def q_pad_batches(spark, sf):
@@ -307,6 +403,24 @@ def q_teacher_yield(spark, sf):
     return d.select("teacher", "traces", "correct", _r9("correct_rate").alias("correct_rate"))
 
 
+def q_usable_per_hour(spark, sf):
+    """D3: usable traces per hour, from a throughput table per teacher."""
+    flagged = D.flag_traces(_traces(spark, sf)).withColumnRenamed("source", "teacher")
+    teachers = X.documents(spark, sf).select(F.col("source").alias("teacher")).distinct()
+    rate = F.when(F.col("teacher") == "src0", 1350).otherwise(100 + F.length("teacher") * 10).cast("double")
+    d = P.teacher_yield(flagged, traces_per_hour=teachers.select("teacher", rate.alias("traces_per_hour")))
+    return d.select("teacher", "traces_per_hour", _r9("usable_per_hour").alias("usable_per_hour"))
+
+
+def q_conversation_rewards(spark, sf):
+    """P8, R2-R4 on the real assistant messages of ``conversations``, by name (U-1)."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where(F.col("role") == "assistant")
+    messages = F.array(F.struct(F.col("role"), F.col("text").alias("content")))
+    named = [{"name": n} for n in ("format", "length_penalty", "answer_present")]
+    scored = RW.score(turns.select("conv_id", "turn", messages.alias("messages")), named, text=None, messages="messages")
+    return scored.select("conv_id", "turn", *[_r9(f"r_{x['name']}").alias(f"r_{x['name']}") for x in named])
+
+
 def q_think_block_rates(spark, sf):
     d = P.think_block_rates(_traces(spark, sf))
     return d.select(

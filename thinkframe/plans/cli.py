@@ -18,7 +18,6 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from thinkframe.plans import pipelines as PL
 from thinkframe.sources import io
@@ -72,12 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.cmd == "distill":
         shards = []
         for task, path in _pairs(args.shard):
-            recs = io.read_jsonl(spark, path, io.TEACHER_RECORD)
-            meta = F.create_map(
-                F.lit("dataset"), F.col("meta.dataset"), F.lit("split"), F.col("meta.split"),
-                F.lit("teacher"), F.col("meta.teacher"),
-            )
-            shards.append((task, recs.withColumn("meta", meta)))
+            shards.append((task, io.read_jsonl(spark, path, io.TEACHER_RECORD)))
         out = PL.distill_and_build(
             spark, shards, args.out, args.per_task_cap, args.eval_frac, args.seed, not args.no_eval,
             args.max_trace_chars, args.min_trace_tokens,

@@ -9,21 +9,17 @@ from __future__ import annotations
 
 from thinkframe import oracle as O
 from thinkframe.operators.distill import ARC_INSTRUCTION, COT_INSTRUCTION, SYS_PROMPT
-from thinkframe.plans.catalog import CAP, EVAL_FRAC, MODELS, SAMPLE_K, SEED
+from thinkframe.plans.catalog import CAP, EVAL_FRAC, SAMPLE_K, SEED
 from thinkframe.operators.evals import BENCHES
 
 q = O.q
 S = O.strip
 NL = "chr(10)"
 
-TRACES = f"traces AS ({O.TRACES_SQL})"
+TRACES = f"traces AS ({O.traces_sql()})"
+TRACES16 = f"traces AS ({O.traces_sql(16)})"
 WA = f"wa AS (SELECT *, {O.extract('trace')} AS answer FROM traces)"
-BASE = """base AS (SELECT doc_id, text, lang, source, substring(text, 1, 60) AS question,
-  CASE doc_id % 3 WHEN 0 THEN 'arc' WHEN 1 THEN 'gsm8k' ELSE 'math' END AS task,
-  CASE doc_id % 3 WHEN 0 THEN chr(CAST(65 + doc_id % 4 AS INTEGER))
-                  WHEN 1 THEN CAST(3 + doc_id % 97 AS VARCHAR)
-                  ELSE CAST(1 + doc_id % 7 AS VARCHAR) || '/' || CAST(2 + doc_id % 5 AS VARCHAR) END AS g
-  FROM documents)"""
+BASE = f"base AS ({O.DOCS_SQL})"
 
 
 def w(*ctes: str) -> str:
@@ -39,10 +35,13 @@ def dbl(x: float) -> str:
 
 
 # ---------------------------------------------------------------- votes
-def vote_ctes(keys_src: str, ids: list[str], weighted: bool = False, name: str = "votes") -> list[str]:
+def vote_ctes(keys_src: str, ids: list[str], weighted: bool | str = False, name: str = "votes") -> list[str]:
     """keys_src must expose ids, task, pos, key (and w when weighted)."""
     idl = ", ".join(ids)
-    score = "sum(CAST(w AS DECIMAL(38,18)))" if weighted else "CAST(count(*) AS DECIMAL(38,18))"
+    # weights add up in the samples' order, as doubles
+    score = "list_reduce(list(w ORDER BY pos), lambda a, b: a + b)" if weighted else "CAST(count(*) AS DOUBLE)"
+    if weighted == "by task":
+        score = f"CASE WHEN any_value(task) IN ('gsm8k', 'math') THEN {score} ELSE CAST(count(*) AS DOUBLE) END"
     return [
         f"""{name}_pk AS (SELECT {idl}, task, key, count(*) AS cnt, min(pos) AS first_pos, {score} AS score
   FROM {keys_src} GROUP BY ALL)""",
@@ -54,7 +53,8 @@ def vote_ctes(keys_src: str, ids: list[str], weighted: bool = False, name: str =
     ]
 
 
-KEYS = f"keys AS (SELECT id, task, pos, {O.vote_key('answer', 'task')} AS key FROM wa)"
+WEIGHT = "CASE WHEN pos * 3 <= 0 THEN 1.0::DOUBLE ELSE exp(((pos + 1) * (1 + id % 7) * -0.37::DOUBLE) / (pos * 3)) END"
+KEYS = f"keys AS (SELECT id, task, pos, {O.vote_key('answer', 'task')} AS key, {WEIGHT} AS w FROM wa)"
 
 
 def conf(total="total", support="support"):
@@ -65,7 +65,8 @@ def conf(total="total", support="support"):
 FLAG = f"""flag AS (SELECT *, length(trace) <= 6000 AND {O.word_count('trace')} >= 16 AS len_ok FROM traces)"""
 FLAG_A = f"flag_a AS (SELECT *, CASE WHEN len_ok THEN {O.extract('trace')} END AS answer FROM flag)"
 FLAG_K = f"flag_k AS (SELECT *, len_ok AND {O.is_correct('answer', 'gold', 'task')} AS kept FROM flag_a)"
-FILTERED = f"""filtered AS (SELECT id, pos, question, gold, {S('trace')} AS trace, answer, task, source FROM flag_k WHERE kept)"""
+FILTERED = f"""filtered AS (SELECT id, pos, question, gold, {S('trace')} AS trace, answer, task, source,
+  CASE WHEN id % 5 = 0 THEN 'meta ' || gold END AS meta_gold FROM flag_k WHERE kept)"""
 KEYED = f"keyed AS (SELECT *, {O.dedupe_key('question', 'trace')} AS key FROM filtered)"
 FIRST = "firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY id, pos) = 1)"
 
@@ -80,12 +81,12 @@ def _sqlstr(s: str) -> str:
 
 
 SFT = [
-    f"r0 AS (SELECT key, id, pos, task, question, answer, {S('trace')} AS t0 FROM firsts)",
+    f"r0 AS (SELECT key, id, pos, task, meta_gold, question, answer, {S('trace')} AS t0 FROM firsts)",
     f"r1 AS (SELECT *, CASE WHEN contains(t0, '<think>') THEN t0 ELSE '<think>' || {NL} || t0 END AS t1 FROM r0)",
     f"r2 AS (SELECT *, CASE WHEN contains(t1, '</think>') THEN t1 ELSE t1 || {NL} || '</think>' END AS t2 FROM r1)",
     f"""r3 AS (SELECT *, CASE WHEN contains(t2, {NL} || 'Answer:') OR contains(substring(t2, instr(t2, '</think>') + 8), 'Answer:')
         THEN t2 ELSE t2 || {NL} || 'Answer: ' || answer END AS t3 FROM r2)""",
-    f"""sft AS (SELECT key, id, pos, task, {_sqlstr(_PROMPT_HEAD)} || question || {_sqlstr(_PROMPT_TAIL)} AS prompt,
+    f"""sft AS (SELECT key, id, pos, task, meta_gold, {_sqlstr(_PROMPT_HEAD)} || question || {_sqlstr(_PROMPT_TAIL)} AS prompt,
         t3 || '<|im_end|>' AS response FROM r3)""",
 ]
 
@@ -169,7 +170,7 @@ def eval_ctes(votes: str = "votes", ids: tuple[str, ...] = ("id",), items_k: str
     ]
 
 
-EVAL = [TRACES, WA, KEYS, *vote_ctes("keys", ["id"]), BASE, ITEMS_ARC, ITEMS_GSM, ITEMS_MATH, *eval_ctes()]
+EVAL = [TRACES, WA, KEYS, *vote_ctes("keys", ["id"], weighted="by task"), BASE, ITEMS_ARC, ITEMS_GSM, ITEMS_MATH, *eval_ctes()]
 
 
 # ---------------------------------------------------------------- encode
@@ -186,7 +187,7 @@ ENC = [
         list_slice(ids, least(len(p), len(ids)) + 1, len(ids))) AS labels FROM enc1)""",
 ]
 BATCH = [
-    f"""bat0 AS (SELECT *, CAST(('0x' || substring(md5('{SEED}:' || key), 1, 8)) AS BIGINT) % 16 AS bucket,
+    f"""bat0 AS (SELECT *, CAST(('0x' || substring(md5('{SEED}:' || key), 1, 8)) AS BIGINT) % ((count(*) OVER () + 16383) // 16384) AS bucket,
         md5('{SEED}:' || key) AS h FROM enc)""",
     "bat1 AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY h) - 1) // 4 AS batch_no FROM bat0)",
     "bat AS (SELECT *, max(len(ids)) OVER (PARTITION BY bucket, batch_no) AS width FROM bat1)",
@@ -226,10 +227,24 @@ def oracle_sql() -> dict[str, str]:
         f"{O.gold_gsm8k(chr(39) + 'so #### ' + chr(39) + ' || CAST(doc_id % 97 + 3 AS VARCHAR)')} AS gold_item FROM documents"
     )
     sql["teacher_records"] = w(TRACES) + (
-        "SELECT CAST(id AS VARCHAR) AS id, CAST(pos // 1024 AS INTEGER) AS part, any_value(gold) AS gold, "
-        "CAST(count(*) AS INTEGER) AS n_traces, "
-        "md5(string_agg(trace, chr(1) ORDER BY pos)) AS traces_md5 FROM traces GROUP BY id, question, pos // 1024"
+        "SELECT CAST(id AS VARCHAR) AS id, any_value(gold) AS gold, CAST(count(*) AS INTEGER) AS n_traces, "
+        "md5(string_agg(trace, chr(1) ORDER BY pos)) AS traces_md5, "
+        "any_value(source) AS teacher, any_value(CASE WHEN id % 5 = 0 THEN 'meta ' || gold END) AS meta_gold FROM traces GROUP BY id, question"
     )
+    sql["join_outputs"] = sql["teacher_records"]
+    sql["explode_records"] = w(TRACES) + "SELECT CAST(id AS VARCHAR) AS id, pos, md5(trace) AS trace_md5, source AS teacher FROM traces"
+    for name in ("jsonl_round_trip", "jsonl_shards"):
+        extra = ", CAST(CASE task WHEN 'arc' THEN 0 WHEN 'gsm8k' THEN 1 WHEN 'math' THEN 2 ELSE 3 END AS INTEGER) AS shard_no" if name == "jsonl_shards" else ""
+        sql[name] = w(TRACES) + (
+            "SELECT CAST(id AS VARCHAR) AS id, CAST(count(*) AS INTEGER) AS n_traces, md5(string_agg(trace, chr(1) ORDER BY pos)) AS traces_md5"
+            f"{extra} FROM traces GROUP BY id, question, task"
+        )
+    sql["prompt_table"] = w(BASE) + "SELECT doc_id AS id, text AS prompt, task FROM base"
+    sql["train_eval_files"] = w(*FILTER_CHAIN, *SFT, SPLIT) + "SELECT prompt, response, task, split FROM split"
+    sql["union_shards"] = w(TRACES) + (
+        "SELECT id, pos, CAST(CASE task WHEN 'arc' THEN 0 WHEN 'gsm8k' THEN 1 WHEN 'math' THEN 2 ELSE 3 END AS INTEGER) AS shard_no FROM traces"
+    )
+    sql["first_rows"] = w(TRACES) + f"SELECT id, pos FROM traces ORDER BY id, pos LIMIT {CAP}"
     sql["dedupe_key"] = w(TRACES) + f"SELECT id, pos, {O.dedupe_key('question', 'trace')} AS key FROM traces"
     sql["dedupe_first"] = w(TRACES) + (
         f"SELECT key, id, pos FROM (SELECT id, pos, {O.dedupe_key('question', 'trace')} AS key FROM traces) "
@@ -243,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
     sql["train_eval_split"] = w(*FILTER_CHAIN, *SFT, SPLIT) + "SELECT key, split FROM split"
     rl_tail = S("split_part(response, 'Answer:', -1)")
     sql["rl_prompts"] = w(*FILTER_CHAIN, *SFT, SPLIT) + (
-        f"SELECT prompt, {S(f'rtrim({rl_tail}, {q(chr(60) + chr(124) + 'im_end' + chr(124) + chr(62))})')} AS gold, "
+        f"SELECT prompt, coalesce(meta_gold, {S(f'rtrim({rl_tail}, {q(chr(60) + chr(124) + 'im_end' + chr(124) + chr(62))})')}) AS gold, "
         "coalesce(task, 'generic') AS task FROM split WHERE split = 'train' "
         "QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY shuffle_pos) = 1"
     )
@@ -265,12 +280,13 @@ def oracle_sql() -> dict[str, str]:
         f"{r9('(reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-6::DOUBLE)')} AS advantage "
         "FROM mix WINDOW g AS (PARTITION BY prompt_id)"
     )
+    fifth = "CAST(ceil(length(text) / 5) AS INTEGER)"
     choice_lines = " || ".join(
-        f"'{c}) ' || substring(text, {1 + 12 * i}, 12) || {NL}" for i, c in enumerate("ABCDE")
+        f"'{c}) ' || substring(text, {fifth} * {i} + 1, {fifth}) || {NL}" for i, c in enumerate("ABCDE")
     )
     sql["arc_questions"] = w(BASE) + (
         f"SELECT doc_id AS id, question || {NL} || {NL} || {choice_lines} || {_sqlstr(ARC_INSTRUCTION)} AS question "
-        "FROM base WHERE task = 'arc'"
+        "FROM base"
     )
     sql["eval_items"] = w(*EVAL) + (
         f"SELECT bench, id, gold, pred, support, k, {r9('confidence')} AS confidence, correct FROM ev"
@@ -279,39 +295,36 @@ def oracle_sql() -> dict[str, str]:
     sql["accuracy"] = w(*EVAL) + (
         f"SELECT bench, count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct, {r9(acc)} AS acc FROM ev GROUP BY bench"
     )
-    wkeys = (
-        f"wkeys AS (SELECT id, task, pos, {O.vote_key('answer', 'task')} AS key, "
-        "CASE WHEN length(trace) <= 0 THEN 1.0::DOUBLE ELSE exp(((pos + 1) * -0.37::DOUBLE) / length(trace)) END AS w FROM wa)"
-    )
-    sql["weighted_vote"] = w(TRACES, WA, wkeys, *vote_ctes("wkeys", ["id"], weighted=True)) + (
+    sql["weighted_vote"] = w(TRACES, WA, KEYS, *vote_ctes("keys", ["id"], weighted=True)) + (
         "SELECT id, answer, support, total FROM votes"
     )
     ks = "(SELECT unnest([1, 2, 4, 8, 16]) AS sweep_k)"
     kkeys = f"kkeys AS (SELECT k.sweep_k, id, task, pos, {O.vote_key('answer', 'task')} AS key FROM wa JOIN {ks} k ON wa.pos < k.sweep_k)"
     k_ev = eval_ctes("kvotes", ("sweep_k", "id"), items_k=f" CROSS JOIN {ks}")
-    sql["k_sweep"] = w(TRACES, WA, kkeys, *vote_ctes("kkeys", ["sweep_k", "id"], name="kvotes"), BASE,
+    sql["k_sweep"] = w(TRACES16, WA, kkeys, *vote_ctes("kkeys", ["sweep_k", "id"], name="kvotes"), BASE,
                        ITEMS_ARC, ITEMS_GSM, ITEMS_MATH, *k_ev,
                        f"kacc AS (SELECT bench, sweep_k, CASE WHEN max(k) >= sweep_k THEN {acc} END AS acc FROM ev GROUP BY bench, sweep_k)") + (
         "SELECT sweep_k AS k, "
         + ", ".join(f"{r9(f'max(acc) FILTER (WHERE bench = {q(b)})')} AS {b}" for b, _ in BENCHES)
         + " FROM kacc GROUP BY sweep_k"
     )
-    models = ", ".join(f"({i}, {q(m)})" for i, m in enumerate(MODELS))
     benches = ", ".join(f"({i}, {q(b)}, {q(n)})" for i, (b, n) in enumerate(BENCHES))
-    header = "| bench | " + " | ".join(MODELS) + " |"
-    sep = "|" + "|".join(["---"] * (len(MODELS) + 1)) + "|"
-    sql["bench_report"] = w(
+    report = w(
         *EVAL,
         f"macc AS (SELECT bench, source AS model, {acc} AS acc FROM ev GROUP BY ALL)",
-        f"grid AS (SELECT b.bench_no, b.bench, b.bench_name, m.model_no, m.model FROM (VALUES {benches}) b(bench_no, bench, bench_name), (VALUES {models}) m(model_no, model))",
-        "cells AS (SELECT g.*, CASE WHEN a.acc IS NULL THEN 'n/a' ELSE printf('%.3f', round_even(a.acc, 3)) END AS cell "
+        "models AS (SELECT DISTINCT model FROM macc)",
+        f"grid AS (SELECT * FROM (VALUES {benches}) b(bench_no, bench, bench_name), models)",
+        "cells AS (SELECT g.*, CASE WHEN a.acc IS NULL THEN 'n/a' ELSE printf('%.3f', a.acc) END AS cell "
         "FROM grid g LEFT JOIN macc a ON g.bench = a.bench AND g.model = a.model)",
-    ) + (
+    )
+    sql["bench_report"] = report + (
         f"SELECT 0 AS line_no, {_sqlstr('# Reasoning post-training results' + chr(10))} AS line "
-        f"UNION ALL SELECT 1, {q(header)} UNION ALL SELECT 2, {q(sep)} "
-        "UNION ALL SELECT bench_no + 3, '| ' || bench_name || ' | ' || string_agg(cell, ' | ' ORDER BY model_no) || ' |' "
+        "UNION ALL SELECT 1, '| bench | ' || string_agg(model, ' | ' ORDER BY model) || ' |' FROM models "
+        "UNION ALL SELECT 2, repeat('|---', 1 + count(*)::INTEGER) || '|' FROM models "
+        "UNION ALL SELECT bench_no + 3, '| ' || bench_name || ' | ' || string_agg(cell, ' | ' ORDER BY model) || ' |' "
         "FROM cells GROUP BY bench_no, bench_name"
     )
+    sql["eval_files"] = w(*EVAL) + f"SELECT bench, 'v1.5-' || bench AS model, {r9(acc)} AS acc, count(*) AS n FROM ev GROUP BY bench"
     tok = "(length(trace) // 4)"
     sql["length_summary"] = w(TRACES) + (
         f"SELECT lang AS stage, count(*) AS count, {r9(f'avg({tok})')} AS mean, {r9(f'stddev_samp({tok})')} AS std, "
@@ -355,7 +368,7 @@ def oracle_sql() -> dict[str, str]:
         f"{r9('CAST(count(*) FILTER (WHERE support = k AND k > 0 AND NOT correct) AS DOUBLE) / greatest(count(*), 1)')} AS trap_rate "
         "FROM ev GROUP BY bench"
     )
-    marker = q(r"[Aa]nswer" + O.T.WS + r"*[:\-]")
+    marker = q(O.MARKER)
     multi = f"len(regexp_extract_all(trace, {marker})) > 1"
     sql["answer_thrash"] = w(TRACES) + (
         f"SELECT task, count(*) AS traces, count(*) FILTER (WHERE {multi}) AS multi_answer, "
@@ -375,6 +388,16 @@ def oracle_sql() -> dict[str, str]:
         f"{r9(f'CAST(count(*) FILTER (WHERE {empty}) AS DOUBLE) / greatest(count(*), 1)')} AS empty_rate "
         "FROM traces GROUP BY task"
     )
+    per_hour = "CASE WHEN source = 'src0' THEN 1350 ELSE 100 + length(source) * 10 END"
+    sql["usable_per_hour"] = w(TRACES, FLAG, FLAG_A, FLAG_K) + (
+        f"SELECT source AS teacher, CAST({per_hour} AS DOUBLE) AS traces_per_hour, "
+        f"{r9(f'CAST({per_hour} AS DOUBLE) * ((count(*) FILTER (WHERE kept))::DOUBLE / greatest(count(*), 1))')} AS usable_per_hour FROM flag_k GROUP BY source"
+    )
+    sql["conversation_rewards"] = (
+        "WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'), "
+        f"comp_a AS (SELECT * FROM m), {', '.join(_format_ctes())} "
+        f"SELECT conv_id, turn, {r9('r_format')} AS r_format, {r9(R_LENGTH)} AS r_length_penalty, {r9(R_PRESENT)} AS r_answer_present FROM fm"
+    )
     sql["length_by_step"] = w(TRACES) + (
         f"SELECT CAST(id % 10 AS INTEGER) AS step, count(*) AS completions, {r9(f'avg({tok})')} AS mean_tokens "
         "FROM traces GROUP BY ALL"

@@ -1,9 +1,8 @@
 """End-to-end jobs: distil and build (E1), evaluate (E2), reward scoring.
 
 Each job reads tables, runs the operators and writes its outputs. Stage
-boundaries are the exchanges inside the operators; the one materialised
-intermediate (rows before the exact split, which needs several passes) is
-written to the shared checkpoint folder, so a lost executor costs a
+boundaries are the exchanges inside the operators; what several passes need
+(keys, hashes, evaluated rows) is written to the shared checkpoint folder, so a lost executor costs a
 recomputation of the lost partitions, not of the whole job.
 """
 
@@ -20,6 +19,7 @@ from thinkframe.operators import evals as V
 from thinkframe.operators import reports as P
 from thinkframe.operators import rewards as RW
 from thinkframe.operators.vote import DEFAULT_STRATEGY, sample_keys
+from thinkframe.session import written
 from thinkframe.sources import io
 
 
@@ -37,23 +37,26 @@ def distill_and_build(
     """Teacher records per task -> verified traces -> SFT train/eval + RL prompts.
 
     ``shards``: (task, records) pairs in shard order; records have id,
-    question, gold, traces (array) and optionally a string-map ``meta``, plus
-    a source ordinal ``src_pos``. Writes ``filtered/`` (partitioned by
+    question, gold, traces (array) and optionally a string-map ``meta``, which
+    is passed on whole, plus the source-order columns of ``read_jsonl`` (or a
+    ``src_pos`` of the caller's; without any ValueError is raised, since an
+    invented order would not survive a retry). Writes ``filtered/`` (partitioned by
     task), ``train/``, ``eval/``, ``rl_prompts/`` as JSON Lines and the keep
     rates; returns the DataFrames.
     """
     filtered_parts, observed = [], []
+    placed = [c for c in io.SOURCE_ORDER if all(c in records.columns for _, records in shards)]
+    if "src_pos" not in placed:
+        raise ValueError("records need their source order: read them with read_jsonl, or add src_pos")
     for shard_no, (task, records) in enumerate(shards):
-        if "src_pos" not in records.columns:
-            records = records.withColumn("src_pos", F.monotonically_increasing_id())
-        records = io.spread(records, "src_pos")
+        records = io.spread(records, *placed)
         flat = D.explode_records(records).withColumn("task", F.lit(task))
         flagged = D.flag_traces(flat, max_trace_chars, min_trace_tokens)
         # A1 in the same pass as the write: seen/kept are observed, not recomputed
         obs = Observation(f"keep_rate_{shard_no}")
         flagged = flagged.observe(obs, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("kept")).alias("kept_n"))
         observed.append((task, obs))
-        kept = D.kept_rows(flagged, keep_cols=["src_pos", "pos"])
+        kept = D.kept_rows(flagged, keep_cols=[*placed, "pos"])
         filtered_parts.append(kept.withColumn("shard_no", F.lit(shard_no)))
     filtered = filtered_parts[0]
     for part in filtered_parts[1:]:
@@ -62,21 +65,22 @@ def distill_and_build(
     io.write_table(filtered, f"{out_dir}/filtered", partition_by=["task"])
     filtered = spark.read.parquet(f"{out_dir}/filtered")
     stats = [(t, o.get["seen"], o.get["kept_n"]) for t, o in observed]
-    keep = spark.createDataFrame(stats, "task string, seen long, kept long").withColumn(
+    keep = spark.createDataFrame(stats, "task string, seen long, kept long")
+    keep = keep.groupBy("task").agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept")).withColumn(
         "pct", F.col("kept") * 100.0 / F.greatest(F.col("seen"), F.lit(1))
     )
 
-    order = ["shard_no", "src_pos", "pos"]
+    order = ["shard_no", *placed, "pos"]
     rows = D.sft_rows(filtered.drop("task"), order, per_task_cap)
     split = D.split_train_eval(rows, "key", seed, eval_frac, with_eval)
     cols = ["prompt", "response", "task", "meta"]
     train = split.where(F.col("split") == "train")
     ev = split.where(F.col("split") == "eval")
-    io.write_jsonl(train.select(*cols, "shuffle_pos"), f"{out_dir}/train", order_by=["shuffle_pos"])
+    io.write_jsonl(train, f"{out_dir}/train", order_by=["shuffle_pos"], columns=cols)
     if with_eval:
-        io.write_jsonl(ev.select(*cols, "shuffle_pos"), f"{out_dir}/eval", order_by=["shuffle_pos"])
+        io.write_jsonl(ev, f"{out_dir}/eval", order_by=["shuffle_pos"], columns=cols)
     rl = D.rl_prompts(train)
-    io.write_jsonl(rl, f"{out_dir}/rl_prompts", order_by=["shuffle_pos"])
+    io.write_jsonl(rl, f"{out_dir}/rl_prompts", order_by=["shuffle_pos"], columns=["prompt", "gold", "task"])
     return {"filtered": filtered, "split": split, "rl_prompts": rl, "keep_rate": keep,
             "rows_by_task": D.rows_by_task(split)}
 
@@ -91,7 +95,7 @@ def evaluate_benches(
     model: str = "model",
 ) -> dict[str, DataFrame]:
     """Vote K samples per item, score per benchmark, write rows and summaries."""
-    rows = V.evaluate(completions, items, strategy, weight, k)
+    rows = written(V.evaluate(completions, items, strategy, weight, k), "eval-rows")  # one vote over the texts
     if out_dir:
         for bench in items:
             io.write_eval(rows.where(F.col("bench") == bench), f"{out_dir}/{bench}.{model}")
@@ -114,7 +118,7 @@ def evaluation_suite(
     agreement-trap rate all read that table, never the completion text.
     """
     keys_path = f"{work_dir}/keys"
-    completions = io.spread(completions, "id")
+    completions = io.spread(completions, "id", "pos")
     io.write_table(sample_keys(completions, ("id",), weight=weight), keys_path)
     keys = spark.read.parquet(keys_path)
     rows = V.evaluate_keys(keys, items, strategy)

@@ -1,15 +1,20 @@
 """Trace fixture derived from the ``documents`` table.
 
-The driver tables hold no answer lines, so K = 8 teacher traces per
-document are derived from ``documents`` by arithmetic on ``doc_id`` and
-``k``: about 55 % carry the intended answer in one of several surface
-forms, 1 in 16 has no answer line, slot 7 has two answer lines, slot 6 puts
-the answer before the body. The rows grow with ``documents``; the
-expansion is a narrow ``explode(sequence(0, k-1))`` (no join).
-
-Derived companions: eval items per bench (ARC choices from 12-character
-slices of the text), chat-message completions, and per-sample log-prob
-sums for weighted votes.
+The driver tables hold no answer lines, so K teacher traces per document
+(K = 8; 16 for the K-sweep) are derived from ``documents`` by arithmetic on
+``doc_id`` and ``k``: about 55 % carry the intended answer in one of several
+surface forms, 1 in 16 has no answer line, slot 7 has two answer lines, slot 6
+puts the answer before the body. A document's whole text is the question.
+
+Tasks: one document in 20 is ``generic`` (free-text answer); the others take
+turns between arc, gsm8k and math. Rules' odd branches occur too: arc golds
+without a letter, long decimals whose equality needs more than 9 digits,
+``1_0`` forms, metadata with and without a gold, zero lengths and really
+different weights. The rows grow with ``documents``; the expansion is a narrow
+``explode(sequence(0, k-1))`` (no join).
+
+Derived companions: eval items per bench (ARC choices are the text cut in
+five), chat-message completions, and per-sample log-prob sums.
 """
 
 from __future__ import annotations
@@ -29,18 +34,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_base(docs: DataFrame) -> DataFrame:
     d = F.col("doc_id")
-    task = F.when(d % 3 == 0, "arc").when(d % 3 == 1, "gsm8k").otherwise("math")
+    task = (
+        F.when(d % 20 == 19, "generic").when(d % 3 == 0, "arc").when(d % 3 == 1, "gsm8k").otherwise("math")
+    )
     g = (
-        F.when(d % 3 == 0, F.expr("chr(cast(65 + doc_id % 4 as int))"))
-        .when(d % 3 == 1, (F.lit(3) + d % 97).cast("string"))
+        F.when(task == "generic", F.concat(F.lit("Text "), (d % 9).cast("string")))
+        .when(task == "arc", F.when(d % 30 == 0, "?").otherwise(F.expr("chr(cast(65 + doc_id % 4 as int))")))
+        .when(task == "gsm8k", (F.lit(3) + d % 97).cast("string"))
+        .when(d % 9 == 2, F.concat(F.lit("0.12345678901"), (F.lit(1) + d % 7).cast("string")))
         .otherwise(F.concat((F.lit(1) + d % 7).cast("string"), F.lit("/"), (F.lit(2) + d % 5).cast("string")))
     )
-    return docs.select(
-        "doc_id", "text", "lang", "source",
-        F.substring("text", 1, 60).alias("question"),
-        task.alias("task"),
-        g.alias("g"),
-    )
+    return docs.select("doc_id", "text", "lang", "source", F.col("text").alias("question"), task.alias("task"), g.alias("g"))
 
 
 def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
@@ -54,11 +58,13 @@ def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
                .when(kk % 3 == 1, F.concat(F.lit("("), F.lower(g), F.lit(")")))
                .otherwise(F.concat(g, F.lit(" is best"))))
         .when(task == "gsm8k",
-              F.when(kk % 4 == 0, g)
+              F.when(kk % 4 == 0, F.when(d % 11 == 0, F.regexp_replace(g, "^(.)(.)$", "$1_$2")).otherwise(g))
               .when(kk % 4 == 1, F.concat(g, F.lit(".0")))
               .when(kk % 4 == 2, F.concat(F.lit("$"), g))
               .otherwise(F.concat(g, F.lit("."))))
-        .otherwise(F.when(kk % 2 == 0, g).otherwise(F.concat(F.lit("\\boxed{"), g, F.lit("}"))))
+        .when(task == "generic", F.when(kk % 2 == 0, F.upper(g)).otherwise(F.concat(F.lit(" "), g)))
+        .otherwise(F.when(kk % 2 == 0, F.when(d % 9 == 2, F.concat(g, F.lit("0"))).otherwise(g))
+                   .otherwise(F.concat(F.lit("\\boxed{"), g, F.lit("}"))))
     )
     wrong = F.when(task == "arc", F.expr("chr(cast(65 + (doc_id + k + 1) % 5 as int))")).otherwise(
         ((d + kk) % 3).cast("string")
@@ -82,8 +88,10 @@ def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
 
 
 def with_meta(t: DataFrame) -> DataFrame:
-    """Attach the provenance map a teacher record carries."""
-    return t.withColumn("meta", F.create_map(F.lit("teacher"), F.col("source")))
+    """Attach the provenance map a teacher record carries; every fifth document's has a gold."""
+    gold = F.when(F.col("id") % 5 == 0, F.create_map(F.lit("gold"), F.concat(F.lit("meta "), F.col("gold"))))
+    none = F.create_map().cast("map<string,string>")
+    return t.withColumn("meta", F.map_concat(F.create_map(F.lit("teacher"), F.col("source")), F.coalesce(gold, none)))
 
 
 def with_messages(t: DataFrame) -> DataFrame:
@@ -93,16 +101,19 @@ def with_messages(t: DataFrame) -> DataFrame:
 
 
 def with_logprobs(t: DataFrame) -> DataFrame:
-    """Per-sample log-prob sum and length for the weighted vote."""
-    return t.withColumn("logprob_sum", (F.col("pos") + 1) * F.lit(-0.37)).withColumn(
-        "n_tokens", F.length("trace")
-    )
+    """Per-sample log-prob sum and length for the weighted vote; sample 0 has length 0."""
+    total = (F.col("pos") + 1) * (F.lit(1) + F.col("id") % 7) * F.lit(-0.37)
+    return t.withColumn("logprob_sum", total).withColumn("n_tokens", F.col("pos") * 3)
 
 
-def arc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _doc_base(documents(spark, sf_dir)).where(F.col("task") == "arc")
+def arc_items(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """ARC items of the arc documents (``every``: of all documents): the text is
+    the question and, cut in five, the choices."""
+    base = _doc_base(documents(spark, sf_dir))
+    base = base if every else base.where(F.col("task") == "arc")
     labels = F.array(*[F.lit(c) for c in "ABCDE"])
-    texts = F.array(*[F.substring("text", 1 + 12 * i, 12) for i in range(5)])
+    fifth = F.ceil(F.length("text") / 5).cast("int")
+    texts = F.array(*[F.col("text").substr(fifth * i + 1, fifth) for i in range(5)])
     return base.select(
         F.col("doc_id").alias("id"), "question",
         F.struct(labels.alias("label"), texts.alias("text")).alias("choices"),

@@ -1,7 +1,7 @@
 """Sources and sinks (S1-S7) with explicit schemas and source order.
 
-Record files are JSON Lines. Every read carries an ordinal
-(``src_file``, ``src_pos``) because file order decides keep-first dedupe,
+Record files are JSON Lines. Every read carries its place in the source
+(``SOURCE_ORDER``) because file order decides keep-first dedupe,
 caps and vote tie-breaks, and Spark rows have no order of their own.
 Parquet is the default at-rest format for intermediate tables.
 """
@@ -9,6 +9,7 @@ Parquet is the default at-rest format for intermediate tables.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 # Record schemas (Spark DDL).
 TEACHER_RECORD = (
     "id string, question string, gold string, traces array<string>, "
-    "meta struct<dataset:string, split:string, teacher:string, k:int, temperature:double>"
+    "meta map<string,string>"
 )
 FILTERED_RECORD = "id string, question string, gold string, trace string, answer string, meta map<string,string>"
 SFT_RECORD = "prompt string, response string, task string, meta map<string,string>"
@@ -30,50 +31,59 @@ SAMPLE_RECORD = (
 EVAL_SUMMARY = "acc double, n long"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+# Columns that ``read_jsonl`` adds; sorted by them, records stand in source order.
+SOURCE_ORDER = ("src_file_no", "src_file", "src_block", "src_pos")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-redistribute a scan that yields fewer splits than the cluster has cores.
 
     A small file with one row group, or one compressed (unsplittable) file,
     is read by one task, and all per-row text work after it would run on one
     core. Large inputs already have more splits than cores and are left
-    alone (no extra shuffle). Apply it after any source ordinal is assigned.
+    alone (no extra shuffle). Apply it after any source ordinal is assigned;
+    ``keys`` should tell rows apart, so that no key gathers many rows.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
+        return df.repartition(target, *keys)
     return df
 
 
 def read_jsonl(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
     """JSON Lines with a fixed schema (no inference pass); blank lines skipped.
 
-    Adds ``src_file`` and ``src_pos``: within one file ``src_pos`` grows with
-    the line order (splits of a file are numbered in offset order).
+    A line that is no JSON record of the schema stops the job. Adds the columns
+    of ``SOURCE_ORDER``: the path's place in ``paths``, the file, the split's
+    offset in it, and an ordinal that grows within the split.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(paths)
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("src_file"),
-        F.monotonically_increasing_id().alias("src_pos"),
-    )
+    parts = []
+    for i, path in enumerate([paths] if isinstance(paths, str) else list(paths)):
+        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        parts.append(df.select(
+            "*",
+            F.lit(i).alias("src_file_no"),
+            F.col("_metadata.file_path").alias("src_file"),
+            F.col("_metadata.file_block_start").alias("src_block"),
+            F.monotonically_increasing_id().alias("src_pos"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_shards(spark: SparkSession, paths: Sequence[str], schema: str | T.StructType) -> DataFrame:
     """S2 + U1: shards concatenated in the given order (``shard_no``)."""
-    out = None
-    for i, p in enumerate(paths):
-        df = read_jsonl(spark, p, schema).withColumn("shard_no", F.lit(i))
-        out = df if out is None else out.unionByName(df)
-    return out
+    return read_jsonl(spark, paths, schema).withColumn("shard_no", F.col("src_file_no"))
 
 
-def write_jsonl(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
+def write_jsonl(df: DataFrame, path: str, order_by: Sequence[str] = (), columns: Sequence[str] | None = None) -> None:
     """S3: JSON Lines, UTF-8 kept raw, NULL fields written; parents created.
 
     ``order_by`` sorts the output (a range-partitioned sort, not one task).
+    ``columns`` are the fields to write (default: all), so that the order
+    columns need not become fields.
     """
     out = df.orderBy(*order_by) if order_by else df
+    out = out.select(*columns) if columns else out
     out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
@@ -85,35 +95,52 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     w.parquet(path)
 
 
-def read_prompts(spark: SparkSession, path: str, prompt_field: str = "prompt") -> DataFrame:
-    """Prompt table, the prompt column renamed to ``prompt`` when needed."""
-    df = spark.read.json(path)
+def read_prompts(spark: SparkSession, path: str, prompt_field: str = "prompt", schema: str | T.StructType | None = None) -> DataFrame:
+    """Prompt table, the prompt column renamed to ``prompt`` when needed.
+
+    With a ``schema`` there is no inference pass; without one, fields are found
+    by reading the file first (their names are the user's).
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.option("mode", "FAILFAST").json(path)
     return df.withColumnRenamed(prompt_field, "prompt") if prompt_field != "prompt" else df
 
 
 def read_train_eval(spark: SparkSession, train_path: str, eval_path: str | None = None,
                     schema: str = SFT_RECORD) -> tuple[DataFrame, DataFrame | None]:
-    """Train table and an optional eval table (absent or unreadable -> None)."""
-    train = spark.read.schema(schema).json(train_path)
-    ev = None
-    if eval_path:
-        try:
-            ev = spark.read.schema(schema).json(eval_path)
-            ev.schema  # noqa: B018  (resolves the path now)
-        except AnalysisException:
-            ev = None
-    return train, ev
+    """Train table and an optional eval table.
+
+    The eval table is None when its path is missing or any of its lines cannot
+    be read; a train line that cannot be read stops the job.
+    """
+    train = spark.read.schema(schema).option("mode", "FAILFAST").json(train_path)
+    if not eval_path:
+        return train, None
+    try:
+        marked = spark.read.schema(f"{schema}, _corrupt_record string").json(eval_path)
+        broken = marked.where(F.col("_corrupt_record").isNotNull()).select("prompt", "_corrupt_record").head(1)
+    except AnalysisException:
+        return train, None
+    return train, None if broken else spark.read.schema(schema).json(eval_path)
 
 
 def write_eval(rows: DataFrame, path: str) -> DataFrame:
-    """Item rows as Parquet under ``path/rows``, the summary as one JSON row."""
+    """Item rows as Parquet under ``path/rows``, the summary as one JSON row.
+
+    The summary is taken from the rows as written, so they are computed once.
+    """
     rows.write.mode("overwrite").parquet(f"{path}/rows")
-    summary = rows.agg(
+    summary = rows.sparkSession.read.parquet(f"{path}/rows").agg(
         (F.count_if(F.col("correct")) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("acc"),
         F.count(F.lit(1)).alias("n"),
     )
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    return summary
+    return read_summary(rows.sparkSession, path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary row that ``write_eval`` left under ``path``."""
+    return spark.read.schema(EVAL_SUMMARY).json(f"{path}/summary")
 
 
 def read_eval_results(spark: SparkSession, root: str) -> DataFrame:
@@ -129,6 +156,6 @@ def read_eval_results(spark: SparkSession, root: str) -> DataFrame:
     run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/summary/[^/]+$", 1)
     return df.where(F.col("_corrupt_record").isNull()).select(
         F.substring_index(run, ".", 1).alias("bench"),
-        F.substring_index(run, ".", -1).alias("model"),
+        F.regexp_replace(run, r"^[^.]*\.", "").alias("model"),  # a model tag may hold dots
         F.col("acc"),
     )

@@ -40,12 +40,7 @@ def start_filter_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     records = reader.json(source_dir)
-    meta = F.create_map(
-        F.lit("dataset"), F.col("meta.dataset"),
-        F.lit("split"), F.col("meta.split"),
-        F.lit("teacher"), F.col("meta.teacher"),
-    )
-    flat = explode_records(records.withColumn("meta", meta)).withColumn("task", F.lit(task))
+    flat = explode_records(records).withColumn("task", F.lit(task))
     kept = filter_traces(flat, max_trace_chars, min_trace_tokens, keep_cols=["pos"])
     writer = (
         kept.writeStream.format("parquet")
