@@ -7,29 +7,33 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from thinkframe.session import checkpoint_dir
+from thinkframe.session import shared_path
 
 # White space of the word contracts: space and \t \n \v \f \r.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 SEGMENT = 1 << 20  # bytes hashed at once; bounds the temporary arrays
 CHUNK_BYTES = 1 << 20  # bytes of documents handled together
+CHUNK_ROWS = 512  # and rows, at most
 
 
-def shared_path(spark, name: str) -> str:
-    """A fresh folder name under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+FILE_ROWS = 500_000  # rows of a narrow table per file
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    ``rows``: a bound of its rows, known from the table it comes from; the
+    table then has a file per FILE_ROWS of them instead of one per task.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,22 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null reads as an empty text."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def doc_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have about ``limit`` bytes (one row at least)."""
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        end = min(n, max(at + 1, end))
-        yield at, end
-        at = end
+def doc_chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets) for row ranges of a string column whose
+    texts have about ``limit`` bytes (one row at least); the offsets are those
+    of the range's rows. Only a range at a time is copied."""
+    for start in range(0, len(column), rows):
+        data, offsets = utf8(column.slice(start, rows))
+        at, n = 0, len(offsets) - 1
+        while at < n:
+            end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
+            end = min(n, max(at + 1, end))
+            yield start + at, start + end, data, offsets[at : end + 1]
+            at = end
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -116,23 +122,23 @@ class WordHasher:
             at = end
         return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found])
 
-    def documents(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int):
-        """Per-word hashes of rows first..last and the words' row bounds.
+    def documents(self, data: np.ndarray, offsets: np.ndarray):
+        """Per-word hashes of the rows that ``offsets`` bound, and the words' row bounds.
 
         Returns (hashes, bounds): row i's words are hashes[bounds[i]:bounds[i+1]].
         """
-        n = last - first
-        lengths = np.diff(offsets[first : last + 1])
+        lengths = np.diff(offsets)
+        n = len(lengths)
         # a space after every row keeps words of neighbouring rows apart
         joined = np.full(int(lengths.sum()) + n, 0x20, np.uint8)
         own = np.zeros(n + 1, np.int64)
         np.cumsum(lengths + 1, out=own[1:])
         if n == 1:
-            joined[: lengths[0]] = data[offsets[first] : offsets[last]]
+            joined[: lengths[0]] = data[offsets[0] : offsets[-1]]
         else:
             keep = np.ones(len(joined), bool)
             keep[own[1:] - 1] = False
-            joined[keep] = data[offsets[first] : offsets[last]]
+            joined[keep] = data[offsets[0] : offsets[-1]]
         hashes, starts = self.words(joined)
         return hashes, np.searchsorted(starts, own)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thinkframe.llm.common import doc_chunks, utf8
+from thinkframe.llm.common import doc_chunks
 from thinkframe.llm.sampling import fitted, fold, kept_share
 
 BITS = 12
@@ -55,9 +55,9 @@ class Grams:
         self.letter[97:123] = np.arange(97, 123)
         self.letter[128:] = np.arange(128, 256)
 
-    def of(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.ndarray:
-        n, out = last - first, np.zeros((last - first, SIZE), np.float32)
-        for i, (a, b) in enumerate(zip(offsets[first:last], offsets[first + 1 : last + 1], strict=True)):
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(offsets) - 1, SIZE), np.float32)
+        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             counts = np.zeros(SIZE, np.int64)
             for at in range(a, b, 1 << 20):  # long texts by pieces that overlap by two bytes
                 piece = np.zeros(min(b, at + (1 << 20)) - max(a, at - 2) + 2, np.uint32)
@@ -152,9 +152,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grams()
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            for first, last in doc_chunks(offsets):
-                x = own.of(data, offsets, first, last)
+            for first, last, data, offsets in doc_chunks(batch.column(2)):
+                x = own.of(data, offsets)
                 at = [np.flatnonzero(r).astype(np.uint16) for r in x]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[first:last], batch.column(1)[first:last],
@@ -191,10 +190,9 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text", names: tup
     def guess(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, model = Grams(), shared.value
         for texts in columns:
-            data, offsets = utf8(texts)
             names, scores = [], []
-            for first, last in doc_chunks(offsets):
-                best, score = predict(model, own.of(data, offsets, first, last))
+            for _, _, data, offsets in doc_chunks(texts):
+                best, score = predict(model, own.of(data, offsets))
                 names += [model["langs"][i] for i in best]
                 scores.append(score)
             score = np.concatenate(scores).astype(float) if scores else np.zeros(0)

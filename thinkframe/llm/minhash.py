@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thinkframe.llm.common import WordHasher, doc_chunks, mix64, shingles, utf8, written
+from thinkframe.llm.common import WordHasher, doc_chunks, mix64, shingles, written
 from thinkframe.llm.components import connected_components
 
 BANDS, ROWS, BITS = 24, 4, 4
@@ -43,6 +43,7 @@ HASHES = BANDS * ROWS
 LANES = 64 // BITS
 LONGS = HASHES // LANES
 BLOCK = 2048  # members of a band key compared at once
+MAP_BITS = 1 << 15  # 4 KB: a block's bitmaps stay under 16 MB
 LISTED = 4  # pairs per member that a key may list before it gives a spanning forest instead
 MAX_ROUNDS = 40
 FILTER_BITS = 1 << 23  # of the broadcast set of wanted keys (1 MB, whatever the input)
@@ -88,9 +89,8 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, minima = WordHasher(), _Minima()
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for first, last in doc_chunks(offsets):
-                hashes, bounds = hasher.documents(data, offsets, first, last)
+            for first, last, data, offsets in doc_chunks(batch.column(1)):
+                hashes, bounds = hasher.documents(data, offsets)
                 n = last - first
                 sizes, digests, least = np.zeros(n, np.int64), [], np.zeros((n, HASHES), np.uint64)
                 for i in range(n):
@@ -122,9 +122,10 @@ def _wanted(ids: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(k, shingle_set) of the wanted ids of ``source`` (k, t): sorted distinct
-    64-bit shingle hashes as bytes. Texts do not move: rows whose id is surely
-    not wanted are dropped where they are read."""
+    """(k, n, shingle_set, map) of the wanted ids of ``source`` (k, t): sorted
+    distinct 64-bit shingle hashes as bytes, their number and their bitmap.
+    Texts do not move: rows whose id is surely not wanted are dropped where
+    they are read."""
     shared = source.sparkSession.sparkContext.broadcast(_wanted(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,20 +133,21 @@ def shingle_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             place = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            data, offsets = utf8(batch.column(1))
-            for first, last in doc_chunks(offsets):
-                hashes, bounds = hasher.documents(data, offsets, first, last)
+            for first, last, data, offsets in doc_chunks(batch.column(1)):
+                hashes, bounds = hasher.documents(data, offsets)
                 own = [shingles(hashes[bounds[i] : bounds[i + 1]], words).tobytes() for i in range(last - first)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(own, pa.binary())], names=["k", "shingle_set"])
+                sizes = pa.array([len(x) // 8 for x in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], sizes, pa.array(own, pa.binary()), pa.array(map(bitmap, own), pa.binary())], names=["k", "n", "shingle_set", "map"])
 
     keyed = source.where("k IS NOT NULL").select("k", "t", F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS)).alias("place"))
-    return keyed.mapInArrow(sets, "k long, shingle_set binary").join(ids, "k", "left_semi")
+    return keyed.mapInArrow(sets, "k long, n long, shingle_set binary, map binary").join(ids, "k", "left_semi")
 
 
 def bitmap(shingle_set: bytes) -> bytes:
-    """16 to 32 bits per shingle (a power of two, 256 at least), set at the hashes' low bits."""
+    """16 to 32 bits per shingle (a power of two from 256 to MAP_BITS), set at the
+    hashes' low bits; larger sets only make the bound looser."""
     values = np.frombuffer(shingle_set, np.uint64)
-    size = max(256, 16 << max(0, len(values) - 1).bit_length())
+    size = min(MAP_BITS, max(256, 16 << max(0, len(values) - 1).bit_length()))
     at = np.unique(values & np.uint64(size - 1)).astype(np.int64)
     out = np.zeros(size // 64, np.uint64)
     np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
@@ -175,7 +177,7 @@ def possible(sizes: np.ndarray, maps: list[np.ndarray], p: np.ndarray, q: np.nda
             side.append((_folded(np.stack([maps[r] for r in used]), words), at, sizes[rows]))
         (x, xa, nx), (y, ya, ny) = side
         cx, cy = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
-        step = max(1, (1 << 22) // words)
+        step = max(1, (1 << 19) // words)
         for at in range(0, len(own), step):
             a, b = xa[at : at + step], ya[at : at + step]
             both = np.bitwise_count(x[a] & y[b]).sum(axis=1, dtype=np.int64)
@@ -312,12 +314,6 @@ def _across(members: DataFrame, lanes: DataFrame, maps: DataFrame, refused: Data
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "bucket long, a long, b long, whole boolean")
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        maps = [bitmap(x.as_py()) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["k", "n", "map"])
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept.
 
@@ -346,22 +342,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     several = members.groupBy("bucket").count().where("count > 2").select("bucket")
     several = members.select("bucket", "k").join(several, "bucket")
     ids = near.select(F.explode(F.array("a", "b")).alias("k")).union(several.select("k")).distinct()
-    sets = written(shingle_sets(source, written(ids, "wanted"), words), "sets")
-    maps = sets.select("k", (F.octet_length("shingle_set") / 8).cast("long").alias("n"), "shingle_set").mapInArrow(_bitmaps, "k long, n long, map binary")
-    maps = written(maps.dropDuplicates(["k"]), "bitmaps")
-    links = written(_confirmed(near, sets, percent), "links")
+    sets = written(shingle_sets(source, ids, words), "sets")
+    maps = sets.select("k", "n", "map").dropDuplicates(["k"])
+    tries = near.count()
+    links = written(_confirmed(near, sets, percent), "links", tries)
     refused = near.join(links, ["a", "b"], "left_anti")
-    last = written(connected_components(links), "components")
+    last = connected_components(links, rows=tries)
     for _ in range(MAX_ROUNDS):
         labelled = several.join(last, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("component", "k").alias("c"))
         tried = written(_across(labelled, lanes, maps, refused, least, percent), "across")
+        tries += tried.count()
         pairs = tried.select("a", "b").distinct()
-        more = written(_confirmed(pairs, sets, percent), "links")
-        refused = written(refused.union(pairs.join(more, ["a", "b"], "left_anti")), "refused")
-        last = written(connected_components(last.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
-        several = written(several.join(tried.where("not whole").select("bucket").distinct(), "bucket", "left_semi"), "open-keys")
-        if not several.head(1):
+        more = written(_confirmed(pairs, sets, percent), "links", tries)
+        last = connected_components(last.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), rows=2 * tries)
+        again = tried.where("not whole").select("bucket").distinct()
+        if not again.head(1):
             break
+        refused = written(refused.union(pairs.join(more, ["a", "b"], "left_anti")), "refused", tries)
+        several = written(several.join(again, "bucket", "left_semi"), "open-keys")
     else:
         raise RuntimeError("the components did not settle")
 

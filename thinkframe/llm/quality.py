@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thinkframe.llm.common import WordHasher, doc_chunks, utf8
+from thinkframe.llm.common import WordHasher, doc_chunks
 from thinkframe.llm.sampling import fitted, fold, kept_share
 
 WORD_BITS = 13
@@ -65,13 +65,13 @@ class Features:
         self.hasher = WordHasher()
         self.classes = _byte_classes()
 
-    def of(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word ids, row bounds, statistic ids: rows x statistics)."""
-        n = last - first
-        hashes, bounds = self.hasher.documents(data, offsets, first, last)
-        sizes = np.diff(offsets[first : last + 1])
+        hashes, bounds = self.hasher.documents(data, offsets)
+        sizes = np.diff(offsets)
+        n = len(sizes)
         rows = np.repeat(np.arange(n), sizes)
-        text = data[offsets[first] : offsets[last]]
+        text = data[offsets[0] : offsets[-1]]
         counts = np.bincount(rows * len(_CLASSES) + self.classes[text], minlength=n * len(_CLASSES)).reshape(n, -1).astype(float)
         words = np.diff(bounds)
         row_of = np.repeat(np.arange(n), words)
@@ -164,9 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for first, last in doc_chunks(offsets):
-                ids, bounds, stats = own.of(data, offsets, first, last)
+            for first, last, data, offsets in doc_chunks(batch.column(1)):
+                ids, bounds, stats = own.of(data, offsets)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[first:last], batch.column(2)[first:last],
                     pa.array([ids[a:b].astype(np.uint16).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()), pa.array([s.astype(np.uint16).tobytes() for s in stats], pa.binary()),
@@ -203,8 +202,7 @@ def score(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
             if model is None:
                 yield pa.array(np.full(len(texts), 0.5))
                 continue
-            data, offsets = utf8(texts)
-            parts = [_logistic(raw_scores(model, *own.of(data, offsets, first, last))) for first, last in doc_chunks(offsets)]
+            parts = [_logistic(raw_scores(model, *own.of(data, offsets))) for _, _, data, offsets in doc_chunks(texts)]
             yield pa.array(np.concatenate(parts).astype(float) if parts else np.zeros(0))
 
     return docs.withColumn(column, F.arrow_udf(score_all, "double")(F.col(text)))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thinkframe.llm import ann, chat, langid, licenses, minhash, mixing, packing, quality, tokenfile, vecdedup
-from thinkframe.llm.common import shared_path, written
+from thinkframe.llm.common import written
 from thinkframe.llm.sampling import fold
+from thinkframe.session import shared_path
 
 MAX_TOKENS = 1024
 END_OF_PIECE = 2
