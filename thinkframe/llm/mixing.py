@@ -165,7 +165,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     out = sized.join(full, F.col(source).cast("string").eqNullSafe(F.col("s"))).withColumn("__b", _block(F.col("__bits")))
     last = F.expr("__cut is not null and (__b < __cut or (__b = __cut and coalesce(__h <= __end, false) <> array_contains(__flips, __h)))")
-    out = out.withColumn("copies", F.col("__epochs") + last.cast("int"))
+    out = out.withColumn("copies", F.least(F.col("__epochs") + last.cast("int"), F.lit(ceiling)))
     draw = "cast(aggregate(__upto, 0, (n, x) -> n + if(x <= e * shiftleft(1L, __bits) + pmod(__a[e] * __b + __c[e], __m[e]), 1, 0)) as int)"
     out = out.withColumn("shards", F.expr(f"transform(filter(sequence(0, __epochs), e -> e < copies), e -> {draw})"))
     return out.select(*[docs[c] for c in docs.columns], *ADDED)
