@@ -93,3 +93,18 @@ def test_tiny_and_mixed_weights(spark):
 def test_weights_add_up_as_doubles_in_sample_order(spark):
     s = samples(spark, {"q": ["Answer: A", "Answer: B", "Answer: B"]}, weights={"q": [0.3, 0.1, 0.2]})
     assert weighted_vote(s.repartition(3), weight=F.col("w")).first().answer == "B"  # 0.1 + 0.2 > 0.3 in doubles
+
+
+def test_votes_over_prefixes_equal_votes_over_the_first_samples(spark):
+    from thinkframe.operators.vote import sample_keys, vote, vote_prefixes
+
+    rnd = __import__("random").Random(4)
+    rows = [(f"q{i}", p, ["arc", "gsm8k"][i % 2], f"Answer: {rnd.choice('ABC12')}" if rnd.random() < 0.8 else "none", rnd.random())
+            for i in range(60) for p in range(i % 9)]
+    s = spark.createDataFrame(rows, "id string, pos int, task string, trace string, w double")
+    for strategy in ("majority", "weighted", {"arc": "majority", "gsm8k": "weighted"}):
+        cols = ["id", "task", "answer", "support", "total", "confidence"]
+        at_once = vote_prefixes(sample_keys(s, weight="w"), [1, 2, 5, 16], strategy=strategy)
+        for k in (1, 2, 5, 16):
+            one_by_one = vote(s, strategy=strategy, weight="w", k=k)
+            assert sorted(map(str, at_once.where(F.col("k") == k).select(*cols).collect())) == sorted(map(str, one_by_one.select(*cols).collect()))

@@ -21,7 +21,7 @@ from thinkframe.functions.text import (
     pystrip,
     with_math_equal,
 )
-from thinkframe.operators.vote import DEFAULT_STRATEGY, sample_keys, vote_keys
+from thinkframe.operators.vote import DEFAULT_STRATEGY, sample_keys, vote_keys, vote_prefixes
 
 # Benchmark keys and display names, in report order.
 BENCHES = (("arc_c", "ARC-Challenge"), ("gsm8k", "GSM8K"), ("math_500", "MATH-500"))
@@ -150,9 +150,8 @@ def k_sweep(
 ) -> DataFrame:
     """A10 + J3: accuracy per K as a K x bench table.
 
-    Each sample is paired with every K it belongs to (``pos < K``) by a
-    narrow explode over the K list (no join), then voted per (K, item).
-    A K larger than every item's sample count is reported as NULL, like a
+    Samples are counted once per (item, answer) with a count per K
+    (``vote_prefixes``), not multiplied by the Ks. A K larger than every item's sample count is reported as NULL, like a
     missing run.
     """
     return k_sweep_keys(sample_keys(completions, ("id",), weight=weight), items, ks, strategy)
@@ -166,11 +165,10 @@ def k_sweep_keys(
 ) -> DataFrame:
     """``k_sweep`` from a narrow ``sample_keys`` table (keys are extracted once)."""
     ks_arr = F.array(*[F.lit(int(k)) for k in ks])
-    paired = keys.select("*", F.explode(F.filter(ks_arr, lambda k: F.col("pos") < k)).alias("k_sweep"))
-    votes = vote_keys(paired, ("k_sweep", "id"), strategy)
+    votes = vote_prefixes(keys, [int(k) for k in ks], ("id",), strategy)
     # each item once per K (narrow explode), so items without samples count
     items_k = _bench_items(items, ("id",), ()).select("*", F.explode(ks_arr).alias("sweep_k"))
-    out = _score_items(items_k, votes.withColumnRenamed("k_sweep", "sweep_k"), ("sweep_k", "id"), ())
+    out = _score_items(items_k, votes.withColumnRenamed("k", "sweep_k"), ("sweep_k", "id"), ())
     acc = out.groupBy("bench", "sweep_k").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("correct")).alias("n_correct"),

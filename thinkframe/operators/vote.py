@@ -63,6 +63,14 @@ def key_counts(keys: DataFrame, id_cols: Sequence[str] = ("id",), weighted: Colu
     return keys.groupBy(*ids, "task", "key").agg(*aggs)
 
 
+def _is_weighted(strategy: str | Mapping[str, str]) -> Column | None:
+    """Whether a row's task votes by weight; None if no task does."""
+    if isinstance(strategy, str):
+        return F.lit(True) if strategy == "weighted" else None
+    tasks = [t for t, s in strategy.items() if s == "weighted"]
+    return F.coalesce(F.col("task").isin(tasks), F.lit(False)) if tasks else None
+
+
 def distribution_table(keys: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
     """A5 in relational form: one row per (item, answer key) with its count."""
     kc = key_counts(keys, id_cols).where(F.col("key").isNotNull())
@@ -84,11 +92,7 @@ def vote_keys(
     ``distribution_table``, whose rows stay apart.
     """
     ids = [F.col(c) for c in id_cols]
-    if isinstance(strategy, str):
-        weighted = F.lit(True) if strategy == "weighted" else None
-    else:
-        tasks = [t for t, s in strategy.items() if s == "weighted"]
-        weighted = F.coalesce(F.col("task").isin(tasks), F.lit(False)) if tasks else None
+    weighted = _is_weighted(strategy)
     per_key = key_counts(keys, id_cols, weighted)
     score = F.col("cnt").cast("double")
     if weighted is not None:
@@ -114,6 +118,47 @@ def vote_keys(
     )
 
 
+def _before(k: int):
+    return lambda x: x["pos"] < k
+
+
+def vote_prefixes(
+    keys: DataFrame,
+    ks: Sequence[int],
+    id_cols: Sequence[str] = ("id",),
+    strategy: str | Mapping[str, str] = "majority",
+) -> DataFrame:
+    """The votes over the first k samples (``pos < k``) for every k of ``ks``:
+    ids, k, task, answer, support, total, confidence.
+
+    Two aggregations for all ks together: one count (and weight sum) per k and
+    (item, key), one winner per k and item; samples are never multiplied. An
+    item without a sample among the first k has no row for that k.
+    """
+    ids = [F.col(c) for c in id_cols]
+    weighted = _is_weighted(strategy)
+    aggs = [F.min("pos").alias("first_pos"), *[F.count_if(F.col("pos") < k).alias(f"n{k}") for k in ks]]
+    if weighted is not None:
+        listed = F.sort_array(F.collect_list(F.when(weighted, F.struct("pos", "w"))))
+        for k in ks:
+            first = F.filter(listed, _before(k))
+            aggs.append(F.aggregate(first, F.lit(0.0), lambda total, x: total + x["w"]).alias(f"w{k}"))
+    per_key = keys.groupBy(*ids, "task", "key").agg(*aggs)
+
+    def winner(k: int) -> Column:
+        score = F.col(f"n{k}").cast("double")
+        if weighted is not None:
+            score = F.when(weighted, F.col(f"w{k}")).otherwise(score)
+        in_play = F.col("key").isNotNull() & (F.col(f"n{k}") > 0)
+        order = F.when(in_play, F.struct(score.alias("s"), (-F.col("first_pos")).alias("p")))
+        return F.max_by(F.struct(F.col("key").alias("answer"), F.col(f"n{k}").alias("support")), order)
+
+    per_item = per_key.groupBy(*ids, "task").agg(*[winner(k).alias(f"v{k}") for k in ks], *[F.sum(f"n{k}").alias(f"t{k}") for k in ks])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"v{k}.answer"), F.coalesce(F.col(f"v{k}.support"), F.lit(0)).cast("long").alias("support"), F.col(f"t{k}").cast("long").alias("total")) for k in ks])
+    out = per_item.select(*ids, "task", F.inline(rows)).where("total > 0")
+    return out.withColumn("confidence", F.col("support") / F.col("total"))
+
+
 def vote(
     samples: DataFrame,
     id_cols: Sequence[str] = ("id",),
