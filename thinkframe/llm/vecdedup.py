@@ -17,9 +17,10 @@
 6. An audit compares a bounded sample's counts with brute force; if it misses
    more than 1 in 100, the overlap is doubled and the graph built again.
 
-Shards that hold more than ``BLOCK`` members are cut into hash blocks, each
-with a graph and medoid of its own, and searched block by block, so that a
-group of near copies of any size needs bounded memory.
+Shards that hold more than ``BLOCK`` members are cut into hash blocks (cut
+differently in each shard), each with a graph and medoid of its own, and
+searched block by block, from the medoid and from what the query's own list
+names there, so that a group of near copies of any size needs bounded memory.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from thinkframe.llm.components import connected_components
 from thinkframe.llm.sampling import fitted, kept_share
 from thinkframe.llm.vectors import cosine, element_type, matrix, packed_vectors, unit
 
-SHARD = 2048  # classes per centroid, about
+SHARD = 1024  # classes per centroid, about
 SAMPLE = 16_384  # expected classes the centroids are fitted on, at most
 BLOCK = 8192  # members of a shard that a task holds at once
 OVERLAP = 4
@@ -129,9 +130,10 @@ def _neighbours(bounds: np.ndarray, flat: np.ndarray, nodes: np.ndarray) -> np.n
     return np.unique(flat[at])
 
 
-def range_search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, bounds: np.ndarray, flat: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+def range_search(queries: np.ndarray, own: np.ndarray, known: list[np.ndarray], x: np.ndarray, bounds: np.ndarray, flat: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """(query, rows of ``x`` with a cosine of about ``least`` or more), for the
-    queries that have any. ``own``: a query's own row, or -1."""
+    queries that have any. ``own``: a query's own row, or -1; ``known``: rows
+    that its adjacency list names."""
     reach = np.sqrt(2 - 2 * least) * (1 + 1 / ALPHA**2)
     slack = 1 - min(reach, 2.0) ** 2 / 2
     medoid = int((x @ x.mean(axis=0)).argmax())
@@ -155,7 +157,7 @@ def range_search(queries: np.ndarray, own: np.ndarray, x: np.ndarray, bounds: np
             moving, best, value = moving[better], nodes[np.arange(len(best)), best][better], value[better]
             now[moving], score[moving] = best, value
         for i in range(len(q)):
-            start = np.unique([now[i], mine[i]] if mine[i] >= 0 else [now[i]])
+            start = np.unique(np.concatenate([[now[i]], [mine[i]] if mine[i] >= 0 else known[at + i]]).astype(np.int64))
             front = np.union1d(start, _neighbours(bounds, flat, start))
             near = x[front] @ q[i]
             seen, found = front, [front[near >= least]]
@@ -176,7 +178,7 @@ def _links(classes: DataFrame, centroids: np.ndarray, overlap: int, least: float
     """(rep, links, root): found link weights and one component link per class and task."""
     members = written(_members(classes, centroids, overlap, kind), "shards")
     blocks = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(written(blocks, "blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.join(written(blocks, "blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("rep", "shard"), F.col("blocks")).cast("int"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep", ignore_index=True)
@@ -188,7 +190,8 @@ def _links(classes: DataFrame, centroids: np.ndarray, overlap: int, least: float
     united = written(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
     there = members.join(united, "rep").select("shard", F.explode(numbers).alias("asking"), "block", "rep", "weight", "v", "near")
-    here = members.where("home").select("shard", F.col("block").alias("asking"), F.explode(numbers).alias("block"), "rep", "v").toDF("shard", "asking", "block", "q", "qv")
+    here = members.where("home").join(united, "rep").select("shard", F.col("block").alias("asking"), F.explode(numbers).alias("block"), "rep", "v", "near")
+    here = here.toDF("shard", "asking", "block", "q", "qv", "known")
     group = ["shard", "asking", "block"]
 
     def search(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
@@ -197,17 +200,19 @@ def _links(classes: DataFrame, centroids: np.ndarray, overlap: int, least: float
         there, here = there.sort_values("rep", ignore_index=True), here.sort_values("q", ignore_index=True)
         reps, asked, weight = there["rep"].to_numpy(np.int64), here["q"].to_numpy(np.int64), there["weight"].to_numpy(np.int64)
         raw, raw_asked = matrix(there["v"], kind), matrix(here["qv"], kind)
-        lists = []
-        for near in there["near"]:
-            at = np.minimum(np.searchsorted(reps, near), len(reps) - 1)
-            lists.append(at[reps[at] == near])
+
+        def places(ids: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(reps, ids), len(reps) - 1)
+            return at[reps[at] == ids]
+
+        lists, known = [places(x) for x in there["near"]], [places(x) for x in here["known"]]
         bounds, flat = _both_ways(lists, len(reps))
         own = np.minimum(np.searchsorted(reps, asked), len(reps) - 1)
         own = np.where(reps[own] == asked, own, -1)
         nodes = np.union1d(reps, asked)
         label, place, mine = np.arange(len(nodes)), np.searchsorted(nodes, reps), np.searchsorted(nodes, asked)
         links = np.zeros(len(asked), np.int64)
-        for i, rows in range_search(unit(raw_asked), own, unit(raw), bounds, flat, least - 1e-9):
+        for i, rows in range_search(unit(raw_asked), own, known, unit(raw), bounds, flat, least - 1e-9):
             rows = rows[cosine(np.broadcast_to(raw_asked[i], (len(rows), raw.shape[1])), raw[rows]) >= least]
             links[i] = weight[rows].sum()
             old = np.unique(label[np.append(place[rows], mine[i])])
