@@ -161,6 +161,45 @@ def test_shards_overlap(spark, monkeypatch):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute_vectors(rows, 0.9)
 
 
+def test_pairs_beside_a_hot_group(spark, monkeypatch):
+    """Lost small pairs show in the audit although one group has nearly all links."""
+    monkeypatch.setattr(vecdedup, "SHARD", 100)
+    monkeypatch.setattr(vecdedup, "OVERLAP", 1)
+    rng = np.random.Generator(np.random.PCG64(3))
+    x = rng.normal(size=(200, 8))
+    y = x + 0.3 * rng.normal(size=x.shape)
+    hot = np.ones(8) + 0.01 * rng.normal(size=(500, 8))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([x, y, hot]))]
+    out, report = vecdedup.near_duplicates(vectors(spark, [(*r, 0, "", 0) for r in rows]), least=0.9)
+    got = {r["vec_id"]: r["n_links"] for r in out.collect()}
+    want = {w[0]: w[1] for w in brute_vectors(rows, 0.9)}
+    small = [i for i in want if 0 < want[i] < vecdedup.FEW]
+    assert len(small) > 100 and report["recall"] >= 0.99
+    assert sum(got[i] for i in small) >= 0.98 * sum(want[i] for i in small) and all(got[i] <= want[i] for i in want)
+
+
+def test_a_link_seen_from_one_end_counts_for_both(spark, monkeypatch):
+    """Each end joins its own two shards; counts are those of pairs compared in either home, once."""
+    monkeypatch.setattr(vecdedup, "SHARD", 40)
+    rows = cloud(2, 400, 100, 0.15)
+    classes = spark.createDataFrame([(i, 1, bytes(np.array(v, "<f4").tobytes())) for i, v in rows], "rep long, weight long, v binary")
+    centroids = vecdedup._centroids(classes, 10, "<f4")
+    got = {r["rep"]: r["n"] for r in vecdedup._links(classes, centroids, 2, 0.9, "<f4").groupBy("rep").agg({"links": "sum"}).toDF("rep", "n").collect()}
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = np.argsort(-(x.astype(np.float32) @ centroids.T), axis=1, kind="stable")[:, :2]
+    meets = (top[:, None, :] == top[None, :, :1]).any(axis=2)
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    want = (near & (meets | meets.T)).sum(axis=1)
+    assert (near & (meets ^ meets.T)).any()
+    assert [got.get(i, 0) for i in range(len(rows))] == want.tolist()
+
+
+def test_no_links_in_the_audit_are_unknown():
+    assert vecdedup.audit_recall({}, {}) is None
+    assert vecdedup.audit_recall({1: 1, 2: 1, 3: 5000}, {1: 1, 3: 5000}) == 0.5
+
+
 ODD_VECTORS = [
     (1, [1.0] * 8), (2, [2.0] * 8), (3, None), (4, []), (5, [0.0] * 8), (6, [1.0, None] + [0.0] * 6), (7, [float("nan")] + [1.0] * 7),
     (8, [float("inf")] + [1.0] * 7), (9, [1.0] * 8), (9, [1.0] * 8), (None, [1.0] * 8), (11, [1.0, 2.0]), (12, [-1.0] * 8), (13, [1e-30] * 8),

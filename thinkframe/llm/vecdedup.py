@@ -3,6 +3,7 @@
 1. Equal vectors collapse into weighted classes.
 2. Centroids of a bounded sample deal the classes into overlapping shards:
    each class joins its ``overlap`` nearest centroids; the nearest is its home.
+   So a pair is compared if either end joins the other's home.
 3. Each shard builds a graph: every member's nearest others, pruned robustly
    (a neighbour goes if a kept one is ``ALPHA`` times nearer to it), so lists
    stay short yet reach far. Adjacency lists of the shards are united.
@@ -12,10 +13,14 @@
    By the pruning rule a vector in range is reached through vectors whose
    distance is at most 1 + 1/ALPHA^2 times the range.
 5. What is found is verified in double precision on the original vectors. A
-   task returns one count and one link per class, never pairs; components
-   come from the links.
-6. An audit compares a bounded sample's counts with brute force; if it misses
-   more than 1 in 100, the overlap is doubled and the graph built again.
+   task returns one count and one link per class, never pairs; a link that
+   only one end's home can show counts for the other end too. Components come
+   from the links.
+6. An audit compares counts with brute force, class by class. It draws until
+   ``AUDITED`` classes with few links are in it (from about ``DRAWN`` at most) and
+   holds them apart from those with many; if either kind misses more than 1 in
+   100, the overlap is doubled and the graph built again. Where too few linked
+   classes turn up to tell, it is doubled until that brings no more links.
 
 Shards that hold more than ``BLOCK`` members are cut into hash blocks (cut
 differently in each shard), each with a graph and medoid of its own, and
@@ -43,7 +48,9 @@ SAMPLE = 16_384  # expected classes the centroids are fitted on, at most
 BLOCK = 8192  # members of a shard that a task holds at once
 OVERLAP = 4
 POOL, DEGREE, ALPHA = 48, 24, 1.2
-AUDITED = 256
+AUDITED = 256  # linked classes of a kind that the audit compares
+DRAWN = 16_384  # expected classes drawn to find them, at most: about the work of building the graph
+FEW = 16  # links of a class that is not in a large group
 
 
 def _centroids(sample: DataFrame, count: int, kind: str) -> np.ndarray:
@@ -67,7 +74,8 @@ def _centroids(sample: DataFrame, count: int, kind: str) -> np.ndarray:
 
 
 def _members(classes: DataFrame, centroids: np.ndarray, overlap: int, kind: str) -> DataFrame:
-    """(rep, weight, v, shard, home): a row per class and shard it joins."""
+    """(rep, weight, v, shard, home, joined): a row per class and shard it
+    joins; ``joined`` lists them all, the home first."""
     shared = classes.sparkSession.sparkContext.broadcast(centroids)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +88,11 @@ def _members(classes: DataFrame, centroids: np.ndarray, overlap: int, kind: str)
                 top = np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
                 rows = pa.array(np.repeat(np.arange(len(top)), k))
                 home = pa.array(np.tile(np.arange(k) == 0, len(top)))
-                yield pa.RecordBatch.from_arrays([*[part.column(i).take(rows) for i in range(3)], pa.array(top.reshape(-1)), home], names=["rep", "weight", "v", "shard", "home"])
+                joined = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1) * k, pa.int32()), pa.array(top.reshape(-1))).take(rows)
+                columns = [*[part.column(i).take(rows) for i in range(3)], pa.array(top.reshape(-1)), home, joined]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "weight", "v", "shard", "home", "joined"])
 
-    return classes.select("rep", "weight", "v").mapInArrow(deal, "rep long, weight long, v binary, shard int, home boolean")
+    return classes.select("rep", "weight", "v").mapInArrow(deal, "rep long, weight long, v binary, shard int, home boolean, joined array<int>")
 
 
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
@@ -189,9 +199,9 @@ def _links(classes: DataFrame, centroids: np.ndarray, overlap: int, least: float
     lists = members.select("shard", "block", "rep", "v").groupBy("shard", "block").applyInPandas(build, "rep long, near array<long>")
     united = written(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
-    there = members.join(united, "rep").select("shard", F.explode(numbers).alias("asking"), "block", "rep", "weight", "v", "near")
-    here = members.where("home").join(united, "rep").select("shard", F.col("block").alias("asking"), F.explode(numbers).alias("block"), "rep", "v", "near")
-    here = here.toDF("shard", "asking", "block", "q", "qv", "known")
+    there = members.join(united, "rep").select("shard", F.explode(numbers).alias("asking"), "block", "rep", "weight", "v", "near", F.col("joined")[0].alias("at_home"))
+    here = members.where("home").join(united, "rep").select("shard", F.col("block").alias("asking"), F.explode(numbers).alias("block"), "rep", "weight", "v", "near", "joined")
+    here = here.toDF("shard", "asking", "block", "q", "qw", "qv", "known", "joined")
     group = ["shard", "asking", "block"]
 
     def search(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
@@ -211,35 +221,67 @@ def _links(classes: DataFrame, centroids: np.ndarray, overlap: int, least: float
         own = np.where(reps[own] == asked, own, -1)
         nodes = np.union1d(reps, asked)
         label, place, mine = np.arange(len(nodes)), np.searchsorted(nodes, reps), np.searchsorted(nodes, asked)
-        links = np.zeros(len(asked), np.int64)
+        links, at_home = np.zeros(len(nodes), np.int64), there["at_home"].to_numpy(np.int64)
+        asked_weight, joined = here["qw"].to_numpy(np.int64), [np.asarray(x) for x in here["joined"]]
         for i, rows in range_search(unit(raw_asked), own, known, unit(raw), bounds, flat, least - 1e-9):
             rows = rows[cosine(np.broadcast_to(raw_asked[i], (len(rows), raw.shape[1])), raw[rows]) >= least]
-            links[i] = weight[rows].sum()
+            links[mine[i]] += weight[rows].sum()
+            links[place[rows[~np.isin(at_home[rows], joined[i])]]] += asked_weight[i]  # their homes do not hold the asking one
             old = np.unique(label[np.append(place[rows], mine[i])])
             if len(old) > 1:
                 label[np.isin(label, old)] = old[0]
-        out = pd.DataFrame({"rep": nodes, "links": np.zeros(len(nodes), np.int64), "root": nodes[label]})
-        out.loc[mine, "links"] = links
+        out = pd.DataFrame({"rep": nodes, "links": links, "root": nodes[label]})
         return out[(out["links"] > 0) | (out["rep"] != out["root"])]
 
     return there.groupBy(group).cogroup(here.groupBy(group)).applyInPandas(search, "rep long, links long, root long")
 
 
-def _audit(sample: pd.DataFrame, classes: DataFrame, least: float, kind: str) -> dict[int, int]:
-    """True link weights of a bounded sample of classes, by brute force."""
-    shared = classes.sparkSession.sparkContext.broadcast((sample["rep"].to_numpy(), [bytes(v) for v in sample["v"]]))
+def _truth(sample: pd.DataFrame, classes: DataFrame, least: float, kind: str) -> dict[int, int]:
+    """True link weights of a bounded sample's linked classes, by brute force."""
+    shared = classes.sparkSession.sparkContext.broadcast((sample["rep"].to_numpy(np.int64), [bytes(v) for v in sample["v"]]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, raw = shared.value
-        mine = unit(matrix(raw, kind))
+        mine, total = unit(matrix(raw, kind)), np.zeros(len(names), np.int64)
         for batch in batches:
-            near = (mine @ unit(matrix(batch.column(2).to_pylist(), kind)).T >= least) & (names[:, None] != batch.column(0).to_numpy()[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(near @ batch.column(1).to_numpy())], names=["rep", "links"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                other, reps, weight = unit(matrix(part.column(2).to_pylist(), kind)), part.column(0).to_numpy(), part.column(1).to_numpy()
+                for i in range(0, len(names), 1024):
+                    p, q = np.nonzero(mine[i : i + 1024] @ other.T >= least)
+                    p, q = p[names[i + p] != reps[q]], q[names[i + p] != reps[q]]
+                    np.add.at(total, i + p, weight[q])
+        some = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], names=["rep", "links"])
 
     found = classes.select("rep", "weight", "v").mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     return {r["rep"]: r["links"] for r in found.collect()}
 
 
+def _audited(classes: DataFrame, n: int, least: float, kind: str) -> tuple[dict[int, int], bool]:
+    """(true link weights of up to ``AUDITED`` classes with few links and as
+    many with more, whether they are enough to tell): classes are drawn by hash
+    until enough with few links are there or the draw of about ``DRAWN`` ends."""
+    share = min(1.0, DRAWN / n)
+    drawn = classes.where(kept_share(F.col("rep"), share, 29)).select("rep", "v", F.xxhash64(F.lit(31), "rep").alias("h")).toPandas()
+    drawn = drawn.sort_values(["h", "rep"], ignore_index=True)
+    few, many, at, step = {}, {}, 0, 4 * AUDITED
+    while at < len(drawn) and len(few) < AUDITED:
+        for rep, links in sorted(_truth(drawn[at : at + step], classes, least, kind).items()):
+            kept = few if links < FEW else many
+            if len(kept) < AUDITED:
+                kept[rep] = links
+        at, step = at + step, 4 * step
+    return few | many, len(few) >= AUDITED or (share == 1.0 and at >= n)
+
+
+def audit_recall(truth: dict[int, int], found: dict[int, int]) -> float | None:
+    """Mean recall of classes with few links or of those with many, whichever
+    is less; None where no class has links."""
+    kinds = [[min(found.get(r, 0), t) / t for r, t in truth.items() if (t < FEW) == few] for few in (True, False)]
+    return min((sum(x) / len(x) for x in kinds if x), default=None)
+
+
 def near_duplicates(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict]:
     """((key, n_links, component_id, kept) per distinct key, report).
 
@@ -248,31 +290,31 @@ def near_duplicates(df: DataFrame, least: float = 0.9, key: str = "vec_id", vect
     vectors of an unusual length and null keys link with nothing; repeated
     keys count once. ``component_id`` is the smallest key reachable by links.
     Other columns are not read; an empty table gives an empty table. The
-    report holds the audit's recall and the overlap it settled on.
+    report holds the audit's recall (None where no audited class has links)
+    and the overlap it settled on.
     """
     kind = element_type(df, vector)
     vectors = written(packed_vectors(df, key, vector), "vectors")
     classes = vectors.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     classes = written(classes, "classes")
-    n, report = classes.count(), {"recall": 1.0, "overlap": 0}
+    n, report = classes.count(), {"recall": None, "overlap": 0}
     links = None
     if n:
         sample = written(classes.where(kept_share(F.col("rep"), min(1.0, SAMPLE / n), 23)).select("rep", "v"), "centroid-sample")
         if not sample.head(1):
             sample = classes.orderBy("rep").limit(1).select("rep", "v")
         centroids = _centroids(sample, min(SAMPLE, -(-n // SHARD)), kind)
-        audited = classes.orderBy(F.xxhash64(F.lit(29), "rep")).limit(AUDITED).select("rep", "v").toPandas()
-        truth = _audit(audited, classes, least, kind)
-        overlap = min(OVERLAP, len(centroids))
+        truth, enough = _audited(classes, n, least, kind)
+        overlap, before = min(OVERLAP, len(centroids)), None
         while True:
             links = written(_links(classes, centroids, overlap, least, kind), "links")
-            counts = links.where(F.col("rep").isin([int(r) for r in audited["rep"]])).groupBy("rep").agg(F.sum("links").alias("n")).collect()
-            found = {r["rep"]: r["n"] for r in counts}
-            total = sum(truth.values())
-            recall = sum(min(found.get(r, 0), t) for r, t in truth.items()) / total if total else 1.0
+            counts = links.where(F.col("rep").isin(list(truth))).groupBy("rep").agg(F.sum("links").alias("n")).collect() if truth else []
+            recall = audit_recall(truth, {r["rep"]: r["n"] for r in counts})
             report = {"recall": recall, "overlap": overlap}
-            if recall >= 0.99 or overlap >= len(centroids):
+            total = None if enough else links.agg(F.sum("links")).first()[0] or 0
+            if overlap >= len(centroids) or ((recall is None or recall >= 0.99) and (enough or total == before)):
                 break
+            before = total
             overlap = min(2 * overlap, len(centroids))
     rows = vectors.select("id", "v")
     if links is None:
