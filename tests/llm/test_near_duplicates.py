@@ -77,6 +77,26 @@ def test_groups_whose_members_are_not_all_alike(spark, monkeypatch, listed, bloc
     assert found(df, words=4, percent=80) == brute(rows, 4, 80)
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_keys_that_stay_open_are_compared_exactly(spark, monkeypatch, rounds):
+    """Long texts just under the threshold pass signatures and bitmaps; with
+    forests only, more rounds than these would be needed."""
+    monkeypatch.setattr(minhash, "MAX_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "LISTED", 0)
+    rng = np.random.Generator(np.random.PCG64(8))
+    base = [f"w{i}" for i in range(6000)]
+    rows = []
+    for i in range(24):
+        own = list(base)
+        own[: 900] = [f"x{i - i % 8 if i % 8 < 2 else i}y{j}" for j in range(900)]  # pairs (0, 1), (8, 9) ... are alike
+        own[int(rng.integers(1000, 5000))] = f"z{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4, 80)
+    assert sum(not w[3] for w in want) == 3
+    assert found(df, words=4, percent=80) == want
+
+
 def test_bitmaps_never_exclude_a_link():
     rng = np.random.Generator(np.random.PCG64(4))
     sets = []

@@ -15,7 +15,10 @@
    no link is lost). A key lists the pairs that remain; where they are many
    times its members it yields a spanning forest of them instead. They are
    confirmed on full sets, components grow, refused pairs are noted, and the
-   search repeats under the keys that gave forests.
+   search repeats under the keys that gave forests. Keys still open after
+   ``MAX_ROUNDS`` rounds get an exact end: every pair left across their
+   components is compared on full sets, block pair by block pair in the tasks,
+   which return links only.
    So no link between texts that share a key is lost, while a group of
    thousands of near copies moves thousands of pairs, not millions.
 
@@ -45,7 +48,8 @@ LONGS = HASHES // LANES
 BLOCK = 2048  # members of a band key compared at once
 MAP_BITS = 1 << 15  # 4 KB: a block's bitmaps stay under 16 MB
 LISTED = 4  # pairs per member that a key may list before it gives a spanning forest instead
-MAX_ROUNDS = 40
+MAX_ROUNDS = 4  # of spanning forests; what is open then is compared exactly
+SET_BYTES = 1 << 24  # of full sets in a block that is compared exactly
 FILTER_BITS = 1 << 23  # of the broadcast set of wanted keys (1 MB, whatever the input)
 
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
@@ -252,19 +256,49 @@ def forest(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-def _across(members: DataFrame, lanes: DataFrame, maps: DataFrame, refused: DataFrame, least: int, percent: int) -> DataFrame:
+def _linked(sizes: np.ndarray, sets: list[bytes], label: np.ndarray, pairs: Iterator[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Those of the pairs that link on full sets, without links inside what
+    earlier ones put together: they connect what all of them connect."""
+    label, links = label.copy(), []
+    number = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1].astype(np.int32)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    own = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    for part in pairs:
+        for p in np.unique(part[:, 0]):
+            mine = number[bounds[p] : bounds[p + 1]]
+            own[mine] = True
+            for q in part[part[:, 0] == p, 1]:
+                if label[p] == label[q]:
+                    continue
+                both = int(np.count_nonzero(own[number[bounds[q] : bounds[q + 1]]]))
+                if 100 * both >= percent * (sizes[p] + sizes[q] - both):
+                    links.append((p, q))
+                    label[label == label[q]] = label[p]
+            own[mine] = False
+    return links
+
+
+def _across(members: DataFrame, lanes: DataFrame, maps: DataFrame, refused: DataFrame, least: int, percent: int, exact: bool = False) -> DataFrame:
     """Pairs (bucket, a, b, whole) to confirm across the components under each
     key of three or more members, hash blocks of large keys in pairs.
 
     ``whole``: the block's pairs are all there. That is so unless they are more
     than ``LISTED`` times its members; then they are a spanning forest.
+    ``exact``: ``lanes`` has the bands and ``maps`` the full sets, and the pairs
+    are links that connect what all links across the components connect. A
+    pair is then compared under the first key it shares only: where that key
+    is closed, the pair was tried before or lies in one component.
     """
     sizes = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2")
-    sizes = sizes.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.ceil(F.col("m") / BLOCK)
+    if exact:
+        held = members.join(maps.select("k", "n"), "k").groupBy("bucket").agg(F.sum("n").alias("held"))
+        sizes, blocks = sizes.join(held, "bucket"), F.greatest(blocks, F.ceil(8 * F.col("held") / SET_BYTES))
+    sizes = sizes.select("bucket", blocks.cast("int").alias("blocks"))
     no = refused.groupBy(F.col("a").alias("k")).agg(F.collect_list("b").alias("no"))
     rows = members.join(sizes, "bucket").join(lanes, "k").join(maps, "k").join(no, "k", "left")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "c", "n", "map", "no", *SIGNATURE)
+    dealt = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "c", "n", "map", "no", *SIGNATURE, *(["bands", "shingle_set"] if exact else []))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k", ignore_index=True)
@@ -296,20 +330,29 @@ def _across(members: DataFrame, lanes: DataFrame, maps: DataFrame, refused: Data
                 if len(no):
                     fresh = ~np.isin(p * len(k) + q, no)
                     p, q = p[fresh], q[fresh]
+                if exact:
+                    same = bands[p] == bands[q]
+                    first = bands[p, same.argmax(axis=1)] == bucket
+                    p, q = p[first], q[first]
                 good = possible(sizes, maps, p, q, percent)
                 yield np.stack([p[good], q[good]], axis=1)
 
         own = frame["own"].to_numpy()
         here, there = own == i, own == j
         parts = [(here & ~main, there)] if i == j else [(here & ~main, there), (here & main, there & ~main)]
-        found, whole = np.zeros((0, 2), np.int64), True
+        found, whole, bucket = np.zeros((0, 2), np.int64), True, frame["bucket"].iloc[0]
+        if exact:
+            bands = np.stack(frame["bands"].to_list())
+            pairs = (x for left, right in parts for x in near(np.flatnonzero(left), np.flatnonzero(right)))
+            found = np.array(_linked(sizes, frame["shingle_set"].to_list(), label, pairs, percent), np.int64).reshape(-1, 2)
+            parts = []
         for left, right in parts:
             for pairs in near(np.flatnonzero(left), np.flatnonzero(right)):
                 found = np.unique(np.concatenate([found, pairs]), axis=0)
                 if len(found) > LISTED * len(k):
                     found, whole = found[forest(label, found[:, 0], found[:, 1])], False
         ends = k[found]
-        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "a": ends[:, 0], "b": ends[:, 1], "whole": whole})
+        return pd.DataFrame({"bucket": bucket, "a": ends[:, 0], "b": ends[:, 1], "whole": whole})
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "bucket long, a long, b long, whole boolean")
 
@@ -348,20 +391,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = written(_confirmed(near, sets, percent), "links", tries)
     refused = near.join(links, ["a", "b"], "left_anti")
     last = connected_components(links, rows=tries)
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS + 1):
         labelled = several.join(last, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("component", "k").alias("c"))
+        known = last.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if turn == MAX_ROUNDS:
+            more = _across(labelled, classes.select("k", "bands", *SIGNATURE), sets.dropDuplicates(["k"]), refused, least, percent, exact=True)
+            more = written(more.select("a", "b").distinct(), "links")
+            last = connected_components(known.union(more))
+            break
         tried = written(_across(labelled, lanes, maps, refused, least, percent), "across")
         tries += tried.count()
         pairs = tried.select("a", "b").distinct()
         more = written(_confirmed(pairs, sets, percent), "links", tries)
-        last = connected_components(last.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), rows=2 * tries)
+        last = connected_components(known.union(more), rows=2 * tries)
         again = tried.where("not whole").select("bucket").distinct()
         if not again.head(1):
             break
         refused = written(refused.union(pairs.join(more, ["a", "b"], "left_anti")), "refused", tries)
         several = written(several.join(again, "bucket", "left_semi"), "open-keys")
-    else:
-        raise RuntimeError("the components did not settle")
 
     reps = classes.select("set_hash", F.col("k").alias("rep"))
     out = signed.select("k", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(last, F.col("rep") == F.col("node"), "left")
