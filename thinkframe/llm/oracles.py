@@ -85,9 +85,17 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s, row_number() OVER () AS r FROM documents
+), w AS (SELECT *, row_number() OVER g AS place, first(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY s) AS n FROM d WINDOW g AS (PARTITION BY s ORDER BY length(t) DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, n::BIGINT AS group_size, place = 1 AS kept, sha256(s) AS text_sha256 FROM w
+"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": op1(),
     "op7_chat_formatting": OP7,
     "op9_embedding_near_dedup": OP9,
     "op10_minhash_near_dedup": OP10,
+    "op13_exact_dedup": OP13,
 }
