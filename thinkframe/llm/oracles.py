@@ -85,6 +85,36 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+def op12(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Codes by measuring every part against every entry in every round."""
+    sql = rf"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS i, vec_id, label, x, len(x) // {parts} AS w
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0)
+), p AS MATERIALIZED (SELECT i, s, x[s * w + 1 : s * w + w] AS x, w FROM v, range({parts}) t(s)),
+book0 AS (SELECT s, i - 1 AS e, x AS c FROM p WHERE i <= {entries})"""
+    for r in range(rounds + 1):
+        sql += f""",
+near{r} AS MATERIALIZED (
+  SELECT i, s, min(d * {entries} + e) % {entries} AS e, min(d) AS d
+  FROM (SELECT i, p.s, e, list_sum(list_transform(range(1, w + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))::BIGINT AS d FROM p JOIN book{r} b ON b.s = p.s) GROUP BY i, s
+)"""
+        if r < rounds:
+            sql += f""",
+mean{r} AS (
+  SELECT s, e, list(m ORDER BY j) AS c FROM (
+    SELECT n.s, n.e, j, floor(sum(x[j]) / count(*))::BIGINT AS m FROM near{r} n JOIN p USING (i, s), range(1, w + 1) t(j) GROUP BY n.s, n.e, j
+  ) GROUP BY s, e
+),
+book{r + 1} AS MATERIALIZED (SELECT b.s, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON m.s = b.s AND m.e = b.e)"""
+    return sql + f""",
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY s, e)) AS h FROM book{rounds}),
+codes AS (SELECT i, string_agg(printf('%02x', e), '' ORDER BY s) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY i)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM codes JOIN v USING (i), sha
+"""
+
+
 OP13 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s, row_number() OVER () AS r FROM documents
@@ -97,5 +127,6 @@ ORACLES: dict[str, str] = {
     "op7_chat_formatting": OP7,
     "op9_embedding_near_dedup": OP9,
     "op10_minhash_near_dedup": OP10,
+    "op12_vector_codes": op12(),
     "op13_exact_dedup": OP13,
 }
