@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op9_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op10_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op11_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
     "op12_vector_codes": "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string",
     "op13_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
 }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinkframe.llm import ann, chat, codebooks, langid, licenses, minhash, mixing, naming, packing, quality, tokenfile, vecdedup
+from thinkframe.llm import ann, chat, codebooks, langid, licenses, minhash, mixing, naming, packing, quality, spelling, tokenfile, vecdedup
 from thinkframe.llm.common import written
 from thinkframe.llm.sampling import fold
 from thinkframe.session import shared_path
@@ -94,6 +94,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least_length=7, least_count=2, times=10, one_in=31)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books, _ = codebooks.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
     return codes.withColumn("codebooks_sha256", F.lit(books.sha256()))
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_vector_codes": op12_vector_codes,
     "op13_exact_dedup": op13_exact_dedup,
 }
