@@ -38,14 +38,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (its smallest id)."""
-    found = written(minhash.near_duplicates(docs, words=5, percent=80), "near-duplicates")
-    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.head(1):  # rows that repeat an id are one document
-        again = out.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).union(again.select(*docs.columns))
-    return out
+    """Keep one document of each group of near duplicates: the row of the
+    smallest doc_id (null last). Documents are rows of the table, numbered as
+    its files are read, so rows that repeat an id are documents of their own."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = written(minhash.near_duplicates(numbered, key="__row", words=5, percent=80), "near-duplicates")
+    groups = found.where("not kept").select("component_id").distinct()
+    members = found.join(groups, "component_id", "left_semi").join(numbered.select("__row", F.col("doc_id").alias("__id")), "__row")
+    members = written(members.select("component_id", F.struct(F.col("__id").isNull().alias("none"), "__id", "__row").alias("at")), "near-groups")
+    stays = members.groupBy("component_id").agg(F.min("at").alias("at")).select("at.__row")
+    goes = members.select("at.__row").join(stays, "__row", "left_anti")
+    return numbered.join(goes, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
