@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.helpers import ODD, no_docs, odd_docs, real_docs
 from thinkframe.llm import minhash, vecdedup
 from thinkframe.llm.components import connected_components
@@ -53,6 +54,24 @@ def test_no_documents(spark):
     assert found(no_docs(spark)) == []
 
 
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(1, a), (2, b), (2, a), (3, c), (4, b), (5, None), (5, c), (6, d), (6, ""), (7, d), (None, a), (9, "only"), (9, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4, 80)
+    assert {r[2] for r in want if r[0] in (1, 2, 4)} == {1} and {r[2] for r in want if r[0] in (3, 5)} == {3}
+    assert found(df, words=4) == want
+    assert found(df.repartition(5), words=4) == want
+
+
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (3, c), (4, b), (None, c), (None, a + " " + b), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (2, b), (3, c), (None, a + " " + b), (5, None), (5, None)], key=str)
+
+
 def copies(seed, n, words, changes):
     rng = random.Random(seed)
     base = [f"w{rng.randint(0, 5000)}" for _ in range(words)]

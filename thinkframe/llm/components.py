@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from thinkframe.llm.common import written
 
-MAX_ROUNDS = 50
-
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -25,13 +23,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int
     """(node, component) for every node of ``edges`` that is not itself the
     smallest of its component; nodes are longs.
 
-    ``rows``: a bound of the number of edges, if one is known. Loops, repeated edges and edges with a null end are ignored. No edges: an
-    empty table.
+    ``rows``: a bound of the number of edges, if one is known. Loops, repeated
+    edges and edges with a null end are ignored. No edges: an empty table.
     """
     pair = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = written(pair.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges", rows)
     mark = _mark(now)
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round brings every node to a smaller one, or nothing changes
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -41,4 +39,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows: int
         before, mark = mark, _mark(now)
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    raise RuntimeError("the components did not settle")

@@ -3,8 +3,9 @@
 1. One pass hashes every text's distinct word shingles and takes the minima of
    ``BANDS * ROWS`` hash functions. Only the low ``BITS`` bits of each minimum
    are kept, packed into longs; bands of ``ROWS`` full minima become keys.
-2. Texts with equal shingle sets collapse into one representative.
-3. Representatives that share a band key are candidates. First every member
+2. Texts with equal shingle sets collapse into one class, a node of its own
+   whatever the keys of its texts.
+3. Classes that share a band key are candidates. First every member
    of a key meets the key's smallest member only (a star). Candidates are
    estimated by counting equal lanes of the packed signatures, corrected for
    chance collisions; those within reach of the threshold are confirmed on
@@ -100,7 +101,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 for i in range(n):
                     own = shingles(hashes[bounds[i] : bounds[i + 1]], words)
                     sizes[i] = len(own)
-                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                    digests.append(digest(own.tobytes()) if len(own) else None)
                     if len(own):
                         least[i] = minima.of(own)
                 none = sizes == 0
@@ -116,20 +117,24 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size in which the bit of every id is set."""
-    place = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
-    rows = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(k), {FILTER_BITS}) & 63 as int))").alias("bit"))
+    """A bit array of fixed size in which the bit of every ``rep`` is set."""
+    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    rows = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) & 63 as int))").alias("bit"))
     words = np.zeros(FILTER_BITS // 64, np.int64)
     for r in rows.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
         words[r["w"]] = r["bits"]
     return words.view(np.uint64)
 
 
+def digest(shingle_set: bytes) -> bytes:
+    return hashlib.blake2b(shingle_set, digest_size=16).digest()
+
+
 def shingle_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(k, n, shingle_set, map) of the wanted ids of ``source`` (k, t): sorted
-    distinct 64-bit shingle hashes as bytes, their number and their bitmap.
-    Texts do not move: rows whose id is surely not wanted are dropped where
-    they are read."""
+    """(k, n, shingle_set, map) of the wanted classes ``ids`` (k, rep, set_hash)
+    of ``source`` (k, t): sorted distinct 64-bit shingle hashes as bytes, their
+    number and their bitmap, from the texts with the class's key. Texts do not
+    move: rows whose key is surely not wanted are dropped where they are read."""
     shared = source.sparkSession.sparkContext.broadcast(_wanted(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +146,14 @@ def shingle_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 hashes, bounds = hasher.documents(data, offsets)
                 own = [shingles(hashes[bounds[i] : bounds[i + 1]], words).tobytes() for i in range(last - first)]
                 sizes = pa.array([len(x) // 8 for x in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], sizes, pa.array(own, pa.binary()), pa.array(map(bitmap, own), pa.binary())], names=["k", "n", "shingle_set", "map"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:last], pa.array(map(digest, own), pa.binary()), sizes, pa.array(own, pa.binary()), pa.array(map(bitmap, own), pa.binary())],
+                    names=["rep", "set_hash", "n", "shingle_set", "map"],
+                )
 
     keyed = source.where("k IS NOT NULL").select("k", "t", F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS)).alias("place"))
-    return keyed.mapInArrow(sets, "k long, n long, shingle_set binary, map binary").join(ids, "k", "left_semi")
+    found = keyed.mapInArrow(sets, "rep long, set_hash binary, n long, shingle_set binary, map binary")
+    return found.join(ids.select("k", "rep", "set_hash"), ["rep", "set_hash"]).select("k", "n", "shingle_set", "map")
 
 
 def bitmap(shingle_set: bytes) -> bytes:
@@ -357,6 +366,22 @@ def _across(members: DataFrame, lanes: DataFrame, maps: DataFrame, refused: Data
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "bucket long, a long, b long, whole boolean")
 
 
+def _keyed(signed: DataFrame, classes: DataFrame, last: DataFrame) -> DataFrame:
+    """(k, n_shingles, component_id) of the signed rows: the smallest key that
+    links of classes, and rows that share a key, reach."""
+    named = classes.select("set_hash", "rep", "k").join(last, F.col("k") == F.col("node"), "left")
+    named = written(named.select("set_hash", "rep", F.coalesce("component", "k").alias("c")), "class-components")
+    least = named.groupBy("c").agg(F.min("rep").alias("m"))
+    rows = signed.select("k", "n_shingles", "set_hash").join(named.join(least, "c").select("set_hash", "m"), "set_hash", "left")
+    out = rows.select("k", "n_shingles", F.when(F.col("k").isNotNull(), F.coalesce("m", "k")).alias("m"))
+    repeated = signed.where("k IS NOT NULL").groupBy("k").count().where("count > 1").select("k")
+    if not repeated.head(1):
+        return out.withColumnRenamed("m", "component_id")
+    out = written(out, "row-components")
+    joined = connected_components(out.join(repeated, "k", "left_semi"), "k", "m")
+    return out.join(joined, F.col("m") == F.col("node"), "left").select("k", "n_shingles", F.coalesce("component", "m").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept.
 
@@ -364,16 +389,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     100 * |A & B| >= percent * |A | B| over their distinct ``words``-word
     shingles; a text with fewer words has one shingle, its whole sequence.
     Null and wordless texts have no shingles and link with nothing. Rows with
-    equal keys are one node. A null key gives a null component and is kept.
-    Ties go to the smallest key; an empty table gives an empty table. Other
-    columns are not read. Results do not depend on partitioning.
+    equal keys are one node, whose links are those of all its texts; each row
+    keeps the size of its own set, and all of a key's rows have its component.
+    A null key links with nothing, gives a null component and is kept. Ties go
+    to the smallest key; an empty table gives an empty table. Other columns are
+    not read. Results do not depend on partitioning.
     """
     source = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     signed = written(signatures(source, "k", "t", words), "signatures")
     sets = signed.where("set_hash IS NOT NULL AND k IS NOT NULL")
-    classes = written(
-        sets.groupBy("set_hash").agg(F.min("k").alias("rep"), F.min_by(F.struct(*SIGNATURE, "bands"), "k").alias("v")).select("set_hash", F.col("rep").alias("k"), "v.*"), "classes"
-    )
+    classes = sets.groupBy("set_hash").agg(F.min("k").alias("rep"), F.min_by(F.struct(*SIGNATURE, "bands"), "k").alias("v"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("k"), "set_hash", "rep", "v.*"), "classes")
     rows = classes.select("k", F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).where("hub <> top").select("bucket", "hub")
     members = written(rows.join(hubs, "bucket"), "members")
@@ -385,7 +411,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     several = members.groupBy("bucket").count().where("count > 2").select("bucket")
     several = members.select("bucket", "k").join(several, "bucket")
     ids = near.select(F.explode(F.array("a", "b")).alias("k")).union(several.select("k")).distinct()
-    sets = written(shingle_sets(source, ids, words), "sets")
+    sets = written(shingle_sets(source, classes.join(ids, "k", "left_semi"), words), "sets")
     maps = sets.select("k", "n", "map").dropDuplicates(["k"])
     tries = near.count()
     links = written(_confirmed(near, sets, percent), "links", tries)
@@ -410,8 +436,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         refused = written(refused.union(pairs.join(more, ["a", "b"], "left_anti")), "refused", tries)
         several = written(several.join(again, "bucket", "left_semi"), "open-keys")
 
-    reps = classes.select("set_hash", F.col("k").alias("rep"))
-    out = signed.select("k", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(last, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("k").isNotNull(), F.coalesce("component", "rep", "k"))
-    out = out.select("k", "n_shingles", component.alias("component_id"))
+    out = _keyed(signed, classes, last)
     return out.select(F.col("k").alias(key), "n_shingles", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))

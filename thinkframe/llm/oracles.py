@@ -57,17 +57,17 @@ SELECT comp.vec_id, coalesce(n.c, 0)::BIGINT AS n_links, component_id, comp.vec_
 
 OP10 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g FROM w
-), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
-shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
-link AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 80 * (p.c + q.c - i)),
-reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+), n AS (SELECT r, count(*) AS c FROM s GROUP BY r),
+shared AS (SELECT x.r AS p, y.r AS q, any_value(x.doc_id) AS a, any_value(y.doc_id) AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.r, y.r),
+link AS (SELECT DISTINCT a, b FROM shared JOIN n x ON x.r = p JOIN n y ON y.r = q WHERE 100 * i >= 80 * (x.c + y.c - i)),
+reach(doc_id, other) AS (SELECT DISTINCT doc_id, doc_id FROM w WHERE doc_id IS NOT NULL UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
 comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT w.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
-FROM w JOIN comp USING (doc_id) LEFT JOIN n ON n.doc_id = w.doc_id
+SELECT w.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, component_id, coalesce(w.doc_id = component_id, w.doc_id IS NULL) AS kept
+FROM w LEFT JOIN comp ON comp.doc_id = w.doc_id LEFT JOIN n ON n.r = w.r
 """
 
 OP7 = r"""
