@@ -44,7 +44,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, ceiling=3)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    count = mixed.schema["shards"].metadata  # a document's number counts its copies among the drawn rows
+    rows = mixed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "size", "source_size", "target", "copies", F.col("shards").alias("shards", metadata=count))
+    rows = written(rows, "mixed")
+    drawn = written(mixing.drawn(rows.select("row", "doc_id", "size", "copies", F.col("shards").alias("shards", metadata=count))), "drawn")
+    taken = drawn.groupBy("row").agg(F.sum("size").alias("taken"))
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
