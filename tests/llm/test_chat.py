@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from thinkframe.llm import chat
+from thinkframe.llm.queries import QUERIES
 
 HARD = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "\\", "\\\\<|", "<\\|im_end|>", "<<SYS>>x<</SYS>>", "", "a\nb", "<s>", "[INST]\\", "é\U0001f600"]
 
@@ -64,6 +65,34 @@ def test_typed_layouts(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, strange string"))
     extra = turns(spark, [(1, 0, "user", "x")]).withColumn("tag", F.lit(1))
     assert chat.canonical_turns(extra, ignore=("tag",)).count() == 1
+    both = spark.createDataFrame([(1, "p", "r", "c")], "conv_id long, prompt string, response string, completion string")
+    with pytest.raises(ValueError, match="several mappings"):
+        chat.canonical_turns(both)
+    more = both.withColumn("system", F.lit("s"))  # system, prompt and response are the largest layout it holds
+    assert [r["text"] for r in chat.canonical_turns(more).orderBy("turn").collect()] == ["s", "p", "r"]
+
+
+def test_query_with_further_columns(spark, tmp_path):
+    """Columns whose names the operator or its output use change nothing."""
+    rows = [(1, 0, "user", "one"), (1, 1, "assistant", "two"), (2, 0, "user", "three"), (None, None, None, None)]
+    plain = turns(spark, rows)
+    plain.write.parquet(str(tmp_path / "a" / "conversations.parquet"))
+    wide = plain
+    for name in ("n_turns", "text2", "segment", "chars", "loss_text", "fingerprint", "k", "t", "prompt"):
+        wide = wide.withColumn(name, F.lit("clash"))
+    wide.withColumn("nested", F.struct(F.lit(1).alias("a"))).write.parquet(str(tmp_path / "b" / "conversations.parquet"))
+    query = QUERIES["op7_chat_formatting"]
+    assert sorted(map(str, query(spark, str(tmp_path / "a")).collect())) == sorted(map(str, query(spark, str(tmp_path / "b")).collect()))
+
+
+def test_json_records_without_turns_are_not_lost(spark):
+    records = [
+        (1, '{"prompt":"","response":""}'), (2, '{"messages":[]}'), (3, '{"messages":null}'), (4, '{"prompt":"p","response":""}'),
+        (5, '{"conversations":[{"from":"human","value":"q"}]}'), (6, ""), (7, "{}"), (None, '{"prompt":null,"response":null}'),
+    ]
+    found, left = chat.canonical_turns_of_json(spark.createDataFrame(records, "id long, raw string"), "id", "raw")
+    assert sorted(map(tuple, found.collect())) == [(4, 0, "user", "p"), (5, 0, "user", "q")]
+    assert {(r["id"], r["raw"]) for r in left.collect()} == {r for r in records if r[0] not in (4, 5)}
 
 
 def test_json_records_of_mixed_layouts(spark):

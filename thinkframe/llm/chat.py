@@ -1,11 +1,12 @@
 """Chat formatting by schema fingerprints.
 
 A record's nested field paths are hashed; the hash selects a declared mapping
-that turns the record's layout (one row per turn, a list of messages, prompt
+(for a typed table with further columns, the largest declared layout that its
+columns hold) that turns the record's layout (one row per turn, a list of messages, prompt
 and response, instruction with input and output) into canonical turns
 (conversation, turn, role, text). Typed tables have one fingerprint, taken
-from their schema; JSON records have one each. Records without a mapping come
-back as such, with their fingerprint, and are never dropped.
+from their schema; JSON records have one each. JSON records without a mapping or
+without a turn come back as such, with their fingerprint, and are never dropped.
 
 The template marks turns as ``<|im_start|>role\\n ... <|im_end|>\\n``. Inside
 texts and roles a backslash is doubled and one is put into every control
@@ -34,7 +35,7 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 @dataclass(frozen=True)
 class Layout:
-    """A mapping for records with exactly these field paths.
+    """A mapping for records with these field paths.
 
     ``rows``: (conversation, turn, role, text) fields of one turn per row;
     ``messages``: (list, role, text) fields; ``fixed``: (role, fields) per
@@ -125,18 +126,33 @@ def _fixed(layout: Layout, field) -> Column:
     return F.filter(F.array(*turns), lambda t: t["text"].isNotNull())
 
 
+def layout_of(paths: Sequence[str], key: str, layouts: Sequence[Layout] = LAYOUTS) -> Layout:
+    """The layout whose fingerprint the paths have (with or without ``key``);
+    else, of the layouts whose paths are all among them, the one with the most.
+    None, or several with as many, raise ValueError."""
+    by_print = {fingerprint(x.paths): x for x in layouts}
+    for own in (list(paths), [p for p in paths if p != key]):
+        if (layout := by_print.get(fingerprint(own))) is not None:
+            return layout
+    held = [x for x in layouts if set(x.paths) <= set(paths)]
+    most = [x for x in held if len(x.paths) == max(len(y.paths) for y in held)]
+    if len(most) != 1:
+        what = "no mapping" if not most else f"several mappings ({', '.join(x.name for x in most)})"
+        raise ValueError(f"{what} for the layout {shape(paths)}")
+    return most[0]
+
+
 def canonical_turns(records: DataFrame, key: str = "conv_id", ignore: Sequence[str] = (), layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """(conv_id, turn, role, text) of a typed table.
 
-    ``key`` and the columns in ``ignore`` are not part of the fingerprint
-    (``key`` is, where the layout has one row per turn). Null roles and texts
-    are empty. A layout without a mapping raises ValueError.
+    The schema's fingerprint selects the layout (see ``layout_of``); columns
+    beside the layout's own, and those in ``ignore``, are not read. Null roles
+    and texts are empty. A record whose list is null or empty, or whose fields
+    are all empty, has no turns and so no rows here. A schema without a
+    mapping, or with several equally large ones, raises ValueError.
     """
     paths = [p for f in records.schema.fields if f.name not in ignore for p in paths_of(f.dataType, f.name)]
-    by_print = {fingerprint(x.paths): x for x in layouts}
-    layout = by_print.get(fingerprint(paths)) or by_print.get(fingerprint([p for p in paths if p != key]))
-    if layout is None:
-        raise ValueError(f"no mapping for the layout {shape(paths)}")
+    layout = layout_of(paths, key, layouts)
     if layout.rows:
         conv, turn, role, text = layout.rows
         return records.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), _role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -149,22 +165,23 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", ignore: Sequence[s
 def canonical_turns_of_json(records: DataFrame, key: str, raw: str, layouts: Sequence[Layout] = LAYOUTS) -> tuple[DataFrame, DataFrame]:
     """(turns, unmapped) of JSON records of mixed layouts.
 
-    ``unmapped`` holds (key, raw, fingerprint) of broken records and of
-    layouts without a mapping.
+    ``unmapped`` holds (key, raw, fingerprint) of every record without a turn:
+    broken ones, layouts without a mapping, empty lists and empty fields.
     """
     mapped = [x for x in layouts if not x.rows]
-    marked = records.select(F.col(key), F.col(raw), fingerprint_of_json(F.col(raw)).alias("fingerprint"))
+    marked = records.select(F.col(key).alias("k"), F.col(raw).alias("r"), fingerprint_of_json(F.col(raw)).alias("fingerprint"))
     turns = F.lit(None)
     for x in mapped:
         if x.messages:
             field, role, text = x.messages
-            parsed = F.from_json(F.col(raw), f"`{field}` array<struct<`{role}` string, `{text}` string>>")[field]
+            parsed = F.from_json("r", f"`{field}` array<struct<`{role}` string, `{text}` string>>")[field]
             own = _messages(parsed, role, text)
         else:
-            own = _fixed(x, lambda n: F.get_json_object(F.col(raw), f"$.{n}"))
+            own = _fixed(x, lambda n: F.get_json_object("r", f"$.{n}"))
         turns = F.when(F.col("fingerprint") == fingerprint(x.paths), own).otherwise(turns)
-    known = F.coalesce(F.col("fingerprint").isin([fingerprint(x.paths) for x in mapped]), F.lit(False))
-    return _numbered(marked.where(known), key, turns), marked.where(~known)
+    marked = marked.withColumn("turns", turns)
+    some = F.coalesce(F.size("turns") > 0, F.lit(False))
+    return _numbered(marked.where(some), "k", F.col("turns")), marked.where(~some).select(F.col("k").alias(key), F.col("r").alias(raw), "fingerprint")
 
 
 def escaped(text: Column) -> Column:
