@@ -16,7 +16,6 @@ from thinkframe.llm.tokens import Encoder
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -29,6 +28,12 @@ def test_encoder_equals_the_library(plain, spark):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == plain(text), repr(text)[:80]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|endoftext|> hello", "hello <|endoftext|>", "a <|endoftext|>b<|endoftext|><|endoftext|> c", "<|endoftext|", "< |endoftext|>"])
+def test_special_strings_in_a_text(plain, text):
+    ids = np.frombuffer(Encoder(vocabulary()).ids(text), "<u4").tolist()
+    assert ids == plain(text) and ids.count(50256) == text.count("<|endoftext|>")
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(unit, n):

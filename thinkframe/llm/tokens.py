@@ -3,8 +3,8 @@
 The library's pre-tokenizer cuts a text before every single space that is
 followed by a non-space, whatever stands around it, so a text's ids are the
 ids of its space-separated chunks put together. Each chunk is encoded once
-per worker (bounded cache); texts outside plain Latin characters are encoded
-by the library as a whole.
+per worker (bounded cache); texts outside plain Latin characters, and texts
+that hold a string of an added token, are encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ class _Chunks(dict):
 
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as ``Tokenizer.encode`` gives
-    them without special tokens; special strings in a text are ordinary text."""
+    them with ``add_special_tokens=False``: none are put around a text, and a
+    special string within one is its special token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,10 +51,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.plain = (
             spec.get("normalizer") is None
             and spec["model"]["type"] == "BPE"
@@ -91,7 +92,7 @@ class Encoder:
         """Id bytes of one text (null: none)."""
         if not text:
             return b""
-        if not self.plain or _OTHER.search(text):
+        if not self.plain or _OTHER.search(text) or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " ":
             return self._chunk(text)
