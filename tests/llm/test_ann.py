@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import SF
 from tests.llm.test_near_duplicates import ODD_VECTORS, cloud
 from thinkframe.llm import ann
+from thinkframe.llm.vectors import cosine
 
 
 def brute(rows, is_query, k):
@@ -14,13 +15,11 @@ def brute(rows, is_query, k):
     for i, x in rows:
         if i is not None and x and all(c is not None and np.isfinite(c) for c in x) and any(x):
             good.setdefault(i, np.array(x, np.float64))
-    usual = max({len(v) for v in good.values()}, key=lambda n: (sum(len(v) == n for v in good.values()), -n), default=0)
-    good = {i: v for i, v in good.items() if len(v) == usual}
     out = {}
     for q in filter(is_query, good):
-        scores = [(-(good[q] @ v) / (np.linalg.norm(good[q]) * np.linalg.norm(v)), i) for i, v in good.items() if i != q]
+        scores = [(-(good[q] @ v) / (np.linalg.norm(good[q]) * np.linalg.norm(v)), i) for i, v in good.items() if i != q and len(v) == len(good[q])]
         out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
-    return out
+    return {q: near for q, near in out.items() if near}
 
 
 def found(df, condition, k):
@@ -60,6 +59,29 @@ def test_copies_and_ties_go_to_the_smaller_key(spark):
     assert recall(got, brute(rows, lambda i: i % 5 == 0, 5)) >= 0.9
 
 
+def test_thousands_of_rescaled_copies(spark):
+    """Cosines that differ in their last bits: the ids are those of the exact ranking."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=16)
+    rows = [(i, [float(x) for x in base * rng.uniform(0.1, 9)]) for i in range(4000)] + [(5000 + i, [float(x) for x in rng.normal(size=16)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, _ = found(df, F.col("vec_id") % 50 == 0, 5)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q in range(0, 4000, 50):
+        score = cosine(x, np.broadcast_to(x[q], x.shape))
+        score[q] = -2
+        assert got[q] == [(int(ids[i]), float(score[i])) for i in np.lexsort((ids, -score))[:5]]
+
+
+def test_vectors_of_each_length_meet_their_own(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in rng.normal(size=(8, 32, 5)[i % 3])]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, _ = found(df, F.col("vec_id") % 7 == 0, 4)
+    want = brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], lambda i: i % 7 == 0, 4)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+
+
 def test_odd_vectors(spark):
     df = spark.createDataFrame([(i, x, "", 0) for i, x in ODD_VECTORS], "vec_id long, embedding array<double>, v string, code long")
     got, _ = found(df, F.lit(True), 5)

@@ -250,6 +250,14 @@ def test_odd_vectors(spark):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute_vectors(ODD_VECTORS, 0.9)
 
 
+def test_vectors_of_each_length_link_among_themselves(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(3)] + [(10, [1.0] * 32), (11, [3.0] * 32), (12, [0.5] * 31 + [0.4]), (20, [1.0] * 64), (21, [2.0] * 64), (30, [1.0])]
+    out, _ = vecdedup.near_duplicates(vectors(spark, [(*r, 0, "", 0) for r in rows], "double"), least=0.9)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 10: (2, 10), 11: (2, 10), 12: (2, 10), 20: (1, 20), 21: (1, 20), 30: (0, 30)}
+
+
 def test_no_vectors(spark):
     out, _ = vecdedup.near_duplicates(vectors(spark, []), least=0.9)
     assert out.collect() == []

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thinkframe.llm.common import written
-from thinkframe.llm.vectors import cosine, element_type, matrix, packed_vectors, unit
+from thinkframe.llm.vectors import cosine, element_type, lengths, matrix, packed_vectors, unit
 
 TREES = 20
 BITS = 48
@@ -33,6 +33,7 @@ GROUP_ROWS = 32_768  # strings of one tree that a task sorts at once
 AUDIT_QUERIES = 128
 TARGET = 0.97
 STEP = 2  # levels climbed at once
+MARGIN = 1e-9  # of a rough score; far over its rounding
 
 
 def _planes(dim: int, seed: int) -> np.ndarray:
@@ -105,17 +106,29 @@ def nearest(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
     """((query_id, rank, vec_id, score) of each query's ``k`` nearest, report).
 
     Queries are the keys for which ``is_query`` holds; candidates all other
-    keys. Nearness is the cosine in double precision; ties go to the smaller
-    key. Vectors that are null, empty, zero or hold null or non-finite
-    components, null keys, and vectors of an unusual length take no part;
-    repeated keys count once. With fewer candidates than ``k``, all found are
-    returned; without queries, none. The report holds the audit's recall,
-    the level range and the number of candidates it settled on.
+    keys with a vector of the query's length. Nearness is the cosine in double
+    precision; ties go to the smaller key. Vectors that are null, empty, zero
+    or hold null or non-finite components, and null keys take no part; repeated
+    keys count once. With fewer candidates than ``k``, all found are returned;
+    without queries, none. The report holds, of the length that the audit
+    found least of, the audit's recall, the level range and the number of
+    candidates it settled on.
     """
     spark, kind = df.sparkSession, element_type(df, vector)
     packed = packed_vectors(df, key, vector).where("v IS NOT NULL")
     asked = df.where(is_query).select(F.col(key).cast("long").alias("id")).distinct().withColumn("asked", F.lit(True))
     vectors = written(packed.join(asked, "id", "left"), "vectors")
+    found, reports = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), []
+    own = lengths(vectors)
+    for n in own:
+        some, report = _nearest(vectors if len(own) == 1 else vectors.where(F.length("v") == n), k, kind, n, seed)
+        found, reports = found.union(some), [*reports, report]
+    return found, min(reports, key=lambda r: r["recall"], default={"recall": 1.0, "base": 0, "candidates": 0, "audited": 0})
+
+
+def _nearest(vectors: DataFrame, k: int, kind: str, length: int, seed: int) -> tuple[DataFrame, dict]:
+    """``nearest`` of (id, v, asked) with vectors of one length."""
+    spark = vectors.sparkSession
     first = Window.partitionBy("v").orderBy("id")
     few = vectors.select("id", "v").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     classes = written(few.groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "classes")
@@ -126,7 +139,7 @@ def nearest(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
     report = {"recall": 1.0, "base": 0, "candidates": 0, "audited": len(audit)}
     if not len(audit):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), report
-    dim = len(audit["v"].iloc[0]) // (4 if kind == "<f4" else 8)
+    dim = length // (4 if kind == "<f4" else 8)
 
     # how deep the audit queries' true neighbours share a prefix in some tree
     truth = _brute_force(audit, classes, kind, k)
@@ -172,33 +185,33 @@ def nearest(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
     report |= {"recall": float(recall), "base": base, "candidates": wanted}
     level = F.greatest(*[F.when(F.col(f"c{i}") >= wanted, F.lit(x)).otherwise(base) for i, x in enumerate(levels)], F.lit(base)).cast("long")
     asking = asking.join(counts.select("rep", level.alias("level")), "rep")
-    most = k + 4  # the query's own class and a few for rounding; exact scores decide
+    most = k + 1  # the query's own class besides
 
     def search(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "qv": pd.Series(dtype=object), "rep": pd.Series(dtype="int64"), "v": pd.Series(dtype=object), "near": pd.Series(dtype="float64")})
+        """The ``most`` nearest classes of each query, exactly scored: every
+        class within a margin of the last rough score takes part, so ties do
+        not depend on rounding."""
+        empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(there) or not len(here):
             return empty
         there = there.sort_values("code", ignore_index=True)
-        x, reps, raw = unit(matrix(there["v"], kind)), there["rep"].to_numpy(), there["v"].to_numpy()
+        raw, reps = matrix(there["v"], kind), there["rep"].to_numpy()
+        x = unit(raw)
         low, high = _ranges(there["code"].to_numpy(), here["code"].to_numpy(), here["level"].to_numpy())
-        asked, found = unit(matrix(here["v"], kind)), []
+        asked_raw, found = matrix(here["v"], kind), []
+        asked = unit(asked_raw)
         for i, (a, b) in enumerate(zip(low, high, strict=True)):
             near = x[a:b] @ asked[i]
-            top = np.argpartition(-near, most)[:most] if len(near) > most else np.arange(len(near))
-            found.append(pd.DataFrame({"q": here["rep"].iloc[i], "qv": [here["v"].iloc[i]] * len(top), "rep": reps[a + top], "v": raw[a + top], "near": near[top]}))
+            top = np.flatnonzero(near >= np.partition(near, -most)[-most] - MARGIN) if len(near) > most else np.arange(len(near))
+            score = cosine(raw[a + top], np.broadcast_to(asked_raw[i], (len(top), raw.shape[1])))
+            best = np.lexsort((reps[a + top], -score))[:most]
+            found.append(pd.DataFrame({"q": here["rep"].iloc[i], "rep": reps[a + top[best]], "score": score[best]}))
         return pd.concat(found, ignore_index=True) if found else empty
 
     paired = _grouped(index, base, sizes, "index").groupBy(group).cogroup(_grouped(asking, base, sizes, "query").groupBy(group))
-    found = paired.applyInPandas(search, "q long, qv binary, rep long, v binary, near double").dropDuplicates(["q", "rep"])
-    best = Window.partitionBy("q").orderBy(F.col("near").desc(), "rep")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = cosine(matrix(batch.column(1).to_pylist(), kind), matrix(batch.column(3).to_pylist(), kind)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], names=["q", "rep", "score"])
-
-    scored = found.select("q", "qv", "rep", "v").mapInArrow(exact, "q long, rep long, score double")
+    found = paired.applyInPandas(search, "q long, rep long, score double").dropDuplicates(["q", "rep"])
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "rep")
+    scored = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).drop("r")
     listed = scored.join(classes.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     listed = listed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from thinkframe.llm.common import written
 from thinkframe.llm.components import connected_components
 from thinkframe.llm.sampling import fitted, kept_share
-from thinkframe.llm.vectors import cosine, element_type, matrix, packed_vectors, unit
+from thinkframe.llm.vectors import cosine, element_type, lengths, matrix, packed_vectors, unit
 
 SHARD = 1024  # classes per centroid, about
 SAMPLE = 16_384  # expected classes the centroids are fitted on, at most
@@ -285,44 +285,52 @@ def audit_recall(truth: dict[int, int], found: dict[int, int]) -> float | None:
 def near_duplicates(df: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict]:
     """((key, n_links, component_id, kept) per distinct key, report).
 
-    Vectors link when their cosine, in double precision, is ``least`` or more.
-    Vectors that are null, empty, zero or hold null or non-finite components,
-    vectors of an unusual length and null keys link with nothing; repeated
-    keys count once. ``component_id`` is the smallest key reachable by links.
-    Other columns are not read; an empty table gives an empty table. The
-    report holds the audit's recall (None where no audited class has links)
-    and the overlap it settled on.
+    Vectors of one length link when their cosine, in double precision, is
+    ``least`` or more; vectors of different lengths have none. Vectors that are
+    null, empty, zero or hold null or non-finite components, and null keys link
+    with nothing; repeated keys count once. ``component_id`` is the smallest key
+    reachable by links. Other columns are not read; an empty table gives an
+    empty table. The report holds the audit's recall (None where no audited
+    class has links; the least of all lengths) and the largest overlap it
+    settled on.
     """
     kind = element_type(df, vector)
     vectors = written(packed_vectors(df, key, vector), "vectors")
-    classes = vectors.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    own = lengths(vectors)
+    out = vectors.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    reports = []
+    for n in own:
+        some, report = _near_duplicates(vectors.where("v IS NOT NULL") if len(own) == 1 else vectors.where(F.length("v") == n), least, kind)
+        out, reports = out.union(some), [*reports, report]
+    out = out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    known = [r["recall"] for r in reports if r["recall"] is not None]
+    return out, {"recall": min(known, default=None), "overlap": max((r["overlap"] for r in reports), default=0)}
+
+
+def _near_duplicates(vectors: DataFrame, least: float, kind: str) -> tuple[DataFrame, dict]:
+    """(id, n_links, component_id) of vectors (id, v) of one length, report."""
+    classes = vectors.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     classes = written(classes, "classes")
-    n, report = classes.count(), {"recall": None, "overlap": 0}
-    links = None
-    if n:
-        sample = written(classes.where(kept_share(F.col("rep"), min(1.0, SAMPLE / n), 23)).select("rep", "v"), "centroid-sample")
-        if not sample.head(1):
-            sample = classes.orderBy("rep").limit(1).select("rep", "v")
-        centroids = _centroids(sample, min(SAMPLE, -(-n // SHARD)), kind)
-        truth, enough = _audited(classes, n, least, kind)
-        overlap, before = min(OVERLAP, len(centroids)), None
-        while True:
-            links = written(_links(classes, centroids, overlap, least, kind), "links")
-            counts = links.where(F.col("rep").isin(list(truth))).groupBy("rep").agg(F.sum("links").alias("n")).collect() if truth else []
-            recall = audit_recall(truth, {r["rep"]: r["n"] for r in counts})
-            report = {"recall": recall, "overlap": overlap}
-            total = None if enough else links.agg(F.sum("links")).first()[0] or 0
-            if overlap >= len(centroids) or ((recall is None or recall >= 0.99) and (enough or total == before)):
-                break
-            before = total
-            overlap = min(2 * overlap, len(centroids))
-    rows = vectors.select("id", "v")
-    if links is None:
-        out = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    else:
-        linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
-        parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        per_class = classes.join(linked, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-        per_class = per_class.select("v", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-        out = rows.join(per_class, "v", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), report
+    n = classes.count()
+    sample = written(classes.where(kept_share(F.col("rep"), min(1.0, SAMPLE / n), 23)).select("rep", "v"), "centroid-sample")
+    if not sample.head(1):
+        sample = classes.orderBy("rep").limit(1).select("rep", "v")
+    centroids = _centroids(sample, min(SAMPLE, -(-n // SHARD)), kind)
+    truth, enough = _audited(classes, n, least, kind)
+    overlap, before = min(OVERLAP, len(centroids)), None
+    while True:
+        links = written(_links(classes, centroids, overlap, least, kind), "links")
+        counts = links.where(F.col("rep").isin(list(truth))).groupBy("rep").agg(F.sum("links").alias("n")).collect() if truth else []
+        recall = audit_recall(truth, {r["rep"]: r["n"] for r in counts})
+        report = {"recall": recall, "overlap": overlap}
+        total = None if enough else links.agg(F.sum("links")).first()[0] or 0
+        if overlap >= len(centroids) or ((recall is None or recall >= 0.99) and (enough or total == before)):
+            break
+        before = total
+        overlap = min(2 * overlap, len(centroids))
+    linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    per_class = classes.join(linked, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    per_class = per_class.select("v", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
+    out = vectors.select("id", "v").join(per_class, "v", "left")
+    return out.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")), report

@@ -27,9 +27,8 @@ def taking_part(vector: str) -> Column:
 def packed_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v): one row per distinct key, ``v`` its components' bytes.
 
-    ``v`` is null where the vector takes no part (see ``taking_part``). Rows
-    that repeat a key count once, with the smallest bytes. Vectors of another
-    length than the most frequent one (ties: the shortest) take no part.
+    ``v`` is null where the vector takes no part (see ``taking_part``) or the
+    key is null. Rows that repeat a key count once, with the smallest bytes.
     """
     kind = element_type(df, vector)
     width = 4 if kind == "<f4" else 8
@@ -48,9 +47,13 @@ def packed_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     good = F.when(taking_part(vector), F.col(vector).cast(f"array<{element}>"))
     rows = df.select(F.col(key).cast("long").alias("id"), good.alias("x")).mapInArrow(pack, "id long, v binary")
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    lengths = rows.where("v IS NOT NULL").groupBy(F.length("v").alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()
-    usual = lengths[0]["n"] if lengths else 0
-    return rows.withColumn("v", F.when((F.length("v") == usual) & F.col("id").isNotNull(), F.col("v")))
+    return rows.withColumn("v", F.when(F.col("id").isNotNull(), F.col("v")))
+
+
+def lengths(packed: DataFrame) -> list[int]:
+    """The lengths in bytes of the vectors that take part, ascending. Operators
+    do one length after the other: vectors of different lengths have no cosine."""
+    return sorted(r["n"] for r in packed.where("v IS NOT NULL").select(F.length("v").alias("n")).distinct().collect())
 
 
 def matrix(column, kind: str) -> np.ndarray:
