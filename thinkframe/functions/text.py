@@ -365,8 +365,12 @@ def with_vote_key(df, pred: str = "answer", task: str = "task", out: str = "key"
     return staged.withColumn(out, key).drop(nm, num)
 
 
-def with_is_correct(df, pred: str = "answer", gold: str = "gold", task: str = "task", out: str = "correct"):
-    """Add X7 ``is_correct(pred, gold, task)`` as column ``out``."""
+def with_is_correct(df, pred: str = "answer", gold: str = "gold", task: str = "task", out: str = "correct", symbolic: bool = False):
+    """Add X7 ``is_correct(pred, gold, task)`` as column ``out``.
+
+    ``symbolic``: answers that are neither equal in form nor both numbers are
+    compared by value (``functions.symbolic``); undecided ones stay unequal.
+    """
     gn, pn, gnn, pf, gf, pr, gr = (_tmp(df, n) for n in ("gn", "pn", "gnn", "pf", "gf", "pr", "gr"))
     p, g, tk = F.col(pred), F.col(gold), F.col(task)
     staged = (
@@ -388,6 +392,9 @@ def with_is_correct(df, pred: str = "answer", gold: str = "gold", task: str = "t
     )
     r_eq = rationals_equal(F.col(pr), F.col(gr))
     m_eq = F.coalesce(F.col(pn) == F.col(gnn), F.lit(False)) | r_eq
+    if symbolic:
+        staged, by_value = _with_value_equal(staged, p, F.col(gn), undecided & ~(F.col(pr).isNotNull() & F.col(gr).isNotNull()))
+        m_eq = m_eq | F.col(by_value)
     gsm = F.when(F.col(pf).isNotNull() & F.col(gf).isNotNull(), float_equal(F.col(pf), F.col(gf))).otherwise(m_eq)
     res = (
         F.when(tk == "arc", norm_letter(p).eqNullSafe(norm_letter(g)))
@@ -396,11 +403,21 @@ def with_is_correct(df, pred: str = "answer", gold: str = "gold", task: str = "t
         .otherwise(F.lower(pystrip(p)) == F.lower(pystrip(g)))
     )
     val = F.when(p.isNull(), F.lit(False)).otherwise(F.coalesce(res, F.lit(False)))
-    return staged.withColumn(out, val).drop(gn, pn, gnn, pf, gf, pr, gr)
+    staged = staged.withColumn(out, val).drop(gn, pn, gnn, pf, gf, pr, gr)
+    return staged.drop(by_value) if symbolic else staged
+
+
+def _with_value_equal(df, pred: Column, gold: Column, where: Column):
+    """(df with a column of equality by value where ``where`` holds and it is decided, its name)."""
+    from thinkframe.functions.symbolic import with_symbolic_equal
+
+    a, b, name = _tmp(df, "sa"), _tmp(df, "sb"), _tmp(df, "by_value")
+    df = df.withColumn(a, F.when(where, pred)).withColumn(b, F.when(where, gold))
+    return with_symbolic_equal(df, a, b, name).withColumn(name, F.coalesce(F.col(name), F.lit(False))).drop(a, b), name
 
 
-def with_math_equal(df, pred: str, gold: str, out: str):
-    """Add X8 ``math_equal(pred, gold)`` as column ``out``."""
+def with_math_equal(df, pred: str, gold: str, out: str, symbolic: bool = False):
+    """Add X8 ``math_equal(pred, gold)`` as column ``out`` (``symbolic``: see ``with_is_correct``)."""
     pn, gnn, pr, gr = (_tmp(df, n) for n in ("pn", "gnn", "pr", "gr"))
     staged = (
         df.withColumn(pn, norm_math(pred))
@@ -412,4 +429,8 @@ def with_math_equal(df, pred: str, gold: str, out: str):
     )
     r_eq = rationals_equal(F.col(pr), F.col(gr))
     m_eq = F.coalesce(F.col(pn) == F.col(gnn), F.lit(False)) | r_eq
+    if symbolic:
+        p, g = (F.col(c) if isinstance(c, str) else c for c in (pred, gold))
+        staged, by_value = _with_value_equal(staged, p, g, undecided & ~(F.col(pr).isNotNull() & F.col(gr).isNotNull()))
+        return staged.withColumn(out, m_eq | F.col(by_value)).drop(pn, gnn, pr, gr, by_value)
     return staged.withColumn(out, m_eq).drop(pn, gnn, pr, gr)

@@ -162,13 +162,14 @@ def flag_traces(
     traces: DataFrame,
     max_trace_chars: int = DEFAULT_MAX_TRACE_CHARS,
     min_trace_tokens: int = DEFAULT_MIN_TRACE_TOKENS,
+    symbolic: bool = False,
 ) -> DataFrame:
     """Every trace with its extracted ``answer`` and a boolean ``kept`` (the filter's verdict)."""
     length_ok = F.length("trace") <= max_trace_chars
     words_ok = has_min_words(F.col("trace"), min_trace_tokens)
     flagged = evaluate_once(traces, _len_ok=length_ok & words_ok)
     flagged = evaluate_once(flagged, answer=F.when(F.col("_len_ok"), extract_answer("trace")))
-    flagged = with_is_correct(flagged, "answer", "gold", "task", "_correct")
+    flagged = with_is_correct(flagged, "answer", "gold", "task", "_correct", symbolic)
     return evaluate_once(flagged, kept=F.col("_len_ok") & F.col("_correct")).drop("_len_ok", "_correct")
 
 
@@ -177,8 +178,10 @@ def filter_traces(
     max_trace_chars: int = DEFAULT_MAX_TRACE_CHARS,
     min_trace_tokens: int = DEFAULT_MIN_TRACE_TOKENS,
     keep_cols: Sequence[str] = (),
+    symbolic: bool = False,
 ) -> DataFrame:
-    """Keep traces within length limits whose extracted answer is correct.
+    """Keep traces within length limits whose extracted answer is correct
+    (``symbolic``: math answers also by value, see ``with_is_correct``).
 
     Input: one row per trace with id, question, gold, trace, task (and meta).
     Output: id, question, gold, trace (stripped), answer (raw extracted),
@@ -189,7 +192,7 @@ def filter_traces(
         has_min_words(F.col("trace"), min_trace_tokens)
     )
     t = evaluate_once(t, answer=extract_answer("trace"))
-    t = with_is_correct(t, "answer", "gold", "task", "_correct")
+    t = with_is_correct(t, "answer", "gold", "task", "_correct", symbolic)
     t = evaluate_once(t, _keep=F.col("_correct")).where("_keep")
     return kept_rows(t, keep_cols, has_meta="meta" in traces.columns)
 

@@ -171,3 +171,48 @@ FROM (
     ELSE CASE task WHEN 'arc' THEN chr(CAST(65 + (doc_id + k + 1) % 5 AS INTEGER)) ELSE CAST((doc_id + k) % 3 AS VARCHAR) END END AS ans
   FROM (SELECT *, unnest(range(0, {k})) AS k FROM ({DOCS_SQL}) d)) x
 """
+
+
+# Expression answers: the same texts as the fixture's, and their values by
+# arithmetic on the numbers they are made of; nothing here reads a formula.
+def expressions_sql(k: int = 8) -> str:
+    frac = r"'\frac{' || {} || '}{' || {} || '}'"
+    f = lambda x, y: frac.replace("{}", "{0}", 1).replace("{}", "{1}", 1).replace("{0}", str(x)).replace("{1}", str(y))
+    gold = {
+        0: "'(x+' || a || ')(x-' || b || ')'", 1: f("a", "b") + " || '+' || " + f("1", "c"), 2: r"'\sqrt{' || a * a * b || '}'",
+        3: f("a", r"('\sqrt{' || b || '}')"), 4: r"'(' || a || '+\sqrt{' || b || '})^2'", 5: r"'\{' || a || ', ' || b || ', ' || (a + b) || '\}'",
+        6: "'(' || a || ', ' || " + f("b", "2") + " || ')'", 7: "'[' || a || ', ' || (a + b) || ')'",
+        8: r"'\begin{pmatrix}' || a || ' & ' || b || '\ ' || c || ' & 1\end{pmatrix}'", 9: f(r"(a || '\pi')", "b"), 10: "CAST(a AS VARCHAR)",
+        11: r"'x^{' || a || '}\cdot x^{' || b || '}'",
+    }
+    answer = {
+        0: "'x^2+(' || (a - b + one) || ')x-' || a * b", 1: r"'\d' || substring(" + f("(a * c + b + one)", "b * c") + ", 2)", 2: r"(a + one) || '\sqrt{' || b || '}'",
+        3: f(r"(a || '\sqrt{' || b || '}')", "(b + one)"), 4: r"(a * a + b + one) || '+' || 2 * a || '\sqrt ' || b",
+        5: r"CASE WHEN same THEN '\left\{' ELSE '(' END || (a + b) || ',' || b || ',' || a || CASE WHEN same THEN '\right\}' ELSE ')' END",
+        6: "CASE WHEN same THEN '(' || a || ',' || b || '/2)' ELSE '(' || b || '/2,' || a || ')' END",
+        7: r"'\left[' || a || ',' || " + f("2 * (a + b)", "2") + r" || CASE WHEN same THEN '\right)' ELSE '\right]' END",
+        8: r"'\begin{bmatrix}' || a || '&' || CASE WHEN same THEN b ELSE c END || '\\' || CASE WHEN same THEN 2 * c ELSE 2 * b END || '/2&1\end{bmatrix}'",
+        9: r"CASE WHEN same THEN a || '/' || b || '\cdot\pi' ELSE " + f(r"(b || '\pi')", "a") + " END", 10: r"a || '\text{ units}'", 11: "'x^{' || CASE WHEN same THEN a + b ELSE a * b END || '}'",
+    }
+    ratio = lambda x, y: f"({x}) // gcd({x}, {y}) || '/' || ({y}) // gcd({x}, {y})"
+    value = {
+        0: "(a - b + one) || ',' || a * b", 1: ratio("a * c + b + one", "b * c"), 2: "CAST((a + one) * (a + one) * b AS VARCHAR)",
+        3: ratio("a * a * b", "(b + one) * (b + one)"), 4: "CASE WHEN b = 4 THEN (a * a + 4 + one + 4 * a) || ',0' ELSE (a * a + b + one) || ',' || 4 * a * a * b END",
+        5: "CASE WHEN same THEN 'set' || CAST(list_sort(list_distinct([a, b, a + b])) AS VARCHAR) ELSE 'tuple' || CAST([a + b, b, a] AS VARCHAR) END",
+        6: "CASE WHEN same THEN 2 * a || ',' || b ELSE b || ',' || 2 * a END", 7: "a || ',' || (a + b) || same",
+        8: "a || ',' || CASE WHEN same THEN b || ',' || c ELSE c || ',' || b END", 9: f"CASE WHEN same THEN {ratio('a', 'b')} ELSE {ratio('b', 'a')} END",
+        10: "NULL", 11: "CAST(CASE WHEN same THEN a + b ELSE a * b END AS VARCHAR)",
+    }
+    also = {6: "2 * a = b", 8: "b = c", 9: "a = b", 11: "a + b = a * b"}  # wrong forms that happen to be right
+    pick = lambda d: "CASE form " + " ".join(f"WHEN {n} THEN {x}" for n, x in d.items()) + " END"
+    truth = "CASE WHEN form = 10 THEN NULL WHEN same THEN true " + " ".join(f"WHEN form = {n} THEN {x}" for n, x in also.items()) + " ELSE false END"
+    return f"""
+SELECT id, pos, form, gold, {extract("text || chr(10) || 'Answer: ' || said")} AS answer, equal, value
+FROM (
+  SELECT doc_id AS id, CAST(k AS INTEGER) AS pos, CAST(form AS INTEGER) AS form, text, {pick(gold)} AS gold, {pick(answer)} AS said, {truth} AS equal, {pick(value)} AS value
+  FROM (
+    SELECT *, CASE WHEN same THEN 0 ELSE 1 END AS one FROM (
+      SELECT doc_id, text, k, (doc_id + k) % 12 AS form, (doc_id * 31 + k * 17) % 20 < 11 AS same, 1 + doc_id % 7 AS a, 2 + doc_id % 5 AS b, 1 + (doc_id // 7) % 9 AS c
+      FROM (SELECT doc_id, text, unnest(range(0, {k})) AS k FROM documents)))
+)
+"""

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thinkframe.functions import symbolic as S
 from thinkframe.functions import text as T
 from thinkframe.operators import distill as D
 from thinkframe.operators import encode as E
@@ -76,6 +77,30 @@ def q_is_correct(spark, sf):
     return t.select("id", "pos", "correct")
 
 
+def _expressions(spark, sf):
+    return T.evaluate_once(X.expression_traces(spark, sf), answer=T.extract_answer("trace"))
+
+
+def q_symbolic_equal(spark, sf):
+    """X8 by value on the answer of every expression trace (NULL: undecided)."""
+    t = S.with_symbolic_equal(_expressions(spark, sf), "answer", "gold", "equal")
+    return t.select("id", "pos", "form", "answer", "equal")
+
+
+def q_symbolic_correct(spark, sf):
+    """X7 with equality by value: what each form keeps by form and by value."""
+    t = T.with_is_correct(_expressions(spark, sf), "answer", "gold", "task", "by_form")
+    t = T.with_is_correct(t, "answer", "gold", "task", "by_value", symbolic=True)
+    return t.groupBy("form").agg(F.count(F.lit(1)).alias("seen"), F.count_if("by_form").alias("by_form"), F.count_if("by_value").alias("by_value"))
+
+
+def q_canonical_answers(spark, sf):
+    """Answers grouped by value: how many spellings and samples each value has."""
+    t = S.with_canonical(_expressions(spark, sf).select("form", "answer"), "answer", "value")
+    per_value = t.where("value IS NOT NULL").groupBy("form", "value").agg(F.countDistinct("answer").alias("spellings"), F.count(F.lit(1)).alias("n"))
+    return per_value.groupBy("form").agg(F.count(F.lit(1)).alias("n_values"), F.sum("spellings").alias("spellings"), F.sum("n").alias("samples"), F.max("n").alias("most"))
+
+
 def _filtered(spark, sf):
     return D.filter_traces(X.with_meta(_traces(spark, sf)), keep_cols=["pos"])
 

@@ -398,6 +398,14 @@ def oracle_sql() -> dict[str, str]:
         f"comp_a AS (SELECT * FROM m), {', '.join(_format_ctes())} "
         f"SELECT conv_id, turn, {r9('r_format')} AS r_format, {r9(R_LENGTH)} AS r_length_penalty, {r9(R_PRESENT)} AS r_answer_present FROM fm"
     )
+    expr = f"expr AS ({O.expressions_sql()})"
+    sql["symbolic_equal"] = w(expr) + "SELECT id, pos, form, answer, equal FROM expr"
+    sql["symbolic_correct"] = w(expr, f"judged AS (SELECT form, {O.is_correct('answer', 'gold', q('math'))} AS same_form, equal FROM expr)") + (
+        "SELECT form, count(*) AS seen, count(*) FILTER (WHERE same_form) AS by_form, count(*) FILTER (WHERE same_form OR equal) AS by_value FROM judged GROUP BY form"
+    )
+    sql["canonical_answers"] = w(expr, "per AS (SELECT form, value, count(DISTINCT answer) AS spellings, count(*) AS n FROM expr WHERE value IS NOT NULL GROUP BY ALL)") + (
+        "SELECT form, count(*) AS n_values, CAST(sum(spellings) AS BIGINT) AS spellings, CAST(sum(n) AS BIGINT) AS samples, max(n) AS most FROM per GROUP BY form"
+    )
     sql["length_by_step"] = w(TRACES) + (
         f"SELECT CAST(id % 10 AS INTEGER) AS step, count(*) AS completions, {r9(f'avg({tok})')} AS mean_tokens "
         "FROM traces GROUP BY ALL"

@@ -33,6 +33,7 @@ def distill_and_build(
     with_eval: bool = True,
     max_trace_chars: int = D.DEFAULT_MAX_TRACE_CHARS,
     min_trace_tokens: int = D.DEFAULT_MIN_TRACE_TOKENS,
+    symbolic: bool = False,
 ) -> dict[str, DataFrame]:
     """Teacher records per task -> verified traces -> SFT train/eval + RL prompts.
 
@@ -51,7 +52,7 @@ def distill_and_build(
     for shard_no, (task, records) in enumerate(shards):
         records = io.spread(records, *placed)
         flat = D.explode_records(records).withColumn("task", F.lit(task))
-        flagged = D.flag_traces(flat, max_trace_chars, min_trace_tokens)
+        flagged = D.flag_traces(flat, max_trace_chars, min_trace_tokens, symbolic)
         # A1 in the same pass as the write: seen/kept are observed, not recomputed
         obs = Observation(f"keep_rate_{shard_no}")
         flagged = flagged.observe(obs, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("kept")).alias("kept_n"))

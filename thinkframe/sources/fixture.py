@@ -87,6 +87,43 @@ def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
     return evaluate_once(out, trace=F.col("_trace")).drop("_trace")
 
 
+def expression_traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
+    """(id, pos, form, task, gold, trace): math answers that are expressions.
+
+    Twelve forms take turns (products, fractions, roots, sets, tuples,
+    intervals, matrices, powers, units), each over a = 1..7, b = 2..6,
+    c = 1..9; about half of the samples say the same as gold in another form.
+    The answer line follows the document's text.
+    """
+    x = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
+    x = x.selectExpr(
+        "doc_id", "text", "k", "(doc_id + k) % 12 as form", "(doc_id * 31 + k * 17) % 20 < 11 as same",
+        "1 + doc_id % 7 as a", "2 + doc_id % 5 as b", "1 + floor(doc_id / 7) % 9 as c",
+    )
+    one = "if(same, 0, 1)"
+    forms = {  # gold, answer
+        0: (r"'(x+' || a || ')(x-' || b || ')'", rf"'x^2+(' || (a - b + {one}) || ')x-' || a * b"),
+        1: (r"'\\frac{' || a || '}{' || b || '}+\\frac{1}{' || c || '}'", rf"'\\dfrac{{' || (a * c + b + {one}) || '}}{{' || b * c || '}}'"),
+        2: (r"'\\sqrt{' || a * a * b || '}'", rf"(a + {one}) || '\\sqrt{{' || b || '}}'"),
+        3: (r"'\\frac{' || a || '}{\\sqrt{' || b || '}}'", rf"'\\frac{{' || a || '\\sqrt{{' || b || '}}}}{{' || (b + {one}) || '}}'"),
+        4: (r"'(' || a || '+\\sqrt{' || b || '})^2'", rf"(a * a + b + {one}) || '+' || 2 * a || '\\sqrt ' || b"),
+        5: (r"'\\{' || a || ', ' || b || ', ' || (a + b) || '\\}'", r"if(same, '\\left\\{', '(') || (a + b) || ',' || b || ',' || a || if(same, '\\right\\}', ')')"),
+        6: (r"'(' || a || ', \\frac{' || b || '}{2})'", r"if(same, '(' || a || ',' || b || '/2)', '(' || b || '/2,' || a || ')')"),
+        7: (r"'[' || a || ', ' || (a + b) || ')'", r"'\\left[' || a || ',\\frac{' || 2 * (a + b) || '}{2}' || if(same, '\\right)', '\\right]')"),
+        8: (r"'\\begin{pmatrix}' || a || ' & ' || b || '\\\\ ' || c || ' & 1\\end{pmatrix}'", r"'\\begin{bmatrix}' || a || '&' || if(same, b, c) || '\\\\' || if(same, 2 * c, 2 * b) || '/2&1\\end{bmatrix}'"),
+        9: (r"'\\frac{' || a || '\\pi}{' || b || '}'", r"if(same, a || '/' || b || '\\cdot\\pi', '\\frac{' || b || '\\pi}{' || a || '}')"),
+        10: (r"'' || a", r"a || '\\text{ units}'"),
+        11: (r"'x^{' || a || '}\\cdot x^{' || b || '}'", r"'x^{' || if(same, a + b, a * b) || '}'"),
+    }
+
+    def of(i):
+        return F.expr("CASE form " + " ".join(f"WHEN {n} THEN {pair[i]}" for n, pair in forms.items()) + " END")
+
+    trace = F.concat("text", F.lit("\nAnswer: "), of(1))
+    out = x.select(F.col("doc_id").alias("id"), F.col("k").cast("int").alias("pos"), F.col("form").cast("int").alias("form"), F.lit("math").alias("task"), of(0).alias("gold"), trace.alias("_trace"))
+    return evaluate_once(out, trace=F.col("_trace")).drop("_trace")
+
+
 def with_meta(t: DataFrame) -> DataFrame:
     """Attach the provenance map a teacher record carries; every fifth document's has a gold."""
     gold = F.when(F.col("id") % 5 == 0, F.create_map(F.lit("gold"), F.concat(F.lit("meta "), F.col("gold"))))
