@@ -142,6 +142,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     """
     told = written(identities(docs, key, text, block, held), "identities")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("k").isNull().alias("none"), "k", "row")).alias("best")
-    groups = told.groupBy("length", "name").agg(F.count(F.lit(1)).alias("group_size"), best)
+    # as a table of its own, so that the join deals both sides anew and AQE can split a hot identity
+    groups = written(told.groupBy("length", "name").agg(F.count(F.lit(1)).alias("group_size"), best), "groups")
     out = told.join(groups, ["length", "name"])
     return out.select(F.col("k").alias(key), F.col("best.k").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
