@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thinkframe.functions.text import (
@@ -21,7 +21,9 @@ from thinkframe.functions.text import (
     pystrip,
     with_math_equal,
 )
-from thinkframe.operators.vote import DEFAULT_STRATEGY, sample_keys, vote_keys, vote_prefixes
+from thinkframe.operators.prefix import running
+from thinkframe.operators.vote import DEFAULT_STRATEGY, leader_changes, sample_keys, vote_keys
+from thinkframe.session import written
 
 # Benchmark keys and display names, in report order.
 BENCHES = (("arc_c", "ARC-Challenge"), ("gsm8k", "GSM8K"), ("math_500", "MATH-500"))
@@ -89,9 +91,8 @@ def _bench_items(items: Mapping[str, DataFrame], keys: Sequence[str], extra: Seq
     return out
 
 
-def _score_items(items_all: DataFrame, votes: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    """Join votes once and apply each benchmark's equality rule."""
-    j = _join_votes(items_all, votes, keys)
+def _judged(j: DataFrame) -> DataFrame:
+    """Rows (bench, gold, answer) with ``correct`` by each benchmark's rule."""
     j = with_math_equal(j, "answer", "gold", "_meq")
     ans, gold = F.col("answer"), F.col("gold")
     correct = (
@@ -99,7 +100,12 @@ def _score_items(items_all: DataFrame, votes: DataFrame, keys: Sequence[str], ex
         .when(F.col("bench") == "gsm8k", gsm8k_eval_equal(ans, gold))
         .otherwise(ans.isNotNull() & F.col("_meq"))
     )
-    return _rows(j.withColumn("correct", correct), ["bench", *keys], extra)
+    return j.withColumn("correct", correct).drop("_meq")
+
+
+def _score_items(items_all: DataFrame, votes: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    """Join votes once and apply each benchmark's equality rule."""
+    return _rows(_judged(_join_votes(items_all, votes, keys)), ["bench", *keys], extra)
 
 
 def evaluate(
@@ -144,15 +150,17 @@ def accuracy(rows: DataFrame, by: Sequence[str] = ("bench",)) -> DataFrame:
 def k_sweep(
     completions: DataFrame,
     items: Mapping[str, DataFrame],
-    ks: Sequence[int] = SWEEP_KS,
+    ks: Sequence[int] | DataFrame = SWEEP_KS,
     strategy: str | Mapping[str, str] = DEFAULT_STRATEGY,
     weight=None,
 ) -> DataFrame:
     """A10 + J3: accuracy per K as a K x bench table.
 
-    Samples are counted once per (item, answer) with a count per K
-    (``vote_prefixes``), not multiplied by the Ks. A K larger than every item's sample count is reported as NULL, like a
-    missing run.
+    ``ks``: whole numbers, or a table with a column ``k`` of any length. The
+    samples are voted over once (``leader_changes``), a winner is judged where
+    it becomes one, and the accuracy of a K is the sum of the changes before
+    it; neither samples nor items are multiplied by the Ks. A K larger than
+    every item's sample count is reported as NULL, like a missing run.
     """
     return k_sweep_keys(sample_keys(completions, ("id",), weight=weight), items, ks, strategy)
 
@@ -160,28 +168,35 @@ def k_sweep(
 def k_sweep_keys(
     keys: DataFrame,
     items: Mapping[str, DataFrame],
-    ks: Sequence[int] = SWEEP_KS,
+    ks: Sequence[int] | DataFrame = SWEEP_KS,
     strategy: str | Mapping[str, str] = DEFAULT_STRATEGY,
 ) -> DataFrame:
-    """``k_sweep`` from a narrow ``sample_keys`` table (keys are extracted once)."""
-    ks_arr = F.array(*[F.lit(int(k)) for k in ks])
-    votes = vote_prefixes(keys, [int(k) for k in ks], ("id",), strategy)
-    # each item once per K (narrow explode), so items without samples count
-    items_k = _bench_items(items, ("id",), ()).select("*", F.explode(ks_arr).alias("sweep_k"))
-    out = _score_items(items_k, votes.withColumnRenamed("k", "sweep_k"), ("sweep_k", "id"), ())
-    acc = out.groupBy("bench", "sweep_k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("correct")).alias("n_correct"),
-        F.max("k").alias("max_k"),
-    )
-    acc = acc.withColumn(
-        "acc",
-        F.when(F.col("max_k") >= F.col("sweep_k"), F.col("n_correct") / F.greatest(F.col("n"), F.lit(1))),
-    )
+    """``k_sweep`` from a narrow ``sample_keys`` table (keys are extracted once;
+    the table is written, as its order of samples is looked at more than once)."""
+    spark, item = keys.sparkSession, ["id", "task"]
     benches = [b for b, _ in BENCHES if b in items]
-    return (
-        acc.groupBy(F.col("sweep_k").alias("k"))
-        .pivot("bench", benches)
-        .agg(F.first("acc"))
-        .select("k", *benches)
-    )
+    if not isinstance(ks, DataFrame):
+        ks = spark.createDataFrame([(int(k),) for k in ks], "k long")
+    ks = ks.select(F.col("k").cast("long").alias("k")).where("k IS NOT NULL").distinct()
+    keys = written(keys, "sweep-keys")
+    wanted = written(_bench_items(items, ("id",), ()), "sweep-items")
+
+    # right winners gained and lost, per bench and position
+    changes = leader_changes(keys, ("id",), strategy).withColumn("pos", F.col("pos").cast("long"))
+    judged = _judged(wanted.join(changes, item)).withColumn("right", F.coalesce(F.col("correct"), F.lit(False)).cast("long"))
+    before = F.lag("right", 1, 0).over(Window.partitionBy("bench", *item).orderBy("pos"))
+    gains = judged.withColumn("gain", F.col("right") - before).where("gain <> 0")
+    gains = gains.groupBy("bench", "pos").agg(F.sum("gain").alias("gain"))
+    # as-of: the gains up to position k - 1 for every k
+    asked = ks.select(F.explode(F.array(*[F.lit(b) for b in benches])).alias("bench"), (F.col("k") - 1).alias("pos"), F.lit(0).cast("long").alias("gain"), F.lit(1).alias("kind"))
+    steps = gains.select("bench", "pos", "gain", F.lit(0).alias("kind")).union(asked)
+    summed = running(steps, ["bench"], "pos", {"n_correct": ("sum", F.col("gain"))}, then=["kind"]).where("kind = 1")
+
+    # items per bench, and the longest run of first samples that an item has
+    dense = running(keys.select(*item, F.col("pos").cast("long").alias("pos")), item, "pos", {"seen": ("sum", F.lit(1))}).where("seen > pos")
+    longest = dense.groupBy(*item).agg(F.max(F.col("pos") + 1).alias("most"))
+    size = wanted.join(longest, item, "left").groupBy("bench").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("most"), F.lit(0)).alias("most"))
+    acc = summed.withColumn("k", F.col("pos") + 1).join(size, "bench")
+    acc = acc.withColumn("acc", F.when(F.col("k") <= F.col("most"), F.col("n_correct") / F.greatest(F.col("n"), F.lit(1))))
+    out = acc.groupBy("k").pivot("bench", benches).agg(F.first("acc"))
+    return out.select(F.col("k").cast("int").alias("k"), *benches)

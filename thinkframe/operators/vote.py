@@ -9,19 +9,24 @@ collect of raw samples.
 
 Tie rule: largest score, then the key whose first sample came earliest
 (``pos``), as ``Counter.most_common`` / ``max`` over insertion order do.
-Weighted scores are double sums in ``pos`` order, whatever order rows arrive
-in; only weighted votes gather weights (16 bytes per sample of one answer of
-one item, K being the sampling parameter). A NaN weight counts as largest.
+Weighted scores are exact sums rounded once (``functions.sums``): whatever
+order rows arrive in, and with at most 67 numbers per answer of an item,
+however many samples it has. A NaN weight counts as largest.
+
+Votes over the first k samples, for any ks, come from one table of leader
+changes (``leader_changes``): a row where an item's winner becomes another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thinkframe.functions import sums
 from thinkframe.functions.text import col, evaluate_once, extract_answer, with_vote_key
+from thinkframe.operators.prefix import running
 
 # Vote strategy per task used by the evaluation configs (fixed values).
 DEFAULT_STRATEGY = {"arc": "majority", "gsm8k": "weighted", "math": "weighted"}
@@ -54,13 +59,17 @@ def sample_keys(
 
 def key_counts(keys: DataFrame, id_cols: Sequence[str] = ("id",), weighted: Column | None = None) -> DataFrame:
     """Per (item, key): sample count, first position and, for rows where
-    ``weighted`` holds, the weight sum in ``pos`` order (NULL key = no answer)."""
+    ``weighted`` holds, the exact weight sum (NULL key = no answer)."""
     ids = [F.col(c) for c in id_cols]
-    aggs = [F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos")]
-    if weighted is not None:
-        listed = F.sort_array(F.collect_list(F.when(weighted, F.struct("pos", "w"))))
-        aggs.append(F.aggregate(listed, F.lit(0.0), lambda total, x: total + x["w"]).alias("wsum"))
-    return keys.groupBy(*ids, "task", "key").agg(*aggs)
+    if weighted is None:
+        return keys.groupBy(*ids, "task", "key").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    w = F.when(weighted, F.col("w"))
+    per_bin = keys.groupBy(*ids, "task", "key", sums.bin_of(w).alias("bin")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"), F.sum(sums.amount(w)).alias("amount"), F.sum(sums.odd(w)).alias("odd"),
+    )
+    pairs = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "amount")))  # a pair per bin, 67 at most
+    out = per_bin.groupBy(*ids, "task", "key").agg(F.sum("cnt").alias("cnt"), F.min("first_pos").alias("first_pos"), pairs.alias("pairs"), F.sum("odd").alias("odd"))
+    return out.select(*ids, "task", "key", "cnt", "first_pos", sums.rounded("pairs", "odd").alias("wsum"))
 
 
 def _is_weighted(strategy: str | Mapping[str, str]) -> Column | None:
@@ -118,45 +127,56 @@ def vote_keys(
     )
 
 
-def _before(k: int):
-    return lambda x: x["pos"] < k
-
-
-def vote_prefixes(
-    keys: DataFrame,
-    ks: Sequence[int],
-    id_cols: Sequence[str] = ("id",),
-    strategy: str | Mapping[str, str] = "majority",
-) -> DataFrame:
-    """The votes over the first k samples (``pos < k``) for every k of ``ks``:
-    ids, k, task, answer, support, total, confidence.
-
-    Two aggregations for all ks together: one count (and weight sum) per k and
-    (item, key), one winner per k and item; samples are never multiplied. An
-    item without a sample among the first k has no row for that k.
+def _scores(keys: DataFrame, ids: Sequence[str], weighted: Column | None) -> DataFrame:
+    """(ids, task, key, pos, score, first): the score of its answer right after
+    each sample with an answer, and the position of the answer's first one."""
+    item = [*ids, "task", "key"]
+    seen = running(keys.where(F.col("key").isNotNull()), item, "pos", {"n": ("sum", F.lit(1)), "first": ("min", F.col("pos"))})
+    score = F.col("n").cast("double")
+    if weighted is None:
+        return seen.select(*item, "pos", score.alias("score"), "first")
+    # every sample meets the bins its answer has weights in; a bin's running sum is exact
+    own = seen.where(weighted).select(*item, "pos", "first", F.col("w"), sums.bin_of(F.col("w")).alias("bin"), sums.amount(F.col("w")).alias("amount"))
+    bins = own.groupBy(*item).agg(F.collect_set("bin").alias("bins"))
+    spread = own.join(bins, item).select(*item, "pos", "first", "w", F.explode_outer("bins").alias("b"), F.when(F.col("bin") == F.col("b"), F.col("amount")).alias("amount"))
+    summed = running(spread, [*item, "b"], "pos", {"upto": ("sum", F.col("amount")), "odd": ("sum", sums.odd(F.col("w")))})
+    pairs = F.collect_list(F.when(F.col("b").isNotNull() & F.col("upto").isNotNull(), F.struct(F.col("b").alias("bin"), F.col("upto").cast(sums.AMOUNT).alias("amount"))))
+    total = summed.groupBy(*item, "pos", "first").agg(pairs.alias("pairs"), F.max("odd").alias("odd"))
+    total = total.select(*item, "pos", sums.rounded("pairs", "odd").alias("score"), "first")
+    return seen.where(~weighted).select(*item, "pos", score.alias("score"), "first").union(total)
+
+
+def leader_changes(keys: DataFrame, id_cols: Sequence[str] = ("id",), strategy: str | Mapping[str, str] = "majority") -> DataFrame:
+    """(ids, task, pos, answer): a row for every sample after which the vote over
+    an item's samples so far has another winner than before.
+
+    Scores only grow, so the winner so far is the largest (score, earliest
+    first sample) seen so far: one running maximum, whatever the number of
+    samples. Weights must not be negative (ValueError at run time).
     """
-    ids = [F.col(c) for c in id_cols]
+    ids = list(id_cols)
     weighted = _is_weighted(strategy)
-    aggs = [F.min("pos").alias("first_pos"), *[F.count_if(F.col("pos") < k).alias(f"n{k}") for k in ks]]
     if weighted is not None:
-        listed = F.sort_array(F.collect_list(F.when(weighted, F.struct("pos", "w"))))
-        for k in ks:
-            first = F.filter(listed, _before(k))
-            aggs.append(F.aggregate(first, F.lit(0.0), lambda total, x: total + x["w"]).alias(f"w{k}"))
-    per_key = keys.groupBy(*ids, "task", "key").agg(*aggs)
-
-    def winner(k: int) -> Column:
-        score = F.col(f"n{k}").cast("double")
-        if weighted is not None:
-            score = F.when(weighted, F.col(f"w{k}")).otherwise(score)
-        in_play = F.col("key").isNotNull() & (F.col(f"n{k}") > 0)
-        order = F.when(in_play, F.struct(score.alias("s"), (-F.col("first_pos")).alias("p")))
-        return F.max_by(F.struct(F.col("key").alias("answer"), F.col(f"n{k}").alias("support")), order)
-
-    per_item = per_key.groupBy(*ids, "task").agg(*[winner(k).alias(f"v{k}") for k in ks], *[F.sum(f"n{k}").alias(f"t{k}") for k in ks])
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"v{k}.answer"), F.coalesce(F.col(f"v{k}.support"), F.lit(0)).cast("long").alias("support"), F.col(f"t{k}").cast("long").alias("total")) for k in ks])
-    out = per_item.select(*ids, "task", F.inline(rows)).where("total > 0")
-    return out.withColumn("confidence", F.col("support") / F.col("total"))
+        wrong = F.raise_error(F.lit("votes over prefixes need weights that are not negative")).cast("double")
+        keys = keys.withColumn("w", F.when(weighted & (F.col("w") < 0), wrong).otherwise(F.col("w")))
+    scored = _scores(keys, ids, weighted)
+    standing = F.struct("score", (-F.col("first")).alias("p"), "key")
+    led = running(scored.withColumn("own", standing), [*ids, "task"], "pos", {"before": ("max", F.col("own"))}, then=["key"], own=False)
+    led = led.withColumn("lead", F.greatest("before", "own"))
+    return led.where(F.col("before").isNull() | (F.col("lead.key") != F.col("before.key"))).select(*ids, "task", "pos", F.col("lead.key").alias("answer"))
+
+
+def leaders_at(changes: DataFrame, ks: Sequence[int], id_cols: Sequence[str] = ("id",)) -> DataFrame:
+    """(ids, task, k, answer): the winner of each item among its first ``k``
+    samples (``pos < k``) for every k; no row before the first answer. One row
+    per item and k: accuracies for many ks need none (``evals.k_sweep``)."""
+    ids = [*id_cols, "task"]
+    wanted = changes.select(*ids).distinct().select(*ids, F.explode(F.array(*[F.lit(int(k) - 1).cast("long") for k in ks])).alias("at"))
+    rows = changes.select(*ids, F.col("pos").cast("long").alias("at"), F.lit(0).alias("kind"), "answer").union(
+        wanted.select(*ids, "at", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("answer"))
+    )
+    last = F.last("answer", ignorenulls=True).over(Window.partitionBy(*ids).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("answer", last).where("kind = 1 AND answer IS NOT NULL").select(*ids, (F.col("at") + 1).alias("k"), "answer")
 
 
 def vote(

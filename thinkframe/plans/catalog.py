@@ -20,7 +20,7 @@ from thinkframe.operators import encode as E
 from thinkframe.operators import evals as V
 from thinkframe.operators import reports as P
 from thinkframe.operators import rewards as RW
-from thinkframe.operators.vote import DEFAULT_STRATEGY, distribution_table, sample_keys, vote
+from thinkframe.operators.vote import DEFAULT_STRATEGY, distribution_table, leader_changes, sample_keys, vote
 from thinkframe.operators.ordering import first_n
 from thinkframe.session import shared_path, written
 from thinkframe.sources import fixture as X
@@ -350,6 +350,19 @@ def q_k_sweep(spark, sf):
     return k.select("k", *[_r9(b).alias(b) for b, _ in V.BENCHES])
 
 
+def q_k_sweep_table(spark, sf):
+    """A10 + J3 with the Ks as a table: every K from 1 to 40 over 16 samples, by weight."""
+    ks = spark.range(1, 41).select(F.col("id").alias("k"))
+    t = X.with_logprobs(_traces(spark, sf, 16))
+    k = V.k_sweep(t, X.bench_items(spark, sf), ks, DEFAULT_STRATEGY, _WEIGHT("logprob_sum", "n_tokens"))
+    return k.select("k", *[_r9(b).alias(b) for b, _ in V.BENCHES])
+
+
+def q_leader_changes(spark, sf):
+    """The winner of the vote so far, wherever it changes (16 samples per item)."""
+    return leader_changes(sample_keys(_traces(spark, sf, 16))).select("id", "pos", "answer")
+
+
 def q_bench_report(spark, sf):
     rows = _eval_rows(spark, sf, extra=("source",))
     acc = V.accuracy(rows, ("bench", "source")).select("bench", F.col("source").alias("model"), "acc")

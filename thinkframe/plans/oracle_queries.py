@@ -38,8 +38,8 @@ def dbl(x: float) -> str:
 def vote_ctes(keys_src: str, ids: list[str], weighted: bool | str = False, name: str = "votes") -> list[str]:
     """keys_src must expose ids, task, pos, key (and w when weighted)."""
     idl = ", ".join(ids)
-    # weights add up in the samples' order, as doubles
-    score = "list_reduce(list(w ORDER BY pos), lambda a, b: a + b)" if weighted else "CAST(count(*) AS DOUBLE)"
+    # the fixture's weights are whole multiples of 2^-60: their sum is exact, then rounded
+    score = "CAST(sum(CAST(w * 1152921504606846976 AS HUGEINT)) AS DOUBLE) / 1152921504606846976" if weighted else "CAST(count(*) AS DOUBLE)"
     if weighted == "by task":
         score = f"CASE WHEN any_value(task) IN ('gsm8k', 'math') THEN {score} ELSE CAST(count(*) AS DOUBLE) END"
     return [
@@ -308,6 +308,21 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"{r9(f'max(acc) FILTER (WHERE bench = {q(b)})')} AS {b}" for b, _ in BENCHES)
         + " FROM kacc GROUP BY sweep_k"
     )
+    many = "(SELECT unnest(range(1, 41)) AS sweep_k)"
+    wkeys = f"kkeys AS (SELECT k.sweep_k, id, task, pos, {O.vote_key('answer', 'task')} AS key, {WEIGHT} AS w FROM wa JOIN {many} k ON wa.pos < k.sweep_k)"
+    sql["k_sweep_table"] = w(TRACES16, WA, wkeys, *vote_ctes("kkeys", ["sweep_k", "id"], weighted="by task", name="kvotes"), BASE,
+                             ITEMS_ARC, ITEMS_GSM, ITEMS_MATH, *eval_ctes("kvotes", ("sweep_k", "id"), items_k=f" CROSS JOIN {many}"),
+                             f"kacc AS (SELECT bench, sweep_k, CASE WHEN max(k) >= sweep_k THEN {acc} END AS acc FROM ev GROUP BY bench, sweep_k)") + (
+        "SELECT CAST(sweep_k AS INTEGER) AS k, "
+        + ", ".join(f"{r9(f'max(acc) FILTER (WHERE bench = {q(b)})')} AS {b}" for b, _ in BENCHES)
+        + " FROM kacc GROUP BY sweep_k"
+    )
+    each = "(SELECT unnest(range(1, 17)) AS sweep_k)"
+    ekeys = f"kkeys AS (SELECT k.sweep_k, id, task, pos, {O.vote_key('answer', 'task')} AS key FROM wa JOIN {each} k ON wa.pos < k.sweep_k)"
+    sql["leader_changes"] = w(TRACES16, WA, ekeys, *vote_ctes("kkeys", ["sweep_k", "id"], name="kvotes"),
+                              "prior AS (SELECT *, lag(answer) OVER (PARTITION BY id ORDER BY sweep_k) AS old FROM kvotes)") + (
+        "SELECT id, CAST(sweep_k - 1 AS INTEGER) AS pos, answer FROM prior WHERE answer IS DISTINCT FROM old"
+    )
     benches = ", ".join(f"({i}, {q(b)}, {q(n)})" for i, (b, n) in enumerate(BENCHES))
     report = w(
         *EVAL,
