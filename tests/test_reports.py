@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from thinkframe.operators import evals as V
@@ -33,6 +34,34 @@ def test_length_summary(spark):
     assert abs(r["std"] - d["std"]) < 1e-9
 
 
+def test_quantiles_of_many_groups_and_values(spark):
+    """Against numpy, and without ``percentile`` or an unpartitioned window in the plan."""
+    import numpy as np
+
+    from thinkframe.operators.ordering import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    rows = [(f"g{g}" if g else None, int(x), int(n)) for g in range(6) for x, n in zip(rng.choice(10**7, 400, replace=False) - 10**6, rng.integers(1, 9, 400), strict=True)]
+    rows += [("one", 7, 1), ("same", 3, 1000), ("two", 1, 1), ("two", 2, 1), ("none", None, 5)]
+    df = spark.createDataFrame(rows, "g string, x long, n long")
+    probs = (0.0, 0.001, 0.25, 1 / 3, 0.5, 0.975, 1.0)
+    out = exact_quantiles(df, ["g"], "x", probs)
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in out.collect()}
+    assert set(got) == {r[0] for r in rows} - {"none"}
+    for g, values in got.items():
+        xs = np.repeat([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g])
+        assert values == pytest.approx(list(np.quantile(xs, probs)), rel=1e-12, abs=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "SinglePartition" not in plan
+
+
+def test_length_summary_keeps_no_list_of_values(spark):
+    df = spark.range(2000).selectExpr("'s' as stage", "repeat('x', int(id * 7 % 4001)) as trace")
+    out = P.length_summary(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "SinglePartition" not in plan and out.first()["count"] == 2000
+
+
 def test_k_sweep_null_for_missing_k(spark):
     comp = spark.createDataFrame([(1, p, "arc", "Answer: A") for p in range(2)], "id int, pos int, task string, trace string")
     items = {"arc_c": spark.createDataFrame([(1, "A")], "id int, answerKey string")}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from thinkframe.functions.text import approx_tokens_raw, count_answer_lines, pystrip
 from thinkframe.operators.evals import BENCHES
+from thinkframe.operators.ordering import exact_quantiles
 from thinkframe.session import written
 
 HIST_BINS = 40
@@ -69,22 +70,28 @@ def bench_report(
     return fixed.union(lines)
 
 
+def _length_counts(completions: DataFrame, stage: str, text: str) -> DataFrame:
+    """(stage, x, n): how many texts of a stage have ``len // 4`` = x; the texts are read once."""
+    lengths = completions.select(F.col(stage).alias("stage"), approx_tokens_raw(F.col(text)).cast("long").alias("x"))
+    return written(lengths.groupBy("stage", "x").agg(F.count(F.lit(1)).alias("n")), "length-counts")
+
+
+def summary_of_counts(counts: DataFrame, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """stage, count, mean, std, min, max and the quantiles ``q0`` ... of counted
+    values (stage, x, n), whatever the number of distinct ones."""
+    n, x = F.col("n"), F.col("x").cast("double")
+    total = counts.groupBy("stage").agg(F.sum("n").alias("count"), (F.sum(F.col("x").cast("decimal(19,0)") * n).cast("double") / F.sum("n")).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    of = total.select(F.col("stage").alias("_s"), F.col("mean").alias("_m"))
+    spread = counts.join(of, F.col("stage").eqNullSafe(F.col("_s"))).groupBy("_s").agg(F.sum(n * (x - F.col("_m")) * (x - F.col("_m"))).alias("_sq"))
+    q = exact_quantiles(counts, ["stage"], "x", probs).withColumnRenamed("stage", "_q")
+    out = total.join(spread, F.col("stage").eqNullSafe(F.col("_s"))).join(q, F.col("stage").eqNullSafe(F.col("_q")))
+    return out.withColumn("std", F.when(F.col("count") > 1, F.sqrt(F.col("_sq") / (F.col("count") - 1)))).drop("_s", "_q", "_sq")
+
+
 def length_summary(completions: DataFrame, stage: str = "stage", text: str = "trace") -> DataFrame:
     """Count, mean, std, min, quartiles, max of ``len // 4`` per stage."""
-    x = approx_tokens_raw(F.col(text))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = completions.groupBy(F.col(stage).alias("stage")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).cast("double").alias("min"),
-        q.alias("_q"),
-        F.max(x).cast("double").alias("max"),
-    )
-    return out.select(
-        "stage", "count", "mean", "std", "min",
-        F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max",
-    )
+    out = summary_of_counts(_length_counts(completions, stage, text))
+    return out.select("stage", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
 def length_histogram(
@@ -97,8 +104,7 @@ def length_histogram(
     the middle bin of a unit-wide range. Every bin is listed, empty ones with
     count 0. The texts are read once, into counts per (stage, length).
     """
-    lengths = completions.select(F.col(stage).alias("stage"), approx_tokens_raw(F.col(text)).cast("long").alias("x"))
-    x = written(lengths.groupBy("stage", "x").agg(F.count(F.lit(1)).alias("n")), "length-counts")
+    x = _length_counts(completions, stage, text)
     rng = x.groupBy("stage").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     j = x.join(rng, "stage")
     width = F.col("hi") - F.col("lo")

@@ -21,7 +21,7 @@ from thinkframe.operators import evals as V
 from thinkframe.operators import reports as P
 from thinkframe.operators import rewards as RW
 from thinkframe.operators.vote import DEFAULT_STRATEGY, distribution_table, leader_changes, sample_keys, vote
-from thinkframe.operators.ordering import first_n
+from thinkframe.operators.ordering import exact_quantiles, first_n
 from thinkframe.session import shared_path, written
 from thinkframe.sources import fixture as X
 from thinkframe.sources import io
@@ -374,6 +374,16 @@ def q_length_summary(spark, sf):
     return s.select("stage", "count", *[_r9(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
+def q_group_quantiles(spark, sf):
+    """A11's selection on a column with nearly as many values as rows: seven quantiles
+    of a per-sample score, per source."""
+    t = _traces(spark, sf).select("source", (F.length("trace") * 1000 + (F.col("id") * 37 + F.col("pos") * 11) % 1000).alias("x"))
+    counts = written(t.groupBy("source", "x").agg(F.count(F.lit(1)).alias("n")), "score-counts")
+    probs = (0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0)
+    q = exact_quantiles(counts, ["source"], "x", probs)
+    return q.select("source", *[F.round(f"q{i}", 3).alias(f"q{i}") for i in range(len(probs))])
+
+
 def q_length_histogram(spark, sf):
     h = P.length_histogram(_traces(spark, sf), stage="lang")
     return h.select("stage", "bin", _r9("bin_lo").alias("bin_lo"), _r9("bin_hi").alias("bin_hi"), "count", "has_mark")

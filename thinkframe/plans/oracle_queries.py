@@ -347,6 +347,10 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"{r9(f'quantile_cont({tok}, {p})')} AS {n}" for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")))
         + f", {r9(f'CAST(max({tok}) AS DOUBLE)')} AS max FROM traces GROUP BY lang"
     )
+    sql["group_quantiles"] = w(TRACES) + (
+        "SELECT source, " + ", ".join(f"round(quantile_cont(CAST(length(trace) * 1000 + (id * 37 + pos * 11) % 1000 AS DOUBLE), {p}), 3) AS q{i}"
+                                      for i, p in enumerate((0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0))) + " FROM traces GROUP BY source"
+    )
     sql["length_histogram"] = w(
         TRACES,
         f"hx AS (SELECT lang AS stage, CAST({tok} AS BIGINT) AS x FROM traces)",
