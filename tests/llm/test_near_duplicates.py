@@ -5,10 +5,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import ODD, no_docs, odd_docs, real_docs
-from thinkframe.llm import minhash, vecdedup
+from thinkframe.llm import common, minhash, vecdedup
 from thinkframe.llm.components import connected_components
 
 
@@ -72,6 +73,16 @@ def test_pipeline_keeps_one_row_of_each_text(spark):
     assert sorted(out, key=str) == sorted([(1, a), (2, b), (3, c), (None, a + " " + b), (5, None), (5, None)], key=str)
 
 
+@pytest.mark.parametrize("bits", [1 << 23, 64])
+def test_rows_without_some_keys(spark, monkeypatch, bits):
+    """With few keys most rows stay in place; with all bits set it is an anti-join."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    df = spark.range(5000).select((F.col("id") - 100).alias("k"), F.lit("t").alias("t"))
+    keys = spark.range(0, 5000, 7).select(F.col("id").alias("k"))
+    assert sorted(r["k"] for r in common.without(df, keys, "k").collect()) == [i for i in range(-100, 4900) if i < 0 or i % 7]
+    assert common.without(df, keys.limit(0), "k").count() == 5000
+
+
 def copies(seed, n, words, changes):
     rng = random.Random(seed)
     base = [f"w{rng.randint(0, 5000)}" for _ in range(words)]

@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from thinkframe.session import shared_path
 
@@ -23,6 +25,7 @@ CHUNK_BYTES = 1 << 20  # bytes of documents handled together
 CHUNK_ROWS = 512  # and rows, at most
 
 
+FILTER_BITS = 1 << 23  # of the broadcast set of keys (1 MB, whatever the input)
 FILE_ROWS = 500_000  # rows of a narrow table per file
 
 
@@ -39,6 +42,35 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def key_bits(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit array of fixed size in which the bit of every key is set."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    rows = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {FILTER_BITS}) & 63 as int))").alias("bit"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in rows.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r["w"]] = r["bits"]
+    return words.view(np.uint64)
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``keys`` (distinct, written).
+
+    Rows move only where the bit of their key is set; the others, most of them
+    while the keys are few, stay where they are read. With many keys all bits
+    are set and this is a plain anti-join.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(key_bits(keys, key))
+
+    @F.pandas_udf("boolean")
+    def maybe(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    marked = df.withColumn("__maybe", maybe(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))))
+    stays = marked.where("not __maybe").drop("__maybe")
+    return stays.union(marked.where("__maybe").drop("__maybe").join(keys.select(key), key, "left_anti").select(*df.columns))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null reads as an empty text."""
     column = column.cast(pa.large_binary()).fill_null(b"")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thinkframe.llm.common import WordHasher, doc_chunks, mix64, shingles, written
+from thinkframe.llm.common import FILTER_BITS, WordHasher, doc_chunks, key_bits, mix64, shingles, written
 from thinkframe.llm.components import connected_components
 
 BANDS, ROWS, BITS = 24, 4, 4
@@ -51,7 +51,6 @@ MAP_BITS = 1 << 15  # 4 KB: a block's bitmaps stay under 16 MB
 LISTED = 4  # pairs per member that a key may list before it gives a spanning forest instead
 MAX_ROUNDS = 4  # of spanning forests; what is open then is compared exactly
 SET_BYTES = 1 << 24  # of full sets in a block that is compared exactly
-FILTER_BITS = 1 << 23  # of the broadcast set of wanted keys (1 MB, whatever the input)
 
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 
@@ -116,16 +115,6 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(key).cast("long"), F.col(text)).toDF("k", "t").mapInArrow(sign, schema)
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size in which the bit of every ``rep`` is set."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    rows = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) & 63 as int))").alias("bit"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
-        words[r["w"]] = r["bits"]
-    return words.view(np.uint64)
-
-
 def digest(shingle_set: bytes) -> bytes:
     return hashlib.blake2b(shingle_set, digest_size=16).digest()
 
@@ -135,7 +124,7 @@ def shingle_sets(source: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     of ``source`` (k, t): sorted distinct 64-bit shingle hashes as bytes, their
     number and their bitmap, from the texts with the class's key. Texts do not
     move: rows whose key is surely not wanted are dropped where they are read."""
-    shared = source.sparkSession.sparkContext.broadcast(_wanted(ids))
+    shared = source.sparkSession.sparkContext.broadcast(key_bits(ids, "rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = WordHasher(), shared.value
