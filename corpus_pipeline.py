@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thinkframe.llm import langid, minhash, mixing, packing, quality
-from thinkframe.llm.common import written
+from thinkframe.llm.common import without, written
 from thinkframe.llm.queries import END_OF_PIECE, MAX_TOKENS, table, vocabulary
 from thinkframe.session import shared_path
 
@@ -47,8 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = found.join(groups, "component_id", "left_semi").join(numbered.select("__row", F.col("doc_id").alias("__id")), "__row")
     members = written(members.select("component_id", F.struct(F.col("__id").isNull().alias("none"), "__id", "__row").alias("at")), "near-groups")
     stays = members.groupBy("component_id").agg(F.min("at").alias("at")).select("at.__row")
-    goes = members.select("at.__row").join(stays, "__row", "left_anti")
-    return numbered.join(goes, "__row", "left_anti").select(*docs.columns)
+    goes = written(members.select("at.__row").join(stays, "__row", "left_anti"), "dropped-rows")
+    return without(numbered, goes, "__row").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
