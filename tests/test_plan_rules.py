@@ -20,6 +20,10 @@ FORBIDDEN = {
 }
 
 
+# what a user registers is Python of the user's, in Arrow batches
+ALLOWED = {"registered_reward": {"ArrowEvalPython"}}
+
+
 @pytest.fixture()
 def strict_codegen(spark):
     old = spark.conf.get("spark.sql.codegen.fallback")
@@ -35,7 +39,7 @@ def test_query_plan_and_codegen(strict_codegen, name):
     df = QUERIES[name](strict_codegen, SF_SMALL)
     plan = strict_codegen._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     for node, why in FORBIDDEN.items():
-        assert node not in plan, f"{name}: {why} ({node})"
+        assert node in ALLOWED.get(name, ()) or node not in plan, f"{name}: {why} ({node})"
     df.write.format("noop").mode("overwrite").save()
 
 

@@ -72,6 +72,63 @@ def test_registry(spark):
     assert df.select(R.Term(("correctness", 2, {})).column(correct=F.col("ok"))).first()[0] == 1.0
 
 
+@pytest.fixture()
+def registered():
+    def shout(text, level, floor=0.0):
+        return (text.str.count("!") * level).clip(lower=floor)
+
+    R.register("shout", shout, reads=["text", "level"], parameters=["floor"])
+    yield
+    R.unregister("shout")
+
+
+def test_registered_rewards_are_checked_when_they_are_made(registered):
+    with pytest.raises(ValueError, match="taken"):
+        R.register("shout", lambda text: text)
+    with pytest.raises(ValueError, match="taken"):
+        R.register("format", lambda text: text)
+    with pytest.raises(ValueError, match="identifier"):
+        R.register("no name", lambda text: text)
+    with pytest.raises(ValueError, match="no column"):
+        R.register("nothing", lambda: 0, reads=[])
+    with pytest.raises(TypeError, match="does not take"):
+        R.register("wrong", lambda text: text, reads=["text", "level"])
+    with pytest.raises(TypeError, match="does not take"):
+        R.register("wrong", lambda text: text, parameters=["floor"])
+    with pytest.raises(ValueError, match="native"):
+        R.unregister("format")
+    with pytest.raises(KeyError, match="native: .*format.*registered: shout"):
+        R.Term(("nope", 1.0, {}))
+    with pytest.raises(TypeError, match="soft_max"):
+        R.Term({"name": "shout", "kwargs": {"soft_max": 3}})
+    assert R.names()["registered"] == ["shout"]
+
+
+def test_registered_reward_beside_native_ones(spark, registered):
+    rows = [("p", i, "<think>a</think>\nAnswer: 4" + "!" * i, "4", "gsm8k", i - 1) for i in range(4)] + [("p", 9, None, "4", "gsm8k", 1)]
+    df = spark.createDataFrame(rows, "prompt_id string, pos int, text string, gold string, task string, level int")
+    specs = [("correctness", 1.0, {}), {"name": "shout", "weight": 0.5, "kwargs": {"floor": -0.25}}, ("answer_present", 1.0, {})]
+    out = RW.score(df, specs)
+    assert out.columns == [*df.columns, "r_correctness", "r_shout", "r_answer_present", "reward"]
+    for r in out.where("text IS NOT NULL").collect():
+        assert r["r_shout"] == max(-0.25, r["pos"] * (r["pos"] - 1)) and r["r_answer_present"] == 0.1
+        assert r["reward"] == r["r_correctness"] + 0.5 * r["r_shout"] + 0.1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # once, though the sum and the column both use it
+    with pytest.raises(ValueError, match="level"):
+        RW.score(df.drop("level"), specs)
+
+
+def test_registered_reward_must_return_a_value_per_row(spark):
+    R.register("short", lambda text: text.iloc[:1])
+    try:
+        df = spark.createDataFrame([("p", i, "x", "4", "gsm8k") for i in range(4)], "prompt_id string, pos int, text string, gold string, task string").coalesce(1)
+        with pytest.raises(Exception, match="returned 1 values for 4 rows"):
+            RW.score(df, [("short", 1.0, {})]).collect()
+    finally:
+        R.unregister("short")
+
+
 def test_mix_and_advantage(spark):
     df = spark.createDataFrame(
         [("p1", 0, "<think>a</think>\nAnswer: 4", "4", "gsm8k"),

@@ -1,8 +1,10 @@
 import json
 import tempfile
 
+import pytest
+
 from thinkframe.plans.pipelines import report
-from thinkframe.sources import io
+from thinkframe.sources import first_per_key, hot_keys, io, read_numbered_jsonl, write_bucketed
 
 
 def test_jsonl_round_trip_keeps_order_and_unicode(spark):
@@ -78,3 +80,68 @@ def test_written_fields_are_the_given_ones(spark):
     io.write_jsonl(df, f"{d}/out", order_by=["place"], columns=["x"])
     back = spark.read.json(f"{d}/out")
     assert back.columns == ["x"] and [r.x for r in back.collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("size", ["64b", "1000b", "128m"])
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path, size):
+    """Blank lines count, files follow each other by name, paths as given."""
+    want, rows = [], 0
+    for path, name, n in (("b", "part-1", 40), ("b", "part-0", 7), ("b", "part-2", 0), ("a", "only", 25)):
+        (tmp_path / path).mkdir(exist_ok=True)
+        lines = ["" if i % 5 == 3 else "  " if i % 11 == 10 else json.dumps({"id": f"{path}{name}{i}", "question": "é" * (i * 7 % 50)}, ensure_ascii=False) for i in range(n)]
+        (tmp_path / path / name).write_text("\n".join(lines) + ("\n" if n % 2 else ""), encoding="utf-8")
+    for no, path in enumerate(("b", "a")):
+        for file in sorted((tmp_path / path).iterdir()):
+            text = file.read_text(encoding="utf-8")
+            for i, line in enumerate(text.split("\n")[: -1 if text.endswith("\n") else None] if text else []):
+                if line.strip():
+                    want.append((json.loads(line)["id"], no, i, rows))
+                rows += 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        out = read_numbered_jsonl(spark, [str(tmp_path / "b"), str(tmp_path / "a")], "id string, question string")
+        got = [(r["id"], r["src_file_no"], r["src_line"], r["src_ordinal"]) for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got, key=lambda r: r[3]) == want
+
+
+def test_numbered_lines_stop_at_a_broken_record(spark, tmp_path):
+    (tmp_path / "x").write_text('{"id": "1"}\n{"id": \n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        read_numbered_jsonl(spark, str(tmp_path / "x"), "id string").collect()
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bucketed_tables_join_and_dedupe_without_an_exchange(spark, tmp_path, no_broadcast):
+    from thinkframe.operators.distill import dedupe_first
+    from thinkframe.operators.rewards import attach_prompts
+
+    c = spark.range(400).selectExpr("cast(id % 37 as string) prompt_id", "id pos", "concat('Answer: ', id) text")
+    p = spark.range(40).selectExpr("cast(id as string) prompt_id", "cast(id as string) gold", "'gsm8k' task")
+    own = write_bucketed(c, "t_completions", ["prompt_id"], ["pos"], buckets=4, path=str(tmp_path / "c"))
+    prompts = write_bucketed(p, "t_prompts", ["prompt_id"], buckets=4, path=str(tmp_path / "p"))
+    joined = attach_prompts(own, prompts)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, attach_prompts(c, p).collect()))
+    firsts = first_per_key(own, ["prompt_id"], ["pos"])
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert sorted(map(tuple, firsts.collect())) == sorted(map(tuple, dedupe_first(c, "prompt_id", ["pos"]).collect()))
+    assert len([f for f in (tmp_path / "c").iterdir() if f.name.startswith("part")]) <= 4  # a file per bucket
+    spark.sql("DROP TABLE t_completions")
+    spark.sql("DROP TABLE t_prompts")
+
+
+def test_hot_keys_are_told_before_a_table_is_bucketed(spark):
+    df = spark.range(1000).selectExpr("if(id < 340, 'hot', cast(id as string)) k")
+    assert [tuple(r) for r in hot_keys(df, ["k"]).collect()] == [("hot", 340)]

@@ -7,9 +7,11 @@ double constants as the original scalar code, so sums are bit-identical.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,22 +86,70 @@ def length_penalty(text, soft_max: int = 512, hard_max: int = 1024, min_reward:
 
 @dataclass(frozen=True)
 class Reward:
-    """A registered reward: its Column function, the column it reads ("text" or
-    "correct") and the parameters it may be given."""
+    """A registered reward: its Column function, the columns it reads and the
+    parameters it may be given. Native rewards read "text" or "correct"."""
 
     column: Callable[..., Column]
-    reads: str = "text"
+    reads: tuple[str, ...] = ("text",)
     parameters: frozenset = frozenset()
+    native: bool = True
 
 
 REGISTRY: dict[str, Reward] = {
-    "correctness": Reward(correctness, reads="correct"),
+    "correctness": Reward(correctness, reads=("correct",)),
     "answer_present": Reward(answer_present),
     "format": Reward(format_reward),
     "length_penalty": Reward(length_penalty, parameters=frozenset(LENGTH_DEFAULTS)),
 }
 
 
+def register(name: str, function: Callable[..., pd.Series], reads: Sequence[str] = ("text",), parameters: Sequence[str] = ()) -> None:
+    """Register a reward of the user's: ``function(*columns, **parameters)``
+    takes a pandas Series for each column of ``reads`` and returns one of
+    numbers, a batch at a time (Arrow).
+
+    ``reads`` may name "text" (the completion), "correct" (the verdict on its
+    answer) and any column of the completions. The name must be new and the
+    function must take what is declared, or ValueError or TypeError is raised
+    here, before any job.
+    """
+    if not name.isidentifier() or name in REGISTRY:
+        raise ValueError(f"reward name {name!r} is taken" if name in REGISTRY else f"reward name {name!r} is not an identifier")
+    if not reads:
+        raise ValueError(f"reward {name!r} reads no column")
+    try:
+        inspect.signature(function).bind(*reads, **dict.fromkeys(parameters))
+    except TypeError as error:
+        raise TypeError(f"reward {name!r} does not take {len(reads)} columns and {sorted(parameters)}: {error}") from None
+
+    def column(*columns: Column, **given) -> Column:
+        @F.pandas_udf("double")
+        def scored(*series: pd.Series) -> pd.Series:
+            out = function(*series, **given)
+            if len(out) != len(series[0]):
+                raise ValueError(f"reward {name!r} returned {len(out)} values for {len(series[0])} rows")
+            return pd.Series(out, dtype="float64").reset_index(drop=True)
+
+        return scored(*columns)
+
+    REGISTRY[name] = Reward(column, tuple(reads), frozenset(parameters), native=False)
+
+
+def unregister(name: str) -> None:
+    """Take a user's reward out of the registry; native ones stay."""
+    if name in REGISTRY and REGISTRY[name].native:
+        raise ValueError(f"reward {name!r} is native")
+    REGISTRY.pop(name, None)
+
+
+def names() -> dict[str, list[str]]:
+    """Names of the native and of the users' rewards."""
+    kinds = {"native": [], "registered": []}
+    for name in sorted(REGISTRY):
+        kinds["native" if REGISTRY[name].native else "registered"].append(name)
+    return kinds
+
+
 class Term:
     """One weighted term of a reward mix, checked when it is made.
 
@@ -113,10 +163,11 @@ class Term:
         self.parameters = dict(given.get("kwargs") or {})
         self.reward = REGISTRY.get(self.name)
         if self.reward is None:
-            raise KeyError(f"no reward is called {self.name!r}; there are: {', '.join(sorted(REGISTRY))}")
+            there = "; ".join(f"{kind}: {', '.join(own) or 'none'}" for kind, own in names().items())
+            raise KeyError(f"no reward is called {self.name!r}; there are {there}")
         if strange := set(self.parameters) - self.reward.parameters:
             raise TypeError(f"reward {self.name!r} takes no {', '.join(sorted(strange))}")
 
     def column(self, **columns: Column) -> Column:
-        """The unweighted reward over the given ``text`` and ``correct`` columns."""
-        return self.reward.column(columns[self.reward.reads], **self.parameters)
+        """The unweighted reward over the given columns by name."""
+        return self.reward.column(*[columns[c] for c in self.reward.reads], **self.parameters)

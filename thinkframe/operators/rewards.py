@@ -47,19 +47,31 @@ def score(
     """One column per reward (``r_<name>``) and the weighted sum.
 
     ``completions`` has gold and task (see ``attach_prompts``) and either a
-    text column or a chat-messages column (P8).
+    text column or a chat-messages column (P8). Names are those of the native
+    rewards and of registered ones (``functions.rewards.register``), whose
+    declared columns must be there (ValueError before anything runs). The
+    rewards of a user are evaluated in one pass of Arrow batches, once.
     """
     terms = [R.Term(spec) for spec in specs]
+    held = {*completions.columns, "text", "correct"}
+    for t in terms:
+        if missing := [c for c in t.reward.reads if c not in held]:
+            raise ValueError(f"reward {t.name!r} reads {', '.join(missing)}, which the completions do not have")
     df = evaluate_once(completions, _text=completion_text(
         text if text and text in completions.columns else None,
         messages if messages and messages in completions.columns else None,
     ))
-    columns = {"text": F.col("_text")}
-    if any(t.reward.reads == "correct" for t in terms):
+    columns = {c: F.col(c) for c in completions.columns} | {"text": F.col("_text")}
+    if any("correct" in t.reward.reads for t in terms):
         df = evaluate_once(df, _pred=extract_answer("_text"))
         df = with_is_correct(df, "_pred", "gold", "task", "_ok")
         columns["correct"] = F.col("_ok")
-    out = df.select("*", *[t.column(**columns).alias(f"r_{t.name}") for t in terms])
+    own = [t for t in terms if not t.reward.native]
+    if own:  # a boundary below which Python sees only the columns it reads
+        df = evaluate_once(df, **{f"r_{t.name}": t.column(**columns) for t in own})
+    native = {t.name: t.column(**columns).alias(f"r_{t.name}") for t in terms if t.reward.native}
+    kept = [c for c in df.columns if not c.startswith("r_") or c in completions.columns]
+    out = df.select(*kept, *[native.get(t.name, F.col(f"r_{t.name}")) for t in terms])
     mix = F.lit(0.0)
     for i, t in enumerate(terms):
         part = F.lit(t.weight) * F.col(f"r_{t.name}")

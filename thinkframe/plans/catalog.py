@@ -10,6 +10,8 @@ Computed columns carry explicit names shared with the DuckDB twins in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from thinkframe.operators import rewards as RW
 from thinkframe.operators.vote import DEFAULT_STRATEGY, distribution_table, leader_changes, sample_keys, vote
 from thinkframe.operators.ordering import exact_quantiles, first_n
 from thinkframe.session import shared_path, written
+from thinkframe.sources import bucketed, io
 from thinkframe.sources import fixture as X
-from thinkframe.sources import io
 
 # Parameters of the registered queries (fixed values shared with the SQL twins).
 CAP = 150
@@ -174,6 +176,14 @@ def q_jsonl_round_trip(spark, sf):
     return _traces_digest(io.read_jsonl(spark, path, io.TEACHER_RECORD))
 
 
+def q_jsonl_line_numbers(spark, sf):
+    """S1 with true line numbers: records written in id order, read with their
+    place among all lines, whatever the files and splits."""
+    path = shared_path(spark, "numbered-jsonl")
+    io.write_jsonl(_records(spark, sf), path, order_by=["id"], columns=["id", "question", "gold", "traces", "meta"])
+    return io.read_numbered_jsonl(spark, path, io.TEACHER_RECORD).select("id", F.col("src_ordinal").alias("line"))
+
+
 def q_jsonl_shards(spark, sf):
     """One JSON Lines shard per task, read in the given order."""
     paths = []
@@ -233,6 +243,13 @@ def q_dedupe_first(spark, sf):
     return D.dedupe_first(t, "key", ["id", "pos"]).select("key", "id", "pos")
 
 
+def q_bucketed_first(spark, sf):
+    """W1 over a table bucketed by the key: no exchange where it is read."""
+    t = _traces(spark, sf).withColumn("key", T.dedupe_key(F.col("question"), F.col("trace"))).select("key", "id", "pos", "trace")
+    keyed = bucketed.write_bucketed(t, f"traces_{uuid.uuid4().hex}", ["key"], ["id", "pos"], buckets=8)
+    return bucketed.first_per_key(keyed, ["key"], ["id", "pos"]).select("key", "id", "pos")
+
+
 def _sft(spark, sf, cap=None):
     return D.sft_rows(_filtered(spark, sf), order_cols=["id", "pos"], per_task_cap=cap)
 
@@ -300,6 +317,29 @@ def q_reward_length(spark, sf):
     return s.select("prompt_id", "pos", _r9("reward").alias("reward"))
 
 
+def q_bucketed_rewards(spark, sf):
+    """J2 + R5 over completions and prompts bucketed by prompt: a join without an exchange."""
+    c = X.with_messages(_traces(spark, sf)).select(F.col("id").alias("prompt_id"), "pos", "messages")
+    p = X.prompts(spark, sf).select(F.col("id").alias("prompt_id"), "gold", "task")
+    name = uuid.uuid4().hex
+    c = bucketed.write_bucketed(c, f"completions_{name}", ["prompt_id"], ["pos"], buckets=8)
+    p = bucketed.write_bucketed(p, f"prompts_{name}", ["prompt_id"], buckets=8)
+    s = RW.score(RW.attach_prompts(c, p), RW.R.DEFAULT_MIX, text=None, messages="messages")
+    return s.select("prompt_id", "pos", _r9("reward").alias("reward"))
+
+
+def _letter_share(text, letter="e"):
+    return text.str.count(letter) / text.str.len().clip(lower=1)
+
+
+def q_registered_reward(spark, sf):
+    """U-1: a reward of the user's beside the native ones in one mix."""
+    if "letter_share" not in RW.R.REGISTRY:
+        RW.R.register("letter_share", _letter_share, reads=["text"], parameters=["letter"])
+    s = _scored(spark, sf, [*RW.R.DEFAULT_MIX, {"name": "letter_share", "weight": 0.5, "kwargs": {"letter": "e"}}])
+    return s.select("prompt_id", "pos", _r9("r_letter_share").alias("r_letter_share"), _r9("reward").alias("reward"))
+
+
 def q_reward_mix(spark, sf):
     s = _scored(spark, sf, RW.R.DEFAULT_MIX)
     return s.select(

@@ -233,6 +233,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["join_outputs"] = sql["teacher_records"]
     sql["explode_records"] = w(TRACES) + "SELECT CAST(id AS VARCHAR) AS id, pos, md5(trace) AS trace_md5, source AS teacher FROM traces"
+    sql["jsonl_line_numbers"] = w(BASE) + "SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS line FROM base"
     for name in ("jsonl_round_trip", "jsonl_shards"):
         extra = ", CAST(CASE task WHEN 'arc' THEN 0 WHEN 'gsm8k' THEN 1 WHEN 'math' THEN 2 ELSE 3 END AS INTEGER) AS shard_no" if name == "jsonl_shards" else ""
         sql[name] = w(TRACES) + (
@@ -250,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT key, id, pos FROM (SELECT id, pos, {O.dedupe_key('question', 'trace')} AS key FROM traces) "
         "QUALIFY row_number() OVER (PARTITION BY key ORDER BY id, pos) = 1"
     )
+    sql["bucketed_first"] = sql["dedupe_first"]
     sql["per_task_cap"] = w(*FILTER_CHAIN) + (
         f"SELECT key, task, id, pos FROM firsts QUALIFY row_number() OVER (PARTITION BY task ORDER BY id, pos) <= {CAP}"
     )
@@ -275,6 +277,9 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"{r9(c)} AS {c}" for c in ("r_correctness", "r_format", "r_length_penalty", "r_answer_present", "reward"))
         + " FROM mix"
     )
+    sql["bucketed_rewards"] = w(TRACES, *MIX) + f"SELECT prompt_id, pos, {r9('reward')} AS reward FROM mix"
+    share = "CAST(length(said) - length(replace(said, 'e', '')) AS DOUBLE) / greatest(length(said), 1)"
+    sql["registered_reward"] = w(TRACES, *MIX) + f"SELECT prompt_id, pos, {r9(share)} AS r_letter_share, {r9(f'reward + 0.5::DOUBLE * ({share})')} AS reward FROM mix JOIN (SELECT prompt_id, pos, text AS said FROM comp) USING (prompt_id, pos)"
     sql["group_advantage"] = w(TRACES, *MIX) + (
         f"SELECT prompt_id, pos, {r9('reward')} AS reward, "
         f"{r9('(reward - avg(reward) OVER g) / (stddev_samp(reward) OVER g + 1e-6::DOUBLE)')} AS advantage "

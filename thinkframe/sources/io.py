@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,46 @@ def read_jsonl(spark: SparkSession, paths, schema: str | T.StructType) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+def numbered_lines(spark: SparkSession, paths) -> DataFrame:
+    """Text lines with their true places: ``value``, ``src_file_no``,
+    ``src_file``, ``src_line`` (in its file, from 0) and ``src_ordinal`` (over all
+    files: paths in the given order, files of a path by name).
+
+    Files are read in splits, and rows have no number of their own: the lines
+    of every split are counted first, and the counts of earlier splits and
+    files are added to a line's place in its split. So numbers are the same
+    under any split size; blank lines count.
+    """
+    lines = None
+    for i, path in enumerate([paths] if isinstance(paths, str) else list(paths)):
+        df = spark.read.text(path).select(
+            "value", F.lit(i).alias("src_file_no"), F.col("_metadata.file_path").alias("src_file"),
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
+        )
+        lines = df if lines is None else lines.union(df)
+    split = ["src_file_no", "src_file", "_block"]
+    counts = lines.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row per split
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("src_file_no", "src_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = counts.groupBy("src_file_no", "src_file").agg(F.sum("_n").alias("_lines"))
+    # a row per file; its window over all of them is as long as the list of files that the driver has planned
+    earlier = F.coalesce(F.sum("_lines").over(Window.orderBy("src_file_no", "src_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_before", before).join(files.withColumn("_earlier", earlier), ["src_file_no", "src_file"])
+    starts = starts.select(*split, (F.col("_before") - F.col("_first")).alias("_in_file"), (F.col("_earlier") + F.col("_before") - F.col("_first")).alias("_in_all"))
+    placed = lines.join(starts, split)
+    return placed.select("value", "src_file_no", "src_file", (F.col("_id") + F.col("_in_file")).alias("src_line"), (F.col("_id") + F.col("_in_all")).alias("src_ordinal"))
+
+
+def read_numbered_jsonl(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
+    """S1 with true line numbers (``src_line``, ``src_ordinal``, see
+    ``numbered_lines``); blank lines are skipped but counted.
+
+    A line that is no JSON record of the schema stops the job, once it is read.
+    """
+    lines = numbered_lines(spark, paths).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    record = F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"})
+    return lines.withColumn("_r", record).select("_r.*", "src_file_no", "src_file", "src_line", "src_ordinal")
+
+
 def read_shards(spark: SparkSession, paths: Sequence[str], schema: str | T.StructType) -> DataFrame:
     """S2 + U1: shards concatenated in the given order (``shard_no``)."""
     return read_jsonl(spark, paths, schema).withColumn("shard_no", F.col("src_file_no"))
