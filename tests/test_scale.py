@@ -87,18 +87,6 @@ def test_first_n_and_shards_and_prompt_remap(spark):
     assert p.first().prompt == "2+2"
 
 
-def test_broadcast_only_when_measured_small(spark):
-    from thinkframe.operators.joins import broadcast_if_small, measured_bytes
-
-    small = spark.createDataFrame([(i, "x" * 10) for i in range(10)], "k int, v string")
-    assert measured_bytes(small) == 10 * (8 + 10)
-    big = spark.range(1000).select(F.col("id").alias("k"), F.repeat(F.lit("y"), 100).alias("v"))
-    j_small = spark.range(5).withColumnRenamed("id", "k").join(broadcast_if_small(small, 1000), "k")
-    j_big = spark.range(5).withColumnRenamed("id", "k").join(broadcast_if_small(big, 1000), "k")
-    plan_small = j_small._jdf.queryExecution().executedPlan().toString()
-    plan_big = j_big._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan_small and "BroadcastHashJoin" not in plan_big
-
 
 def test_public_api_imports():
     import thinkframe.functions as fn

@@ -32,7 +32,6 @@ from thinkframe.operators.encode import (  # noqa: F401
     supervised_ratio,
 )
 from thinkframe.operators.evals import accuracy, evaluate, evaluate_keys, k_sweep, k_sweep_keys  # noqa: F401
-from thinkframe.operators.joins import broadcast_if_small  # noqa: F401
 from thinkframe.operators.ordering import first_n, nth_smallest_hash, seeded_hash  # noqa: F401
 from thinkframe.operators.reports import (  # noqa: F401
     agreement_traps,
@@ -41,6 +40,7 @@ from thinkframe.operators.reports import (  # noqa: F401
     length_by_step,
     length_histogram,
     length_summary,
+    summary_of_counts,
     teacher_yield,
     think_block_rates,
 )

@@ -298,6 +298,32 @@ def cap_per_group(df: DataFrame, group: str, order_cols: Sequence[str], cap: int
     return out.where(F.col("limit").isNull() | (F.struct(*order_cols) <= F.col("limit"))).drop("_g", "limit")
 
 
+def _keyed(filtered: DataFrame) -> DataFrame:
+    return filtered.withColumn("key", dedupe_key(F.col("question"), F.col("trace"))).withColumn("task", task_of("meta"))
+
+
+def _first_keys(rows: DataFrame, order_cols: Sequence[str], per_task_cap: int | None) -> DataFrame:
+    """(key, order columns, task) of the rows that dedupe and cap leave, written:
+    duplicates and ranks are settled on a narrow table."""
+    firsts = rows.groupBy("key").agg(F.min(F.struct(*order_cols, "task")).alias("_o")).select("key", "_o.*")
+    kept = written(firsts, "first-keys")
+    return written(cap_per_group(kept, "task", order_cols, per_task_cap), "capped-keys") if per_task_cap else kept
+
+
+def _rendered(rows: DataFrame, kept: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+    """The wide rows of the survivors, read once more, as chat rows."""
+    kept = kept.select(F.col("key").alias("_k"), F.struct(*order_cols).alias("_o"))
+    rows = rows.join(kept, F.col("key").eqNullSafe(F.col("_k")) & F.struct(*order_cols).eqNullSafe(F.col("_o")), "left_semi")
+    return rows.select(
+        "key",
+        *order_cols,
+        chat_prompt("question").alias("prompt"),
+        repair_response("trace", "answer").alias("response"),
+        "task",
+        "meta",
+    )
+
+
 def sft_rows(
     filtered: DataFrame,
     order_cols: Sequence[str] = ("shard_no", "id", "pos"),
@@ -309,26 +335,8 @@ def sft_rows(
     Q4: dedupe is global and precedes the cap (the sequential original lets
     a capped row's duplicate in under another task; equal otherwise).
     """
-    rows = filtered.withColumn("key", dedupe_key(F.col("question"), F.col("trace"))).withColumn(
-        "task", task_of("meta")
-    )
-    if per_task_cap:
-        # duplicates and ranks are settled on a narrow table; the wide rows are
-        # read once more, for the survivors
-        firsts = rows.groupBy("key").agg(F.min(F.struct(*order_cols, "task")).alias("_o")).select("key", "_o.*")
-        kept = cap_per_group(written(firsts, "first-keys"), "task", order_cols, per_task_cap)
-        kept = kept.select(F.col("key").alias("_k"), F.struct(*order_cols).alias("_o"))
-        rows = rows.join(kept, (F.col("key") == F.col("_k")) & (F.struct(*order_cols) == F.col("_o")), "left_semi")
-    else:
-        rows = dedupe_first(rows, "key", order_cols)
-    return rows.select(
-        "key",
-        *order_cols,
-        chat_prompt("question").alias("prompt"),
-        repair_response("trace", "answer").alias("response"),
-        "task",
-        "meta",
-    )
+    rows = _keyed(filtered)
+    return _rendered(rows, _first_keys(rows, order_cols, per_task_cap), order_cols)
 
 
 def rows_by_task(rows: DataFrame) -> DataFrame:
@@ -336,6 +344,25 @@ def rows_by_task(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _split_at(rows: DataFrame, threshold: str | None) -> DataFrame:
+    is_eval = F.lit(False) if threshold is None else F.coalesce(F.col("shuffle_pos") <= F.lit(threshold), F.lit(False))
+    return rows.withColumn("split", F.when(is_eval, "eval").otherwise("train"))
+
+
+def _threshold(hashes: DataFrame, eval_frac: float, with_eval: bool) -> str | None:
+    """The largest hash of the eval split (None: no eval rows) of a written table of hashes."""
+    if not with_eval or eval_frac <= 0:
+        return None
+    return nth_smallest_hash(hashes, "shuffle_pos", lambda rows: int(rows * eval_frac))
+
+
+def split_keys(keys: DataFrame, key: str = "key", seed: int = 17, eval_frac: float = 0.02, with_eval: bool = True) -> DataFrame:
+    """``split_train_eval`` of a narrow table: it is computed and hashed once,
+    written with its hashes, and split from there."""
+    hashed = written(keys.withColumn("shuffle_pos", seeded_hash(seed, F.col(key))), "hashed-keys")
+    return _split_at(hashed, _threshold(hashed, eval_frac, with_eval))
+
+
 def split_train_eval(
     rows: DataFrame,
     key: str = "key",
@@ -351,12 +378,8 @@ def split_train_eval(
     narrow column); the rows themselves are filtered against the threshold.
     """
     rows = rows.withColumn("shuffle_pos", seeded_hash(seed, F.col(key)))
-    threshold = None
-    if with_eval and eval_frac > 0:
-        hashes = written(rows.select("shuffle_pos"), "split-hashes")
-        threshold = nth_smallest_hash(hashes, "shuffle_pos", int(hashes.count() * eval_frac))
-    is_eval = F.lit(False) if threshold is None else F.col("shuffle_pos") <= F.lit(threshold)
-    return rows.withColumn("split", F.when(is_eval, "eval").otherwise("train"))
+    hashes = written(rows.select("shuffle_pos"), "split-hashes") if with_eval and eval_frac > 0 else rows
+    return _split_at(rows, _threshold(hashes, eval_frac, with_eval))
 
 
 def build_dataset(
@@ -367,9 +390,16 @@ def build_dataset(
     seed: int = 17,
     with_eval: bool = True,
 ) -> DataFrame:
-    """E1 build step: SFT rows with ``split`` and ``shuffle_pos``."""
-    rows = sft_rows(filtered, order_cols, per_task_cap)
-    return split_train_eval(rows, "key", seed, eval_frac, with_eval)
+    """E1 build step: SFT rows with ``split`` and ``shuffle_pos``.
+
+    Dedupe, cap and split are settled on the keys, so the filtered rows are
+    read twice in all: for their keys, and once more to be rendered.
+    """
+    rows = _keyed(filtered)
+    kept = _first_keys(rows, order_cols, per_task_cap)
+    hashes = kept.select(seeded_hash(seed, F.col("key")).alias("shuffle_pos"))
+    threshold = _threshold(hashes, eval_frac, with_eval)
+    return _split_at(_rendered(rows, kept, order_cols).withColumn("shuffle_pos", seeded_hash(seed, F.col("key"))), threshold)
 
 
 def rl_prompts(train: DataFrame, order_col: str = "shuffle_pos", exact_suffix: bool = False) -> DataFrame:

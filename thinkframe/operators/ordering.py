@@ -13,7 +13,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from functools import reduce
 
@@ -31,15 +31,17 @@ def seeded_hash(seed: int, key) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k))
 
 
-def nth_smallest_hash(df: DataFrame, md5_col: str, n: int) -> str | None:
+def nth_smallest_hash(df: DataFrame, md5_col: str, n: int | Callable[[int], int]) -> str | None:
     """Exact ``n``-th smallest (1-based) value of a hex-md5 column, or None if n < 1.
 
+    ``n`` may be a function of the number of rows, which the first pass counts.
+
     ``df`` should be materialised and narrow: each level is one pass over it.
     A level counts the rows per next four hex digits below the prefix found so
     far; the passes end when one value is left. Equal hashes count as often as
     they occur. Raises ValueError if there are fewer than ``n`` rows.
     """
-    if n < 1:
+    if not callable(n) and n < 1:
         return None
     prefix, need = "", n
     while True:
@@ -47,6 +49,10 @@ def nth_smallest_hash(df: DataFrame, md5_col: str, n: int) -> str | None:
         below = below.where(F.col("m").startswith(prefix)) if prefix else below
         digits = F.substring("m", len(prefix) + 1, LEVEL_DIGITS)
         counts = below.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi")).collect()
+        if callable(need):
+            need = need(sum(row["n"] for row in counts))
+            if need < 1:
+                return None
         found = None
         for row in sorted(counts, key=lambda r: r["d"]):
             if row["n"] >= need:

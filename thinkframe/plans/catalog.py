@@ -267,12 +267,14 @@ def q_sft_rows(spark, sf):
 
 
 def _split(spark, sf):
-    return D.split_train_eval(_sft(spark, sf), "key", SEED, EVAL_FRAC)
+    filtered = written(_filtered(spark, sf), "filtered")
+    return D.build_dataset(filtered, ["id", "pos"], None, EVAL_FRAC, SEED)
 
 
 def q_train_eval_split(spark, sf):
-    keys = written(_sft(spark, sf).select("key"), "sft-keys")
-    return D.split_train_eval(keys, "key", SEED, EVAL_FRAC).select("key", "split")
+    f = _filtered(spark, sf).select("id", "pos", T.dedupe_key(F.col("question"), F.col("trace")).alias("key"))
+    keys = f.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("first")).select("key")
+    return D.split_keys(keys, "key", SEED, EVAL_FRAC).select("key", "split")
 
 
 def q_rl_prompts(spark, sf):

@@ -72,15 +72,16 @@ def distill_and_build(
     )
 
     order = ["shard_no", *placed, "pos"]
-    rows = D.sft_rows(filtered.drop("task"), order, per_task_cap)
-    split = D.split_train_eval(rows, "key", seed, eval_frac, with_eval)
+    built = D.build_dataset(filtered.drop("task"), order, per_task_cap, eval_frac, seed, with_eval)
+    # rendered once; the three outputs and the counts read this table
+    split = written(built.select("key", *order, "prompt", "response", "task", "meta", "shuffle_pos", "split"), "sft-rows")
     cols = ["prompt", "response", "task", "meta"]
     train = split.where(F.col("split") == "train")
     ev = split.where(F.col("split") == "eval")
     io.write_jsonl(train, f"{out_dir}/train", order_by=["shuffle_pos"], columns=cols)
     if with_eval:
         io.write_jsonl(ev, f"{out_dir}/eval", order_by=["shuffle_pos"], columns=cols)
-    rl = D.rl_prompts(train)
+    rl = written(D.rl_prompts(train), "rl-prompts")
     io.write_jsonl(rl, f"{out_dir}/rl_prompts", order_by=["shuffle_pos"], columns=["prompt", "gold", "task"])
     return {"filtered": filtered, "split": split, "rl_prompts": rl, "keep_rate": keep,
             "rows_by_task": D.rows_by_task(split)}
