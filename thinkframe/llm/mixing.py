@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from thinkframe.llm.common import written
 
 BLOCK_ROWS = 256
-SHARD_WORDS = 1 << 23  # of the mix in an output shard,
+SHARD_WORDS = 1 << 21  # of the mix in an output shard,
 MOST_SHARDS = 1 << 16  # more of them only beyond so many shards: the plan has a number per source and shard
 TOP = -(1 << 63)  # turns the order of signed numbers into that of unsigned ones
 ADDED = ("size", "source_size", "target", "copies", "shards")
