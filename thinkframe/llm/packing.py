@@ -67,25 +67,36 @@ def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
     """
     weights = weights / np.maximum(capacity, 1) ** 2  # dimensions count alike whatever their units
     bins = np.zeros(len(sizes), np.int64)
-    room = np.zeros((1024, len(capacity)))
+    room = np.zeros((len(capacity), 1024))  # a row per dimension: its residuals lie side by side
     number = np.zeros(1024, np.int64)
     opened = alive = 0
     smallest = np.minimum.accumulate(sizes[::-1], axis=0)[::-1] if len(sizes) else sizes
     for i, size in enumerate(sizes):
-        if i % 512 == 0 and alive:  # bins without room for anything that follows
-            stay = np.flatnonzero((room[:alive] >= smallest[i]).all(axis=1))
-            room[: len(stay)], number[: len(stay)], alive = room[stay], number[stay], len(stay)
-        fits = np.flatnonzero((room[:alive] >= size).all(axis=1))
+        if i % 256 == 0 and alive:  # bins without room for anything that follows
+            stay = np.flatnonzero((room[:, :alive] >= smallest[i][:, None]).all(axis=0))
+            room[:, : len(stay)], number[: len(stay)], alive = room[:, stay], number[stay], len(stay)
+        good = room[0, :alive] >= size[0]
+        for d in range(1, len(capacity)):
+            good &= room[d, :alive] >= size[d]
+        fits = good.nonzero()[0]
         if len(fits):
-            left = room[fits] - size
-            best = fits[np.argmin((left * left) @ weights) if rule == "norm" else np.argmax(room[fits] @ (weights * size))]
+            score = np.zeros(len(fits))
+            for d, weight in enumerate(weights):
+                left = room[d, fits]
+                if rule == "norm":
+                    left -= size[d]
+                    left *= left
+                    score += weight * left
+                else:
+                    score -= (weight * size[d]) * left
+            best = fits[score.argmin()]
         else:
-            if alive == len(room):
-                room, number = np.concatenate([room, np.zeros_like(room)]), np.concatenate([number, np.zeros_like(number)])
+            if alive == room.shape[1]:
+                room, number = np.concatenate([room, np.zeros_like(room)], axis=1), np.concatenate([number, np.zeros_like(number)])
             best = alive
-            room[best], number[best] = capacity, opened
+            room[:, best], number[best] = capacity, opened
             alive, opened = alive + 1, opened + 1
-        room[best] -= size
+        room[:, best] -= size
         bins[i] = number[best]
     return bins
 
