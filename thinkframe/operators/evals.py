@@ -125,6 +125,7 @@ def evaluate(
     """
     if k is not None:
         completions = completions.where(F.col("pos") < k)
+    strategy = strategy if weight is not None else "majority"  # equal weights: counts
     return evaluate_keys(sample_keys(completions, ("id",), weight=weight), items, strategy, extra)
 
 
@@ -162,6 +163,7 @@ def k_sweep(
     it; neither samples nor items are multiplied by the Ks. A K larger than
     every item's sample count is reported as NULL, like a missing run.
     """
+    strategy = strategy if weight is not None else "majority"  # equal weights: counts
     return k_sweep_keys(sample_keys(completions, ("id",), weight=weight), items, ks, strategy)
 
 
@@ -179,10 +181,11 @@ def k_sweep_keys(
         ks = spark.createDataFrame([(int(k),) for k in ks], "k long")
     ks = ks.select(F.col("k").cast("long").alias("k")).where("k IS NOT NULL").distinct()
     keys = written(keys, "sweep-keys")
+    last = keys.agg(F.max("pos")).first()[0] or 0
     wanted = written(_bench_items(items, ("id",), ()), "sweep-items")
 
     # right winners gained and lost, per bench and position
-    changes = leader_changes(keys, ("id",), strategy).withColumn("pos", F.col("pos").cast("long"))
+    changes = leader_changes(keys, ("id",), strategy, last).withColumn("pos", F.col("pos").cast("long"))
     judged = _judged(wanted.join(changes, item)).withColumn("right", F.coalesce(F.col("correct"), F.lit(False)).cast("long"))
     before = F.lag("right", 1, 0).over(Window.partitionBy("bench", *item).orderBy("pos"))
     gains = judged.withColumn("gain", F.col("right") - before).where("gain <> 0")
@@ -193,7 +196,7 @@ def k_sweep_keys(
     summed = running(steps, ["bench"], "pos", {"n_correct": ("sum", F.col("gain"))}, then=["kind"]).where("kind = 1")
 
     # items per bench, and the longest run of first samples that an item has
-    dense = running(keys.select(*item, F.col("pos").cast("long").alias("pos")), item, "pos", {"seen": ("sum", F.lit(1))}).where("seen > pos")
+    dense = running(keys.select(*item, F.col("pos").cast("long").alias("pos")), item, "pos", {"seen": ("sum", F.lit(1))}, last=last).where("seen > pos")
     longest = dense.groupBy(*item).agg(F.max(F.col("pos") + 1).alias("most"))
     size = wanted.join(longest, item, "left").groupBy("bench").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("most"), F.lit(0)).alias("most"))
     acc = summed.withColumn("k", F.col("pos") + 1).join(size, "bench")

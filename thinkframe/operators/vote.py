@@ -127,11 +127,11 @@ def vote_keys(
     )
 
 
-def _scores(keys: DataFrame, ids: Sequence[str], weighted: Column | None) -> DataFrame:
+def _scores(keys: DataFrame, ids: Sequence[str], weighted: Column | None, last: int | None) -> DataFrame:
     """(ids, task, key, pos, score, first): the score of its answer right after
     each sample with an answer, and the position of the answer's first one."""
     item = [*ids, "task", "key"]
-    seen = running(keys.where(F.col("key").isNotNull()), item, "pos", {"n": ("sum", F.lit(1)), "first": ("min", F.col("pos"))})
+    seen = running(keys.where(F.col("key").isNotNull()), item, "pos", {"n": ("sum", F.lit(1)), "first": ("min", F.col("pos"))}, last=last)
     score = F.col("n").cast("double")
     if weighted is None:
         return seen.select(*item, "pos", score.alias("score"), "first")
@@ -139,29 +139,30 @@ def _scores(keys: DataFrame, ids: Sequence[str], weighted: Column | None) -> Dat
     own = seen.where(weighted).select(*item, "pos", "first", F.col("w"), sums.bin_of(F.col("w")).alias("bin"), sums.amount(F.col("w")).alias("amount"))
     bins = own.groupBy(*item).agg(F.collect_set("bin").alias("bins"))
     spread = own.join(bins, item).select(*item, "pos", "first", "w", F.explode_outer("bins").alias("b"), F.when(F.col("bin") == F.col("b"), F.col("amount")).alias("amount"))
-    summed = running(spread, [*item, "b"], "pos", {"upto": ("sum", F.col("amount")), "odd": ("sum", sums.odd(F.col("w")))})
+    summed = running(spread, [*item, "b"], "pos", {"upto": ("sum", F.col("amount")), "odd": ("sum", sums.odd(F.col("w")))}, last=last)
     pairs = F.collect_list(F.when(F.col("b").isNotNull() & F.col("upto").isNotNull(), F.struct(F.col("b").alias("bin"), F.col("upto").cast(sums.AMOUNT).alias("amount"))))
     total = summed.groupBy(*item, "pos", "first").agg(pairs.alias("pairs"), F.max("odd").alias("odd"))
     total = total.select(*item, "pos", sums.rounded("pairs", "odd").alias("score"), "first")
     return seen.where(~weighted).select(*item, "pos", score.alias("score"), "first").union(total)
 
 
-def leader_changes(keys: DataFrame, id_cols: Sequence[str] = ("id",), strategy: str | Mapping[str, str] = "majority") -> DataFrame:
+def leader_changes(keys: DataFrame, id_cols: Sequence[str] = ("id",), strategy: str | Mapping[str, str] = "majority", last: int | None = None) -> DataFrame:
     """(ids, task, pos, answer): a row for every sample after which the vote over
     an item's samples so far has another winner than before.
 
     Scores only grow, so the winner so far is the largest (score, earliest
     first sample) seen so far: one running maximum, whatever the number of
-    samples. Weights must not be negative (ValueError at run time).
+    samples. Weights must not be negative (an error at run time). ``last``: the
+    largest position, if known (see ``prefix.running``).
     """
     ids = list(id_cols)
     weighted = _is_weighted(strategy)
     if weighted is not None:
         wrong = F.raise_error(F.lit("votes over prefixes need weights that are not negative")).cast("double")
         keys = keys.withColumn("w", F.when(weighted & (F.col("w") < 0), wrong).otherwise(F.col("w")))
-    scored = _scores(keys, ids, weighted)
+    scored = _scores(keys, ids, weighted, last)
     standing = F.struct("score", (-F.col("first")).alias("p"), "key")
-    led = running(scored.withColumn("own", standing), [*ids, "task"], "pos", {"before": ("max", F.col("own"))}, then=["key"], own=False)
+    led = running(scored.withColumn("own", standing), [*ids, "task"], "pos", {"before": ("max", F.col("own"))}, then=["key"], own=False, last=last)
     led = led.withColumn("lead", F.greatest("before", "own"))
     return led.where(F.col("before").isNull() | (F.col("lead.key") != F.col("before.key"))).select(*ids, "task", "pos", F.col("lead.key").alias("answer"))
 
@@ -195,7 +196,7 @@ def vote(
     if k is not None:
         samples = samples.where(F.col(pos) < k)
     keys = sample_keys(samples, id_cols, task, trace, pos, weight, pred)
-    return vote_keys(keys, id_cols, strategy, distribution)
+    return vote_keys(keys, id_cols, strategy if weight is not None else "majority", distribution)  # equal weights: counts
 
 
 def majority_vote(samples: DataFrame, **kw) -> DataFrame:

@@ -121,6 +121,7 @@ def evaluation_suite(
     """
     keys_path = f"{work_dir}/keys"
     completions = io.spread(completions, "id", "pos")
+    strategy = strategy if weight is not None else "majority"  # equal weights: counts
     io.write_table(sample_keys(completions, ("id",), weight=weight), keys_path)
     keys = spark.read.parquet(keys_path)
     rows = V.evaluate_keys(keys, items, strategy)
