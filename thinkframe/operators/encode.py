@@ -37,11 +37,17 @@ def byte_ids(text, most: int | None = None) -> Column:
     whose code point is the byte value, so ``ascii`` of each character is
     the byte.
     """
-    t = col(text)
-    raw = F.encode(t, "UTF-8")
-    latin = F.decode(F.substring(raw, 1, most) if most else raw, "ISO-8859-1")
-    ids = F.transform(F.split(latin, ""), lambda c: F.ascii(c) + BYTE_OFFSET)
-    return F.when(F.octet_length(t) == 0, F.array().cast("array<int>")).otherwise(ids)
+    return _ids(_utf8(text, most))
+
+
+def _utf8(text, most: int | None) -> Column:
+    raw = F.encode(col(text), "UTF-8")
+    return F.substring(raw, 1, most) if most else raw
+
+
+def _ids(raw: Column) -> Column:
+    ids = F.transform(F.split(F.decode(raw, "ISO-8859-1"), ""), lambda c: F.ascii(c) + BYTE_OFFSET)
+    return F.when(F.octet_length(raw) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
 def encode_examples(
@@ -53,11 +59,11 @@ def encode_examples(
 ) -> DataFrame:
     """input_ids = (prompt ids + response ids)[:max]; labels mask the prompt span.
 
-    Bytes beyond ``max_seq_len`` are cut off before they become ids.
+    Prompt and response are put together and cut as bytes; what is left becomes
+    ids once.
     """
-    p = byte_ids(F.col(prompt), max_seq_len)
-    r = byte_ids(ensure_eos(F.col(response), eos), max_seq_len)
-    staged = rows.withColumn("input_ids", F.slice(F.concat(p, r), 1, max_seq_len))
+    both = F.concat(_utf8(F.col(prompt), max_seq_len), _utf8(ensure_eos(F.col(response), eos), max_seq_len))
+    staged = rows.withColumn("input_ids", _ids(F.substring(both, 1, max_seq_len)))
     n_ids = F.size("input_ids")
     n_mask = F.least(F.octet_length(F.col(prompt)), n_ids)
     labels = F.concat(
