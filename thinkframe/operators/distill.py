@@ -82,7 +82,8 @@ def shape_records(
     then hold that many and carry ``part`` and ``first_pos``, which
     ``explode_records`` undoes.
     """
-    rid = F.col(id_col).cast("string") if id_col else F.sha2(F.col(question), 256)
+    # the bare column: samples already dealt by it are grouped where they lie
+    rid = F.col(id_col) if id_col else F.sha2(F.col(question), 256)
     keys = [rid.alias("id"), F.col(question).alias("question")]
     if max_traces:
         keys.append(F.floor(F.col("pos") / max_traces).cast("int").alias("part"))
@@ -95,18 +96,19 @@ def shape_records(
         F.sort_array(F.collect_list(F.struct(F.col("pos"), F.col("trace")))).alias("_s"),
         *([earliest(meta).alias("meta")] if meta is not None else []),
     )
-    out = grouped.withColumn("traces", F.transform("_s", lambda s: s["trace"])).drop("_s")
+    out = grouped.withColumn("id", F.col("id").cast("string")).withColumn("traces", F.transform("_s", lambda s: s["trace"])).drop("_s")
     return out.withColumn("first_pos", F.col("part") * max_traces) if max_traces else out
 
 
-def join_outputs(prompts: DataFrame, outputs: DataFrame, meta: Column | None = None) -> DataFrame:
+def join_outputs(prompts: DataFrame, outputs: DataFrame, meta: Column | None = None, on: str = "id") -> DataFrame:
     """J1 + S8: prompt rows (id, question, gold, ...) joined to the sampled
     outputs (id, pos, trace) and shaped as teacher records.
 
     Prompts without outputs give no record, outputs without a prompt are left
-    out. ``meta`` is an expression over the joined rows.
+    out. ``meta`` is an expression over the joined rows. A partition's prompts,
+    each of them once, are looked up by its outputs, which are not sorted.
     """
-    return shape_records(outputs.select("id", "pos", "trace").join(prompts, "id"), meta=meta)
+    return shape_records(outputs.select(on, "pos", "trace").join(prompts.hint("shuffle_hash"), on), on, meta=meta)
 
 
 def teacher_prompt(question) -> Column:
@@ -257,9 +259,9 @@ def dedupe_first(df: DataFrame, key: str, order_cols: Sequence[str]) -> DataFram
 
     The order is found on (key, order) alone, by a partial aggregate that
     collapses a hot key where it is read; the wide rows are touched once, by a
-    semi-join on both. ``order_cols`` must tell rows of a key apart.
+    semi-join on both, which sorts neither side. ``order_cols`` must tell rows of a key apart.
     """
-    firsts = df.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order_cols)).alias("_o"))
+    firsts = df.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order_cols)).alias("_o")).hint("shuffle_hash")
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.struct(*order_cols).eqNullSafe(F.col("_o")))
     return df.join(firsts, same, "left_semi")
 
@@ -302,25 +304,35 @@ def _keyed(filtered: DataFrame) -> DataFrame:
     return filtered.withColumn("key", dedupe_key(F.col("question"), F.col("trace"))).withColumn("task", task_of("meta"))
 
 
-def _first_keys(rows: DataFrame, order_cols: Sequence[str], per_task_cap: int | None) -> DataFrame:
-    """(key, order columns, task) of the rows that dedupe and cap leave, written:
+def _first_keys(rows: DataFrame, order_cols: Sequence[str], per_task_cap: int | None, home: str | None = None) -> DataFrame:
+    """(key, order columns, task, home) of the rows that dedupe and cap leave, written:
     duplicates and ranks are settled on a narrow table."""
-    firsts = rows.groupBy("key").agg(F.min(F.struct(*order_cols, "task")).alias("_o")).select("key", "_o.*")
+    firsts = rows.groupBy("key").agg(F.min(F.struct(*order_cols, "task", *([home] if home else []))).alias("_o")).select("key", "_o.*")
     kept = written(firsts, "first-keys")
     return written(cap_per_group(kept, "task", order_cols, per_task_cap), "capped-keys") if per_task_cap else kept
 
 
-def _rendered(rows: DataFrame, kept: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def _survivors(rows: DataFrame, kept: DataFrame, order_cols: Sequence[str], home: str | None, parts: int | None) -> DataFrame:
+    """The wide rows that ``kept`` has by key and order columns."""
+    if home is None:
+        kept = kept.select(F.col("key").alias("_k"), F.struct(*order_cols).alias("_o"))
+        return rows.join(kept, F.col("key").eqNullSafe(F.col("_k")) & F.struct(*order_cols).eqNullSafe(F.col("_o")), "left_semi")
+    kept = kept.select(F.col(home).alias("_home"), F.struct("key", *order_cols).alias("_o")).repartition(parts, "_home")
+    kept = kept.groupBy("_home").agg(F.collect_set("_o").alias("_kept")).hint("shuffle_hash")
+    here = F.exists("_kept", lambda o: o.eqNullSafe(F.struct("key", *order_cols)))
+    return rows.join(kept, (F.col(home) == F.col("_home")) & here, "left_semi")
+
+
+def _rendered(rows: DataFrame, kept: DataFrame, order_cols: Sequence[str], home: str | None = None, parts: int | None = None) -> DataFrame:
     """The wide rows of the survivors, read once more, as chat rows."""
-    kept = kept.select(F.col("key").alias("_k"), F.struct(*order_cols).alias("_o"))
-    rows = rows.join(kept, F.col("key").eqNullSafe(F.col("_k")) & F.struct(*order_cols).eqNullSafe(F.col("_o")), "left_semi")
-    return rows.select(
+    return _survivors(rows, kept, order_cols, home, parts).select(
         "key",
         *order_cols,
         chat_prompt("question").alias("prompt"),
         repair_response("trace", "answer").alias("response"),
         "task",
         "meta",
+        *([home] if home else []),
     )
 
 
@@ -328,15 +340,22 @@ def sft_rows(
     filtered: DataFrame,
     order_cols: Sequence[str] = ("shard_no", "id", "pos"),
     per_task_cap: int | None = None,
+    home: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Dedupe, cap and render filtered traces as chat rows.
 
     Output: key, prompt, response, task, meta, and the order columns.
     Q4: dedupe is global and precedes the cap (the sequential original lets
     a capped row's duplicate in under another task; equal otherwise).
+
+    ``home``: a column without nulls by which the rows are already dealt to
+    ``parts`` partitions, the same for rows that agree in key and order columns.
+    Then the survivors' keys are sent to their rows, and no wide row is moved or
+    sorted. Without it both sides are dealt by the key.
     """
     rows = _keyed(filtered)
-    return _rendered(rows, _first_keys(rows, order_cols, per_task_cap), order_cols)
+    return _rendered(rows, _first_keys(rows, order_cols, per_task_cap, home), order_cols, home, parts)
 
 
 def rows_by_task(rows: DataFrame) -> DataFrame:
@@ -389,21 +408,28 @@ def build_dataset(
     eval_frac: float = 0.02,
     seed: int = 17,
     with_eval: bool = True,
+    home: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """E1 build step: SFT rows with ``split`` and ``shuffle_pos``.
 
     Dedupe, cap and split are settled on the keys, so the filtered rows are
     read twice in all: for their keys, and once more to be rendered.
+    ``home`` and ``parts``: see ``sft_rows``.
     """
     rows = _keyed(filtered)
-    kept = _first_keys(rows, order_cols, per_task_cap)
+    kept = _first_keys(rows, order_cols, per_task_cap, home)
     hashes = kept.select(seeded_hash(seed, F.col("key")).alias("shuffle_pos"))
     threshold = _threshold(hashes, eval_frac, with_eval)
-    return _split_at(_rendered(rows, kept, order_cols).withColumn("shuffle_pos", seeded_hash(seed, F.col("key"))), threshold)
+    return _split_at(_rendered(rows, kept, order_cols, home, parts).withColumn("shuffle_pos", seeded_hash(seed, F.col("key"))), threshold)
 
 
 def rl_prompts(train: DataFrame, order_col: str = "shuffle_pos", exact_suffix: bool = False) -> DataFrame:
-    """W3 + X16: one RL prompt per distinct prompt (first in train order), gold recovered."""
+    """W3 + X16: one RL prompt per distinct prompt (first in train order), gold recovered.
+
+    Rows are written without their responses; prompts are told apart by their
+    sha2, and the first ones are looked up by the rows, which are not sorted.
+    """
     meta_gold = (
         F.element_at(F.col("meta"), F.lit("gold")) if "meta" in train.columns else F.lit(None).cast("string")
     )
@@ -412,5 +438,6 @@ def rl_prompts(train: DataFrame, order_col: str = "shuffle_pos", exact_suffix: b
         order_col,
         rl_gold(meta_gold, F.col("response"), exact_suffix).alias("gold"),
         F.coalesce(F.col("task"), F.lit("generic")).alias("task"),
+        F.sha2("prompt", 256).alias("_key"),
     )
-    return dedupe_first(t, "prompt", [order_col]).select("prompt", "gold", "task", order_col)
+    return dedupe_first(written(t, "rl-candidates"), "_key", [order_col]).select("prompt", "gold", "task", order_col)

@@ -82,23 +82,30 @@ def encoded_length(prompt: str = "prompt", response: str = "response", max_seq_l
 
 
 def assign_batches(rows: DataFrame, key: str, length: Column, batch_size: int = 4, bucket_rows: int = 16_384,
-                   seed: int = 17) -> DataFrame:
+                   seed: int = 17, home: str | None = None, parts: int | None = None) -> DataFrame:
     """``rows`` with ``bucket``, ``batch_no`` and ``width`` (the batch's longest ``length``).
 
     Batches are consecutive runs of ``batch_size`` in seeded order within hash
     buckets of about ``bucket_rows`` rows; their number follows the table, so
     the batches are the same on any cluster. Numbering and widths use narrow
     (key, hash, length) rows; they are joined back by ``key`` (unique) before
-    anything is encoded, and nothing wide is exchanged for them.
+    anything is encoded. ``home`` and ``parts`` (see ``distill.sft_rows``): they
+    are sent to the rows, which then stay where they lie.
     """
-    narrow = written(rows.select(F.col(key).alias("_k"), seeded_hash(seed, F.col(key)).alias("_h"), length.alias("_n")), "batch-keys")
+    own = [F.col(home).alias("_home")] if home else []
+    narrow = written(rows.select(F.col(key).alias("_k"), seeded_hash(seed, F.col(key)).alias("_h"), length.alias("_n"), *own), "batch-keys")
     buckets = max(1, -(-narrow.count() // bucket_rows))
     bucket = F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("_h"))
     placed = narrow.withColumn("bucket", bucket).withColumn("batch_no", F.floor((place - 1) / batch_size).cast("int"))
     width = F.max("_n").over(Window.partitionBy("bucket", "batch_no"))
-    placed = placed.select("_k", "bucket", "batch_no", width.cast("int").alias("width"))
-    return rows.join(placed, F.col(key) == F.col("_k")).drop("_k")
+    placed = placed.select("_k", "bucket", "batch_no", width.cast("int").alias("width"), *(["_home"] if home else []))
+    if home is None:
+        return rows.join(placed, F.col(key) == F.col("_k")).drop("_k")
+    placed = placed.repartition(parts, "_home").groupBy("_home").agg(F.collect_list(F.struct("_k", "bucket", "batch_no", "width")).alias("_placed"))
+    found = rows.join(placed.hint("shuffle_hash"), F.col(home) == F.col("_home"))
+    own_place = F.filter("_placed", lambda p: p["_k"] == F.col(key))
+    return found.select(*rows.columns, F.inline(own_place)).drop("_k")
 
 
 def pad_batches(encoded: DataFrame) -> DataFrame:

@@ -33,14 +33,15 @@ CAP = 150
 SEED = 17
 EVAL_FRAC = 0.02
 SAMPLE_K = 32
+COMPRESSION = "gzip"  # of the record files
 
 
 def _r9(c):
     return F.round(c, 9)
 
 
-def _traces(spark, sf, k=X.K_SAMPLES):
-    return X.traces(spark, sf, k)
+def _traces(spark, sf, k=X.K_SAMPLES, by=None):
+    return X.traces(spark, sf, k, by)
 
 
 def _with_answer(spark, sf):
@@ -83,28 +84,41 @@ def _expressions(spark, sf):
     return T.evaluate_once(X.expression_traces(spark, sf), answer=T.extract_answer("trace"))
 
 
+def _counted(df, *cols):
+    """Each combination of ``cols`` once, with its number of rows ``n``: what depends
+    on these columns alone is worked out once for each, in as many tasks as the session has."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).repartition(tasks, *cols)
+
+
 def q_symbolic_equal(spark, sf):
     """X8 by value on the answer of every expression trace (NULL: undecided)."""
-    t = S.with_symbolic_equal(_expressions(spark, sf), "answer", "gold", "equal")
+    t = written(_expressions(spark, sf).select("id", "pos", "form", "answer", "gold"), "expression-answers")
+    pairs = S.with_symbolic_equal(_counted(t, "answer", "gold"), "answer", "gold", "equal")
+    pairs = pairs.select(F.col("answer").alias("_a"), F.col("gold").alias("_g"), "equal")
+    t = t.join(pairs, F.col("answer").eqNullSafe(F.col("_a")) & F.col("gold").eqNullSafe(F.col("_g")))
     return t.select("id", "pos", "form", "answer", "equal")
 
 
 def q_symbolic_correct(spark, sf):
     """X7 with equality by value: what each form keeps by form and by value."""
-    t = T.with_is_correct(_expressions(spark, sf), "answer", "gold", "task", "by_form")
+    t = _counted(_expressions(spark, sf), "form", "answer", "gold", "task")
+    t = T.with_is_correct(t, "answer", "gold", "task", "by_form")
     t = T.with_is_correct(t, "answer", "gold", "task", "by_value", symbolic=True)
-    return t.groupBy("form").agg(F.count(F.lit(1)).alias("seen"), F.count_if("by_form").alias("by_form"), F.count_if("by_value").alias("by_value"))
+    kept = [F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(c) for c in ("by_form", "by_value")]
+    return t.groupBy("form").agg(F.sum("n").alias("seen"), *kept)
 
 
 def q_canonical_answers(spark, sf):
     """Answers grouped by value: how many spellings and samples each value has."""
-    t = S.with_canonical(_expressions(spark, sf).select("form", "answer"), "answer", "value")
-    per_value = t.where("value IS NOT NULL").groupBy("form", "value").agg(F.countDistinct("answer").alias("spellings"), F.count(F.lit(1)).alias("n"))
+    t = S.with_canonical(_counted(_expressions(spark, sf), "form", "answer"), "answer", "_value")
+    t = T.evaluate_once(t, value=F.col("_value"))  # the filter below stays above the counts
+    per_value = t.where("value IS NOT NULL").groupBy("form", "value").agg(F.count("answer").alias("spellings"), F.sum("n").alias("n"))
     return per_value.groupBy("form").agg(F.count(F.lit(1)).alias("n_values"), F.sum("spellings").alias("spellings"), F.sum("n").alias("samples"), F.max("n").alias("most"))
 
 
-def _filtered(spark, sf):
-    return D.filter_traces(X.with_meta(_traces(spark, sf)), keep_cols=["pos"])
+def _filtered(spark, sf, by=None):
+    return D.filter_traces(X.with_meta(_traces(spark, sf, by=by)), keep_cols=["pos", *([by] if by else [])])
 
 
 def q_distill_filter(spark, sf):
@@ -131,7 +145,7 @@ def q_gold_gsm8k(spark, sf):
 
 
 def _records(spark, sf):
-    return D.shape_records(X.with_meta(_traces(spark, sf)), meta=F.col("meta"))
+    return D.shape_records(X.with_meta(_traces(spark, sf, by="rid")), "rid", meta=F.col("meta"))
 
 
 def _record_digest(rec):
@@ -147,8 +161,8 @@ def q_teacher_records(spark, sf):
 
 def q_join_outputs(spark, sf):
     """Prompt rows joined to their sampled outputs, shaped as records."""
-    t = X.with_meta(_traces(spark, sf))
-    prompts = X.with_meta(X.prompts(spark, sf)).drop("task", "lang", "source")
+    t = X.with_meta(_traces(spark, sf, by="id"))
+    prompts = X.with_meta(X.prompts(spark, sf, by="id")).drop("task", "lang", "source")
     return _record_digest(D.join_outputs(prompts, t.select("id", "pos", "trace"), meta=F.col("meta")))
 
 
@@ -160,7 +174,7 @@ def q_explode_records(spark, sf):
 
 # ---------------------------------------------------------------- sources and sinks
 def _task_shards(spark, sf):
-    rec = D.shape_records(X.with_meta(_traces(spark, sf)), meta=F.struct("meta", "task"))
+    rec = D.shape_records(X.with_meta(_traces(spark, sf, by="rid")), "rid", meta=F.struct("meta", "task"))
     rec = written(rec.select("id", "question", "gold", "traces", F.col("meta.meta").alias("meta"), F.col("meta.task").alias("task")), "records")
     return [rec.where(F.col("task") == task).drop("task") for task in ("arc", "gsm8k", "math", "generic")]
 
@@ -172,7 +186,7 @@ def _traces_digest(rec, *extra):
 def q_jsonl_round_trip(spark, sf):
     """S1 + S3: records written as JSON Lines and read back."""
     path = shared_path(spark, "records-jsonl")
-    io.write_jsonl(_records(spark, sf), path, order_by=["id"], columns=["id", "question", "gold", "traces", "meta"])
+    io.write_jsonl(_records(spark, sf), path, order_by=["id"], columns=["id", "question", "gold", "traces", "meta"], compression=COMPRESSION)
     return _traces_digest(io.read_jsonl(spark, path, io.TEACHER_RECORD))
 
 
@@ -180,7 +194,7 @@ def q_jsonl_line_numbers(spark, sf):
     """S1 with true line numbers: records written in id order, read with their
     place among all lines, whatever the files and splits."""
     path = shared_path(spark, "numbered-jsonl")
-    io.write_jsonl(_records(spark, sf), path, order_by=["id"], columns=["id", "question", "gold", "traces", "meta"])
+    io.write_jsonl(_records(spark, sf), path, order_by=["id"], columns=["id", "question", "gold", "traces", "meta"], compression=COMPRESSION)
     return io.read_numbered_jsonl(spark, path, io.TEACHER_RECORD).select("id", F.col("src_ordinal").alias("line"))
 
 
@@ -189,7 +203,7 @@ def q_jsonl_shards(spark, sf):
     paths = []
     for i, shard in enumerate(_task_shards(spark, sf)):
         paths.append(shared_path(spark, f"shard-{i}"))
-        io.write_jsonl(shard, paths[-1])
+        io.write_jsonl(shard, paths[-1], compression=COMPRESSION)
     return _traces_digest(io.read_shards(spark, paths, io.TEACHER_RECORD), "shard_no")
 
 
@@ -216,7 +230,7 @@ def q_train_eval_files(spark, sf):
     split = written(_split(spark, sf).select("prompt", "response", "task", "split", "shuffle_pos"), "split-rows")
     paths = {x: shared_path(spark, f"{x}-jsonl") for x in ("train", "eval")}
     for x, path in paths.items():
-        io.write_jsonl(split.where(F.col("split") == x), path, order_by=["shuffle_pos"], columns=["prompt", "response", "task"])
+        io.write_jsonl(split.where(F.col("split") == x), path, order_by=["shuffle_pos"], columns=["prompt", "response", "task"], compression=COMPRESSION)
     train, ev = io.read_train_eval(spark, paths["train"], paths["eval"])
     cols = ["prompt", "response", "task"]
     return train.select(*cols, F.lit("train").alias("split")).union(ev.select(*cols, F.lit("eval").alias("split")))
@@ -246,12 +260,12 @@ def q_dedupe_first(spark, sf):
 def q_bucketed_first(spark, sf):
     """W1 over a table bucketed by the key: no exchange where it is read."""
     t = _traces(spark, sf).withColumn("key", T.dedupe_key(F.col("question"), F.col("trace"))).select("key", "id", "pos", "trace")
-    keyed = bucketed.write_bucketed(t, f"traces_{uuid.uuid4().hex}", ["key"], ["id", "pos"], buckets=8)
+    keyed = bucketed.write_bucketed(t, f"traces_{uuid.uuid4().hex}", ["key"], ["id", "pos"], buckets=X.dealt_parts(spark, sf))
     return bucketed.first_per_key(keyed, ["key"], ["id", "pos"]).select("key", "id", "pos")
 
 
 def _sft(spark, sf, cap=None):
-    return D.sft_rows(_filtered(spark, sf), order_cols=["id", "pos"], per_task_cap=cap)
+    return D.sft_rows(_filtered(spark, sf, "home"), order_cols=["id", "pos"], per_task_cap=cap, home="home", parts=X.dealt_parts(spark, sf))
 
 
 def q_per_task_cap(spark, sf):
@@ -267,8 +281,7 @@ def q_sft_rows(spark, sf):
 
 
 def _split(spark, sf):
-    filtered = written(_filtered(spark, sf), "filtered")
-    return D.build_dataset(filtered, ["id", "pos"], None, EVAL_FRAC, SEED)
+    return D.build_dataset(_filtered(spark, sf, "home"), ["id", "pos"], None, EVAL_FRAC, SEED, home="home", parts=X.dealt_parts(spark, sf))
 
 
 def q_train_eval_split(spark, sf):
@@ -323,9 +336,9 @@ def q_bucketed_rewards(spark, sf):
     """J2 + R5 over completions and prompts bucketed by prompt: a join without an exchange."""
     c = X.with_messages(_traces(spark, sf)).select(F.col("id").alias("prompt_id"), "pos", "messages")
     p = X.prompts(spark, sf).select(F.col("id").alias("prompt_id"), "gold", "task")
-    name = uuid.uuid4().hex
-    c = bucketed.write_bucketed(c, f"completions_{name}", ["prompt_id"], ["pos"], buckets=8)
-    p = bucketed.write_bucketed(p, f"prompts_{name}", ["prompt_id"], buckets=8)
+    name, buckets = uuid.uuid4().hex, X.dealt_parts(spark, sf)
+    c = bucketed.write_bucketed(c, f"completions_{name}", ["prompt_id"], ["pos"], buckets=buckets)
+    p = bucketed.write_bucketed(p, f"prompts_{name}", ["prompt_id"], buckets=buckets)
     s = RW.score(RW.attach_prompts(c, p), RW.R.DEFAULT_MIX, text=None, messages="messages")
     return s.select("prompt_id", "pos", _r9("reward").alias("reward"))
 
@@ -402,7 +415,7 @@ def q_k_sweep_table(spark, sf):
 
 def q_leader_changes(spark, sf):
     """The winner of the vote so far, wherever it changes (16 samples per item)."""
-    return leader_changes(sample_keys(_traces(spark, sf, 16))).select("id", "pos", "answer")
+    return leader_changes(sample_keys(_traces(spark, sf, 16)), last=16 - 1).select("id", "pos", "answer")
 
 
 def q_bench_report(spark, sf):
@@ -437,7 +450,7 @@ def _encoded(spark, sf):
 
 
 def _ids_md5(c):
-    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
 
 
 def q_encode_examples(spark, sf):
@@ -452,7 +465,7 @@ def q_encode_examples(spark, sf):
 
 
 def _padded(spark, sf):
-    rows = E.assign_batches(_sft(spark, sf), "key", E.encoded_length(), batch_size=4, seed=SEED)
+    rows = E.assign_batches(_sft(spark, sf), "key", E.encoded_length(), batch_size=4, seed=SEED, home="home", parts=X.dealt_parts(spark, sf))
     return E.pad_batches(E.encode_examples(rows))
 
 

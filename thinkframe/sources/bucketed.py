@@ -38,7 +38,7 @@ def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], order: Sequen
         buckets = max(1, -(-df.count() // BUCKET_ROWS))
     dealt = df.repartition(buckets, *keys)  # a task per bucket, so a file per bucket
     writer = dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, *order)
-    writer.option("path", path or shared_path(df.sparkSession, table)).saveAsTable(table)
+    writer.option("compression", "zstd").option("path", path or shared_path(df.sparkSession, table)).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinkframe.functions.text import evaluate_once
+from thinkframe.functions.text import evaluate_once, pystrip
 from thinkframe.sources.io import spread
 
 K_SAMPLES = 8
@@ -32,6 +32,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> int:
+    """Partitions for rows that hold each text about 2 k times (a question and a
+    trace per sample): as many per split of the table, so that a task's rows
+    take about as much as a split, whatever the table's size."""
+    splits = spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+    return max(2 * k * splits, spark.sparkContext.defaultParallelism)
+
+
+def dealt_documents(spark: SparkSession, sf_dir: str, by: str, k: int = K_SAMPLES) -> DataFrame:
+    """``documents`` with a column by which its rows are dealt, so that what is
+    made of a document stays beside it. Texts move once, before they are
+    repeated per sample; the number of partitions is ``dealt_parts``.
+
+    * ``id``: the id itself;
+    * ``rid``: the id as text, in ranges, so that the partitions are in its order;
+    * ``home``: a hash of id and normalised text, which no null or repeated id makes large.
+    """
+    docs, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), dealt_parts(spark, sf_dir, k)
+    if by == "id":
+        return docs.repartition(n, "doc_id")
+    if by == "rid":
+        return docs.withColumn("rid", F.col("doc_id").cast("string")).repartitionByRange(n, "rid")
+    return docs.withColumn("home", F.xxhash64("doc_id", F.lower(pystrip("text")))).repartition(n, "home")
+
+
 def _doc_base(docs: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     task = (
@@ -44,12 +69,16 @@ def _doc_base(docs: DataFrame) -> DataFrame:
         .when(d % 9 == 2, F.concat(F.lit("0.12345678901"), (F.lit(1) + d % 7).cast("string")))
         .otherwise(F.concat((F.lit(1) + d % 7).cast("string"), F.lit("/"), (F.lit(2) + d % 5).cast("string")))
     )
-    return docs.select("doc_id", "text", "lang", "source", F.col("text").alias("question"), task.alias("task"), g.alias("g"))
+    dealt = [c for c in ("rid", "home") if c in docs.columns]
+    return docs.select("doc_id", "text", "lang", "source", F.col("text").alias("question"), task.alias("task"), g.alias("g"), *dealt)
 
 
-def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
-    """(id, pos, task, question, gold, trace, lang, source): one row per sample."""
-    base = _doc_base(documents(spark, sf_dir))
+def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES, by: str | None = None) -> DataFrame:
+    """(id, pos, task, question, gold, trace, lang, source): one row per sample.
+
+    ``by``: they also carry this column of ``dealt_documents`` and lie as it deals them.
+    """
+    base = _doc_base(dealt_documents(spark, sf_dir, by, k) if by else documents(spark, sf_dir))
     x = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
     d, kk, task, g = F.col("doc_id"), F.col("k"), F.col("task"), F.col("g")
     right = (
@@ -81,7 +110,7 @@ def traces(spark: SparkSession, sf_dir: str, k: int = K_SAMPLES) -> DataFrame:
     gold = F.when(task == "gsm8k", F.concat(F.lit("so #### "), g)).otherwise(g)
     out = x.select(
         d.alias("id"), kk.cast("int").alias("pos"), "task", "question",
-        gold.alias("gold"), "lang", "source", trace.alias("_trace"),
+        gold.alias("gold"), "lang", "source", trace.alias("_trace"), *([by] if by in base.columns else []),
     )
     # build each trace once even when later filters read it
     return evaluate_once(out, trace=F.col("_trace")).drop("_trace")
@@ -175,11 +204,11 @@ def math_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt row per document: (id, question, gold, task, lang, source)."""
-    base = _doc_base(documents(spark, sf_dir))
+def prompts(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """One prompt row per document: (id, question, gold, task, lang, source), with ``by`` as in ``traces``."""
+    base = _doc_base(dealt_documents(spark, sf_dir, by) if by else documents(spark, sf_dir))
     gold = F.when(F.col("task") == "gsm8k", F.concat(F.lit("so #### "), F.col("g"))).otherwise(F.col("g"))
-    return base.select(F.col("doc_id").alias("id"), "question", gold.alias("gold"), "task", "lang", "source")
+    return base.select(F.col("doc_id").alias("id"), "question", gold.alias("gold"), "task", "lang", "source", *([by] if by in base.columns else []))
 
 
 def bench_items(spark: SparkSession, sf_dir: str) -> dict:

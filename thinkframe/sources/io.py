@@ -95,7 +95,7 @@ def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     earlier = F.coalesce(F.sum("_lines").over(Window.orderBy("src_file_no", "src_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("_before", before).join(files.withColumn("_earlier", earlier), ["src_file_no", "src_file"])
     starts = starts.select(*split, (F.col("_before") - F.col("_first")).alias("_in_file"), (F.col("_earlier") + F.col("_before") - F.col("_first")).alias("_in_all"))
-    placed = lines.join(starts, split)
+    placed = lines.join(F.broadcast(starts), split)  # a row per split; the lines stay where they are read
     return placed.select("value", "src_file_no", "src_file", (F.col("_id") + F.col("_in_file")).alias("src_line"), (F.col("_id") + F.col("_in_all")).alias("src_ordinal"))
 
 
@@ -105,7 +105,7 @@ def read_numbered_jsonl(spark: SparkSession, paths, schema: str | T.StructType)
 
     A line that is no JSON record of the schema stops the job, once it is read.
     """
-    lines = numbered_lines(spark, paths).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    lines = numbered_lines(spark, paths).where(F.col("value").rlike(r"\S"))
     record = F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"})
     return lines.withColumn("_r", record).select("_r.*", "src_file_no", "src_file", "src_line", "src_ordinal")
 
@@ -115,16 +115,18 @@ def read_shards(spark: SparkSession, paths: Sequence[str], schema: str | T.Struc
     return read_jsonl(spark, paths, schema).withColumn("shard_no", F.col("src_file_no"))
 
 
-def write_jsonl(df: DataFrame, path: str, order_by: Sequence[str] = (), columns: Sequence[str] | None = None) -> None:
+def write_jsonl(df: DataFrame, path: str, order_by: Sequence[str] = (), columns: Sequence[str] | None = None, compression: str | None = None) -> None:
     """S3: JSON Lines, UTF-8 kept raw, NULL fields written; parents created.
 
     ``order_by`` sorts the output (a range-partitioned sort, not one task).
     ``columns`` are the fields to write (default: all), so that the order
-    columns need not become fields.
+    columns need not become fields. ``compression``: e.g. ``gzip``; the readers
+    find it by the files' names, and a file of it is read by one task.
     """
     out = df.orderBy(*order_by) if order_by else df
     out = out.select(*columns) if columns else out
-    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    writer = out.write.mode("overwrite").option("ignoreNullFields", "false")
+    (writer.option("compression", compression) if compression else writer).json(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
