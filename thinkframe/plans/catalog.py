@@ -349,9 +349,11 @@ def _letter_share(text, letter="e"):
 
 def q_registered_reward(spark, sf):
     """U-1: a reward of the user's beside the native ones in one mix."""
-    if "letter_share" not in RW.R.REGISTRY:
+    if own := "letter_share" not in RW.R.REGISTRY:
         RW.R.register("letter_share", _letter_share, reads=["text"], parameters=["letter"])
     s = _scored(spark, sf, [*RW.R.DEFAULT_MIX, {"name": "letter_share", "weight": 0.5, "kwargs": {"letter": "e"}}])
+    if own:  # the plan has it; the registry is left as it was
+        RW.R.unregister("letter_share")
     return s.select("prompt_id", "pos", _r9("r_letter_share").alias("r_letter_share"), _r9("reward").alias("reward"))
 
 
